@@ -1,8 +1,8 @@
 """Toxicity by maximum-scoring segments.
 
 Every token carries a score: the log-odds that a toxic rather than a clean document holds it, smoothed by a
-Dirichlet prior in proportion to the token's overall frequency, moved towards 0 by its own uncertainty, less a
-small drift. All maximal segments of positive total are found in one pass in linear time. The significance of
+Dirichlet prior in proportion to the token's overall frequency, shrunk towards 0 by how little its deviance
+exceeds chance, less a small drift. All maximal segments of positive total are found in one pass in linear time. The significance of
 a segment follows the extreme-value law of random sequences: lambda solves sum p(s) exp(lambda s) = 1 over the
 token scores of clean text, K comes from the maxima of clean documents. A document's evidence is the sum of
 what its significant segments exceed chance by, and a logistic curve fitted out of fold turns it into a score.
@@ -26,8 +26,8 @@ from .common import fresh, held_out, labelled_texts, sampled_labels
 _TOKEN = re.compile(r"[^\W_]+")
 #: A token that was too rare to be scored goes by its first STEM letters, at half their score.
 STEM, LONG = 4, 6
-#: Standard deviations by which a log-odds is moved towards 0.
-CAUTION = 1.645
+#: Standard deviations of deviance up to which a log-odds counts as chance.
+CAUTION = 3.3
 
 
 def tokens(text: str) -> list[str]:
@@ -97,9 +97,10 @@ def log_odds(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int, least:
         p, q = (a + extra) / (n_toxic + prior), (b + extra) / (n_clean + prior)
         p, q = min(p, 1 - 1e-9), min(q, 1 - 1e-9)
         d = math.log(p / (1 - p)) - math.log(q / (1 - q))
-        slack = CAUTION * math.sqrt(1 / (a + extra) + 1 / (b + extra))
-        if abs(d) > slack:
-            out[w] = d - math.copysign(slack, d)
+        # deviance of the two counts from equal rates; it holds for counts of 0, where a normal error does not
+        deviance = 2 * sum(x * math.log(x * n / ((a + b) * size)) for x, size in ((a, n_toxic), (b, n_clean)) if x and size)
+        if deviance > CAUTION**2:
+            out[w] = d * (1 - CAUTION**2 / deviance)
     return out
 
 
