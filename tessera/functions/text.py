@@ -235,7 +235,11 @@ def path_status(values: Column, occurrences_: Column, operands: Column, results:
 def implicit_numbers(text: Column) -> Column:
     """Words that imply a factor, with their start and value."""
     kind = "array<struct<start:int,word:string,value:double>>"
-    parts = [F.transform(matches(F.lower(text), rf"\b{w}\b"), lambda m, w=w, v=v: F.struct(m["start"].alias("start"), F.lit(w).alias("word"), F.lit(round(v, 6)).alias("value"))).cast(kind) for w, v in L.IMPLICIT_NUMBERS.items()]
+
+    def row(word: str, value: float):
+        return lambda m: F.struct(m["start"].alias("start"), F.lit(word).alias("word"), F.lit(round(value, 6)).alias("value"))
+
+    parts = [F.transform(matches(F.lower(text), rf"\b{w}\b"), row(w, v)).cast(kind) for w, v in L.IMPLICIT_NUMBERS.items()]
     return F.array_sort(F.concat(*parts))
 
 

@@ -44,6 +44,10 @@ def candidates(text: Column, *, setting: str = "auto", most: int = 20) -> Column
     return F.transform(kept, lambda s, i: F.struct(F.format_string("span_%03d", i + 1).alias("span_id"), s["text"].alias("text"), s["type"].alias("type"), s["start"].alias("start"), s["end"].alias("end"))).cast(SPANS)
 
 
+def _of_type(kind: str):
+    return lambda s: s["type"] == kind
+
+
 UNITS = f"array<struct<unit_scope:string,group_type:string,span_ids:array<string>,spans:{SPANS},reason:string>>"
 # Span types that make a group of their own.
 TYPE_SETS = {"number": "number_set", "entity": "entity_set", "object": "object_set", "cyber_security_term": "cyber_security_term_set"}
@@ -65,7 +69,7 @@ def units(spans: Column, *, most_spans: int = 5, most_groups: int = 10) -> Colum
     single = F.transform(ordered, lambda s: unit("single", F.lit("single"), F.array(s), F.lit("single candidate span"))).cast(UNITS)
     texts = F.array_distinct(F.transform(ordered, lambda s: s["text"]))
     same = F.transform(texts, lambda t: unit("group", F.lit("repeated_surface"), F.slice(F.filter(ordered, lambda s: s["text"] == t), 1, most_spans), F.lit("same surface text appears multiple times"))).cast(UNITS)
-    kinds = F.array(*[unit("group", F.lit(g), F.slice(F.filter(ordered, lambda s, k=k: s["type"] == k), 1, most_spans), F.lit(f"all {k} spans in the question")) for k, g in TYPE_SETS.items()]).cast(UNITS)
+    kinds = F.array(*[unit("group", F.lit(g), F.slice(F.filter(ordered, _of_type(k)), 1, most_spans), F.lit(f"all {k} spans in the question")) for k, g in TYPE_SETS.items()]).cast(UNITS)
     groups = F.filter(F.concat(same, kinds), lambda u: F.size(u["span_ids"]) >= 2)
     rank = F.create_map(*[F.lit(x) for i, g in enumerate(GROUP_ORDER) for x in (g, i)])
     keyed = F.array_sort(F.transform(groups, lambda u: F.struct(F.element_at(rank, u["group_type"]).alias("p"), u["spans"][0]["start"].alias("at"), u["span_ids"].alias("ids"), u.alias("u"))))

@@ -1 +1,13 @@
-"""See the modules."""
+"""Queries by name, each with the SQL that says the same where SQL can."""
+
+from __future__ import annotations
+
+
+def catalog() -> dict:
+    """name -> (query, SQL or None)."""
+    from . import relation_queries, statistic_queries, stream_queries, text_queries
+
+    out: dict = {}
+    for module in (text_queries, relation_queries, statistic_queries, stream_queries):
+        out |= module.QUERIES
+    return out
