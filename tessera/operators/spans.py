@@ -77,6 +77,11 @@ def units(spans: Column, *, most_spans: int = 5, most_groups: int = 10) -> Colum
     return F.concat(single, F.slice(first, 1, most_groups))
 
 
+def with_units(df: DataFrame, text: str, **limits) -> DataFrame:
+    """df with `spans` and `units` of a text column; two projections, so that spans are found once."""
+    return df.withColumn("spans", candidates(F.col(text))).withColumn("units", units(F.col("spans"), **limits))
+
+
 def ablations(df: DataFrame, text: str, unit_column: str, kinds: tuple[str, ...] = ("delete", "generalize"), setting: str = "auto") -> DataFrame:
     """One row per unit and kind: `kind`, `ablated` and `status` (kept, overlap, empty, unchanged)."""
     rows = df.withColumn("kind", F.explode(F.array(*[F.lit(k) for k in kinds])))

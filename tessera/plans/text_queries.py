@@ -30,7 +30,7 @@ PHRASES = [(k, p) for k, ps in L.ENGLISH.items() for p in ps]
 
 
 def lexicon_counts(spark, d):
-    counts = [F.sum(F.regexp_count("text", F.lit(rf"(?i)\b{p}\b"))).cast("long").alias(f"c{i}") for i, (_, p) in enumerate(PHRASES)]
+    counts = [F.sum(F.regexp_count("text", F.lit(rf"(?i)(?<![A-Za-z0-9_]){p}(?![A-Za-z0-9_])"))).cast("long").alias(f"c{i}") for i, (_, p) in enumerate(PHRASES)]
     one = table(spark, d, "documents").agg(*counts)
     return one.select(F.inline(F.array(*[F.struct(F.lit(k).alias("type"), F.lit(p).alias("phrase"), F.coalesce(f"c{i}", F.lit(0).cast("long")).alias("found")) for i, (k, p) in enumerate(PHRASES)])))
 
@@ -38,18 +38,30 @@ def lexicon_counts(spark, d):
 LEXICON_COUNTS = "SELECT type, phrase, CAST(coalesce(sum(len(regexp_extract_all(text, '(?i)\\b' || phrase || '\\b'))), 0) AS BIGINT) AS found FROM documents, " + sql_values(PHRASES, ["type", "phrase"]) + " GROUP BY type, phrase"
 
 
+QUESTIONS = [
+    (-1, "Tom has 3 apples and buys 2 more. How many apples does he have now?"),
+    (-2, "If a server handles 1,200 requests and removes 15% of them, how many requests remain?"),
+    (-3, "如果有三个苹果，卖掉1个，还剩多少个苹果？"),
+    (-4, "Can command injection bypass 2 files when not given 2 users?"),
+]
+
+
+def _questions(spark, d):
+    return literal(spark, QUESTIONS, "item_id long, text string").unionByName(table(spark, d, "benchmark").select("item_id", "text"))
+
+
 def span_candidates(spark, d):
-    return table(spark, d, "benchmark").select("item_id", F.inline(S.candidates(F.col("text"))))
+    return _questions(spark, d).select("item_id", F.inline(S.candidates(F.col("text"))))
 
 
 def span_units(spark, d):
-    """Units by scope and group type over the turns of conversations."""
-    units = table(spark, d, "conversations").select(F.explode(S.units(S.candidates(F.col("text")))).alias("u"))
+    """Units by scope and group type."""
+    units = S.with_units(_questions(spark, d), "text").select(F.explode("units").alias("u"))
     return units.groupBy("u.unit_scope", "u.group_type").agg(F.count(F.lit(1)).alias("units"), F.sum(F.size("u.span_ids")).cast("long").alias("spans"))
 
 
 def ablation_status(spark, d):
-    units = table(spark, d, "benchmark").select("item_id", "text", F.explode(S.units(S.candidates(F.col("text")))).alias("unit"))
+    units = S.with_units(_questions(spark, d), "text").select("item_id", "text", F.explode("units").alias("unit"))
     return S.ablations(units, "text", "unit").groupBy("kind", "status").agg(F.count(F.lit(1)).alias("rows"))
 
 
