@@ -101,7 +101,7 @@ def _formatted(template: Template):
 
         def done():
             output, spans, texts, rewrites = rendered(turns, template)
-            return (None if key is None else int(key), output, [list(s) for s in spans], [list(s) for s in texts], [r for r, _ in turns], rewrites)
+            return (key, output, [list(s) for s in spans], [list(s) for s in texts], [r for r, _ in turns], rewrites)
 
         names = ["conv_id", "formatted", "spans", "text_spans", "roles", "rewrites"]
         for batch in batches:
@@ -112,14 +112,14 @@ def _formatted(template: Template):
                     held += len(out[-1][1])
                     turns = []
                     if held > 1 << 24:
-                        yield pd.DataFrame(out, columns=names).astype({"rewrites": "Int32", "conv_id": "Int64"})
+                        yield pd.DataFrame(out, columns=names).astype({"rewrites": "Int32"})
                         out, held = [], 0
                 key = conv
                 turns.append((role or "", text or ""))
             if out:
-                yield pd.DataFrame(out, columns=names).astype({"rewrites": "Int32", "conv_id": "Int64"})
+                yield pd.DataFrame(out, columns=names).astype({"rewrites": "Int32"})
         if turns:
-            yield pd.DataFrame([done()], columns=names).astype({"rewrites": "Int32", "conv_id": "Int64"})
+            yield pd.DataFrame([done()], columns=names).astype({"rewrites": "Int32"})
 
     return run
 
@@ -133,7 +133,8 @@ def formatted(conversations: DataFrame, template: Template = marked) -> DataFram
     """
     rows = conversations.select(F.col("conv_id").cast("long").cast("string").alias("conv_id"), "turn", "role", "text")
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
-    return rows.mapInPandas(_formatted(template), "conv_id long, formatted string, spans array<array<int>>, text_spans array<array<int>>, roles array<string>, rewrites int")
+    out = rows.mapInPandas(_formatted(template), "conv_id string, formatted string, spans array<array<int>>, text_spans array<array<int>>, roles array<string>, rewrites int")
+    return out.withColumn("conv_id", F.col("conv_id").cast("long"))
 
 
 def _digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -149,14 +150,16 @@ def _digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if role == "assistant":
                     loss.append(unescape(output[a:b]))
             joined = "".join(loss)
-            out.append((None if conv is None else int(conv), len(turns), whole.hexdigest(), len(joined), hashlib.sha256(joined.encode("utf-8", "surrogatepass")).hexdigest(), len(output)))
-        yield pd.DataFrame(out, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]).astype({"conv_id": "Int64"})
+            out.append((conv, len(turns), whole.hexdigest(), len(joined), hashlib.sha256(joined.encode("utf-8", "surrogatepass")).hexdigest(), len(output)))
+        yield pd.DataFrame(out, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
 
 def digests(conversations: DataFrame) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, read back from the output of the
     default template; the loss mask is the text spans of assistant turns."""
-    return formatted(conversations).select(F.col("conv_id").cast("string"), "formatted", "text_spans").mapInPandas(_digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    # ids travel as text: as numbers beside nulls they would become doubles
+    out = formatted(conversations).select(F.col("conv_id").cast("string"), "formatted", "text_spans").mapInPandas(_digest, "conv_id string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return out.withColumn("conv_id", F.col("conv_id").cast("long"))
 
 
 #: A conversation whose texts hold the template's own control strings.
