@@ -3,7 +3,9 @@
 1. Each text becomes its set of word shingles (64-bit hashes). From the set come 128 MinHash samples, the
    keys of the LSH bands, and an odd sketch: a bitmap of 512 bits in which every sample flips one bit. The
    population count of the XOR of two sketches estimates how many samples differ, most precisely for high
-   similarities. Texts with equal sets are one class from here on; only its smallest doc_id goes further.
+   similarities. A second odd sketch of 2048 bits has the shingles themselves: its XOR never counts more than
+   the sets differ by, so for texts of up to some thousand words it tells pairs just below the threshold from
+   pairs above it. Texts with equal sets are one class from here on; only its smallest doc_id goes further.
 2. Every band key that two or more classes share names a bucket. Each member is paired with the bucket's
    smallest member, a number of pairs linear in the members. Pairs whose sketches cannot be of similar sets
    fall; the others are confirmed on the full sets.
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, drop_stored, fresh, stored
 
-SAMPLES, SKETCH_BITS = 128, 512
+SAMPLES, SKETCH_BITS, SET_BITS = 128, 512, 2048
 _WORD = re.compile(WORD)
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _SEED = np.random.default_rng(20240229)
@@ -74,17 +76,29 @@ def samples(shingles: np.ndarray) -> np.ndarray:
     """The MinHash samples of a set: for each function the smallest 32-bit image."""
     x = (shingles >> np.uint64(32)).astype(np.uint32)
     least = np.full(SAMPLES, 0xFFFFFFFF, np.uint32)
-    for start in range(0, len(x), 2048):
-        part = x[start : start + 2048]
-        np.minimum(least, (_ODD[:, None] * part[None, :] + _ADD[:, None]).min(axis=1), out=least)
+    image = np.empty((SAMPLES, min(1024, max(1, len(x)))), np.uint32)
+    for start in range(0, len(x), 1024):
+        part = x[start : start + 1024]
+        out = image[:, : len(part)]
+        np.multiply(_ODD[:, None], part[None, :], out=out)
+        np.add(out, _ADD[:, None], out=out)
+        np.minimum(least, out.min(axis=1), out=least)
     return least
 
 
+def _parity(at: np.ndarray, bits: int) -> np.ndarray:
+    """Words of 64 bits in which each place has the parity of how often it occurs."""
+    return np.packbits((np.bincount(at.astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def odd_sketch(least: np.ndarray) -> np.ndarray:
-    """Eight 64-bit words in which each (function, sample) flips one bit."""
-    at = _mix(least.astype(np.uint64) ^ _BITS) % np.uint64(SKETCH_BITS)
-    parity = np.bincount(at.astype(np.int64), minlength=SKETCH_BITS) & 1
-    return np.packbits(parity.astype(np.uint8), bitorder="little").view(np.int64)
+    """The odd sketch of (function, sample) pairs."""
+    return _parity(_mix(least.astype(np.uint64) ^ _BITS) % np.uint64(SKETCH_BITS), SKETCH_BITS)
+
+
+def set_sketch(shingles: np.ndarray) -> np.ndarray:
+    """The odd sketch of the shingles themselves."""
+    return _parity(shingles & np.uint64(SET_BITS - 1), SET_BITS)
 
 
 def band_shape(threshold: float) -> tuple[int, int]:
@@ -105,13 +119,22 @@ def most_bits(threshold: float) -> int:
     return math.ceil(mean + 5 * math.sqrt(SKETCH_BITS / 4 * (1 - math.exp(-4 * flips / SKETCH_BITS)) / 4))
 
 
+def _far(differing, total, percent: int, lib):
+    """Whether two set sketches that differ in so many bits can't be of sets that reach the threshold; total is the sum of
+    the sets' sizes. lib is numpy or pyspark.sql.functions. More bits than the sets may differ by are proof; else five
+    standard deviations above what that difference makes."""
+    most = lib.floor(total * (100 - percent) / (100 + percent))
+    share = (1 - lib.exp(most * (-2.0 / SET_BITS))) / 2
+    return (differing > most) | (differing > SET_BITS * share + 5 * lib.sqrt(SET_BITS * share * (1 - share)))
+
+
 def _signatures(width: int, bands: int, rows: int):
     salt = _mix(np.arange(1, bands + 1, dtype=np.uint64))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = _Words()
         for batch in batches:
-            n, digest, keys, sketch = [], [], [], []
+            n, digest, keys, sketch, whole = [], [], [], [], []
             for text in batch["text"]:
                 s = shingle_set(text, width, known)
                 n.append(len(s))
@@ -119,6 +142,7 @@ def _signatures(width: int, bands: int, rows: int):
                     digest.append(None)
                     keys.append(None)
                     sketch.append(None)
+                    whole.append(None)
                     continue
                 least = samples(s)
                 h = salt.copy()
@@ -127,7 +151,8 @@ def _signatures(width: int, bands: int, rows: int):
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 keys.append(h.view(np.int64))
                 sketch.append(odd_sketch(least))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_shingles": n, "digest": digest, "bands": keys, "sketch": sketch})
+                whole.append(set_sketch(s))
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_shingles": n, "digest": digest, "bands": keys, "sketch": sketch, "whole": whole})
 
     return run
 
@@ -141,25 +166,32 @@ def _sets(width: int):
     return run
 
 
-def _sketches_near(a: Column, b: Column, bits: int) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x) <= bits
+def _differing(a: Column, b: Column) -> Column:
+    """Bits in which two sketches differ."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+
+
+def _words(sketches: pd.Series) -> np.ndarray:
+    return np.stack([np.asarray(s) for s in sketches]).astype(np.int64).view(np.uint64)
 
 
-def _across(bits: int):
+def _across(bits: int, percent: int):
     """Pairs of a bucket that lie in different components and have near sketches, larger doc_id second."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["comp", "rep"], kind="stable")
-        rep, comp = group["rep"].to_numpy(), group["comp"].to_numpy()
-        sketch = np.stack([np.asarray(s) for s in group["sketch"]]).astype(np.int64).view(np.uint64)
+        rep, comp, n = group["rep"].to_numpy(), group["comp"].to_numpy(), group["n_shingles"].to_numpy()
+        sketch, whole = _words(group["sketch"]), _words(group["whole"])
         ends = np.searchsorted(comp, comp, side="right")
         found = []
         for i in range(len(rep)):  # members of later components only
             j = ends[i]
-            if j < len(rep):
-                near = j + np.flatnonzero(np.bitwise_count(sketch[j:] ^ sketch[i]).sum(axis=1) <= bits)
-                if len(near):
-                    found.append(np.stack([np.minimum(rep[i], rep[near]), np.maximum(rep[i], rep[near])], axis=1))
+            if j == len(rep):
+                continue
+            near = j + np.flatnonzero((100 * np.minimum(n[i], n[j:]) >= percent * np.maximum(n[i], n[j:])) & (np.bitwise_count(sketch[j:] ^ sketch[i]).sum(axis=1) <= bits))
+            near = near[~_far(np.bitwise_count(whole[near] ^ whole[i]).sum(axis=1).astype(np.float64), (n[near] + n[i]).astype(np.float64), percent, np)]
+            if len(near):
+                found.append(np.stack([np.minimum(rep[i], rep[near]), np.maximum(rep[i], rep[near])], axis=1))
         pairs = np.concatenate(found) if found else np.empty((0, 2), np.int64)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
@@ -211,10 +243,12 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
     bands, rows = band_shape(threshold)
     bits = most_bits(threshold)
     texts = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text")
-    signed = texts.mapInPandas(_signatures(width, bands, rows), "doc_id string, n_shingles long, digest binary, bands array<long>, sketch array<long>")
+    signed = texts.mapInPandas(_signatures(width, bands, rows), "doc_id string, n_shingles long, digest binary, bands array<long>, sketch array<long>, whole array<long>")
     signed = stored(signed.withColumn("doc_id", F.col("doc_id").cast("long")), "signatures")
-    same = signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    classes = stored(signed.join(same, "digest").where("doc_id = rep").dropDuplicates(["digest"]).select("rep", "n_shingles", "bands", "sketch"), "classes")
+    same = stored(signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")), "same")
+    # by digest and doc_id together, so that a set that many documents share is no hot key
+    named = same.select("digest", F.col("rep").alias("doc_id"))
+    classes = stored(signed.join(named, ["digest", "doc_id"]).dropDuplicates(["digest"]).select(F.col("doc_id").alias("rep"), "n_shingles", "bands", "sketch", "whole"), "classes")
 
     banded = classes.select(F.explode("bands").alias("band"), "rep")
     leaders = banded.groupBy("band").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader < last").select("band", "leader")
@@ -227,9 +261,11 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
 
     def confirmed(pairs: DataFrame, filtered: bool) -> DataFrame:
         if not filtered:
-            bit = classes.select("rep", "sketch", "n_shingles")
-            near = pairs.join(bit.toDF("a", "sa", "na"), "a").join(bit.toDF("b", "sb", "nb"), "b")
-            pairs = near.where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & _sketches_near(F.col("sa"), F.col("sb"), bits)).select("a", "b")
+            bit = classes.select("rep", "sketch", "whole", "n_shingles")
+            near = pairs.join(bit.toDF("a", "sa", "wa", "na"), "a").join(bit.toDF("b", "sb", "wb", "nb"), "b")
+            sizes = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+            far = _far(_differing(F.col("wa"), F.col("wb")).cast("double"), (F.col("na") + F.col("nb")).cast("double"), percent, F)
+            pairs = near.where(sizes & (_differing(F.col("sa"), F.col("sb")) <= bits) & ~far).select("a", "b")
         both = pairs.join(sets.toDF("a", "xa"), "a").join(sets.toDF("b", "xb"), "b")
         common = F.size(F.array_intersect("xa", "xb"))
         return stored(both.where(100 * common >= percent * (F.size("xa") + F.size("xb") - common)).select("a", "b").distinct(), "confirmed")
@@ -238,15 +274,16 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
     joined = stored(components(links), "joined")
     labelled = members.join(joined.select(F.col("id").alias("rep"), "component"), "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("comp"))
     split = labelled.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
-    inside = labelled.join(split, "band", "left_semi").join(classes.select("rep", "sketch"), "rep")
-    across = stored(inside.groupBy("band").applyInPandas(_across(bits), "a long, b long").where("a <> b").distinct(), "across")
+    inside = labelled.join(split, "band", "left_semi").join(classes.select("rep", "n_shingles", "sketch", "whole"), "rep")
+    across = stored(inside.groupBy("band").applyInPandas(_across(bits, percent), "a long, b long").where("a <> b").distinct(), "across")
     across = across.join(stars, ["a", "b"], "left_anti")
     more = confirmed(across, True)
     whole = links.unionByName(more)
     if not more.isEmpty():
         joined = stored(components(whole), "joined")
 
-    to = same.join(joined.select(F.col("id").alias("rep"), "component"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
+    # a table of its own, so that both sides of the last join come straight from a shuffle and a hot digest can be split
+    to = stored(same.join(joined.select(F.col("id").alias("rep"), "component"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id")), "result")
     out = signed.join(to, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
