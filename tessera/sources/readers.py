@@ -22,7 +22,7 @@ def _string_schema(schema) -> str:
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line, value) of text files. Each file is one split, since a line's number depends on all before it; files
     are the unit of parallelism."""
-    rows = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("i", "value"))
+    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("i", "value"))
     return rows.select("file", (F.col("i") + 1).alias("line"), "value")
 
 
@@ -31,11 +31,17 @@ def jsonl(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFra
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def _parsed(value, schema):
+    """The value as a struct of the schema, null unless it is an object whose fields have its types."""
+    kind = f"{_string_schema(schema)}, `_corrupt` string"
+    row = F.from_json(value, kind, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    # by way of to_json, since a struct of which one field is asked for would be parsed for that field alone
+    return F.when(F.get_json_object(F.to_json(row), "$._corrupt").isNull(), row)
+
+
 def bad_lines(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
     """(file, line, value) of the lines that strict reading would refuse."""
-    kind = f"{_string_schema(schema)}, `_corrupt` string"
-    parsed = numbered_lines(spark, path).where(F.trim("value") != "").withColumn("r", F.from_json("value", kind, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
-    return parsed.where(F.col("r").isNull() | F.col("r._corrupt").isNotNull()).select("file", "line", "value")
+    return numbered_lines(spark, path).where(F.trim("value") != "").where(_parsed(F.col("value"), schema).isNull()).select("file", "line", "value")
 
 
 def jsonl_checked(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
@@ -48,10 +54,9 @@ def jsonl_checked(spark: SparkSession, path: str, schema: str | T.StructType) ->
 
 def jsonl_tolerant(spark: SparkSession, path: str, schema: str | T.StructType) -> tuple[DataFrame, DataFrame]:
     """(rows, counts): rows that are objects, and counts of records and undecodable ones. Both come from one definition."""
-    kind = f"{_string_schema(schema)}, `_corrupt` string"
     lines = spark.read.text(path).where(F.trim("value") != "")
-    parsed = lines.select(F.from_json("value", kind, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("r"))
-    bad = F.col("r").isNull() | F.col("r._corrupt").isNotNull()
+    parsed = lines.select(_parsed(F.col("value"), schema).alias("r"))
+    bad = F.col("r").isNull()
     return parsed.where(~bad).select("r.*").drop("_corrupt"), parsed.agg(F.count(F.lit(1)).alias("records"), F.count_if(bad).alias("undecodable"))
 
 
