@@ -172,7 +172,16 @@ def _differing(a: Column, b: Column) -> Column:
 
 
 def _words(sketches: pd.Series) -> np.ndarray:
-    return np.stack([np.asarray(s) for s in sketches]).astype(np.int64).view(np.uint64)
+    """Sketches as columns: one row for each word, so that comparing one with many runs along memory."""
+    return np.ascontiguousarray(np.stack([np.asarray(s) for s in sketches]).astype(np.int64).view(np.uint64).T)
+
+
+def _bits_apart(words: np.ndarray, one: int, others) -> np.ndarray:
+    """Bits in which one sketch differs from others."""
+    out = np.bitwise_count(words[0, others] ^ words[0, one]).astype(np.uint16)
+    for w in words[1:]:
+        out += np.bitwise_count(w[others] ^ w[one])
+    return out
 
 
 def _across(bits: int, percent: int):
@@ -188,8 +197,9 @@ def _across(bits: int, percent: int):
             j = ends[i]
             if j == len(rep):
                 continue
-            near = j + np.flatnonzero((100 * np.minimum(n[i], n[j:]) >= percent * np.maximum(n[i], n[j:])) & (np.bitwise_count(sketch[j:] ^ sketch[i]).sum(axis=1) <= bits))
-            near = near[~_far(np.bitwise_count(whole[near] ^ whole[i]).sum(axis=1).astype(np.float64), (n[near] + n[i]).astype(np.float64), percent, np)]
+            near = j + np.flatnonzero(_bits_apart(sketch, i, slice(j, None)) <= bits)
+            near = near[100 * np.minimum(n[i], n[near]) >= percent * np.maximum(n[i], n[near])]
+            near = near[~_far(_bits_apart(whole, i, near).astype(np.float64), (n[near] + n[i]).astype(np.float64), percent, np)]
             if len(near):
                 found.append(np.stack([np.minimum(rep[i], rep[near]), np.maximum(rep[i], rep[near])], axis=1))
         pairs = np.concatenate(found) if found else np.empty((0, 2), np.int64)
@@ -202,6 +212,36 @@ def ranked(node: str, turn: int) -> Column:
     return F.struct(F.xxhash64(node, F.lit(turn)).alias("rank"), F.col(node).alias("id"))
 
 
+#: Most bits of the map of ids that spares other texts the way to a join: 4 MB.
+MAP_BITS = 1 << 25
+
+
+def _likely(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs without most of those whose doc_id isn't among the ids: a Bloom filter ahead of a join, so that texts that the
+    join would drop needn't be shuffled. Its bitmap has at least 16 bits an id while that fits MAP_BITS; with fewer
+    than 4 bits an id it would keep nearly all, and docs go to the join as they are."""
+    count = ids.count()
+    bits = 1 << min(MAP_BITS.bit_length() - 1, max(16, (16 * count).bit_length()))
+    if bits < 4 * count:
+        return docs
+    places = lambda c: [F.pmod(F.xxhash64(F.col(c), F.lit(k)), F.lit(bits)) for k in range(3)]
+    rows = ids.select(F.explode(F.array(*places("id"))).alias("at")).groupBy(F.shiftright("at", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 32 as int))")).alias("bits"))
+    got = rows.toPandas()  # at most MAP_BITS / 32 words, whatever the number of ids
+    words = np.zeros(bits // 32, np.uint32)
+    words[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).astype(np.uint32)
+    shared = docs.sparkSession.sparkContext.broadcast(words)
+
+    @F.pandas_udf("boolean")
+    def held(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
+        ok = np.ones(len(a), bool)
+        for at in (a, b, c):
+            at = at.to_numpy(np.int64)
+            ok &= (shared.value[at >> 5] >> (at & 31).astype(np.uint32)) & np.uint32(1) == 1
+        return pd.Series(ok)
+
+    return docs.where(F.col("doc_id").isNotNull()).where(held(*places("doc_id")))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, component) for the ends of links (a, b): the smallest id reachable.
 
@@ -244,11 +284,12 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
     bits = most_bits(threshold)
     texts = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text")
     signed = texts.mapInPandas(_signatures(width, bands, rows), "doc_id string, n_shingles long, digest binary, bands array<long>, sketch array<long>, whole array<long>")
-    signed = stored(signed.withColumn("doc_id", F.col("doc_id").cast("long")), "signatures")
-    same = stored(signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")), "same")
-    # by digest and doc_id together, so that a set that many documents share is no hot key
-    named = same.select("digest", F.col("rep").alias("doc_id"))
-    classes = stored(signed.join(named, ["digest", "doc_id"]).dropDuplicates(["digest"]).select(F.col("doc_id").alias("rep"), "n_shingles", "bands", "sketch", "whole"), "classes")
+    signed = stored(signed.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("row", F.monotonically_increasing_id()), "signatures")
+    first = F.min(F.struct("doc_id", "row")).alias("first")
+    named = signed.where("digest is not null and doc_id is not null").groupBy("digest").agg(first)
+    same = stored(named.select("digest", F.col("first.doc_id").alias("rep"), F.col("first.row").alias("row")), "same")
+    # by row, so that a set that many documents share is no hot key
+    classes = stored(signed.join(same.select("row"), "row", "left_semi").select(F.col("doc_id").alias("rep"), "n_shingles", "bands", "sketch", "whole"), "classes")
 
     banded = classes.select(F.explode("bands").alias("band"), "rep")
     leaders = banded.groupBy("band").agg(F.min("rep").alias("leader"), F.max("rep").alias("last")).where("leader < last").select("band", "leader")
@@ -256,7 +297,8 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
     stars = stored(members.where("leader < rep").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
 
     involved = stars.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(involved, F.col("doc_id") == F.col("id"), "left_semi")
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    chosen = _likely(chosen, involved).join(involved, F.col("doc_id") == F.col("id"), "left_semi")
     sets = stored(chosen.mapInPandas(_sets(width), "doc_id long, shingles array<long>"), "sets")
 
     def confirmed(pairs: DataFrame, filtered: bool) -> DataFrame:
