@@ -68,7 +68,7 @@ def exact_recovery(samples: Column, exact: Column, wrong: Column) -> Column:
 def anchor(semantic: Column, recoverability: Column, misleading: Column, *, semantic_weight: float = 0.6, risk_weight: float = 0.4) -> Column:
     """struct(score, label) of an anchor from its necessity score and its recoverability."""
     score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.round(semantic_weight * semantic + risk_weight * table(RISK, recoverability), 10)))
-    label = F.when(misleading | (recoverability == "Misleading Recovery"), "misleading_risk").when(score >= 0.75, "strong_anchor").when(score >= 0.55, "medium_anchor").when(score >= 0.35, "weak_anchor").otherwise("unimportant")
+    label = F.when(misleading | (recoverability == "Misleading Recovery"), "Risky Anchor").when(score >= 0.75, "Strong Anchor").when(score >= 0.55, "Medium Anchor").when(score >= 0.35, "Weak Anchor").otherwise("Distractor")
     return F.struct(score.alias("score"), label.alias("label"))
 
 

@@ -16,30 +16,34 @@ MATCH = "array<struct<text:string,start:int,end:int>>"
 SPAN = "array<struct<text:string,type:string,start:int,end:int>>"
 
 
-def matches(text: Column, pattern: str, group: int = 0) -> Column:
+def matches(text: Column, pattern: str | Column, group: int = 0) -> Column:
     """All matches of a pattern with their offsets; null text gives null.
 
     The parts between matches give the offsets: match i starts where the parts up to i and the matches
     before i end. With group=1 the group's text is located at the end of the match, so the pattern must end
-    with the group."""
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    kept = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
-    gaps = F.split(text, pattern, -1)
-    rows = F.zip_with(F.arrays_zip(whole.alias("m"), kept.alias("k")), F.slice(gaps, F.lit(1), F.size(whole)), lambda m, g: F.struct(F.length(g).alias("gap"), F.length(m["m"]).alias("len"), m["k"].alias("text")))
+    with the group. The pattern may be a column, such as an element of an array of patterns."""
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    whole = F.regexp_extract_all(text, pattern, F.lit(0))
+    parts = F.split(text, pattern, F.lit(-1))
+    rows = F.arrays_zip(whole.alias("m"), parts.alias("gap")) if not group else F.arrays_zip(whole.alias("m"), parts.alias("gap"), F.regexp_extract_all(text, pattern, F.lit(group)).alias("k"))
     empty = F.struct(F.lit(0).alias("at"), F.array().cast(MATCH).alias("out"))
 
     def step(state: Column, x: Column) -> Column:
-        end = state["at"] + x["gap"] + x["len"]
-        found = F.struct(x["text"].alias("text"), (end - F.length(x["text"])).cast("int").alias("start"), end.cast("int").alias("end"))
-        return F.struct(end.cast("int").alias("at"), F.array_append(state["out"], found).cast(MATCH).alias("out"))
+        end = (state["at"] + F.length(x["gap"]) + F.coalesce(F.length(x["m"]), F.lit(0))).cast("int")
+        kept = x["k"] if group else x["m"]
+        found = F.struct(kept.alias("text"), (end - F.length(kept)).cast("int").alias("start"), end.alias("end"))
+        return F.struct(end.alias("at"), F.when(x["m"].isNull(), state["out"]).otherwise(F.array_append(state["out"], found)).cast(MATCH).alias("out"))
 
     return F.aggregate(rows, empty, step)["out"]
 
 
-def occurrences(text: Column, phrase: str) -> Column:
+def occurrences(text: Column, phrase: str | Column) -> Column:
     """All occurrences of a phrase, overlapping ones too, with offsets."""
-    found = F.filter(F.sequence(F.lit(0), F.greatest(F.length(text) - len(phrase), F.lit(0))), lambda i: F.substring(text, i + 1, F.lit(len(phrase))) == F.lit(phrase))
-    return F.when(F.contains(text, F.lit(phrase)), F.transform(found, lambda i: F.struct(F.lit(phrase).alias("text"), i.cast("int").alias("start"), (i + len(phrase)).cast("int").alias("end")))).otherwise(F.array().cast(MATCH)).cast(MATCH)
+    phrase = F.lit(phrase) if isinstance(phrase, str) else phrase
+    size = F.length(phrase)
+    found = F.filter(F.sequence(F.lit(0), F.greatest(F.length(text) - size, F.lit(0))), lambda i: F.substring(text, i + 1, size) == phrase)
+    spans = F.transform(found, lambda i: F.struct(phrase.alias("text"), i.cast("int").alias("start"), (i + size).cast("int").alias("end")))
+    return F.when(F.contains(text, phrase), spans.cast(MATCH)).otherwise(F.array().cast(MATCH))
 
 
 def has_cjk(text: Column) -> Column:

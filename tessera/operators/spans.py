@@ -15,8 +15,14 @@ from ..functions import text as X
 SPANS = "array<struct<span_id:string,text:string,type:string,start:int,end:int>>"
 
 
-def _typed(found: Column, kind: str) -> Column:
-    return F.transform(found, lambda m: F.struct(m["text"].alias("text"), F.lit(kind).alias("type"), m["start"].alias("start"), m["end"].alias("end"))).cast(X.SPAN)
+def _typed(found: Column, kind: str | Column) -> Column:
+    kind = F.lit(kind) if isinstance(kind, str) else kind
+    return F.transform(found, lambda m: F.struct(m["text"].alias("text"), kind.alias("type"), m["start"].alias("start"), m["end"].alias("end"))).cast(X.SPAN)
+
+
+def _listed(lexicon: dict[str, list[str]], of) -> Column:
+    """An array literal of (type, phrase as `of` writes it): the lexicon is data of one expression, not an expression each."""
+    return F.array(*[F.struct(F.lit(k).alias("type"), F.lit(of(p)).alias("phrase")) for k, ps in lexicon.items() for p in ps])
 
 
 def candidates(text: Column, *, setting: str = "auto", most: int = 20) -> Column:
@@ -24,19 +30,14 @@ def candidates(text: Column, *, setting: str = "auto", most: int = 20) -> Column
     they stand) and words after numbers. Equal (start, end, type) count once; the most wanted `most` stay, in text order,
     with ids span_001 and on."""
     parts = [_typed(X.matches(text, L.ARABIC_NUMBER), "number"), _typed(X.matches(text, L.CHINESE_NUMBER), "number")]
-    english, chinese = [], []
-    for kind, phrases in L.ENGLISH.items():
-        english += [_typed(X.matches(text, rf"(?i)(?<![A-Za-z0-9_]){re.escape(p)}(?![A-Za-z0-9_])"), kind) for p in phrases]
-    stop = [p.lower() for k in ("question_target", "comparison", "negation", "condition", "operation") for p in L.ENGLISH[k]]
-    english.append(F.filter(_typed(X.matches(text, L.NUMBER_NEIGHBOUR, 1), "object"), lambda s: ~F.lower(s["text"]).isin(stop)))
-    for kind, phrases in L.CHINESE.items():
-        chinese += [_typed(X.occurrences(text, p), kind) for p in phrases]
-    none = F.array().cast(X.SPAN)
-    spoken = F.lit(True) if setting == "zh" else F.lit(False) if setting == "en" else X.has_cjk(text)
     if setting != "zh":
-        parts.append(F.concat(*english))
+        english = _listed(L.ENGLISH, lambda p: rf"(?i)(?<![A-Za-z0-9_]){re.escape(p)}(?![A-Za-z0-9_])")
+        parts.append(F.flatten(F.transform(english, lambda e: _typed(X.matches(text, e["phrase"]), e["type"]))))
+        stop = [p.lower() for k in ("question_target", "comparison", "negation", "condition", "operation") for p in L.ENGLISH[k]]
+        parts.append(F.filter(_typed(X.matches(text, L.NUMBER_NEIGHBOUR, 1), "object"), lambda s: ~F.lower(s["text"]).isin(stop)))
     if setting != "en":
-        parts.append(F.when(spoken, F.concat(*chinese)).otherwise(none))
+        chinese = F.flatten(F.transform(_listed(L.CHINESE, str), lambda e: _typed(X.occurrences(text, e["phrase"]), e["type"])))
+        parts.append(chinese if setting == "zh" else F.when(X.has_cjk(text), chinese).otherwise(F.array().cast(X.SPAN)))
     whole = F.array_distinct(F.concat(*parts))
     order = F.create_map(*[F.lit(x) for i, t in enumerate(L.SPAN_PRIORITY) for x in (t, i)])
     ranked = F.array_sort(F.transform(whole, lambda s: F.struct(F.coalesce(F.try_element_at(order, s["type"]), F.lit(100)).alias("p"), s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"), s["type"].alias("type"))))

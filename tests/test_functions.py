@@ -124,7 +124,7 @@ def test_buckets_and_strength(spark):
 
 
 def test_anchor_and_recovery(spark):
-    assert one(spark, R.anchor(F.lit(0.9), F.lit("Non-recoverable"), F.lit(False)))["label"] == "strong_anchor"
+    assert one(spark, R.anchor(F.lit(0.9), F.lit("Non-recoverable"), F.lit(False)))["label"] == "Strong Anchor"
     assert tuple(one(spark, R.recovery_sample(F.lit(0.8), F.lit(0.1)))) == ("Recoverable", 0.8, 0.8, False)
     assert one(spark, R.exact_recovery(F.lit(3), F.lit(0), F.lit(1))) == "Misleading Recovery"
     assert one(spark, R.margin(F.create_map(F.lit("a"), F.lit(2.0), F.lit("b"), F.lit(0.5)), F.lit("a"))) == 1.5
