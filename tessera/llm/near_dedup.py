@@ -318,14 +318,16 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
     split = labelled.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
     inside = labelled.join(split, "band", "left_semi").join(classes.select("rep", "n_shingles", "sketch", "whole"), "rep")
     across = stored(inside.groupBy("band").applyInPandas(_across(bits, percent), "a long, b long").where("a <> b").distinct(), "across")
-    across = across.join(stars, ["a", "b"], "left_anti")
-    more = confirmed(across, True)
+    more = confirmed(across.join(stars, ["a", "b"], "left_anti"), True)
     whole = links.unionByName(more)
     if not more.isEmpty():
+        drop_stored(joined)
         joined = stored(components(whole), "joined")
 
     # a table of its own, so that both sides of the last join come straight from a shuffle and a hot digest can be split
     to = stored(same.join(joined.select(F.col("id").alias("rep"), "component"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id")), "result")
+    for done in (same, classes, members, stars, sets, across, links, more, joined):
+        drop_stored(done)
     out = signed.join(to, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
