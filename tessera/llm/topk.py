@@ -180,18 +180,19 @@ def _search(k: int):
     return search
 
 
-def _bounds(k: int):
-    """Query blocks with each query's k-th best product within the bucket of longest vectors."""
+def _bounds(k: int, head):
+    """Query blocks with each query's k-th best product within the bucket of longest vectors, which `head` is a broadcast of."""
     run = _search(k)
 
     def bounds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for i in range(len(batch)):
-                row = batch.iloc[i : i + 1]
-                found = pd.concat([pd.DataFrame({"query_id": [], "score": []}), *run(iter([row]))])
+                block = batch.iloc[i : i + 1].reset_index(drop=True)
+                pair = block.assign(**{name: [value] for name, value in head.value.items()}, q_bound=None)
+                found = pd.concat([pd.DataFrame({"query_id": [], "score": []}), *run(iter([pair]))])
                 kth = found.groupby("query_id")["score"].agg(lambda s: s.min() if len(s) >= k else -np.inf)
-                ids = np.frombuffer(row["q_ids"].iloc[0], np.int64)
-                yield pd.DataFrame({"q_bucket": row["q_bucket"].to_numpy(), "q_n": row["q_n"].to_numpy(), "q_dim": row["q_dim"].to_numpy(), "q_ids": row["q_ids"].to_numpy(), "q_matrix": row["q_matrix"].to_numpy(), "q_bound": [kth.reindex(ids).fillna(-np.inf).to_numpy(np.float64).tobytes()]})
+                ids = np.frombuffer(block["q_ids"][0], np.int64)
+                yield block.assign(q_bound=[kth.reindex(ids).fillna(-np.inf).to_numpy(np.float64).tobytes()])
 
     return bounds
 
@@ -216,8 +217,11 @@ def top_k(vectors: DataFrame, queries: Column, *, k: int = 10, scale: int = 1024
     asked = rows.where(queries).select("vec_id", "v").mapInPandas(_pack(query_rows), PACKED)
     asked = asked.select(*[F.col(c).alias(f"q_{c}") for c in ("bucket", "n", "dim", "ids", "matrix")])
     # one row of bounded size: the bucket of longest vectors
-    head = blocks.orderBy(F.desc("longest"), "bucket").limit(1)
-    seeded = stored(asked.withColumn("lane", F.lit(0)).join(F.broadcast(head.withColumn("lane", F.lit(0))), "lane").drop("lane").withColumn("q_bound", F.lit(None).cast("binary")).mapInPandas(_bounds(k), "q_bucket long, q_n int, q_dim int, q_ids binary, q_matrix binary, q_bound binary"), "queries")
+    head = [r.asDict() for r in blocks.orderBy(F.desc("longest"), "bucket").limit(1).collect()]
+    if not head:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    shared = spark.sparkContext.broadcast({name: bytes(x) if isinstance(x, bytearray) else x for name, x in head[0].items()})
+    seeded = stored(asked.mapInPandas(_bounds(k, shared), "q_bucket long, q_n int, q_dim int, q_ids binary, q_matrix binary, q_bound binary"), "queries")
     lanes = lanes or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     left = blocks.withColumn("lane", F.pmod(F.xxhash64("bucket"), F.lit(lanes)))
     right = seeded.withColumn("lane", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lanes - 1).cast("long"))))
