@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, fresh
+from .common import WORD, stored
 
 #: No source gives more than so many times its own words.
 REPEATS = 3
@@ -57,67 +57,69 @@ def key(seed: int = 0) -> Column:
     return F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"), 256)
 
 
-def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), *, seed: int = 0, cell_rows: int = 20_000) -> DataFrame:
-    """The documents with size, source_size, target and taken appended as one struct column `mix`.
+def _light(docs: DataFrame, seed: int) -> DataFrame:
+    """What the mix is decided by: doc_id, source, key, size and a hash of the text to order repeated ids."""
+    return docs.select("doc_id", "source", key(seed).alias("key"), words(F.col("text")).alias("size"), F.xxhash64("text").alias("tie"))
+
+
+def _placed(rows: DataFrame, light: DataFrame, weights: tuple[int, ...], cell_rows: int) -> DataFrame:
+    """rows, which hold the columns of `light` under the names in struct column `l`, with struct column `m`: size,
+    source_size, target and taken. Sources and cells are counted over light."""
+    spark = rows.sparkSession
+    found = light.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows")).collect()
+    many = {r["source"]: r["rows"] for r in found}
+    plan = [(s, n, t, max(0, math.ceil(math.log2(max(1, many[s] / cell_rows))))) for s, n, t in targets([(r["source"], r["size"]) for r in found], weights)]
+    table = F.broadcast(spark.createDataFrame(plan, "s_ string, source_size long, target double, bits int").select("s_", F.struct("source_size", "target", "bits").alias("p_")))  # one row per source
+    cell = lambda k: F.floor(F.conv(F.substring(k, 1, 8), 16, 10).cast("long") / F.pow(F.lit(2.0), F.lit(32) - F.col("p_.bits"))).cast("long")
+    cells = light.join(table, F.col("source").eqNullSafe(F.col("s_"))).groupBy("s_", cell(F.col("key")).alias("c_")).agg(F.sum("size").alias("n"))
+    cells = cells.select("s_", "c_", (F.sum("n").over(Window.partitionBy("s_").orderBy("c_")) - F.col("n")).alias("before"))
+    run = rows.join(table, F.col("l.source").eqNullSafe(F.col("s_"))).withColumn("c_", cell(F.col("l.key")))
+    order = Window.partitionBy("s_", "c_").orderBy("l.key", "l.doc_id", "l.tie").rowsBetween(Window.unboundedPreceding, 0)
+    run = run.withColumn("running", F.sum("l.size").over(order))
+    other = cells.select(F.col("s_").alias("s2_"), F.col("c_").alias("c2_"), "before")
+    run = run.join(other, F.col("s_").eqNullSafe(F.col("s2_")) & (F.col("c_") == F.col("c2_")))
+    start = F.col("before") + F.col("running") - F.col("l.size")
+    total, budget = F.col("p_.source_size"), F.floor("p_.target").cast("long")
+    epochs = F.when(total > 0, F.floor(budget / total)).otherwise(0).cast("long")
+    taken = epochs * F.col("l.size") + F.least(F.greatest(budget - epochs * total - start, F.lit(0)), F.col("l.size"))
+    return run.withColumn("m", F.struct(F.col("l.size").alias("size"), total.alias("source_size"), F.col("p_.target").alias("target"), taken.cast("long").alias("taken")))
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), *, seed: int = 0, cell_rows: int = 2_000) -> DataFrame:
+    """doc_id, size, source_size, target and taken for every document.
 
     taken counts the words that the mix takes from the document, repeats counted, and is at most REPEATS
     times its size. The taken words of a source sum to its target, rounded down. The null source is a source.
     Null text has no words. Equal keys (repeated ids) follow each other in the order of a hash of their text. The
-    same table gives the same result again. Empty table: no rows. If docs has a column called mix, the
-    struct takes the next free name (the last column).
+    same table gives the same result again. Empty table: no rows. Only doc_id, text and source are read, once.
 
     The sums by source go to the driver: one row per source.
     """
-    spark = docs.sparkSession
-    light = docs.select("source", words(F.col("text")).alias("n"))
-    found = light.groupBy("source").agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("rows")).collect()
-    rows = {r["source"]: r["rows"] for r in found}
-    plan = [(s, n, t, max(0, math.ceil(math.log2(max(1, rows[s] / cell_rows)))) if s in rows else 0) for s, n, t in targets([(r["source"], r["size"]) for r in found], weights)]
-    names = {x: fresh(docs, f"mix_{x}") for x in ("key", "size", "cell", "source", "source_size", "target", "bits", "before", "running", "tie")}
-    c = {x: F.col(n) for x, n in names.items()}
-    table = spark.createDataFrame(plan, f"{names['source']} string, {names['source_size']} long, {names['target']} double, {names['bits']} int")
-    whole = docs.withColumn(names["key"], key(seed)).withColumn(names["size"], words(F.col("text")))
-    whole = whole.join(F.broadcast(table), F.col("source").eqNullSafe(c["source"]))  # one row per source
-    whole = whole.withColumn(names["tie"], F.xxhash64("text"))
-    whole = whole.withColumn(names["cell"], F.floor(F.conv(F.substring(c["key"], 1, 8), 16, 10).cast("long") / F.pow(F.lit(2.0), F.lit(32) - c["bits"])).cast("long"))
-    by = ["source", names["cell"]]
-    cells = whole.groupBy(*by).agg(F.sum(c["size"]).alias("n"))
-    cells = cells.select("source", names["cell"], (F.sum("n").over(Window.partitionBy("source").orderBy(names["cell"])) - F.col("n")).alias(names["before"]))
-    other = cells.select(F.col("source").alias("s_"), F.col(names["cell"]).alias("c_"), F.col(names["before"]))
-    order = Window.partitionBy(*by).orderBy(names["key"], "doc_id", names["tie"]).rowsBetween(Window.unboundedPreceding, 0)
-    run = whole.withColumn(names["running"], F.sum(c["size"]).over(order))
-    s_, c_ = fresh(docs, "s_"), fresh(docs, "c_")
-    other = other.withColumnRenamed("s_", s_).withColumnRenamed("c_", c_)
-    run = run.join(other, F.col("source").eqNullSafe(F.col(s_)) & (c["cell"] == F.col(c_)))
-    start = c["before"] + c["running"] - c["size"]
-    budget = F.floor(c["target"]).cast("long")
-    epochs = F.when(c["source_size"] > 0, F.floor(budget / c["source_size"])).otherwise(0).cast("long")
-    # long arithmetic for the rest; the epochs are small, so the division above is exact enough to be checked by it
-    rest = budget - epochs * c["source_size"]
-    taken = epochs * c["size"] + F.least(F.greatest(rest - start, F.lit(0)), c["size"])
-    return run.select(*[F.col(f"`{x}`") for x in docs.columns], F.struct(c["size"].alias("size"), c["source_size"].alias("source_size"), c["target"].alias("target"), taken.cast("long").alias("taken")).alias(fresh(docs, "mix")))
-
-
-def realised(docs: DataFrame) -> DataFrame:
+    light = stored(_light(docs, seed), "light")
+    return _placed(light.select(F.struct("*").alias("l")), light, weights, cell_rows).select("l.doc_id", "m.*")
+
+
+def realised(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), *, seed: int = 0, cell_rows: int = 2_000) -> DataFrame:
     """The documents of the mix: a row for each epoch that takes the document whole, and one with its first
-    words where the budget ends inside it. Columns are those of docs; n_chars, if there, follows the text."""
-    out = mixed(docs)
-    mix = F.col(out.columns[-1])
-    size, taken = mix["size"], mix["taken"]
+    words where the budget ends inside it. Columns are those of docs; n_chars, if there, follows the text.
+    Whole rows move once, to the cells."""
+    light = stored(_light(docs, seed), "light")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), F.struct("doc_id", "source", key(seed).alias("key"), words(F.col("text")).alias("size"), F.xxhash64("text").alias("tie")).alias("l"))
+    out = _placed(keyed, light, weights, cell_rows).select("d", "m.size", "m.taken")
+    size, taken = F.col("size"), F.col("taken")
     full = F.when(size > 0, F.floor(taken / size)).otherwise(0).cast("int")
-    rest = F.when(size > 0, taken % size).otherwise(F.lit(0)).cast("int")
-    n = fresh(out, "take_words")
-    rows = out.withColumn(n, F.concat(F.array_repeat(size.cast("int"), full), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<int>"))))
-    rows = rows.withColumn(n, F.explode(n))
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(rf"(?s)[\x20\x09-\x0D]*{WORD}"), F.lit(0)), F.lit(1), F.col(n)), "")
-    rows = rows.withColumn("text", F.when(F.col(n) < size, cut).otherwise(F.col("text")))
+    rest = F.when(size > 0, taken % size).otherwise(F.lit(0))
+    rows = out.select("d", "size", F.explode(F.concat(F.array_repeat(size, full), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))).alias("take"))
+    whole = F.col("take") >= size
+    cut = F.array_join(F.slice(F.regexp_extract_all("d.text", F.lit(rf"(?s)[\x20\x09-\x0D]*{WORD}"), F.lit(0)), F.lit(1), F.col("take").cast("int")), "")
+    made = {"text": F.when(whole, F.col("d.text")).otherwise(cut)}
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col(n) < size, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return rows.select(*[F.col(f"`{x}`") for x in docs.columns])
+        made["n_chars"] = F.when(whole, F.col("d.n_chars")).otherwise(F.length(made["text"]).cast(docs.schema["n_chars"].dataType))
+    return rows.select(*[made.get(c, F.col(f"d.`{c}`")).alias(c) for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return mixed(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")).select("doc_id", "mix.*")
+    return mixed(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"))
 
 
 ORACLE = r"""
