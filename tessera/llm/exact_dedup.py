@@ -65,7 +65,8 @@ def duplicates(docs: DataFrame, least: int = 512, most: int = 4096) -> DataFrame
     and text are read.
     """
     rows = recipes(docs, least, most)
-    groups = rows.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    # a table of its own, so that both sides of the join come straight from a shuffle and a hot recipe can be split
+    groups = stored(rows.groupBy("recipe").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
     return rows.join(groups, "recipe").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
