@@ -2,9 +2,11 @@
 
 For each language a suffix automaton is built over a bounded sample of labelled text. A text is parsed
 against it into phrases, each the longest match that the sample holds, and the language that needs the
-fewest phrases, normalised by the sample's size, wins. The automata become one table of transitions in
+fewest phrases, normalised by the sample's size, wins; a letter that its sample does not hold costs as much as
+a phrase of the longest sample, so that a short sample does not win by what it lacks. The automata become tables of transitions in
 which a failed match leads straight to the start of the next phrase, so that a batch of texts is parsed in
-step: one table look-up per character and language. Texts are cut into segments of SEGMENT characters for
+step: one look-up per character and language. Every letter of a sample counts: a language's most frequent
+letters have columns in its table, its other letters are found among sorted transitions. Texts are cut into segments of SEGMENT characters for
 this; a segment begins a phrase, so each costs at most one phrase more, the same in every language.
 """
 
@@ -23,8 +25,9 @@ from pyspark.sql import functions as F
 from .common import crc_of_id, fresh, held_out
 
 SEGMENT = 512
-#: Symbols of the tables: 0 is what no sample holds, 1 is anything but a letter, others are letters.
-MOST_SYMBOLS = 192
+#: Columns of a language's table: 0 is what its sample does not hold, 1 is anything but a letter, others are its most
+#: frequent letters. Its other letters are numbered on from there. How many have columns changes speed, not results.
+COLUMNS = 128
 
 
 def letters(text: str) -> str:
@@ -66,16 +69,66 @@ class Automaton:
         return len(self.next) - 1
 
 
+@dataclass
+class Language:
+    """Transitions of one language, as twice the next state, plus 1 if a phrase ended. State 0 is the root.
+
+    table[state * width + column] is for columns below width. Of the others, keys holds state * letters + column of
+    every transition that does not end a phrase, in order; those of the root come first and are complete."""
+
+    column: np.ndarray
+    letters: int
+    width: int
+    table: np.ndarray
+    keys: np.ndarray
+    values: np.ndarray
+
+    def step(self, state: np.ndarray, column: np.ndarray, rare: bool) -> np.ndarray:
+        if not rare:
+            return self.table[state * self.width + column]
+        far = np.flatnonzero(column >= self.width)
+        got = self.table[state * self.width + np.where(column < self.width, column, 0)]
+        key = state[far] * self.letters + column[far]
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        got[far] = np.where(self.keys[at] == key, self.values[at], self.values[column[far] - self.width] | 1)
+        return got
+
+
 @dataclass
 class Model:
-    """Tables of all languages, one below the other; table[state * symbols + c] is twice the next state, plus 1 if a phrase ended."""
+    """Symbols of all letters of the samples from 2 on (0 is what no sample holds, 1 is anything but a letter), and the tables."""
 
     langs: list[str]
     symbols: dict[str, int]
-    table: np.ndarray
-    roots: np.ndarray
+    tables: list[Language]
     cost: np.ndarray
-    width: int
+
+
+def _language(text: str, symbols: dict[str, int]) -> Language:
+    found = Counter(c for c in text if c != " ")
+    column = np.zeros(len(symbols) + 2, np.int64)
+    column[1] = 1
+    for i, c in enumerate(sorted(found, key=lambda c: (-found[c], c))):
+        column[symbols[c]] = i + 2
+    letters = len(found) + 2
+    width = min(letters, COLUMNS)
+    a = Automaton(int(column[1 if c == " " else symbols[c]]) for c in text)
+    root = np.ones(width, np.int32)  # an unknown symbol is a phrase by itself
+    for c, s in a.next[0].items():
+        if c < width:
+            root[c] = s * 2 + 1
+    table = np.tile(root, (len(a.next), 1))
+    far: list[tuple[int, int]] = []
+    for s, following in enumerate(a.next):
+        for c, t in following.items():
+            if c < width:
+                table[s, c] = t * 2
+            else:
+                far.append((s * letters + c, t * 2))
+    # the first symbol of a text opens a phrase: counted from the root, so no flag there
+    table[0] = np.where(root == 1, root, root & ~1)
+    far.sort()
+    return Language(column, letters, width, table.ravel(), np.array([k for k, _ in far], np.int64), np.array([v for _, v in far], np.int32))
 
 
 def trained(samples: dict[str, list[str]], most_chars: int = 24_000) -> Model:
@@ -83,49 +136,33 @@ def trained(samples: dict[str, list[str]], most_chars: int = 24_000) -> Model:
     joined = {lang: letters("\n".join(texts))[:most_chars] for lang, texts in sorted(samples.items())}
     joined = {lang: " ".join(t.split()) for lang, t in joined.items()}
     joined = {lang: t for lang, t in joined.items() if t}
-    common = Counter(c for t in joined.values() for c in t if c != " ")
-    symbols = {c: i + 2 for i, (c, _) in enumerate(sorted(common.items(), key=lambda x: (-x[1], x[0]))[: MOST_SYMBOLS - 2])}
-    width = len(symbols) + 2
-    tables, roots, offset = [], [], 0
-    for text in joined.values():
-        a = Automaton(1 if c == " " else symbols.get(c, 0) for c in text)
-        n = len(a.next)
-        root = np.full(width, offset * 2 + 1, np.int32)  # an unknown symbol is a phrase by itself
-        for c, s in a.next[0].items():
-            if c:
-                root[c] = (offset + s) * 2 + 1
-        table = np.tile(root, (n, 1))
-        for s, following in enumerate(a.next):
-            for c, t in following.items():
-                if c:
-                    table[s, c] = (offset + t) * 2
-        # the first symbol of a text opens a phrase: counted from the root, so no flag there
-        table[0] = np.where(root == offset * 2 + 1, root, root & ~1)
-        tables.append(table.ravel())
-        roots.append(offset)
-        offset += n
+    symbols = {c: i + 2 for i, c in enumerate(sorted({c for t in joined.values() for c in t if c != " "}))}
     cost = np.array([math.log2(max(2, len(t))) for t in joined.values()])
-    return Model(list(joined), symbols, np.concatenate(tables) if tables else np.empty(0, np.int32), np.array(roots, np.int32), cost, width)
+    return Model(list(joined), symbols, [_language(t, symbols) for t in joined.values()], cost)
 
 
 class Parser:
     def __init__(self, model: Model):
         self.m = model
-        # code points to symbols: below 0x3000 by table
-        self.low = np.zeros(0x3000, np.uint8)
-        for i in range(0x3000):
-            c = chr(i).lower()
-            c = c if len(c) == 1 else chr(i)
-            self.low[i] = model.symbols.get(c, 0) if c.isalpha() else 1
-        self.high = {ord(c): s for c, s in model.symbols.items() if ord(c) >= 0x3000}
+        self.kind = np.min_scalar_type(len(model.symbols) + 1)
+        self.absent = np.array([t.column == 0 for t in model.tables], np.int64).T
+        self.symbol = np.full(0x110000, -1, np.int32)  # of each code point, filled in as they are met
+
+    def _symbol(self, point: int) -> int:
+        c = chr(point).lower()
+        c = c if len(c) == 1 else chr(point)
+        return self.m.symbols.get(c, 0) if c.isalpha() else 1
 
     def coded(self, text: str) -> tuple[np.ndarray, bool]:
         """Symbols of the text, with runs of other code points than letters as one; whether it has a letter."""
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        out = self.low[np.minimum(points, 0x2FFF)]
-        far = np.flatnonzero(points >= 0x3000)
-        if len(far):
-            out[far] = [self.high.get(int(p), 0 if chr(p).isalpha() else 1) for p in points[far]]
+        out = self.symbol[points]
+        new = out < 0
+        if new.any():
+            for p in np.unique(points[new]):
+                self.symbol[p] = self._symbol(int(p))
+            out = self.symbol[points]
+        out = out.astype(self.kind)
         other = out == 1
         keep = np.ones(len(out), bool)
         keep[1:] = ~(other[1:] & other[:-1])
@@ -140,26 +177,32 @@ class Parser:
         for at in range(0, len(pieces), 4096):
             part = pieces[at : at + 4096]
             lens = np.array([e - s for _, s, e in part])
-            grid = np.zeros((int(lens[0]), len(part)), np.int64)
+            grid = np.zeros((int(lens[0]), len(part)), np.int32)
             for j, (i, s, e) in enumerate(part):
                 grid[: e - s, j] = coded[i][s:e]
             live = np.searchsorted(-lens, -np.arange(1, lens[0] + 1), side="right")  # pieces that are at least so long
             owners = np.array([i for i, _, _ in part])
-            for g in range(langs):
-                state = np.full(len(part), m.roots[g], np.int64)
+            for g, language in enumerate(m.tables):
+                columns = language.column[grid]
+                rare = (columns >= language.width).any(axis=1)
+                state = np.zeros(len(part), np.int64)
                 ended = np.ones(len(part), np.int64)
-                for row, n in zip(grid, live, strict=True):
-                    got = m.table[state[:n] * m.width + row[:n]]
+                for row, n, r in zip(columns, live, rare, strict=True):
+                    got = language.step(state[:n], row[:n], r)
                     ended[:n] += got & 1
                     state[:n] = got >> 1
                 np.add.at(counts[:, g], owners, ended)
         return counts
 
+    def missing(self, coded: list[np.ndarray]) -> np.ndarray:
+        """Letters of each text that the sample of each language does not hold, in (text, language)."""
+        return np.array([np.bincount(x, minlength=len(self.absent)) @ self.absent for x in coded], np.int64).reshape(len(coded), len(self.m.langs))
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         if not self.m.langs:
             return ["und"] * len(texts), [0.0] * len(texts)
         coded, spoken = zip(*(self.coded(t or "") for t in texts), strict=True) if texts else ((), ())
-        bits = self.phrases(list(coded)) * self.m.cost
+        bits = self.phrases(list(coded)) * self.m.cost + self.missing(list(coded)) * (self.m.cost.max() - self.m.cost)
         size = np.array([max(1, len(x)) for x in coded])
         rate = bits / size[:, None]  # bits a character
         best = rate.argmin(axis=1)

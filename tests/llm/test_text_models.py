@@ -180,6 +180,34 @@ def test_phrases_equal_the_definition():
             assert counts[i].tolist() == [cross_parse(plain, joined[lang]) for lang in model.langs]
 
 
+def test_every_letter_of_a_sample_counts():
+    rng = random.Random(8)
+    # three scripts of over 190 letters each: 260 syllables, 400 ideographs, 300 other ideographs; and Adlam, which has capitals beyond 0x3000
+    scripts = {"am": range(0x1200, 0x1200 + 330), "ja": range(0x4E00, 0x4E00 + 400), "zh": range(0x6000, 0x6000 + 300), "ff": range(0x1E922, 0x1E944)}
+    alphabets = {lang: [chr(p) for p in points if chr(p).isalpha()] for lang, points in scripts.items()}
+
+    def words(lang, n):
+        return " ".join("".join(rng.choice(alphabets[lang]) for _ in range(rng.randint(1, 6))) for _ in range(n))
+
+    samples = {lang: [words(lang, 900)] for lang in alphabets}
+    model = langid.trained(samples)
+    joined = {lang: " ".join(langid.letters(t[0]).split()) for lang, t in samples.items()}
+    assert set(model.symbols) == set("".join(joined.values())) - {" "}
+    parser = langid.Parser(model)
+    texts = [(lang, words(lang, n)) for lang in alphabets for n in (1, 3, 40)] + [(None, words("ja", 5) + "x" + words("zh", 5) + "\u9fa5 a" + words("am", 9))]
+    coded = [parser.coded(t)[0] for _, t in texts]
+    back = {s: c for c, s in model.symbols.items()} | {1: " ", 0: "?"}
+    for x, found in zip(coded, parser.phrases(coded), strict=True):
+        assert found.tolist() == [cross_parse("".join(back[int(s)] for s in x), joined[lang]) for lang in model.langs]
+    got, _ = parser.predict([t for _, t in texts])
+    assert [(g, lang) for g, (lang, _) in zip(got, texts, strict=True) if lang and g != lang] == []
+    assert parser.predict([words("ff", 9).upper()])[0] == ["ff"]
+    # a sample a tenth as long neither loses its own texts nor wins those of the others
+    parser = langid.Parser(langid.trained({lang: [words(lang, 300 if lang == "zh" else 3000)] for lang in ("am", "ja", "zh")}))
+    texts = [(lang, words(lang, 30)) for lang in ("am", "ja", "zh") for _ in range(20)]
+    assert parser.predict([t for _, t in texts])[0] == [lang for lang, _ in texts]
+
+
 def test_suffix_automaton_holds_all_substrings():
     text = [int(c) for c in "0110100110010110"]
     a = langid.Automaton(iter(text))
