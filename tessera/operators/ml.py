@@ -5,7 +5,11 @@ models are fitted by Newton steps whose gradients are aggregates too, so rows ar
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterable, Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -126,6 +130,16 @@ def chosen_penalty(df: DataFrame, columns: list[str], label: str, fold: str, k:
     return best
 
 
+def _merged(blocks: list[list[float]], rows: Iterable) -> list[list[float]]:
+    """Pool-adjacent-violators: rows (low, high, sum, weight) in order of x, added to the blocks before them."""
+    for low, high, total, weight in rows:
+        while blocks and blocks[-1][2] / blocks[-1][3] >= total / weight:
+            low, _, t, w = blocks.pop()
+            total, weight = t + total, w + weight
+        blocks.append([low, high, total, weight])
+    return blocks
+
+
 def isotonic(points: list[tuple[float, float, float]]) -> list[tuple[float, float]]:
     """Pool-adjacent-violators over (x, y, weight): (x, fitted) with equal x pooled first."""
     pooled: dict[float, list[float]] = {}
@@ -133,37 +147,44 @@ def isotonic(points: list[tuple[float, float, float]]) -> list[tuple[float, floa
         cell = pooled.setdefault(x, [0.0, 0.0])
         cell[0] += y * w
         cell[1] += w
-    blocks: list[list] = []
-    for x in sorted(pooled):
-        s, w = pooled[x]
-        blocks.append([s / w, w, [x]])
-        while len(blocks) > 1 and blocks[-2][0] >= blocks[-1][0]:
-            b = blocks.pop()
-            a = blocks[-1]
-            a[0] = (a[0] * a[1] + b[0] * b[1]) / (a[1] + b[1])
-            a[1] += b[1]
-            a[2] += b[2]
-    return [(x, value) for value, _, xs in blocks for x in xs]
-
-
-def isotonic_calibrated(df: DataFrame, score: str, label: str, *, train: Column, bins: int = 1000) -> DataFrame:
+    xs, blocks = sorted(pooled), _merged([], ((x, x, *pooled[x]) for x in sorted(pooled)))
+    return [(x, total / weight) for low, high, total, weight in blocks for x in xs[bisect_left(xs, low) : bisect_right(xs, high)]]
+
+
+def _merged_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    blocks: list[list[float]] = []
+    for batch in batches:
+        _merged(blocks, batch.itertuples(index=False))
+    yield pd.DataFrame(blocks, columns=["low", "high", "total", "weight"]).astype("float64")
+
+
+def isotonic_calibrated(df: DataFrame, score: str, label: str, *, train: Column) -> DataFrame:
     """df with `calibrated`: an isotonic fit on training rows, linear between points, constant outside.
 
-    Training scores are summed into at most `bins` equal-frequency values first, so the fit sees a bounded table."""
-    rows = df.where(train & F.col(score).isNotNull())
-    values = rows.select(F.col(score).cast("double").alias("x"), F.col(label).cast("double").alias("y"))
-    distinct = values.select(F.approx_count_distinct("x")).collect()[0][0]
-    if distinct > bins:
-        cuts = sorted(set(values.approxQuantile("x", [i / bins for i in range(1, bins)], 0.5 / bins)))
-        values = values.withColumn("x", F.coalesce(F.array_max(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("x"))), F.col("x")))
-    fit = isotonic([(r["x"], r["y"], r["n"]) for r in values.groupBy("x").agg(F.avg("y").alias("y"), F.count(F.lit(1)).alias("n")).collect()])
-    if not fit:
-        return df.withColumn("calibrated", F.lit(None).cast("double"))
-    table = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in fit])
-    s = F.col(score).cast("double")
-    low, high = F.array_max(F.filter(table, lambda p: p["x"] <= s)), F.array_min(F.filter(table, lambda p: p["x"] >= s))
-    line = F.when(high["x"] == low["x"], low["y"]).otherwise(low["y"] + (high["y"] - low["y"]) * (s - low["x"]) / (high["x"] - low["x"]))
-    return df.withColumn("calibrated", F.when(s.isNull(), None).when(low.isNull(), high["y"]).when(high.isNull(), low["y"]).otherwise(line))
+    The fit is exact at every size: labels are summed by score, violators are merged within range partitions of the
+    scores, and once more over the blocks that remain, in one task. Each distinct score then meets the blocks beside it
+    in range partitions. Rows without a score get null; training rows without a label take no part."""
+    rows = df.where(train & F.col(score).isNotNull() & F.col(label).isNotNull())
+    sums = rows.select(F.col(score).cast("double").alias("low"), F.col(label).cast("double").alias("y")).groupBy("low").agg(F.sum("y").alias("total"), F.count(F.lit(1)).cast("double").alias("weight"))
+    schema = "low double, high double, total double, weight double"
+    parts = sums.select("low", F.col("low").alias("high"), "total", "weight").repartitionByRange("low").sortWithinPartitions("low").mapInPandas(_merged_batches, schema)
+    blocks = parts.repartition(1).sortWithinPartitions("low").mapInPandas(_merged_batches, schema)
+    y = F.col("total") / F.col("weight")
+    ends = blocks.select(F.explode(F.array("low", "high")).alias("x_"), y.alias("y_"))
+    asked = df.select(F.col(score).cast("double").alias("x_"), F.lit(None).cast("double").alias("y_")).where(F.col("x_").isNotNull())
+    spread = asked.distinct().unionByName(ends).groupBy("x_").agg(F.max("y_").alias("y_")).repartitionByRange("x_").withColumn("pid_", F.spark_partition_id())
+    point = F.when(F.col("y_").isNotNull(), F.struct(F.col("x_").alias("x"), F.col("y_").alias("y")))
+    ordered = Window.orderBy("pid_")
+    beside = spread.groupBy("pid_").agg(F.min(point).alias("first_"), F.max(point).alias("last_")).select(
+        "pid_", F.last("last_", ignorenulls=True).over(ordered.rowsBetween(Window.unboundedPreceding, -1)).alias("before_"),
+        F.last("first_", ignorenulls=True).over(Window.orderBy(F.desc("pid_")).rowsBetween(Window.unboundedPreceding, -1)).alias("after_"),
+    )
+    near = lambda order: F.last(point, ignorenulls=True).over(Window.partitionBy("pid_").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    local = spread.withColumns({"low_": near(F.asc("x_")), "high_": near(F.desc("x_"))}).join(F.broadcast(beside), "pid_")
+    low, high = F.coalesce("low_", "before_"), F.coalesce("high_", "after_")
+    line = F.when(high["x"] == low["x"], low["y"]).otherwise(low["y"] + (high["y"] - low["y"]) * (F.col("x_") - low["x"]) / (high["x"] - low["x"]))
+    fitted = local.select("x_", F.when(low.isNull(), high["y"]).when(high.isNull(), low["y"]).otherwise(line).alias("c_"))
+    return df.join(fitted, F.col(score).cast("double") == F.col("x_"), "left").withColumn("calibrated", F.col("c_")).drop("x_", "c_")
 
 
 def first_component(df: DataFrame, vector: str, width: int) -> tuple[np.ndarray, float]:

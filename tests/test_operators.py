@@ -195,6 +195,22 @@ def test_isotonic(spark):
     assert values == sorted(values)
 
 
+def test_isotonic_is_exact_at_any_size(spark):
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(size=4000), np.repeat(rng.normal(size=20), 50), [-9.0, 9.0]])
+    rows = [(i, float(v), float(rng.random() < 1 / (1 + np.exp(-v))), bool(i % 3)) for i, v in enumerate(x)] + [(-1, None, 1.0, True), (-2, 0.5, None, True), (-3, float("nan"), None, False)]
+    xs, ys = zip(*M.isotonic([(v, y, 1.0) for _, v, y, t in rows if t and v is not None and y is not None]), strict=True)
+    assert len(xs) > 2000
+    out = M.isotonic_calibrated(frame(spark, rows, "i long, s double, y double, t boolean").repartition(7), "s", "y", train=F.col("t"))
+    got = {r["i"]: r["calibrated"] for r in out.collect()}
+    assert len(got) == len(rows) and got[-1] is None and got[-3] == pytest.approx(ys[-1])
+    want = np.interp([v for _, v, _, _ in rows[:-3]], xs, ys)
+    assert np.allclose([got[i] for i, *_ in rows[:-3]], want, rtol=0, atol=1e-9)
+    rising = frame(spark, [(float(i), float(i * i)) for i in range(3000)], "s double, y double")
+    assert all(r["calibrated"] == r["y"] for r in M.isotonic_calibrated(rising, "s", "y", train=F.lit(True)).collect())
+    assert {r["calibrated"] for r in M.isotonic_calibrated(rising, "s", "y", train=F.lit(False)).collect()} == {None}
+
+
 def test_first_component(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(100, 1)) * [3.0, 4.0, 0.0] + 0.01 * rng.normal(size=(100, 3))
