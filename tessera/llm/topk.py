@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-#: Quantised components stay within this, so that products of up to 512 dimensions fit 64 bits.
-LIMIT = 2**27
+#: Scores beyond this don't fit their type.
+LIMIT = 2**63 - 1
 #: How much dearer a candidate of the coordinate bound is than a row of the dense product.
 COORDINATE_COST = 12
 #: Coordinates of largest weight in the query that the coordinate bound looks at.
@@ -34,8 +34,20 @@ PACKED = "bucket long, longest double, n int, dim int, ids binary, matrix binary
 
 
 def quantised(vector: Column, scale: int) -> Column:
-    """floor(scale * x) for each component x as double, held within +-LIMIT."""
-    return F.transform(vector, lambda x: F.least(F.greatest(F.floor(F.lit(float(scale)) * x.cast("double")), F.lit(-LIMIT)), F.lit(LIMIT)).cast("long"))
+    """floor(scale * x) for each component x as double, in 64 bits."""
+    return F.transform(vector, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("long"))
+
+
+def _bytes(matrix: np.ndarray) -> bytes:
+    """32-bit integers where all fit, else 64-bit ones."""
+    small = np.iinfo(np.int32)
+    return matrix.astype(np.int32 if small.min <= matrix.min(initial=0) and matrix.max(initial=0) <= small.max else np.int64).tobytes()
+
+
+def _matrix(data: bytes, n: int, dim: int, width: int) -> np.ndarray:
+    out = np.zeros((n, width), np.int64)
+    out[:, :dim] = np.frombuffer(data, np.int64 if len(data) == 8 * n * dim else np.int32).reshape(n, dim)
+    return out
 
 
 def _pack(rows: int):
@@ -52,7 +64,7 @@ def _pack(rows: int):
                 matrix[i, : len(v)] = v
             longest = float(np.sqrt((matrix.astype(np.float64) ** 2).sum(axis=1).max(initial=0.0)))
             serial += 1
-            return pd.DataFrame({"bucket": [(part << 32) + serial], "longest": [longest], "n": [len(ids)], "dim": [dim], "ids": [np.asarray(ids, np.int64).tobytes()], "matrix": [matrix.astype(np.int32).tobytes()]})
+            return pd.DataFrame({"bucket": [(part << 32) + serial], "longest": [longest], "n": [len(ids)], "dim": [dim], "ids": [np.asarray(ids, np.int64).tobytes()], "matrix": [_bytes(matrix)]})
 
         for batch in batches:
             kept += zip(batch["vec_id"], batch["v"], strict=True)
@@ -70,14 +82,18 @@ class Bucket:
 
     def __init__(self, ids: bytes, matrix: bytes, n: int, dim: int, width: int):
         self.ids = np.frombuffer(ids, np.int64)
-        self.rows = np.zeros((n, width), np.float64)
-        self.rows[:, :dim] = np.frombuffer(matrix, np.int32).reshape(n, dim)
+        whole = _matrix(matrix, n, dim, width)
+        self.rows = whole.astype(np.float64)
         self.length = np.sqrt((self.rows**2).sum(axis=1))
         order = np.argsort(-self.length, kind="stable")
         self.ids, self.rows, self.length = self.ids[order], self.rows[order], self.length[order]
-        # below 2**53 doubles hold products exactly; beyond, 64-bit integers do
-        top = np.abs(self.rows).max(initial=0.0)
-        self.top, self._sorted = top, {}
+        self.top, self._sorted = np.abs(self.rows).max(initial=0.0), {}
+        self._whole = whole, order
+
+    def whole(self) -> np.ndarray:
+        """The rows in 64-bit integers."""
+        matrix, order = self._whole
+        return matrix[order]
 
     def coordinate(self, f: int) -> tuple[np.ndarray, np.ndarray]:
         """Normalised coordinate f of all vectors, ascending, and the rows in that order."""
@@ -108,8 +124,18 @@ def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
 
 def search_bucket(b: Bucket, queries: np.ndarray, qids: np.ndarray, bound: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(query position, ids, scores) of the candidates that may still be among the k best. Raises no bound that isn't proven."""
-    exact = queries if max(b.top, 1) * max(np.abs(queries).max(initial=0.0), 1) * max(queries.shape[1], 1) < 2.0**53 else None
-    whole = None if exact is not None else b.rows.astype(np.int64)
+    whole_queries, queries = queries, queries.astype(np.float64)
+    # below 2**53 doubles hold products exactly; beyond, 64-bit integers do, and Python's own after that
+    most = max(b.top, 1) * max(np.abs(queries).max(initial=0.0), 1) * max(queries.shape[1], 1)
+    if most < 2.0**53:
+        kept, asked = b.rows, queries
+    else:
+        kind = np.int64 if most < 2.0**62 else object
+        kept, asked = b.whole().astype(kind), whole_queries.astype(np.int64).astype(kind)
+
+    def fitting(scores: np.ndarray) -> np.ndarray:
+        return (np.clip(scores, -LIMIT, LIMIT) if scores.dtype == object else scores).astype(np.int64)
+
     lengths = np.sqrt((queries**2).sum(axis=1))
     longest = b.length[0] if len(b.length) else 0.0
     dense, few = [], {}
@@ -139,15 +165,14 @@ def search_bucket(b: Bucket, queries: np.ndarray, qids: np.ndarray, bound: np.nd
         if reach:
             dense.append((i, reach))
     for i, rows in few.items():
-        scores = b.rows[rows] @ queries[i] if exact is not None else whole[rows] @ queries[i].astype(np.int64)
-        yield i, b.ids[rows], scores.astype(np.int64)
+        yield i, b.ids[rows], fitting(kept[rows] @ asked[i])
     for start in range(0, len(dense), 256):
         part = dense[start : start + 256]
         top = max(r for _, r in part)
         at = [i for i, _ in part]
-        scores = b.rows[:top] @ queries[at].T if exact is not None else whole[:top] @ queries[at].astype(np.int64).T
+        scores = kept[:top] @ asked[at].T
         for j, (i, reach) in enumerate(part):
-            yield i, b.ids[:reach], scores[:reach, j].astype(np.int64)
+            yield i, b.ids[:reach], fitting(scores[:reach, j])
 
 
 def _search(k: int):
@@ -158,8 +183,7 @@ def _search(k: int):
                 width = max(r.dim, r.q_dim)
                 b = Bucket(r.ids, r.matrix, r.n, r.dim, width)
                 qids = np.frombuffer(r.q_ids, np.int64)
-                queries = np.zeros((r.q_n, width))
-                queries[:, : r.q_dim] = np.frombuffer(r.q_matrix, np.int32).reshape(r.q_n, r.q_dim)
+                queries = _matrix(r.q_matrix, r.q_n, r.q_dim, width)
                 bound = np.full(r.q_n, -np.inf)
                 if r.q_bound is not None:
                     bound = np.frombuffer(r.q_bound, np.float64)
@@ -204,14 +228,16 @@ def top_k(vectors: DataFrame, queries: Column, *, k: int = 10, scale: int = 1024
     ties go to the smaller vec_id. `queries` is a condition on the id column.
 
     Rows whose id or vector is null, or whose vector holds a null or non-finite component, take no part.
-    Rows that repeat an id count once, with their smallest vector. A shorter vector is padded with zeros.
-    Quantised components beyond +-2**27 are held there. An empty table gives no rows. Columns other than
+    Rows equal in id and vector count once. Rows that share an id and differ in their vectors all count, as candidates
+    and as queries: an id's results are the best pairs of any of its rows with rows of other ids, so a vec_id may come
+    more than once. A shorter vector is padded with zeros. Products are exact; quantised components and scores that
+    64 bits don't hold are held at the ends of their type. An empty table gives no rows. Columns other than
     the two named are not read.
     """
     spark = vectors.sparkSession
     whole = F.forall(F.col("raw"), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("raw")).where(F.col("vec_id").isNotNull() & F.col("raw").isNotNull() & F.coalesce(whole, F.lit(False)))
-    rows = rows.select("vec_id", quantised(F.col("raw"), scale).alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
+    rows = rows.distinct().select("vec_id", quantised(F.col("raw"), scale).alias("v"))
     rows = rows.withColumn("norm", F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     blocks = stored(rows.repartitionByRange(F.desc("norm"), F.asc("vec_id")).sortWithinPartitions(F.desc("norm"), "vec_id").select("vec_id", "v").mapInPandas(_pack(bucket_rows), PACKED), "buckets")
     asked = rows.where(queries).select("vec_id", "v").mapInPandas(_pack(query_rows), PACKED)

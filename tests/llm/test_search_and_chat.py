@@ -69,6 +69,33 @@ def test_huge_components_do_not_overflow(spark):
     assert [r["vec_id"] for r in got] == [2, 1]
 
 
+def pairs(rows, k, scale=1024):
+    """The best pairs of rows by definition, in Python's integers."""
+    whole = [(i, [math.floor(scale * x) for x in v]) for i, v in rows]
+    out = []
+    for q in {i for i, _ in rows if i % 100 == 0}:
+        found = sorted((-sum(a * b for a, b in zip(u, v, strict=True)), c) for i, u in whole if i == q for c, v in whole if c != q)
+        out += [(q, r, c, -s) for r, (s, c) in enumerate(found[:k], 1)]
+    return sorted(out)
+
+
+def test_repeated_ids_with_other_vectors_all_count(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i % 300, rng.normal(size=6).astype(np.float32).tolist()) for i in range(900)]
+    got = topk.top_k(vectors(spark, rows), F.col("vec_id") % 100 == 0, bucket_rows=64, query_rows=2, lanes=3)
+    assert sorted(map(tuple, got.collect())) == pairs(rows, 10)
+
+
+@pytest.mark.parametrize("size", [2.0e5, 1.0e6, 4.0e8])
+def test_large_components_are_exact(spark, size):
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in (rng.normal(size=3) * size).astype(np.float32)]) for i in range(300)]
+    if size > 1e7:  # products within 64 bits of components beyond 32
+        rows = [(i, [v[0], 0.0, 0.0] if i % 100 else [1.0, 0.0, 0.0]) for i, v in rows]
+    got = topk.top_k(vectors(spark, rows), F.col("vec_id") % 100 == 0, bucket_rows=50, query_rows=2, lanes=2)
+    assert sorted(map(tuple, got.collect())) == pairs(rows, 10)
+
+
 # ---- chat
 
 
