@@ -211,12 +211,24 @@ class Parser:
         return [self.m.langs[b] if s else "und" for b, s in zip(best, spoken, strict=True)], [float(x) if s else 0.0 for x, s in zip(score, spoken, strict=True)]
 
 
-def sampled_texts(docs: DataFrame, per_lang: int) -> dict[str, list[str]]:
+def evenly(texts: list[str], most_chars: int) -> list[str]:
+    """The texts cut to one length, the longest by which they and a character between them come to at most most_chars:
+    what short texts leave goes to the others."""
+    left, level = most_chars - max(0, len(texts) - 1), 0
+    for i, n in enumerate(sorted(map(len, texts))):
+        level = max(0, left) // (len(texts) - i)
+        if n > level:
+            break
+        left, level = left - n, n
+    return [t[:level] for t in texts]
+
+
+def sampled_texts(docs: DataFrame, per_lang: int, text_chars: int) -> dict[str, list[str]]:
     """Texts of at most per_lang training documents of each language, in the order of a hash of doc_id.
 
     The ranking keeps per_lang rows of each language within each task, so a hot language is not gathered. Texts
-    are cut to 4000 characters on their way to the driver; this sample is only what a model is fitted on."""
-    rows = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0) & F.col("doc_id").isNotNull() & ~held_out(3, 1)).select("doc_id", "lang", F.substring("text", 1, 4000).alias("text"))
+    are cut to text_chars characters on their way to the driver; this sample is only what a model is fitted on."""
+    rows = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0) & F.col("doc_id").isNotNull() & ~held_out(3, 1)).select("doc_id", "lang", F.substring("text", 1, text_chars).alias("text"))
     order = F.xxhash64("doc_id", F.lit(7))
     light = rows.select("lang", "doc_id").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id"))).where(F.col("r") <= per_lang).select("lang", "doc_id").distinct()
     out: dict[str, list[str]] = {}
@@ -225,11 +237,13 @@ def sampled_texts(docs: DataFrame, per_lang: int) -> dict[str, list[str]]:
     return out
 
 
-def fitted(docs: DataFrame, *, per_lang: int = 40, most_chars: int = 24_000) -> Model:
+def fitted(docs: DataFrame, *, per_lang: int = 40, most_chars: int = 24_000, text_chars: int | None = None) -> Model:
     """A model learned from documents whose crc32(doc_id) mod 3 is not 1: at most per_lang documents and
-    most_chars characters of each language, spread evenly over the documents. Reads text, lang and doc_id."""
-    samples = sampled_texts(docs, per_lang)
-    return trained({lang: [t[: max(200, 2 * most_chars // len(texts))] for t in texts] for lang, texts in samples.items()}, most_chars)
+    most_chars characters of each language, spread evenly over the documents. Reads text, lang and doc_id.
+
+    text_chars, most_chars unless given, is how much of a text comes to the driver."""
+    samples = sampled_texts(docs, per_lang, most_chars if text_chars is None else text_chars)
+    return trained({lang: evenly(texts, most_chars) for lang, texts in samples.items()}, most_chars)
 
 
 def identified(docs: DataFrame, model: Model) -> DataFrame:

@@ -232,6 +232,16 @@ def test_language_held_out_accuracy(spark):
     assert np.mean([r["lang"] == r["lang_pred"] for r in held]) > 0.98
 
 
+def test_sample_is_spread_over_all_documents(spark):
+    ids = [i for i in range(200) if crc(i, 3) != 1][:40]
+    marks = {i: chr(0x4E00 + i) for i in ids}
+    docs = spark.createDataFrame([(i, "xx", marks[i] * 3000) for i in ids] + [(ids[0], "one", "é" + "a" * 20000 + "b")], "doc_id long, lang string, text string")
+    assert set(langid.fitted(docs).symbols) == {*marks.values(), *"éab"}
+    assert set(langid.fitted(docs, text_chars=4000).symbols) == {*marks.values(), *"éa"}
+    assert [len(t) for t in langid.evenly(["a" * 10, "b" * 500, "c" * 900], 502)] == [10, 245, 245]
+    assert [len(t) for t in langid.evenly(["a" * 10, "b" * 50], 502)] == [10, 50] and langid.evenly([], 5) == []
+
+
 def test_language_edges(spark):
     model = langid.trained({"en": ["the cat and the dog"], "de": ["der Hund und die Katze"], "zh": ["我们 在 这里"]})
     df = edge_docs(spark).unionByName(edge_docs(spark).limit(1).withColumn("text", F.lit("我们在")))
