@@ -95,9 +95,25 @@ def ablations(df: DataFrame, text: str, unit_column: str, kinds: tuple[str, ...]
     return rows.withColumn("status", status).drop("overlap_")
 
 
+# Span types that are kept first, and those that come next, in this order.
+NUMERIC = {"number", "number_unit", "rate"}
+FAMILIES = ["comparison", "negation", "condition", "operation", "question_target"]
+
+
+def _mixed(spans: list, most: int) -> list:
+    """At most `most` of spans in order of priority: numeric ones, then every family's, one object, then what is left."""
+    if len(spans) <= most:
+        return spans
+    family = {t: i for i, t in enumerate(FAMILIES)}
+    first = next((i for i, s in enumerate(spans) if s.type == "object"), None)
+    turn = lambda i, s: 0 if s.type in NUMERIC else 1 + family[s.type] if s.type in family else len(family) + (1 if i == first else 2)
+    return [s for _, s in sorted(enumerate(spans), key=lambda x: (turn(*x), x[0]))][:most]
+
+
 def unoverlapped(df: DataFrame, by: str, *, most: int = 12) -> DataFrame:
     """For rows (by, start, end, type, text): the spans that remain when the more wanted of two overlapping ones stays,
-    except that a span may lie inside a longer one of another type. At most `most` spans a text, in text order.
+    except that a number and a span of another type may lie one inside the other. At most `most` spans a text: numbers
+    first, then comparisons, negations, conditions, operations, question targets, one object, and others by priority.
 
     Each decision depends on those before, so a text's spans are looked at in one Python call; a text's spans are few."""
     order = {t: i for i, t in enumerate(L.SPAN_PRIORITY)}
@@ -107,10 +123,10 @@ def unoverlapped(df: DataFrame, by: str, *, most: int = 12) -> DataFrame:
         taken: list = []
         for r in rows.itertuples(index=False):
             clash = [t for t in taken if r.start < t.end and t.start < r.end]
-            inside = all((t.start <= r.start and r.end <= t.end and r.type != t.type) or (r.start <= t.start and t.end <= r.end and r.type != t.type) for t in clash)
+            inside = all((r.type == "number") != (t.type == "number") and (t.start <= r.start and r.end <= t.end or r.start <= t.start and t.end <= r.end) for t in clash)
             if inside:
                 taken.append(r)
-        out = pd.DataFrame(taken[:most], columns=rows.columns).sort_values(["start", "end", "type"])
+        out = pd.DataFrame(_mixed(sorted(taken, key=lambda t: (t.p, t.start, t.end)), most), columns=rows.columns).sort_values(["start", "end", "type"])
         return out[[by, "start", "end", "type", "text"]]
 
     schema = df.select(by, "start", "end", "type", "text").schema

@@ -244,6 +244,19 @@ def test_unoverlapped_and_parents(spark):
     assert got == {"a": (1, None), "b": (1, "a"), "c": (1, None), "d": (2, None)}
 
 
+def test_unoverlapped_keeps_families_and_nests_numbers_only(spark):
+    kinds = ["number"] * 10 + ["question_target"] * 2 + ["object"] * 2 + ["negation", "comparison"]
+    rows = [("q", 10 * i, 10 * i + 5, t, f"w{i}") for i, t in enumerate(kinds)]
+    rows += [("p", 0, 20, "entity", "outer"), ("p", 5, 9, "object", "inner"), ("p", 30, 40, "object", "3 apples"), ("p", 30, 31, "number", "3")]
+    rows += [("r", 10 * i, 10 * i + 5, t, f"v{i}") for i, t in enumerate(["entity"] * 12 + ["object"] * 3 + ["operation"])]
+    got = {}
+    for r in S.unoverlapped(frame(spark, rows, "q string, start int, end int, type string, text string"), "q").collect():
+        got.setdefault(r["q"], []).append((r["start"], r["type"]))
+    assert sorted(t for _, t in got["q"]) == ["comparison", "negation"] + ["number"] * 10
+    assert sorted(got["p"]) == [(5, "object"), (30, "number"), (30, "object")]
+    assert sorted(got["r"]) == sorted([(150, "operation")] + [(10 * i, "object") for i in (12, 13, 14)] + [(10 * i, "entity") for i in range(8)])
+
+
 def test_template_fills(spark):
     df = frame(spark, [(1, "a [M] b [M]", "a x b yy", "[M]"), (2, "a [M]", "b", "[M]")], "id int, template string, text string, token string")
     got = {r["id"]: r["fills"] for r in df.mapInPandas(S.template_fills, "id int, fills array<string>").collect()}
