@@ -21,10 +21,12 @@ def tfidf(df: DataFrame, key: str, text: str, *, train: Column | None = None, le
 
     idf = ln((1 + n) / (1 + df)) + 1 over training rows; terms in fewer than least_docs of them are left out, and of
     the others the most_terms most frequent stay (ties by term)."""
-    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
+    words = F.regexp_extract_all(F.lower(F.coalesce("text_", F.lit(""))), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
     pairs = F.zip_with(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
     flag = train if train is not None else F.lit(True)
-    terms = df.select(key, flag.alias("train_"), F.explode(F.concat(words, pairs)).alias("term")).groupBy(key, "train_", "term").agg(F.count(F.lit(1)).alias("tf"))
+    # texts are dealt by key before they are cut, so that their terms are counted and weighed in place
+    dealt = df.select(key, flag.alias("train_"), F.col(text).alias("text_")).repartition(F.col(key))
+    terms = dealt.select(key, "train_", F.explode(F.concat(words, pairs)).alias("term")).groupBy(key, "train_", "term").agg(F.count(F.lit(1)).alias("tf"))
     counts = terms.where("train_").groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= least_docs).orderBy(F.desc("df"), "term").limit(most_terms)
     n = df.where(flag).agg(F.count(F.lit(1)).alias("n"))
     weighed = terms.join(F.broadcast(counts), "term").join(F.broadcast(n)).select(key, "term", ((1 + F.log("tf")) * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("w"))

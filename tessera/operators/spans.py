@@ -22,7 +22,7 @@ def _typed(found: Column, kind: str | Column) -> Column:
 
 def _listed(lexicon: dict[str, list[str]], of) -> Column:
     """An array literal of (type, phrase as `of` writes it): the lexicon is data of one expression, not an expression each."""
-    return F.array(*[F.struct(F.lit(k).alias("type"), F.lit(of(p)).alias("phrase")) for k, ps in lexicon.items() for p in ps])
+    return F.array(*[F.struct(F.lit(k).alias("type"), F.lit(of(p)).alias("phrase"), F.lit(p.lower()).alias("plain")) for k, ps in lexicon.items() for p in ps])
 
 
 def candidates(text: Column, *, setting: str = "auto", most: int = 20) -> Column:
@@ -31,7 +31,8 @@ def candidates(text: Column, *, setting: str = "auto", most: int = 20) -> Column
     with ids span_001 and on."""
     parts = [_typed(X.matches(text, L.ARABIC_NUMBER), "number"), _typed(X.matches(text, L.CHINESE_NUMBER), "number")]
     if setting != "zh":
-        english = _listed(L.ENGLISH, lambda p: rf"(?i)(?<![A-Za-z0-9_]){re.escape(p)}(?![A-Za-z0-9_])")
+        # a phrase that a text does not hold in any case needs no search by its pattern
+        english = F.filter(_listed(L.ENGLISH, lambda p: rf"(?i)(?<![A-Za-z0-9_]){re.escape(p)}(?![A-Za-z0-9_])"), lambda e: F.contains(F.lower(text), e["plain"]))
         parts.append(F.flatten(F.transform(english, lambda e: _typed(X.matches(text, e["phrase"]), e["type"]))))
         stop = [p.lower() for k in ("question_target", "comparison", "negation", "condition", "operation") for p in L.ENGLISH[k]]
         parts.append(F.filter(_typed(X.matches(text, L.NUMBER_NEIGHBOUR, 1), "object"), lambda s: ~F.lower(s["text"]).isin(stop)))

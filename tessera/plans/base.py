@@ -18,6 +18,12 @@ def literal(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
+def all_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts of benchmark items and documents: item_id, text, origin (the table)."""
+    of = lambda name, key: table(spark, sf_dir, name).select(F.col(key).cast("long").alias("item_id"), "text", F.lit(name).alias("origin"))
+    return of("benchmark", "item_id").unionByName(of("documents", "doc_id"))
+
+
 def sql_values(rows: list[tuple], names: list[str]) -> str:
     """The rows as a SQL VALUES list with column names."""
 

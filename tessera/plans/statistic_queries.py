@@ -9,7 +9,7 @@ from ..functions import vectors as V
 from ..operators import ml as M
 from ..operators import sampling as P
 from ..operators import stats as S
-from .base import SCORED, literal, scored_documents, sql_values, table
+from .base import SCORED, all_texts, literal, scored_documents, sql_values, table
 
 ROUNDS = 50
 
@@ -135,8 +135,9 @@ FEATURE_USEFULNESS = f"WITH s AS (SELECT 'score' AS feature, score AS v, quality
 
 
 def tfidf_terms(spark, d):
-    """Weight of every term of the benchmark items."""
-    return M.tfidf(table(spark, d, "benchmark"), "item_id", "text").select("item_id", "term", F.round("weight", 7).alias("weight"))
+    """Weight of every term of the benchmark items and documents, as one corpus."""
+    texts = all_texts(spark, d).select(F.struct("origin", "item_id").alias("id"), "text")
+    return M.tfidf(texts, "id", "text").select("id.origin", "id.item_id", "term", F.round("weight", 7).alias("weight"))
 
 
 def ridge_predictions(spark, d):

@@ -9,7 +9,7 @@ from ..functions import rules as R
 from ..functions import text as X
 from ..operators import aggregates as A
 from ..operators import spans as S
-from .base import literal, sql_values, table
+from .base import all_texts, literal, sql_values, table
 
 NUMBER = r"\d+(?:\.\d+)?%?"
 
@@ -47,11 +47,12 @@ QUESTIONS = [
 
 
 def _questions(spark, d):
-    return literal(spark, QUESTIONS, "item_id long, text string").unionByName(table(spark, d, "benchmark").select("item_id", "text"))
+    """Literal questions, benchmark items and documents; origin tells their ids apart."""
+    return literal(spark, QUESTIONS, "item_id long, text string").withColumn("origin", F.lit("question")).unionByName(all_texts(spark, d))
 
 
 def span_candidates(spark, d):
-    return _questions(spark, d).select("item_id", F.inline(S.candidates(F.col("text"))))
+    return _questions(spark, d).select("origin", "item_id", F.inline(S.candidates(F.col("text"))))
 
 
 def span_units(spark, d):
@@ -61,7 +62,7 @@ def span_units(spark, d):
 
 
 def ablation_status(spark, d):
-    units = S.with_units(_questions(spark, d), "text").select("item_id", "text", F.explode("units").alias("unit"))
+    units = S.with_units(_questions(spark, d), "text").select("origin", "item_id", "text", F.explode("units").alias("unit"))
     return S.ablations(units, "text", "unit").groupBy("kind", "status").agg(F.count(F.lit(1)).alias("rows"))
 
 
