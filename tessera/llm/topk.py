@@ -30,6 +30,9 @@ COORDINATE_COST = 12
 #: Coordinates of largest weight in the query that the coordinate bound looks at.
 FOCUS = 3
 
+#: Query blocks whose risen bounds a task remembers.
+BLOCKS = 4096
+
 PACKED = "bucket long, longest double, n int, dim int, ids binary, matrix binary"
 
 
@@ -177,7 +180,7 @@ def search_bucket(b: Bucket, queries: np.ndarray, qids: np.ndarray, bound: np.nd
 
 def _search(k: int):
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        risen: dict[int, float] = {}
+        risen: dict[int, np.ndarray] = {}  # of each query block, the bounds found so far
         for batch in batches:
             for r in batch.itertuples(index=False):
                 width = max(r.dim, r.q_dim)
@@ -187,14 +190,17 @@ def _search(k: int):
                 bound = np.full(r.q_n, -np.inf)
                 if r.q_bound is not None:
                     bound = np.frombuffer(r.q_bound, np.float64)
-                bound = np.array([max(t, risen.get(int(q), -np.inf)) for q, t in zip(qids, bound, strict=True)])
+                if len(risen) > BLOCKS:
+                    risen.clear()  # a bound that is forgotten costs time, not results
+                found = risen.setdefault(r.q_bucket, np.full(r.q_n, -np.inf))
+                bound = np.maximum(bound, found)
                 out_q, out_v, out_s = [], [], []
                 for i, ids, scores in search_bucket(b, queries, qids, bound, k):
                     keep = (ids != qids[i]) & (scores >= bound[i])
                     ids, scores = ids[keep], scores[keep]
                     top = best(ids, scores, k)
                     if len(top) == k:
-                        risen[int(qids[i])] = max(risen.get(int(qids[i]), -np.inf), float(scores[top[-1]]))
+                        found[i] = max(found[i], float(scores[top[-1]]))
                     out_q.append(np.full(len(top), qids[i]))
                     out_v.append(ids[top])
                     out_s.append(scores[top])
@@ -228,16 +234,15 @@ def top_k(vectors: DataFrame, queries: Column, *, k: int = 10, scale: int = 1024
     ties go to the smaller vec_id. `queries` is a condition on the id column.
 
     Rows whose id or vector is null, or whose vector holds a null or non-finite component, take no part.
-    Rows equal in id and vector count once. Rows that share an id and differ in their vectors all count, as candidates
-    and as queries: an id's results are the best pairs of any of its rows with rows of other ids, so a vec_id may come
-    more than once. A shorter vector is padded with zeros. Products are exact; quantised components and scores that
+    Every row counts, as candidate and as query, whether or not others share its id: an id's results are the best pairs
+    of any of its rows with rows of other ids, so a vec_id may come more than once. A shorter vector is padded with zeros. Products are exact; quantised components and scores that
     64 bits don't hold are held at the ends of their type. An empty table gives no rows. Columns other than
     the two named are not read.
     """
     spark = vectors.sparkSession
     whole = F.forall(F.col("raw"), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("raw")).where(F.col("vec_id").isNotNull() & F.col("raw").isNotNull() & F.coalesce(whole, F.lit(False)))
-    rows = rows.distinct().select("vec_id", quantised(F.col("raw"), scale).alias("v"))
+    rows = rows.select("vec_id", quantised(F.col("raw"), scale).alias("v"))
     rows = rows.withColumn("norm", F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     blocks = stored(rows.repartitionByRange(F.desc("norm"), F.asc("vec_id")).sortWithinPartitions(F.desc("norm"), "vec_id").select("vec_id", "v").mapInPandas(_pack(bucket_rows), PACKED), "buckets")
     asked = rows.where(queries).select("vec_id", "v").mapInPandas(_pack(query_rows), PACKED)

@@ -55,7 +55,7 @@ def test_pruning_is_used():
 def test_nulls_ties_repeats_and_few(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, [float("nan"), 1.0]), (5, [None, 1.0]), (6, [float("inf"), 0.0]), (7, [-1.0]), (8, []), (None, [1.0, 1.0])]
     got = [tuple(r) for r in topk.top_k(vectors(spark, rows), F.col("vec_id") % 100 == 0).orderBy("rank").collect()]
-    assert got == [(0, 1, 1, 1024 * 1024), (0, 2, 2, 1024 * 1024), (0, 3, 8, 0), (0, 4, 7, -(1024 * 1024))]
+    assert got == [(0, 1, 1, 1024 * 1024), (0, 2, 2, 1024 * 1024), (0, 3, 2, 1024 * 1024), (0, 4, 8, 0), (0, 5, 7, -(1024 * 1024))]
 
 
 def test_empty_and_extra_columns(spark):
@@ -82,6 +82,7 @@ def pairs(rows, k, scale=1024):
 def test_repeated_ids_with_other_vectors_all_count(spark):
     rng = np.random.default_rng(7)
     rows = [(i % 300, rng.normal(size=6).astype(np.float32).tolist()) for i in range(900)]
+    rows += rows[:5] + rows[300:320]  # and rows said twice
     got = topk.top_k(vectors(spark, rows), F.col("vec_id") % 100 == 0, bucket_rows=64, query_rows=2, lanes=3)
     assert sorted(map(tuple, got.collect())) == pairs(rows, 10)
 
@@ -96,6 +97,11 @@ def test_large_components_are_exact(spark, size):
     assert sorted(map(tuple, got.collect())) == pairs(rows, 10)
 
 
+def test_largest_of_large_scores_is_first(spark):
+    got = topk.top_k(vectors(spark, [(0, [400000.0, 0.0]), (1, [200000.0, 1.0]), (2, [300000.0, 1.0])]), F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == [(2, 2**20 * 400000 * 300000), (1, 2**20 * 400000 * 200000)]
+
+
 # ---- chat
 
 
