@@ -131,6 +131,24 @@ def _forward(m: Model, x: np.ndarray, starts: np.ndarray) -> dict:
     return {"h": h, "t": t, "g": g, "a": a, "z": z, "p": _sigmoid(z @ m.c + m.b)[:, 0], "size": size}
 
 
+def gradients(m: Model, x: np.ndarray, starts: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+    """Gradient of the weighted sum of the bags' log losses by each part of the model. x is already standardised."""
+    f = _forward(m, x, starts)
+    d = ((f["p"] - y) * weight)[:, None]
+    out = {"c": f["z"].T @ d, "b": d.sum()}
+    dz = np.repeat(d @ m.c.T, f["size"], axis=0)
+    da = (dz * f["h"]).sum(axis=1, keepdims=True)
+    mean_da = np.repeat(np.add.reduceat(f["a"] * da, starts, axis=0), f["size"], axis=0)
+    de = f["a"] * (da - mean_da)
+    tg = f["t"] * f["g"]
+    out["w"] = tg.T @ de
+    dt, dg = (de @ m.w.T) * f["g"] * (1 - f["t"] ** 2), (de @ m.w.T) * tg * (1 - f["g"])
+    out["v"], out["u"] = f["h"].T @ dt, f["h"].T @ dg
+    dh = (dz * f["a"] + dt @ m.v.T + dg @ m.u.T) * (1 - f["h"] ** 2)
+    out["w1"], out["b1"] = x.T @ dh, dh.sum(axis=0)
+    return out
+
+
 def trained(bags: list[np.ndarray], labels: list[int], weights: np.ndarray | None = None, *, hidden: int = 24, gates: int = 12, epochs: int = 40, batch: int = 64, rate: float = 4e-3, seed: int = 3) -> Model:
     """A model of labelled bags, by Adam on the weighted log loss with a penalty on the weights."""
     rng = np.random.default_rng(seed)
@@ -155,19 +173,7 @@ def trained(bags: list[np.ndarray], labels: list[int], weights: np.ndarray | Non
             part = order[at : at + batch]
             x = np.concatenate([bags[i] for i in part])
             starts = np.concatenate(([0], np.cumsum([len(bags[i]) for i in part])[:-1]))
-            f = _forward(m, x, starts)
-            d = ((f["p"] - y[part]) * weight[part] / len(part))[:, None]
-            grads = {"c": f["z"].T @ d, "b": d.sum()}
-            dz = np.repeat(d @ m.c.T, f["size"], axis=0)
-            da = (dz * f["h"]).sum(axis=1, keepdims=True)
-            mean_da = np.repeat(np.add.reduceat(f["a"] * da, starts, axis=0), f["size"], axis=0)
-            de = f["a"] * (da - mean_da)
-            tg = f["t"] * f["g"]
-            grads["w"] = tg.T @ de
-            dt, dg = (de @ m.w.T) * f["g"] * (1 - f["t"] ** 2), (de @ m.w.T) * tg * (1 - f["g"])
-            grads["v"], grads["u"] = f["h"].T @ dt, f["h"].T @ dg
-            dh = (dz * f["a"] + dt @ m.v.T + dg @ m.u.T) * (1 - f["h"] ** 2)
-            grads["w1"], grads["b1"] = x.T @ dh, dh.sum(axis=0)
+            grads = gradients(m, x, starts, y[part], weight[part] / len(part))
             step += 1
             now = rate * (1 - epoch / epochs)
             for k in names:
@@ -180,29 +186,27 @@ def trained(bags: list[np.ndarray], labels: list[int], weights: np.ndarray | Non
     return m
 
 
-def _bag(most: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = Words()
-        for batch in batches:
-            bags = []
-            for text in batch["text"]:
-                known = known.renewed()
-                x = passages(text, known)
-                if len(x) > most:
-                    x = x[np.arange(most) * len(x) // most]
-                bags.append(x.tobytes())
-            yield pd.DataFrame({"h": batch["h"], "y": batch["y"], "bag": bags})
-
-    return run
-
-
-def fitted(docs: DataFrame, labels: DataFrame, *, column: str = "quality", per_class: int = 2500, most_passages: int = 32) -> Model:
-    """A model fitted on the driver on at most per_class labelled training documents of either class, of which at
-    most most_passages passages count, evenly spaced over the whole text. Classes keep their shares of the labels."""
+def _bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    known = Words()
+    for batch in batches:
+        bags = []
+        for text in batch["text"]:
+            known = known.renewed()
+            bags.append(passages(text, known).tobytes())
+        yield pd.DataFrame({"h": batch["h"], "y": batch["y"], "bag": bags})
+
+
+def fitted(docs: DataFrame, labels: DataFrame, *, column: str = "quality", per_class: int = 2500) -> Model:
+    """A model fitted on the driver on at most per_class labelled training documents of either class, with all their
+    passages, as documents are scored. Classes keep their shares of the labels.
+
+    Null and empty texts are one passage of zeros; null ids and labels are left out; a document labelled twice counts
+    with its larger label, and one that is there twice counts twice. Without labels of both classes the model gives every
+    document the share of label 1 (0.5 without any)."""
     rows = labels.where(F.col(column).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(5, 0)).groupBy(column).count().collect()
     number = {int(r[column]): r["count"] for r in rows}
     texts = labelled_texts(docs, sampled_labels(labels, column, per_class))
-    got = texts.select(F.xxhash64("doc_id", F.lit(3)).alias("h"), "y", "text").mapInPandas(_bag(most_passages), "h long, y int, bag binary").toPandas()
+    got = texts.select(F.xxhash64("doc_id", F.lit(3)).alias("h"), "y", "text").mapInPandas(_bags, "h long, y int, bag binary").toPandas()
     got = got.sort_values(["h", "y", "bag"])
     share = np.array([max(1.0, number.get(c, 0) / per_class) for c in (0, 1)])
     y = got["y"].to_numpy(int)
@@ -211,7 +215,8 @@ def fitted(docs: DataFrame, labels: DataFrame, *, column: str = "quality", per_c
 
 def scored(docs: DataFrame, model: Model, *, attention: bool = False) -> DataFrame:
     """docs with a struct column (score and, if asked for, the attention on each passage) appended under a free name
-    like `quality`. Null and empty texts are one passage of zeros."""
+    like `quality`. Null and empty texts are one passage of zeros. Texts of any length count whole, repeated rows get the
+    same score each, an empty table stays empty, other columns pass, whatever their names."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = "score double" + ", attention array<float>" * attention
 
