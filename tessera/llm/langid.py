@@ -6,8 +6,10 @@ fewest phrases, normalised by the sample's size, wins; a letter that its sample
 a phrase of the longest sample, so that a short sample does not win by what it lacks. The automata become tables of transitions in
 which a failed match leads straight to the start of the next phrase, so that a batch of texts is parsed in
 step: one look-up per character and language. Every letter of a sample counts: a language's most frequent
-letters have columns in its table, its other letters are found among sorted transitions. Texts are cut into segments of SEGMENT characters for
-this; a segment begins a phrase, so each costs at most one phrase more, the same in every language.
+letters have columns in its table, its other letters are found among sorted transitions. Texts are cut into
+segments of SEGMENT characters for this. Every segment is first parsed as if it began a text; those that the parse
+before enters in another state are parsed again from there until they fall in with what was found, which is soon,
+and so on until nothing changes. The result is the parse of the whole text.
 """
 
 from __future__ import annotations
@@ -24,7 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import crc_of_id, fresh, held_out
 
-SEGMENT = 512
+#: Characters of a segment, and how many segments are parsed in step. They change speed and memory, not results.
+SEGMENT, PIECES = 512, 4096
 #: Columns of a language's table: 0 is what its sample does not hold, 1 is anything but a letter, others are its most
 #: frequent letters. Its other letters are numbered on from there. How many have columns changes speed, not results.
 COLUMNS = 128
@@ -170,30 +173,59 @@ class Parser:
 
     def phrases(self, coded: list[np.ndarray]) -> np.ndarray:
         """Phrases that each language needs for each text, in (text, language)."""
-        m, langs = self.m, len(self.m.langs)
-        counts = np.zeros((len(coded), langs), np.int64)
+        counts = np.zeros((len(coded), len(self.m.langs)), np.int64)
+        counts[[i for i, x in enumerate(coded) if len(x)]] = 1
         pieces = [(i, s, min(s + SEGMENT, len(x))) for i, x in enumerate(coded) for s in range(0, len(x), SEGMENT)]
-        pieces.sort(key=lambda p: p[1] - p[2])
-        for at in range(0, len(pieces), 4096):
-            part = pieces[at : at + 4096]
-            lens = np.array([e - s for _, s, e in part])
-            grid = np.zeros((int(lens[0]), len(part)), np.int32)
-            for j, (i, s, e) in enumerate(part):
-                grid[: e - s, j] = coded[i][s:e]
-            live = np.searchsorted(-lens, -np.arange(1, lens[0] + 1), side="right")  # pieces that are at least so long
-            owners = np.array([i for i, _, _ in part])
-            for g, language in enumerate(m.tables):
-                columns = language.column[grid]
-                rare = (columns >= language.width).any(axis=1)
-                state = np.zeros(len(part), np.int64)
-                ended = np.ones(len(part), np.int64)
-                for row, n, r in zip(columns, live, rare, strict=True):
-                    got = language.step(state[:n], row[:n], r)
-                    ended[:n] += got & 1
-                    state[:n] = got >> 1
-                np.add.at(counts[:, g], owners, ended)
+        carried = np.zeros(len(self.m.langs), np.int64)  # states in which the piece before a window ends
+        for at in range(0, len(pieces), PIECES):
+            carried = self._window(coded, pieces[at : at + PIECES], carried, counts)
         return counts
 
+    def _window(self, coded: list[np.ndarray], part: list[tuple[int, int, int]], carried: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Adds the phrase ends of successive pieces to counts; the states in which the last piece ends."""
+        lens = np.array([e - s for _, s, e in part])
+        order = np.argsort(-lens, kind="stable")
+        place = np.empty(len(part), np.int64)
+        place[order] = np.arange(len(part))
+        size = lens[order]
+        before = np.array([place[j - 1] if s and j else -1 for j, (_, s, _) in enumerate(part)])[order]  # the piece that a piece continues
+        owners = np.array([part[j][0] for j in order])
+        grid = np.zeros((int(size[0]), len(part)), np.int32)
+        for p, j in enumerate(order):
+            i, s, e = part[j]
+            grid[: e - s, p] = coded[i][s:e]
+        live = np.searchsorted(-size, -np.arange(1, size[0] + 1), side="right")  # pieces that are at least so long
+        ends = np.empty(len(self.m.tables), np.int64)
+        for g, language in enumerate(self.m.tables):
+            columns = language.column[grid]
+            rare = (columns >= language.width).any(axis=1)
+            start = np.zeros(len(part), np.int64)
+            if part[0][1]:
+                start[place[0]] = carried[g]
+            trace = np.zeros(grid.shape, np.int32)
+            state = start
+            for row, (n, r) in enumerate(zip(live, rare, strict=True)):
+                trace[row, :n] = got = language.step(state[:n], columns[row, :n], r)
+                state = got >> 1
+            while True:
+                last = trace[size - 1, np.arange(len(part))] >> 1
+                enters = np.where(before >= 0, last[before], start)
+                active = np.flatnonzero(enters != start)
+                if not len(active):
+                    break
+                start = enters
+                state, row = enters[active].astype(np.int64), 0
+                while len(active):
+                    got = language.step(state, columns[row, active], rare[row])
+                    other = got != trace[row, active]
+                    trace[row, active] = got
+                    row += 1
+                    other &= size[active] > row
+                    active, state = active[other], got[other] >> 1
+            np.add.at(counts[:, g], owners, (trace & 1).sum(axis=0))
+            ends[g] = last[place[-1]]
+        return ends
+
     def missing(self, coded: list[np.ndarray]) -> np.ndarray:
         """Letters of each text that the sample of each language does not hold, in (text, language)."""
         return np.array([np.bincount(x, minlength=len(self.absent)) @ self.absent for x in coded], np.int64).reshape(len(coded), len(self.m.langs))
@@ -241,7 +273,9 @@ def fitted(docs: DataFrame, *, per_lang: int = 40, most_chars: int = 24_000, tex
     """A model learned from documents whose crc32(doc_id) mod 3 is not 1: at most per_lang documents and
     most_chars characters of each language, spread evenly over the documents. Reads text, lang and doc_id.
 
-    text_chars, most_chars unless given, is how much of a text comes to the driver."""
+    text_chars, most_chars unless given, is how much of a text comes to the driver. Null and empty texts, null ids and
+    null languages teach nothing; equal rows of a document count as often as they stand; an empty table gives a model
+    without languages."""
     samples = sampled_texts(docs, per_lang, most_chars if text_chars is None else text_chars)
     return trained({lang: evenly(texts, most_chars) for lang, texts in samples.items()}, most_chars)
 
@@ -251,7 +285,8 @@ def identified(docs: DataFrame, model: Model) -> DataFrame:
 
     Null texts and texts without a letter are `und` with score 0, as are all texts for a model without
     languages. score is the winner's share of 2 ** -(bits a character * min(characters, 64)). Ties go to the
-    language that comes first in code point order.
+    language that comes first in code point order. Texts of any length are parsed whole; repeated rows get the same
+    result each; an empty table stays empty. Other columns pass, whatever their names.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
