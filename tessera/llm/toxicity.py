@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -66,7 +65,7 @@ class Lexicon(dict):
         self.stated, self.stems, self.drift, self.size = dict(self), stems, drift, len(words)
 
     def __missing__(self, word: str) -> float:
-        if len(self) > self.size + 500_000:
+        if len(self) > self.size + 100_000:
             self.clear()
             self.update(self.stated)
         got = (self.stems.get(word[:STEM], 0.0) / 2 if len(word) >= LONG else 0.0) - self.drift
@@ -84,42 +83,52 @@ def _lexicon(words, stems, drift):
     return Lexicon(words, stems, drift)
 
 
-def log_odds(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int, least: int = 2) -> dict[str, float]:
-    """Cautious log-odds of the features that `least` documents hold, from the documents of either class that hold each."""
+def log_odds(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int, least: int = 2) -> np.ndarray:
+    """Cautious log-odds of features, from the numbers of documents of either class that hold each; 0 for features that
+    fewer than `least` documents hold, and for those whose deviance from equal rates may be chance."""
     n = n_toxic + n_clean
     prior = max(10.0, 0.02 * n)
-    out = {}
-    for w in toxic.keys() | clean.keys():
-        a, b = toxic[w], clean[w]
-        if a + b < least:
-            continue
-        extra = prior * (a + b) / n
-        p, q = (a + extra) / (n_toxic + prior), (b + extra) / (n_clean + prior)
-        p, q = min(p, 1 - 1e-9), min(q, 1 - 1e-9)
-        d = math.log(p / (1 - p)) - math.log(q / (1 - q))
+    both = toxic + clean
+    extra = prior * both / n
+    p, q = (np.minimum((x + extra) / (size + prior), 1 - 1e-9) for x, size in ((toxic, n_toxic), (clean, n_clean)))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        d = np.log(p / (1 - p)) - np.log(q / (1 - q))
         # deviance of the two counts from equal rates; it holds for counts of 0, where a normal error does not
-        deviance = 2 * sum(x * math.log(x * n / ((a + b) * size)) for x, size in ((a, n_toxic), (b, n_clean)) if x and size)
-        if deviance > CAUTION**2:
-            out[w] = d * (1 - CAUTION**2 / deviance)
-    return out
-
-
-def lexicon(docs: list[list[str]], y: np.ndarray) -> Lexicon:
-    by = [Counter(), Counter()]
-    stems = [Counter(), Counter()]
-    for words, t in zip(docs, y, strict=True):
-        kinds = set(words)
-        by[t].update(kinds)
-        stems[t].update({w[:STEM] for w in kinds if len(w) >= LONG})
-    n = int(y.sum()), int(len(y) - y.sum())
-    words = log_odds(by[1], by[0], *n)
-    # only toxic stems: a token that is merely unknown shall not speak for a document
-    starts = {w: s for w, s in log_odds(stems[1], stems[0], *n, least=5).items() if s > 0}
-    # tokens that are not rare are settled, even at 0
-    settled = {w: words.get(w, 0.0) for w in by[0].keys() | by[1].keys() if w in words or by[0][w] >= 3}
-    up = sum(max(0.0, settled.get(w, 0.0)) for words_, t in zip(docs, y, strict=True) if not t for w in words_)
-    many = sum(len(d) for d, t in zip(docs, y, strict=True) if not t) or 1
-    return Lexicon({w: s for w, s in settled.items()}, starts, max(0.05, 2 * up / many))
+        deviance = 2 * sum(np.where(x > 0, x * np.log(x * n / (both * size)), 0.0) for x, size in ((toxic, n_toxic), (clean, n_clean)) if size)
+        return np.where((both >= least) & (deviance > CAUTION**2), d * (1 - CAUTION**2 / deviance), 0.0)
+
+
+class Corpus:
+    """Labelled documents as numbers: the words of each in order, the distinct ones, and the distinct beginnings of long ones."""
+
+    def __init__(self, docs: list[list[str]]):
+        index: dict[str, int] = {}
+        starts: dict[str, int] = {}
+        self.docs = [np.fromiter((index.setdefault(w, len(index)) for w in d), np.int64, len(d)) for d in docs]
+        self.words = list(index)
+        self.start = np.array([starts.setdefault(w[:STEM], len(starts)) if len(w) >= LONG else -1 for w in self.words], np.int64)
+        self.starts = list(starts)
+        self.kinds = [np.unique(d) for d in self.docs]
+        self.kinds_of_start = [np.unique(x[x >= 0]) for x in (self.start[k] for k in self.kinds)]
+
+    def held(self, lists: list[np.ndarray], rows: np.ndarray, size: int) -> np.ndarray:
+        """How many of the documents `rows` have each number in their list."""
+        return np.bincount(np.concatenate([lists[i] for i in rows] or [np.empty(0, np.int64)]), minlength=size).astype(np.float64)
+
+    def lexicon(self, rows: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, Lexicon]:
+        """Scores learned from the documents `rows`: of each word of the corpus, and as a lexicon."""
+        toxic, clean = rows[y[rows] == 1], rows[y[rows] == 0]
+        a, b = (self.held(self.kinds, r, len(self.words)) for r in (toxic, clean))
+        odds = log_odds(a, b, len(toxic), len(clean))
+        # tokens that are not rare are settled, even at 0
+        settled = (odds != 0) | (b >= 3)
+        # only toxic stems: a token that is merely unknown shall not speak for a document
+        stems = np.maximum(log_odds(*(self.held(self.kinds_of_start, r, len(self.starts)) for r in (toxic, clean)), len(toxic), len(clean), least=5), 0.0)
+        used = np.concatenate([self.docs[i] for i in clean] or [np.empty(0, np.int64)])
+        drift = max(0.05, 2 * float(np.maximum(odds, 0.0)[used].sum()) / max(1, len(used)))
+        table = np.where(settled, odds, np.where(self.start >= 0, np.append(stems, 0.0)[self.start] / 2, 0.0)) - drift
+        words = {self.words[i]: float(odds[i]) for i in np.flatnonzero(settled)}
+        return table, Lexicon(words, {self.starts[i]: float(stems[i]) for i in np.flatnonzero(stems)}, drift)
 
 
 @dataclass
@@ -131,17 +140,17 @@ class Model:
     offset: float = 0.0
     seen: dict = field(default_factory=dict)
 
-    def evidence(self, words: list[str]) -> tuple[float, list[tuple[int, int, float]]]:
-        """Sum of -log E over significant segments (E < 1), and those segments."""
-        if not words:
+    def evidence(self, scores: np.ndarray) -> tuple[float, list[tuple[int, int, float]]]:
+        """Sum of -log E over significant segments (E < 1) of a document's token scores, and those segments."""
+        if not len(scores):
             return 0.0, []
-        chance = self.log_k + math.log(len(words))
-        found = [(s, e, self.scale * x - chance) for s, e, x in segments(self.lexicon.scores(words))]
+        chance = self.log_k + math.log(len(scores))
+        found = [(s, e, self.scale * x - chance) for s, e, x in segments(scores)]
         found = [f for f in found if f[2] > 0]
         return sum(f[2] for f in found), found
 
     def score(self, words: list[str]) -> tuple[float, list[tuple[int, int, float]]]:
-        x, found = self.evidence(words)
+        x, found = self.evidence(self.lexicon.scores(words))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * math.log1p(x) + self.offset)))), found
 
 
@@ -161,9 +170,9 @@ def karlin(scores: np.ndarray) -> float:
     return max(1e-3, (low + high) / 2)
 
 
-def calibrated(model: Model, clean: list[list[str]]) -> Model:
-    """lambda and K from clean documents."""
-    scored = [model.lexicon.scores(d) for d in clean if d]
+def calibrated(model: Model, scored: list[np.ndarray]) -> Model:
+    """lambda and K from the token scores of clean documents."""
+    scored = [s for s in scored if len(s)]
     if scored:
         model.scale = min(1.0, karlin(np.concatenate(scored)))
         # mean of a Gumbel law: lambda * S - log n = log K + Euler's constant
@@ -190,37 +199,44 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, f
 def trained(texts: list[str], labels: list[int], shares: tuple[float, float] = (1.0, 1.0)) -> Model:
     """A model of labelled texts. shares: how many documents of the corpus each row of label 0 and 1 stands for.
     The logistic curve sees every text as scored by a lexicon that was made without it (three folds)."""
-    docs, y = [tokens(t) for t in texts], np.array(labels, int)
+    y = np.array(labels, int)
     if not len(y) or y.min(initial=1) == y.max(initial=0):
         base = float(y.mean()) if len(y) else 0.5
         return Model(Lexicon({}, {}, 0.05), offset=math.log((base + 1e-3) / (1 - base + 1e-3)))
-    fold = np.arange(len(y)) % 3
-    x = np.zeros(len(y))
+    corpus, fold, x = Corpus([tokens(t) for t in texts]), np.arange(len(y)) % 3, np.zeros(len(y))
+
+    def model(rows: np.ndarray) -> tuple[np.ndarray, Model]:
+        table, lexicon = corpus.lexicon(rows, y)
+        return table, calibrated(Model(lexicon), [table[corpus.docs[i]] for i in rows if not y[i]])
+
     for k in range(3):
-        rest = np.flatnonzero(fold != k)
-        part = Model(lexicon([docs[i] for i in rest], y[rest]))
-        calibrated(part, [docs[i] for i in rest if not y[i]])
+        table, part = model(np.flatnonzero(fold != k))
         for i in np.flatnonzero(fold == k):
-            x[i] = math.log1p(part.evidence(docs[i])[0])
-    model = calibrated(Model(lexicon(docs, y)), [d for d, t in zip(docs, y, strict=True) if not t])
-    model.slope, model.offset = logistic(x, y, np.where(y == 1, shares[1], shares[0]))
-    return model
+            x[i] = math.log1p(part.evidence(table[corpus.docs[i]])[0])
+    _, out = model(np.arange(len(y)))
+    out.slope, out.offset = logistic(x, y, np.where(y == 1, shares[1], shares[0]))
+    return out
+
 
+def fitted(docs: DataFrame, labels: DataFrame, *, column: str = "toxic", per_class: int = 3000) -> Model:
+    """A model fitted on the driver on at most per_class labelled training documents of either class, each whole.
+    Training rows are those whose crc32(doc_id) mod 5 is not 0.
 
-def fitted(docs: DataFrame, labels: DataFrame, *, column: str = "toxic", per_class: int = 3000, most_chars: int = 20_000) -> Model:
-    """A model fitted on the driver on at most per_class labelled training documents of either class, none longer
-    than most_chars. Training rows are those whose crc32(doc_id) mod 5 is not 0."""
+    Null texts count as empty; null ids and labels are left out; a document labelled twice counts with its larger label,
+    and one that is there twice counts twice. Without labels of both classes the model gives every document the share
+    of label 1 (0.5 without any)."""
     rows = labels.where(F.col(column).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(5, 0)).groupBy(column).count().collect()
     number = {int(r[column]): r["count"] for r in rows}
     sample = sampled_labels(labels, column, per_class)
-    got = labelled_texts(docs, sample).where(F.length("text") <= most_chars).select("text", "y", F.xxhash64("doc_id", F.lit(5)).alias("h")).toPandas().sort_values(["h", "text"])
+    got = labelled_texts(docs, sample).select("text", "y", F.xxhash64("doc_id", F.lit(5)).alias("h")).toPandas().sort_values(["h", "text"])
     share = tuple(max(1.0, number.get(c, 0) / per_class) for c in (0, 1))
     return trained(got["text"].tolist(), got["y"].tolist(), share)
 
 
 def scored(docs: DataFrame, model: Model, *, spans: bool = False) -> DataFrame:
     """docs with a struct column (score and, if asked for, spans: start and end token and significance of each toxic
-    passage) appended under a free name like `toxicity`. Null and empty texts get the score of no evidence."""
+    passage) appended under a free name like `toxicity`. Null and empty texts get the score of no evidence. Texts of any
+    length count whole, repeated rows get the same score each, an empty table stays empty, other columns pass."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = "score double" + ", spans array<struct<start: int, end: int, significance: double>>" * spans
 
