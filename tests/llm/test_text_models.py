@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,6 +82,70 @@ def test_toxicity_held_out_accuracy(spark):
     assert np.mean([(s >= 0.5) == y for s, y in out]) > 0.97
 
 
+def test_log_odds_equal_the_formula():
+    """Each token by itself, from plain counts."""
+    rows = toxic_corpus(120, 4)
+    docs, y = [t.split() for _, t, _ in rows], np.array([k for *_, k in rows])
+    corpus = toxicity.Corpus(docs)
+    at = np.flatnonzero(np.arange(len(y)) % 3)
+    table, lexicon = corpus.lexicon(at, y)
+    n1, n0 = int(y[at].sum()), int((1 - y[at]).sum())
+    n, prior = n1 + n0, max(10.0, 0.02 * (n1 + n0))
+
+    def odds(a, b, least):
+        if a + b < least:
+            return 0.0
+        p, q = (a + prior * (a + b) / n) / (n1 + prior), (b + prior * (a + b) / n) / (n0 + prior)
+        dev = 2 * sum(x * math.log(x * n / ((a + b) * m)) for x, m in ((a, n1), (b, n0)) if x)
+        d = math.log(p / (1 - p)) - math.log(q / (1 - q))
+        return d * (1 - toxicity.CAUTION**2 / dev) if dev > toxicity.CAUTION**2 else 0.0
+
+    held = lambda k, test: sum(any(map(test, docs[i])) for i in at if y[i] == k)
+    word = {w: odds(held(1, lambda v, w=w: v == w), held(0, lambda v, w=w: v == w), 2) for w in corpus.words}
+    clean = {w: held(0, lambda v, w=w: v == w) for w in corpus.words}
+    stem = {s: max(0.0, odds(held(1, lambda v, s=s: len(v) >= 6 and v[:4] == s), held(0, lambda v, s=s: len(v) >= 6 and v[:4] == s), 5)) for s in {w[:4] for w in corpus.words if len(w) >= 6}}
+    used = [w for i in at if not y[i] for w in docs[i]]
+    drift = max(0.05, 2 * sum(max(0.0, word[w]) for w in used) / len(used))
+    want = [(word[w] if word[w] or clean[w] >= 3 else stem[w[:4]] / 2 if len(w) >= 6 else 0.0) - drift for w in corpus.words]
+    assert np.allclose(table, want) and np.allclose(lexicon.scores(corpus.words), want)
+    assert max(word.values()) > 1
+
+
+def test_calibration_equals_its_definition():
+    rng = np.random.default_rng(4)
+    scores = [rng.choice([-0.4, -0.1, 0.6], p=[0.6, 0.2, 0.2], size=rng.integers(20, 200)) for _ in range(80)]
+    model = toxicity.calibrated(toxicity.Model(toxicity.Lexicon({}, {}, 0.0)), [*scores, np.empty(0)])
+    flat = np.concatenate(scores)
+    scale = toxicity.karlin(flat)
+    assert abs(np.mean(np.exp(scale * flat)) - 1) < 1e-6 and model.scale == min(1.0, scale)
+    best = [max((s for *_, s in brute_segments(list(x))), default=0.0) for x in scores[:20]]
+    again = toxicity.calibrated(toxicity.Model(toxicity.Lexicon({}, {}, 0.0)), scores[:20])
+    assert abs(again.log_k - (np.mean([again.scale * b - math.log(len(x)) for b, x in zip(best, scores[:20], strict=True)]) - 0.5772)) < 1e-9
+
+
+def test_logistic_curve_is_the_best_one():
+    rng = np.random.default_rng(1)
+    x, w = rng.normal(size=400), rng.uniform(0.5, 3, 400)
+    y = (rng.random(400) < 1 / (1 + np.exp(-(2 * x - 1)))).astype(int)
+    loss = lambda a, b: (w * np.logaddexp(0, np.where(y == 1, -1, 1) * (a * x + b))).sum() + 5e-4 * (a * a + b * b)
+    a, b = toxicity.logistic(x, y, w)
+    assert all(loss(a, b) <= loss(a + da, b + db) for da, db in ((0.01, 0), (-0.01, 0), (0, 0.01), (0, -0.01)))
+
+
+def test_toxicity_on_documents_held_out(spark):
+    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    got = toxicity.scored(docs, toxicity.fitted(docs, labels)).join(labels.select("doc_id", F.col("toxic").alias("y")), "doc_id")
+    out = [(r["s"], r["y"]) for r in got.select("doc_id", F.col("toxicity.score").alias("s"), "y").collect() if crc(r["doc_id"], 5) == 0]
+    assert np.mean([(s >= 0.5) == y for s, y in out]) > 0.95
+
+
+def test_long_documents_teach_too(spark):
+    rows = [(i, "vilebad " + "bana " * 6000 if i % 2 else "good day to all " + "bana " * 6000) for i in range(60)]
+    labels = [(i, 1, i % 2) for i in range(60)]
+    model = toxicity.fitted(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert model.lexicon["vilebad"] > 1
+
+
 def test_toxic_spans(spark):
     rows = toxic_corpus(400, 2)
     model = toxicity.trained([t for _, t, _ in rows], [y for *_, y in rows])
@@ -112,7 +178,63 @@ def test_quality_held_out_accuracy(spark, sf):
     assert np.mean([(s >= 0.3) == y for s, y in out]) > 0.95
 
 
-def test_gradients_are_right():
+def random_model(rng):
+    f = lambda *shape: rng.normal(0, 0.3, shape)
+    w = quality.WIDTH
+    return quality.Model(np.zeros(w), np.ones(w), f(w, 5), f(5), f(5, 4), f(5, 4), f(4, 1), f(5, 1), 0.3)
+
+
+def plain_scores(m, bags):
+    """The forward pass passage by passage."""
+    sigmoid = lambda v: 1 / (1 + math.exp(-v))
+    out = []
+    for bag in bags:
+        hs, es = [], []
+        for x in bag:
+            h = [math.tanh(sum(x[i] * m.w1[i, j] for i in range(len(x))) + m.b1[j]) for j in range(len(m.b1))]
+            t = [math.tanh(sum(h[j] * m.v[j, g] for j in range(len(h)))) for g in range(m.v.shape[1])]
+            s = [sigmoid(sum(h[j] * m.u[j, g] for j in range(len(h)))) for g in range(m.v.shape[1])]
+            es.append(math.exp(sum(a * b * m.w[g, 0] for g, (a, b) in enumerate(zip(t, s, strict=True)))))
+            hs.append(h)
+        z = [sum(e * h[j] for e, h in zip(es, hs, strict=True)) / sum(es) for j in range(len(m.b1))]
+        out.append(sigmoid(sum(a * m.c[j, 0] for j, a in enumerate(z)) + m.b))
+    return out
+
+
+def test_scores_equal_the_formula():
+    rng = np.random.default_rng(3)
+    m, bags = random_model(rng), [rng.normal(size=(k, quality.WIDTH)) for k in (1, 4, 2, 40)]
+    p, _ = m.scores(np.concatenate(bags), np.array([0, 1, 5, 7]))
+    assert np.allclose(p, plain_scores(m, bags))
+
+
+def test_gradients_equal_differences():
+    rng = np.random.default_rng(7)
+    m, bags = random_model(rng), [rng.normal(size=(k, quality.WIDTH)) for k in (1, 3, 5)]
+    x, starts, y, weight = np.concatenate(bags), np.array([0, 1, 4]), np.array([1, 0, 1]), np.array([0.2, 0.5, 0.3])
+
+    def loss():
+        p, _ = m.scores(x, starts)
+        return -(weight * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum()
+
+    got = quality.gradients(m, x, starts, y, weight)
+    for name in ("w1", "b1", "v", "u", "w", "c"):
+        part = getattr(m, name)
+        for _ in range(6):
+            at = tuple(rng.integers(n) for n in part.shape)
+            part[at] += 1e-5
+            up = loss()
+            part[at] -= 2e-5
+            down = loss()
+            part[at] += 1e-5
+            assert abs(got[name][at] - (up - down) / 2e-5) < 1e-7, name
+    m.b += 1e-5
+    up = loss()
+    m.b -= 2e-5
+    assert abs(got["b"] - (up - loss()) / 2e-5) < 1e-7
+
+
+def test_training_learns():
     rng = np.random.default_rng(0)
     bags = [rng.normal(size=(k, quality.WIDTH)).astype(np.float32) + 0.8 * (k % 2) for k in rng.integers(1, 6, 120)]
     y = [len(b) % 2 for b in bags]
@@ -180,6 +302,23 @@ def test_phrases_equal_the_definition():
             assert counts[i].tolist() == [cross_parse(plain, joined[lang]) for lang in model.langs]
 
 
+@pytest.mark.parametrize(("segment", "pieces"), [(16, 5), (512, 4096), (7, 1)])
+def test_long_texts_are_parsed_whole(monkeypatch, segment, pieces):
+    monkeypatch.setattr(langid, "SEGMENT", segment)
+    monkeypatch.setattr(langid, "PIECES", pieces)
+    rng = random.Random(9)
+    samples = {lang: ["".join(rng.choice(alphabet) for _ in range(700))] for lang, alphabet in (("a", "abcde "), ("b", "abxyz "), ("c", "ab "))}
+    model = langid.trained(samples)
+    parser, joined = langid.Parser(model), [" ".join(langid.letters(samples[g][0]).split()) for g in model.langs]
+    texts = ["".join(rng.choice("abcdexyzq ") for _ in range(n)) for n in (3, 1300, 0, 700, 16, 17)] + [joined[0], joined[1] * 3, joined[2][40:] + "q" * 40 + joined[2]]
+    coded = [parser.coded(t)[0] for t in texts]
+    back = {s: c for c, s in model.symbols.items()} | {1: " ", 0: "?"}
+    for x, found in zip(coded, parser.phrases(coded), strict=True):
+        plain = "".join(back[int(s)] for s in x)
+        assert found.tolist() == ([cross_parse(plain, j) for j in joined] if plain else [0] * 3)
+    assert parser.phrases([parser.coded(joined[0])[0]])[0, 0] == 1
+
+
 def test_every_letter_of_a_sample_counts():
     rng = random.Random(8)
     # three scripts of over 190 letters each: 260 syllables, 400 ideographs, 300 other ideographs; and Adlam, which has capitals beyond 0x3000
@@ -256,9 +395,21 @@ def test_language_edges(spark):
     assert langid.identified(df.where("doc_id > 99"), model).count() == 0
 
 
+def test_repeated_rows_and_ties(spark):
+    model = langid.trained({"b": ["same text here"], "a": ["same text here"]})
+    rows = spark.createDataFrame([(1, "same text here"), (1, "same text here"), (2, "zzz qqq")], "doc_id long, text string")
+    got = langid.identified(rows, model).select("doc_id", "language.*").collect()
+    assert [r["lang_pred"] for r in got] == ["a"] * 3 and len({r["score"] for r in got if r["doc_id"] == 1}) == 1
+    toxic = toxicity.trained(["bad bad", "good"] * 9, [1, 0] * 9)
+    good = quality.trained([quality.passages(t, quality.Words()) for t in ("a b", "|| | ##")], [1, 0])
+    for out in (toxicity.scored(rows, toxic), quality.scored(rows, good)):
+        got = out.select("doc_id", F.col(out.columns[-1])["score"].alias("s")).collect()
+        assert len(got) == 3 and len({r["s"] for r in got if r["doc_id"] == 1}) == 1
+
+
 # ---- BPE
 
-VOCABULARY = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 HARD = ["", " ", "Hello  World's <|endoftext|> ΑΣ Σ İstanbul ﬁ 12 a b\ttest… é é", "<|startoftext|>x <|ENDOFTEXT|><|endoftext|>", "don't !!! 日本語 \U0001f600\x00\x01​� ", "a" * 500, "I'LL we'Ve 'S 'd'm", "ǅ ẞ Å Ω K ſ", "１２ ½ ² Ⅷ ٣", "<|endoftext", "x" * 3000 + "!" * 999, "ẛ̣ ̈́ क्षि ไทย 한국어"]
 
 
