@@ -1,19 +1,21 @@
 """Sharding by minimax contiguous partition.
 
 The atomic groups are the sets of equal texts, in the order of their hash. The smallest capacity for which
-a greedy filling needs no more than the given shards is found by binary search, and the cuts are those of
-the greedy filling. The groups are never gathered: the driver sees a list of blocks of neighbouring groups
-(ranges of the hash with their total), at first 4096 of them, and asks for a finer division only of the
-blocks at which the filling stops for the largest capacity that fails. When all of those are single groups,
-no finer division can change the answer.
+a greedy filling needs no more than the given shards is found by binary search. Of the cuts that keep within
+that capacity, a second binary search finds those whose smallest shard is as large as can be, and of these the
+one that stays nearest to equal shares of what is left is taken: one hot group leaves no shard empty. The
+groups are never gathered: the driver sees a list of blocks of neighbouring groups (ranges of the hash with their
+total), at first 4096 of them, and asks for a finer division only of the blocks at which the filling stops for
+the largest capacity that fails. When all of those are single groups, no finer division can change the capacity.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import drop_stored, stored
 
 #: Bits of the group order, and how many of them one division looks at.
 ORDER_BITS, STEP_BITS = 60, 12
@@ -49,6 +51,36 @@ def smallest(blocks: list[tuple[int, int]], shards: int) -> int:
     return low
 
 
+def even(blocks: list[tuple[int, int]], shards: int, capacity: int) -> list[int]:
+    """Starts of at most `shards` runs of the blocks, none above the capacity (which `fill` can meet), the smallest as large as any
+    such cut has it, and each as near to an equal share of what is left as that allows. With no more blocks than shards each is a run."""
+    if len(blocks) <= shards:
+        return [start for start, _ in blocks]
+    sums = np.concatenate(([0], np.cumsum([size for _, size in blocks], dtype=np.int64)))
+
+    def ways(least: int) -> list[np.ndarray]:
+        """For each number of runs whether they can make up what follows each place."""
+        out = [np.arange(len(sums)) == len(sums) - 1]
+        first = np.searchsorted(sums, sums + least, side="left")
+        past = np.searchsorted(sums, sums + capacity, side="right")
+        for _ in range(shards):
+            count = np.concatenate(([0], np.cumsum(out[-1])))
+            out.append((past > first) & (count[past] > count[np.minimum(first, len(sums))]))
+        return out
+
+    low, high = 1, int(sums[-1]) // shards
+    while low < high:
+        middle = (low + high + 1) // 2
+        low, high = (middle, high) if ways(middle)[shards][0] else (low, middle - 1)
+    rest, at, starts = ways(low), 0, []
+    for left in range(shards, 0, -1):
+        starts.append(blocks[at][0])
+        load = sums - sums[at]
+        ends = np.flatnonzero(rest[left - 1] & (load >= low) & (load <= capacity))
+        at = int(ends[np.abs(load[ends] * left - (sums[-1] - sums[at])).argmin()])
+    return starts
+
+
 def cuts(groups: DataFrame, shards: int) -> tuple[list[int], int]:
     """First place of each shard, and the capacity, for groups (place, size)."""
 
@@ -68,9 +100,11 @@ def cuts(groups: DataFrame, shards: int) -> tuple[list[int], int]:
         # a block larger than the capacity that fails, and those at which the filling stops, may hide a finer cut
         known = {b[0]: b for b in blocks}
         stops = [known[s] for s in fill(plain, best - 1)[1:]] + [b for b in blocks if b[2] >= best]
+        if len(blocks) < shards:
+            stops = blocks
         coarse = {b[0]: b for b in stops if b[3] > 1 and b[1] > 0}
         if not coarse:
-            return fill(plain, best), best
+            return even(plain, shards, best), best
         for bits in {b[1] for b in coarse.values()}:
             some = [(b[0], bits) for b in coarse.values() if b[1] == bits]
             fine = divided(some, bits)
@@ -84,7 +118,7 @@ def sharded(docs: DataFrame, shards: int = 8, slot_cells: int = 512) -> DataFram
     """doc_id, size, text_crc32, law, shard, slot and grown_shard for every row.
 
     The law is `bytes`: the largest shard, by UTF-8 bytes of the texts plus one a row, is as small as any
-    cut of the group order allows. Equal texts lie in one shard; null and empty texts are one
+    cut of the group order allows, and the others are as even as that leaves room for. Equal texts lie in one shard; null and empty texts are one
     group. slot counts the rows of a shard from 0 without gaps. With fewer groups than shards the last
     shards stay empty; an empty table gives no rows. Rows of null or repeated doc_id are placed like others.
 
@@ -94,6 +128,7 @@ def sharded(docs: DataFrame, shards: int = 8, slot_cells: int = 512) -> DataFram
     rows = stored(sizes(docs), "sizes")
     groups = stored(rows.groupBy("place").agg(F.sum("size").alias("size")), "groups")
     starts, _ = cuts(groups, shards)
+    drop_stored(groups)
     shard = F.lit(-1)
     for s in starts:
         shard = shard + (F.col("place") >= s).cast("int")
