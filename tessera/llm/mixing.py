@@ -1,21 +1,28 @@
 """Mixing sources to target weights: hash-random keys, distributed prefix sums, exact budgets.
 
-Within a source documents are ordered by a hash of their id. The order is cut into cells by the leading
-bits of the hash; a cell holds about `cell_rows` documents whatever the size of the source. A document's
-position in its source is then the sum of the cells before its own plus the running sum inside the cell, so
-no task sees more than a cell, or one row per cell of a source. The source's target, divided by its size,
-gives whole epochs that every document repeats; the rest of the budget is cut exactly where the prefix sum
-reaches it, if need be inside a document.
+Every document gets a hash-random key. Documents are sorted by source and key into ranges, one a task, whatever
+the size of a source; rows that share a key are told apart by a hash of the text and by a row number, so that
+repeated ids can't fill a range. Each task sums words within its range, and one small table, a row for each
+range and source that meet, has what lies before. A source's target, divided by its size, gives whole epochs
+that every document repeats; the rest of the budget is cut exactly where the prefix sum reaches it, if need be
+inside a document.
+
+Only ids, keys and sizes are sorted. The mix itself follows from one boundary document per source: those before
+it are taken once more, those after it are not, so texts are read once and never shuffled.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import WORD, stored
+from ..operators.ranking import global_row_number
+from .common import WORD, drop_stored, stored
 
 #: No source gives more than so many times its own words.
 REPEATS = 3
@@ -57,65 +64,120 @@ def key(seed: int = 0) -> Column:
     return F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"), 256)
 
 
+def _order(seed: int) -> Column:
+    """Where a document stands in its source: by key, then id, then a hash of the text."""
+    return F.struct(F.unhex(key(seed)).alias("key"), F.col("doc_id").alias("doc_id"), F.xxhash64("text").alias("tie"))
+
+
 def _light(docs: DataFrame, seed: int) -> DataFrame:
-    """What the mix is decided by: doc_id, source, key, size and a hash of the text to order repeated ids."""
-    return docs.select("doc_id", "source", key(seed).alias("key"), words(F.col("text")).alias("size"), F.xxhash64("text").alias("tie"))
-
-
-def _placed(rows: DataFrame, light: DataFrame, weights: tuple[int, ...], cell_rows: int) -> DataFrame:
-    """rows, which hold the columns of `light` under the names in struct column `l`, with struct column `m`: size,
-    source_size, target and taken. Sources and cells are counted over light."""
-    spark = rows.sparkSession
-    found = light.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows")).collect()
-    many = {r["source"]: r["rows"] for r in found}
-    plan = [(s, n, t, max(0, math.ceil(math.log2(max(1, many[s] / cell_rows))))) for s, n, t in targets([(r["source"], r["size"]) for r in found], weights)]
-    table = F.broadcast(spark.createDataFrame(plan, "s_ string, source_size long, target double, bits int").select("s_", F.struct("source_size", "target", "bits").alias("p_")))  # one row per source
-    cell = lambda k: F.floor(F.conv(F.substring(k, 1, 8), 16, 10).cast("long") / F.pow(F.lit(2.0), F.lit(32) - F.col("p_.bits"))).cast("long")
-    cells = light.join(table, F.col("source").eqNullSafe(F.col("s_"))).groupBy("s_", cell(F.col("key")).alias("c_")).agg(F.sum("size").alias("n"))
-    cells = cells.select("s_", "c_", (F.sum("n").over(Window.partitionBy("s_").orderBy("c_")) - F.col("n")).alias("before"))
-    run = rows.join(table, F.col("l.source").eqNullSafe(F.col("s_"))).withColumn("c_", cell(F.col("l.key")))
-    order = Window.partitionBy("s_", "c_").orderBy("l.key", "l.doc_id", "l.tie").rowsBetween(Window.unboundedPreceding, 0)
-    run = run.withColumn("running", F.sum("l.size").over(order))
-    other = cells.select(F.col("s_").alias("s2_"), F.col("c_").alias("c2_"), "before")
-    run = run.join(other, F.col("s_").eqNullSafe(F.col("s2_")) & (F.col("c_") == F.col("c2_")))
-    start = F.col("before") + F.col("running") - F.col("l.size")
-    total, budget = F.col("p_.source_size"), F.floor("p_.target").cast("long")
-    epochs = F.when(total > 0, F.floor(budget / total)).otherwise(0).cast("long")
-    taken = epochs * F.col("l.size") + F.least(F.greatest(budget - epochs * total - start, F.lit(0)), F.col("l.size"))
-    return run.withColumn("m", F.struct(F.col("l.size").alias("size"), total.alias("source_size"), F.col("p_.target").alias("target"), taken.cast("long").alias("taken")))
-
-
-def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), *, seed: int = 0, cell_rows: int = 2_000) -> DataFrame:
+    """What the mix is decided by: doc_id, source, size, place in the source, and a row number."""
+    rows = docs.select("doc_id", "source", words(F.col("text")).alias("size"), _order(seed).alias("at"))
+    return stored(rows.withColumn("row", F.monotonically_increasing_id()), "light")
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order with the words of their source within this range up to and with them, and the range's number."""
+    from pyspark import TaskContext
+
+    part, last, carry = TaskContext.get().partitionId(), object(), 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        source = batch.column("source")
+        size = batch.column("size").to_numpy(zero_copy_only=False).astype(np.int64)
+        code = source.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        starts = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
+        total = np.cumsum(size)
+        before = np.repeat(total[starts] - size[starts], np.diff(np.append(starts, len(size))))
+        running = total - before
+        if source[0].as_py() == last:
+            running[: starts[1] if len(starts) > 1 else len(size)] += carry
+        last, carry = source[-1].as_py(), int(running[-1])
+        columns = [*batch.columns, pa.array(running, pa.int64()), pa.array(np.full(len(size), part, np.int64))]
+        yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "running", "part"])
+
+
+def _placed(docs: DataFrame, weights: tuple[int, ...], seed: int, most_sources: int, ranges: int | None) -> tuple[DataFrame, list[DataFrame]]:
+    """doc_id, source, size, at and struct m (source_size, target, epochs, extra) of every row; and the tables behind it."""
+    spark = docs.sparkSession
+    light = _light(docs, seed)
+    found = light.groupBy("source").agg(F.sum("size").alias("size")).limit(most_sources + 1).collect()
+    if len(found) > most_sources:
+        raise ValueError(f"more than {most_sources} sources: raise most_sources if the driver can hold a row for each")
+    table = F.broadcast(spark.createDataFrame(targets([(r["source"], r["size"]) for r in found], weights), StructType([StructField("s_", light.schema["source"].dataType), StructField("total", LongType())]).add("target", "double")))
+    order = ["source", "at", "row"]
+    spread = light.repartitionByRange(*([ranges] if ranges else []), *order).sortWithinPartitions(*order)
+    summed = stored(spread.mapInArrow(_summed, StructType([*light.schema.fields, StructField("running", LongType()), StructField("part", LongType())])), "summed")
+    # a row for each range and source that meet: at most as many as there are ranges and sources together
+    parts = summed.groupBy("source", "part").agg(F.sum("size").alias("n"))
+    parts = parts.select(F.col("source").alias("s2_"), F.col("part").alias("part2"), (F.sum("n").over(Window.partitionBy("source").orderBy("part")) - F.col("n")).alias("before"))
+    out = summed.join(table, F.col("source").eqNullSafe(F.col("s_"))).join(F.broadcast(parts), F.col("source").eqNullSafe(F.col("s2_")) & (F.col("part") == F.col("part2")))
+    start = F.col("before") + F.col("running") - F.col("size")
+    budget = F.floor("target").cast("long")
+    epochs = F.when(F.col("total") > 0, (budget - budget % F.col("total")) / F.col("total")).otherwise(0).cast("long")
+    extra = F.least(F.greatest(budget - epochs * F.col("total") - start, F.lit(0)), F.col("size")).cast("long")
+    plan = F.struct(F.col("total").alias("source_size"), "target", epochs.alias("epochs"), extra.alias("extra"))
+    return out.select("doc_id", "source", "size", "at", plan.alias("m")), [light, summed]
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), *, seed: int = 0, most_sources: int = 1_000_000, ranges: int | None = None) -> DataFrame:
     """doc_id, size, source_size, target and taken for every document.
 
     taken counts the words that the mix takes from the document, repeats counted, and is at most REPEATS
     times its size. The taken words of a source sum to its target, rounded down. The null source is a source.
-    Null text has no words. Equal keys (repeated ids) follow each other in the order of a hash of their text. The
-    same table gives the same result again. Empty table: no rows. Only doc_id, text and source are read, once.
+    Null text has no words. Equal keys (repeated ids) follow each other in the order of a hash of their text; rows equal in
+    id, source and text are interchangeable. The same table gives the same result again. Texts of any length count
+    whole. Empty table: no rows. Only doc_id, text and source are read, once, whatever other columns are called.
 
-    The sums by source go to the driver: one row per source.
+    The sums by source go to the driver and back as a broadcast, one row per source; more than most_sources raise an error.
+    ranges is the number of ranges to sort into, by default that of shuffle partitions; it doesn't change results.
     """
-    light = stored(_light(docs, seed), "light")
-    return _placed(light.select(F.struct("*").alias("l")), light, weights, cell_rows).select("l.doc_id", "m.*")
+    out, (light, _) = _placed(docs, weights, seed, most_sources, ranges)
+    drop_stored(light)
+    return out.select("doc_id", "size", "m.source_size", "m.target", (F.col("m.epochs") * F.col("size") + F.col("m.extra")).alias("taken"))
 
 
-def realised(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), *, seed: int = 0, cell_rows: int = 2_000) -> DataFrame:
+def realised(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), *, seed: int = 0, most_sources: int = 1_000_000, ranges: int | None = None) -> DataFrame:
     """The documents of the mix: a row for each epoch that takes the document whole, and one with its first
     words where the budget ends inside it. Columns are those of docs; n_chars, if there, follows the text.
-    Whole rows move once, to the cells."""
-    light = stored(_light(docs, seed), "light")
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), F.struct("doc_id", "source", key(seed).alias("key"), words(F.col("text")).alias("size"), F.xxhash64("text").alias("tie")).alias("l"))
-    out = _placed(keyed, light, weights, cell_rows).select("d", "m.size", "m.taken")
-    size, taken = F.col("size"), F.col("taken")
-    full = F.when(size > 0, F.floor(taken / size)).otherwise(0).cast("int")
-    rest = F.when(size > 0, taken % size).otherwise(F.lit(0))
-    rows = out.select("d", "size", F.explode(F.concat(F.array_repeat(size, full), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))).alias("take"))
-    whole = F.col("take") >= size
-    cut = F.array_join(F.slice(F.regexp_extract_all("d.text", F.lit(rf"(?s)[\x20\x09-\x0D]*{WORD}"), F.lit(0)), F.lit(1), F.col("take").cast("int")), "")
-    made = {"text": F.when(whole, F.col("d.text")).otherwise(cut)}
+    Documents without a word, null ones too, are not in a mix of words.
+
+    The boundary of a source is the first document that isn't taken once more in full. One row per source, it is
+    broadcast, and every document is decided by comparing its place with it. Where several rows equal in id and text
+    stand at a boundary, those alone are numbered."""
+    placed, tables = _placed(docs, weights, seed, most_sources, ranges)
+    short = placed.where((F.col("size") > 0) & (F.col("m.extra") < F.col("size")))
+    first = stored(short.groupBy("source").agg(F.min("at").alias("at"), F.min("m.epochs").alias("epochs")), "boundaries")
+    held = F.broadcast(first.select(F.col("source").alias("s_"), F.col("at").alias("end"), "epochs"))
+    equal = placed.join(held, F.col("source").eqNullSafe(F.col("s_")) & (F.col("at") == F.col("end")))
+    ends = stored(equal.groupBy("s_", "end", "epochs").agg(F.count(F.lit(1)).alias("rows"), F.sum("m.extra").alias("extra")), "ends")
+    for table in (*tables, first):
+        drop_stored(table)
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), F.col("source").alias("source"), F.coalesce(F.col("text").rlike(WORD), F.lit(False)).alias("spoken"), _order(seed).alias("at"))
+    keyed = keyed.where("spoken").join(F.broadcast(ends), F.col("source").eqNullSafe(F.col("s_")))
+    at_end = F.col("at") == F.col("end")
+    copies = (F.col("epochs") + F.when(F.col("at") < F.col("end"), 1).otherwise(0)).cast("int")
+    extra = F.when(at_end & (F.col("rows") == 1), F.col("extra")).otherwise(0)
+    out = _repeated(keyed.where(~at_end | (F.col("rows") == 1)).select("d", copies.alias("copies"), extra.alias("extra")))
+    if not ends.where("rows > 1").isEmpty():
+        tied = stored(keyed.where(at_end & (F.col("rows") > 1)).withColumn("row", F.monotonically_increasing_id()), "tied")
+        numbered = global_row_number(tied, [F.col("source"), F.col("row")], "number")
+        before = F.broadcast(numbered.groupBy("source").agg((F.min("number") - 1).alias("before")).withColumnRenamed("source", "s2_"))
+        left = F.col("extra") - (F.col("number") - F.col("before") - 1) * words(F.col("d.text"))
+        share = numbered.join(before, F.col("source").eqNullSafe(F.col("s2_"))).withColumn("left", F.greatest(left, F.lit(0)))
+        whole = F.col("left") >= words(F.col("d.text"))
+        out = out.unionByName(_repeated(share.select("d", (F.col("epochs") + whole.cast("int")).cast("int").alias("copies"), F.when(whole, 0).otherwise(F.col("left")).alias("extra"))))
+    columns = {c: F.col(f"d.`{c}`") for c in docs.columns}
+    columns["text"] = F.when(F.col("take") < 0, F.col("d.text")).otherwise(F.array_join(F.slice(F.regexp_extract_all("d.text", F.lit(rf"(?s)[\x20\x09-\x0D]*{WORD}"), F.lit(0)), F.lit(1), F.col("take").cast("int")), ""))
     if "n_chars" in docs.columns:
-        made["n_chars"] = F.when(whole, F.col("d.n_chars")).otherwise(F.length(made["text"]).cast(docs.schema["n_chars"].dataType))
-    return rows.select(*[made.get(c, F.col(f"d.`{c}`")).alias(c) for c in docs.columns])
+        columns["n_chars"] = F.when(F.col("take") < 0, F.col("d.n_chars")).otherwise(F.length(columns["text"]).cast(docs.schema["n_chars"].dataType))
+    return out.select(*[columns[c].alias(c) for c in docs.columns])
+
+
+def _repeated(rows: DataFrame) -> DataFrame:
+    """Rows d as often as `copies` says, with take -1, and one with take `extra` where that isn't 0."""
+    takes = F.concat(F.array_repeat(F.lit(-1).cast("long"), F.col("copies")), F.when(F.col("extra") > 0, F.array(F.col("extra").cast("long"))).otherwise(F.array().cast("array<bigint>")))
+    return rows.select("d", F.explode(takes).alias("take"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

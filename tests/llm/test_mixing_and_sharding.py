@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import random
 import zlib
@@ -65,20 +66,64 @@ def check_mix(rows, got):
         assert by[s] == int(t), s
 
 
-@pytest.mark.parametrize("cell_rows", [50, 20_000])
-def test_mix_meets_its_targets(spark, cell_rows):
+@pytest.mark.parametrize("ranges", [None, 37])
+def test_mix_meets_its_targets(spark, ranges):
     df = table(spark, ROWS).withColumns({"size": F.lit("x"), "taken": F.lit(2), "key": F.lit(3), "l": F.lit(4), "m": F.lit(5)})
-    got = mixing.mixed(df, cell_rows=cell_rows).collect()
+    got = mixing.mixed(df, ranges=ranges).collect()
     check_mix(ROWS, got)
-    again = mixing.mixed(df.repartition(7), cell_rows=cell_rows).collect()
+    again = mixing.mixed(df.repartition(7), ranges=ranges).collect()
     assert sorted(map(str, got)) == sorted(map(str, again))
 
 
-def test_mix_does_not_depend_on_cells(spark):
-    a, b = (sorted(map(str, mixing.mixed(table(spark, ROWS), cell_rows=c).collect())) for c in (30, 10**6))
+def test_mix_does_not_depend_on_ranges(spark):
+    a, b = (sorted(map(str, mixing.mixed(table(spark, ROWS), ranges=n).collect())) for n in (1, 53))
     assert a == b
 
 
+def brute_mix(rows):
+    """(row, words taken of it) in the order of the keys, one source after another; rows are told apart."""
+    size = lambda t: len((t or "").split())
+    sizes = Counter()
+    for _, t, s, _ in rows:
+        sizes[s] += size(t)
+    out = []
+    for s, n, target in waterfill(list(sizes.items())):
+        mine = sorted((r for r in rows if r[2] == s), key=lambda r: hashlib.sha256(f"0:{'' if r[0] is None else r[0]}".encode()).digest())
+        left, epochs = (int(target) % n, int(target) // n) if n else (0, 0)
+        for r in mine:
+            take = min(left, size(r[1]))
+            left -= take
+            out.append((r, epochs * size(r[1]) + take))
+    return out
+
+
+def test_mix_equals_brute_force_row_by_row(spark):
+    rows = [r for r in ROWS if r[0] is not None and r[0] != 7]
+    got = sorted((r["doc_id"], r["taken"]) for r in mixing.mixed(table(spark, rows), ranges=9).collect())
+    assert got == sorted((r[0], n) for r, n in brute_mix(rows))
+
+
+@pytest.mark.parametrize("copies", [1, 2, 40])
+def test_realised_equals_brute_force(spark, copies):
+    """Ids repeat, a third of the rows have no id, and equal rows stand where a budget ends."""
+    rows = [(i, f"t{i} " + " ".join(["w"] * (i % 9)), "abc"[i % 3], 5) for i in range(60)] * copies
+    rows += [(None, "same words here", "abc"[i % 2], 5) for i in range(50)] + [(None, None, "a", 0)]
+    got = Counter((r["doc_id"], r["source"], r["text"]) for r in mixing.realised(table(spark, rows), ranges=5).collect())
+    want = Counter()
+    for (i, t, s, _), n in brute_mix(rows):
+        w = (t or "").split()
+        if w:
+            want[i, s, t] += n // len(w)
+            if n % len(w):
+                want[i, s, " ".join(w[: n % len(w)])] += 1
+    assert got == want
+
+
+def test_too_many_sources_are_refused(spark):
+    with pytest.raises(ValueError, match="sources"):
+        mixing.mixed(table(spark, ROWS), most_sources=3)
+
+
 def test_mix_of_nothing(spark):
     assert mixing.mixed(table(spark, [])).count() == 0
     got = mixing.mixed(table(spark, [(1, None, None, 0), (2, "", "s", 0)])).collect()
@@ -119,6 +164,32 @@ def test_smallest_capacity_equals_all_cuts(seed):
     assert sharding.smallest([(i, s) for i, s in enumerate(sizes)], k) == best_capacity(sizes, k)
 
 
+@pytest.mark.parametrize("seed", range(15))
+def test_even_cuts_have_the_largest_smallest_part(seed):
+    rng = random.Random(seed)
+    sizes = [rng.choice([1, 2, 3, 50, 7]) for _ in range(rng.randint(1, 11))]
+    k = rng.randint(1, 4)
+    blocks = [(10 * i, s) for i, s in enumerate(sizes)]
+    capacity = sharding.smallest(blocks, k)
+    starts = [s // 10 for s in sharding.even(blocks, k, capacity)]
+    loads = [sum(sizes[a:b]) for a, b in zip(starts, [*starts[1:], len(sizes)], strict=True)]
+    assert sum(loads) == sum(sizes) and max(loads) <= capacity and len(loads) == min(k, len(sizes))
+    least = 0
+    for cut in itertools.combinations(range(1, len(sizes)), min(k, len(sizes)) - 1):
+        ends = [0, *cut, len(sizes)]
+        parts = [sum(sizes[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
+        if max(parts) <= capacity:
+            least = max(least, min(parts))
+    assert min(loads) == least
+
+
+def test_a_hot_group_leaves_no_shard_empty(spark):
+    groups = [(i * 2**50, 10) for i in range(500)] + [(500 * 2**50, 8000)] + [(i * 2**50, 10) for i in range(501, 1001)]
+    starts, capacity = sharding.cuts(spark.createDataFrame(groups, "place long, size long"), 8)
+    loads = [sum(n for p, n in groups if a <= p < b) for a, b in zip(starts, [*starts[1:], 2**60], strict=True)]
+    assert capacity == 8000 and len(loads) == 8 and sorted(loads)[0] >= 1240 and sorted(loads)[-2] <= 2510
+
+
 @pytest.mark.parametrize("step", [4, 12])
 def test_refined_cuts_equal_cuts_over_all_groups(spark, monkeypatch, step):
     monkeypatch.setattr(sharding, "STEP_BITS", step)
