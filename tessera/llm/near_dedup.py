@@ -10,8 +10,13 @@
    smallest member, a number of pairs linear in the members. Pairs whose sketches cannot be of similar sets
    fall; the others are confirmed on the full sets.
 3. The confirmed links join the members into components. A link that could still be missing joins two
-   components that meet in a bucket: exactly those pairs are looked at next, by sketch inside the bucket, and
-   confirmed in the same way. Pairs within a component cannot change the result and are never made.
+   components that meet in a bucket. Buckets are cut into blocks by hash, and each block says which of its
+   components have near sketches: not every pair, but a spanning forest, at most one pair less than it has
+   components. These pairs are confirmed, components grow together, and what is left of the large buckets is
+   looked at across blocks in the same way. Pairs within a component cannot change the result and are never made.
+4. A forest whose pairs are all confirmed leaves nothing out. Where one was refused, the members that have a
+   near sketch in another component go, with their full sets, to a task for each pair of blocks, which tests
+   them pair by pair and again keeps a forest. So no stage makes rows in the square of a bucket.
 
 The band shape is chosen so that a pair at the threshold shares no bucket with probability under 1e-6, and
 the sketch bound lies five standard deviations below the threshold.
@@ -26,10 +31,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, drop_stored, fresh, stored
+from .common import WORD, drop_stored, fresh, small_batches, stored
 
 SAMPLES, SKETCH_BITS, SET_BITS = 128, 512, 2048
 _WORD = re.compile(WORD)
@@ -52,7 +58,7 @@ class _Words(dict):
     """Hash of each word, remembered up to a fixed number of words."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 100_000:
             self.clear()
         h = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
         self[word] = h
@@ -157,11 +163,17 @@ def _signatures(width: int, bands: int, rows: int):
     return run
 
 
-def _sets(width: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _sets(width: int, held=None):
+    """Shingle sets of (doc_id, text, places in the map of ids); of those documents only that the broadcast map `held` may have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Words()
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "shingles": [shingle_set(t, width, known).view(np.int64) for t in batch["text"]]})
+            if held is not None:
+                batch = batch.filter(pa.array(_in_map(held.value, [batch.column(f"p{k}").to_numpy() for k in range(3)])))
+            if batch.num_rows:
+                sets = [shingle_set(t, width, known).view(np.int64) for t in batch.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
 
     return run
 
@@ -171,12 +183,53 @@ def _differing(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
-def _words(sketches: pd.Series) -> np.ndarray:
-    """Sketches as columns: one row for each word, so that comparing one with many runs along memory."""
-    return np.ascontiguousarray(np.stack([np.asarray(s) for s in sketches]).astype(np.int64).view(np.uint64).T)
-
-
-def _bits_apart(words: np.ndarray, one: int, others) -> np.ndarray:
+class _Block:
+    """Members of a bucket that one task compares: rows of an Arrow table of the columns of DEALT."""
+
+    def __init__(self, rows: pa.Table, bits: int, percent: int):
+        self.rows, self.bits, self.percent = rows, bits, percent
+        self.side = self.column("side")
+        order = np.argsort(self.side, kind="stable")
+        if (order[1:] < order[:-1]).any():
+            self.rows = rows.take(pa.array(order))
+            self.side = self.side[order]
+        self.rep, self.comp, self.n = self.column("rep"), self.column("comp"), self.column("n_shingles")
+        self.sketch, self.whole = self.words("sketch"), self.words("whole")
+        #: Members are compared across the two sides, if there are two, else all with all.
+        self.first = int(np.searchsorted(self.side, 1)) if 0 < self.side.sum() < len(self.side) else 0
+
+    def column(self, name: str) -> np.ndarray:
+        return self.rows.column(name).to_numpy()
+
+    def lists(self, name: str) -> np.ndarray:
+        return self.rows.column(name).combine_chunks().flatten().to_numpy().reshape(len(self.rows), -1)
+
+    def words(self, name: str) -> np.ndarray:
+        """Sketches as columns: one row for each word, so that comparing one with many runs along memory."""
+        return np.ascontiguousarray(self.lists(name).view(np.uint64).T)
+
+    def others(self, root: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Each member and those after it that lie in other components, as root, which may change meanwhile, says."""
+        for i in range(self.first or len(root) - 1):
+            start = self.first or i + 1
+            others = start + np.flatnonzero(root[start:] != root[i])
+            if len(others):
+                yield i, others
+
+    def near(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Those of the others whose sketches may be of sets that reach the threshold, nearest first."""
+        n = self.n
+        near = others[100 * np.minimum(n[i], n[others]) >= self.percent * np.maximum(n[i], n[others])]
+        near = near[_bits_apart(self.sketch, i, near) <= self.bits]
+        apart = _bits_apart(self.whole, i, near).astype(np.float64)
+        kept = ~_far(apart, (n[near] + n[i]).astype(np.float64), self.percent, np)
+        return near[kept][np.argsort(apart[kept], kind="stable")]
+
+    def roots(self) -> np.ndarray:
+        return np.unique(self.comp, return_inverse=True)[1]
+
+
+def _bits_apart(words: np.ndarray, one: int, others: np.ndarray) -> np.ndarray:
     """Bits in which one sketch differs from others."""
     out = np.bitwise_count(words[0, others] ^ words[0, one]).astype(np.uint16)
     for w in words[1:]:
@@ -184,30 +237,135 @@ def _bits_apart(words: np.ndarray, one: int, others) -> np.ndarray:
     return out
 
 
-def _across(bits: int, percent: int):
-    """Pairs of a bucket that lie in different components and have near sketches, larger doc_id second."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["comp", "rep"], kind="stable")
-        rep, comp, n = group["rep"].to_numpy(), group["comp"].to_numpy(), group["n_shingles"].to_numpy()
-        sketch, whole = _words(group["sketch"]), _words(group["whole"])
-        ends = np.searchsorted(comp, comp, side="right")
-        found = []
-        for i in range(len(rep)):  # members of later components only
-            j = ends[i]
-            if j == len(rep):
-                continue
-            near = j + np.flatnonzero(_bits_apart(sketch, i, slice(j, None)) <= bits)
-            near = near[100 * np.minimum(n[i], n[near]) >= percent * np.maximum(n[i], n[near])]
-            near = near[~_far(_bits_apart(whole, i, near).astype(np.float64), (n[near] + n[i]).astype(np.float64), percent, np)]
-            if len(near):
-                found.append(np.stack([np.minimum(rep[i], rep[near]), np.maximum(rep[i], rep[near])], axis=1))
-        pairs = np.concatenate(found) if found else np.empty((0, 2), np.int64)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+#: A task of a bucket is named by band, kind (0: within x, 1: within others' blocks x and y, 2: others x with the largest component's y), x and y.
+TASK = ["band", "kind", "x", "y"]
+DEALT = "band long, kind int, x long, y long, side int, rep long, comp long, n_shingles long, sketch array<long>, whole array<long>"
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each task, from batches sorted by task. Workers are used again: what Arrow holds on to is given back at the end."""
+    held, last = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = [batch.column(k).to_numpy(zero_copy_only=False) for k in TASK]
+        new = np.zeros(batch.num_rows, bool)
+        for k in keys:
+            new[1:] |= k[1:] != k[:-1]
+        starts = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
+        for start, end in zip(starts, starts[1:], strict=False):
+            key = tuple(k[start] for k in keys)
+            if key != last and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = key
+            held.append(batch.slice(start, end - start))
+    if held:
+        yield pa.Table.from_batches(held)
+        held = []
+    pa.default_memory_pool().release_unused()
+
+
+def _forest(bits: int, percent: int):
+    """Pairs with near sketches that join the components of a task, as few as do."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches):
+            block = _Block(rows, bits, percent)
+            root, found = block.roots(), []
+            for i, others in block.others(root):
+                near = block.near(i, others)
+                for j in near[np.sort(np.unique(root[near], return_index=True)[1])]:
+                    found.append((i, j))
+                    root[root == root[j]] = root[i]
+            yield _pairs(block, found)
 
     return run
 
 
+def _pairs(block: _Block, found: list[tuple[int, int]]) -> pa.RecordBatch:
+    at = np.array(found, np.int64).reshape(-1, 2)
+    ends = np.sort(block.rep[at], axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (ends[:, 0], ends[:, 1], np.full(len(at), block.column("band")[0]))], names=["a", "b", "band"])
+
+
+def _involved(bits: int, percent: int):
+    """Members of a task with a near sketch in another component, that no band before this one has together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches):
+            block = _Block(rows, bits, percent)
+            root, bands = block.roots(), block.lists("bands")
+            before = int(np.flatnonzero(bands[0] == block.column("band")[0])[0])
+            marked = np.zeros(len(root), bool)
+            for i, others in block.others(root):
+                near = block.near(i, others)
+                near = near[~(bands[near, :before] == bands[i, :before]).any(axis=1)]
+                marked[near] = True
+                marked[i] |= len(near) > 0
+            yield from block.rows.drop_columns(["bands"]).filter(pa.array(marked)).to_batches()
+
+    return run
+
+
+def _exact(bits: int, percent: int):
+    """Links between the members of a task, confirmed on their full sets, as few as join what they join."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _groups(batches):
+            block = _Block(rows, bits, percent)
+            sets = block.rows.column("shingles").combine_chunks()
+            root, found = block.roots(), []
+            for i, others in block.others(root):
+                mine = sets[i].values.to_numpy()
+                for j in block.near(i, others):
+                    if root[j] == root[i]:
+                        continue
+                    common = len(np.intersect1d(mine, sets[int(j)].values.to_numpy(), assume_unique=True))
+                    if 100 * common >= percent * (block.n[i] + block.n[j] - common):
+                        found.append((i, j))
+                        root[root == root[j]] = root[i]
+            yield _pairs(block, found)
+
+    return run
+
+
+def _by_task(rows: DataFrame) -> DataFrame:
+    """Rows dealt to tasks and in their order. The number of partitions is stated, lest tasks of little data and much work be put together."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *TASK).sortWithinPartitions(*TASK)
+
+
+def _split(labelled: DataFrame) -> DataFrame:
+    """band, members, and largest (n, comp), of the buckets in which components meet."""
+    parts = labelled.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("n"))
+    split = parts.groupBy("band").agg(F.sum("n").alias("members"), F.count(F.lit(1)).alias("comps"), F.max(F.struct("n", "comp")).alias("largest"))
+    return split.where("comps > 1").select("band", "members", "largest")
+
+
+def _within_blocks(labelled: DataFrame, split: DataFrame, block: int) -> DataFrame:
+    """Members of split buckets, each in one task with about `block` others of its bucket."""
+    x = F.pmod(F.xxhash64("rep", "band"), F.ceil(F.col("members") / block))
+    return labelled.join(split, "band").select("band", F.lit(0).alias("kind"), x.alias("x"), F.lit(0).cast("long").alias("y"), F.lit(0).alias("side"), "rep", "comp")
+
+
+def _across_blocks(labelled: DataFrame, split: DataFrame, block: int) -> DataFrame:
+    """Members of split buckets, in tasks that together see every pair of members of different components.
+
+    The largest component needn't meet itself: its blocks meet those of the others, and the others' blocks each other."""
+    rest = F.col("members") - F.col("largest.n")
+    large, small = F.ceil(F.col("largest.n") / block), F.greatest(F.ceil(rest / block), F.lit(1))
+    inside = F.col("comp") == F.col("largest.comp")
+    mine = F.pmod(F.xxhash64("rep", "band"), F.when(inside, large).otherwise(small))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    task = lambda kind, x, y, side: F.struct(F.lit(kind).alias("kind"), x.cast("long").alias("x"), y.cast("long").alias("y"), side.alias("side"))
+    with_large = F.when(inside, F.transform(upto(small), lambda k: task(2, k, F.col("mine"), F.lit(1)))).otherwise(F.transform(upto(large), lambda k: task(2, F.col("mine"), k, F.lit(0))))
+    others = F.transform(upto(small), lambda k: task(1, F.least(k, F.col("mine")), F.greatest(k, F.col("mine")), (F.col("mine") > k).cast("int")))
+    tasks = F.concat(with_large, F.when(inside, F.slice(others, 1, 0)).otherwise(others))
+    one = F.array(task(0, F.lit(0), F.lit(0), F.lit(0)))
+    dealt = labelled.join(split, "band").withColumn("mine", mine).withColumn("task", F.explode(F.when(F.col("members") <= block, one).otherwise(tasks)))
+    return dealt.select("band", "task.*", "rep", "comp")
+
+
 def ranked(node: str, turn: int) -> Column:
     return F.struct(F.xxhash64(node, F.lit(turn)).alias("rank"), F.col(node).alias("id"))
 
@@ -216,30 +374,44 @@ def ranked(node: str, turn: int) -> Column:
 MAP_BITS = 1 << 25
 
 
-def _likely(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs without most of those whose doc_id isn't among the ids: a Bloom filter ahead of a join, so that texts that the
-    join would drop needn't be shuffled. Its bitmap has at least 16 bits an id while that fits MAP_BITS; with fewer
-    than 4 bits an id it would keep nearly all, and docs go to the join as they are."""
+def _id_map(ids: DataFrame):
+    """A Bloom filter of the ids, as a broadcast bitmap, or None. It has at least 16 bits an id while that fits MAP_BITS; with
+    fewer than 4 bits an id it would hold nearly all."""
     count = ids.count()
     bits = 1 << min(MAP_BITS.bit_length() - 1, max(16, (16 * count).bit_length()))
     if bits < 4 * count:
-        return docs
-    places = lambda c: [F.pmod(F.xxhash64(F.col(c), F.lit(k)), F.lit(bits)) for k in range(3)]
-    rows = ids.select(F.explode(F.array(*places("id"))).alias("at")).groupBy(F.shiftright("at", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 32 as int))")).alias("bits"))
-    got = rows.toPandas()  # at most MAP_BITS / 32 words, whatever the number of ids
+        return None
+    rows = ids.select(F.explode(F.array(*_places("id"))).alias("at")).select(F.pmod("at", F.lit(bits)).alias("at"))
+    got = rows.groupBy(F.shiftright("at", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 32 as int))")).alias("bits")).toPandas()  # at most MAP_BITS / 32 words, whatever the number of ids
     words = np.zeros(bits // 32, np.uint32)
     words[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).astype(np.uint32)
-    shared = docs.sparkSession.sparkContext.broadcast(words)
+    return ids.sparkSession.sparkContext.broadcast(words)
+
 
-    @F.pandas_udf("boolean")
-    def held(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
-        ok = np.ones(len(a), bool)
-        for at in (a, b, c):
-            at = at.to_numpy(np.int64)
-            ok &= (shared.value[at >> 5] >> (at & 31).astype(np.uint32)) & np.uint32(1) == 1
-        return pd.Series(ok)
+def _places(column: str) -> list[Column]:
+    return [F.xxhash64(F.col(column), F.lit(k)) for k in range(3)]
 
-    return docs.where(F.col("doc_id").isNotNull()).where(held(*places("doc_id")))
+
+def _in_map(words: np.ndarray, places: list[np.ndarray]) -> np.ndarray:
+    ok = np.ones(len(places[0]), bool)
+    for at in places:
+        at = at.astype(np.int64) & (32 * len(words) - 1)
+        ok &= (words[at >> 5] >> (at & 31).astype(np.uint32)) & np.uint32(1) == 1
+    return ok
+
+
+def _among(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows whose key is among the distinct ids. A Bloom filter comes ahead of the join, so that rows that it would drop
+    needn't be shuffled; for more ids than that can tell apart, rows go to the join as they are."""
+    held = _id_map(ids)
+    if held is not None:
+
+        @F.pandas_udf("boolean")
+        def likely(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
+            return pd.Series(_in_map(held.value, [x.to_numpy(np.int64) for x in (a, b, c)]))
+
+        rows = rows.where(F.col(key).isNotNull()).where(likely(*_places(key)))
+    return rows.join(ids.withColumnRenamed("id", key), key, "left_semi")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -269,7 +441,19 @@ def components(links: DataFrame) -> DataFrame:
     return to.join(least, "to").select("id", "component")
 
 
-def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
+def _relabelled(joined: DataFrame, more: DataFrame) -> DataFrame:
+    """joined (id, component) with components grown together by links (a, b), which may have ends that joined lacks."""
+    name = lambda end, to: joined.select(F.col("id").alias(end), F.col("component").alias(to))
+    ends = more.join(name("a", "p"), "a", "left").join(name("b", "q"), "b", "left").select(F.coalesce("p", "a").alias("a"), F.coalesce("q", "b").alias("b")).distinct()
+    grown = stored(components(ends), "grown")
+    old = joined.join(grown.select(F.col("id").alias("component"), F.col("component").alias("to")), "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+    out = stored(old.unionByName(grown.join(joined, "id", "left_anti").select("id", "component")), "joined")
+    drop_stored(grown)
+    drop_stored(joined)
+    return out
+
+
+def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, block: int = 512) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable), kept.
 
     Documents are linked when 100 * |A and B| >= percent * |A or B| for their sets of `width`-word shingles of
@@ -277,7 +461,8 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
     null, has an empty set and is linked with nothing. Rows that share a doc_id are one document for the
     purpose of reaching others, and each reports its own n_shingles. Rows of null id take the component of
     equal sets, are never its representative, and stay where there is none. An empty table gives no rows.
-    Shingles are compared by 64-bit hashes. Only doc_id and text are read.
+    Shingles are compared by 64-bit hashes. Only doc_id and text are read. `block` is how many members of a
+    bucket a task compares; it doesn't change results.
     """
     threshold = percent / 100
     bands, rows = band_shape(threshold)
@@ -296,37 +481,73 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80) -> Da
     members = stored(banded.join(leaders, "band").select("band", "leader", "rep"), "members")
     stars = stored(members.where("leader < rep").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
 
-    involved = stars.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    chosen = _likely(chosen, involved).join(involved, F.col("doc_id") == F.col("id"), "left_semi")
-    sets = stored(chosen.mapInPandas(_sets(width), "doc_id long, shingles array<long>"), "sets")
-
-    def confirmed(pairs: DataFrame, filtered: bool) -> DataFrame:
-        if not filtered:
-            bit = classes.select("rep", "sketch", "whole", "n_shingles")
-            near = pairs.join(bit.toDF("a", "sa", "wa", "na"), "a").join(bit.toDF("b", "sb", "wb", "nb"), "b")
-            sizes = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-            far = _far(_differing(F.col("wa"), F.col("wb")).cast("double"), (F.col("na") + F.col("nb")).cast("double"), percent, F)
-            pairs = near.where(sizes & (_differing(F.col("sa"), F.col("sb")) <= bits) & ~far).select("a", "b")
-        both = pairs.join(sets.toDF("a", "xa"), "a").join(sets.toDF("b", "xb"), "b")
+    involved = stored(stars.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "involved")
+    sketches = stored(_among(classes, "rep", involved), "sketches")  # of classes that share a bucket
+    drop_stored(classes)
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    held = _id_map(involved)
+    if held is None:
+        chosen = chosen.join(involved.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
+    with small_batches(docs.sparkSession):
+        placed = chosen.select("doc_id", "text", *[p.alias(f"p{k}") for k, p in enumerate(_places("doc_id"))])
+        sets = stored(placed.mapInArrow(_sets(width, held), "doc_id long, shingles array<long>"), "sets")
+
+    def confirmed(pairs: DataFrame, among: DataFrame) -> DataFrame:
+        both = pairs.join(among.toDF("a", "xa"), "a").join(among.toDF("b", "xb"), "b")
         common = F.size(F.array_intersect("xa", "xb"))
         return stored(both.where(100 * common >= percent * (F.size("xa") + F.size("xb") - common)).select("a", "b").distinct(), "confirmed")
 
-    links = confirmed(stars, False)
+    bit = sketches.select("rep", "sketch", "whole", "n_shingles")
+    near = stars.join(bit.toDF("a", "sa", "wa", "na"), "a").join(bit.toDF("b", "sb", "wb", "nb"), "b")
+    sizes = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    far = _far(_differing(F.col("wa"), F.col("wb")).cast("double"), (F.col("na") + F.col("nb")).cast("double"), percent, F)
+    links = confirmed(near.where(sizes & (_differing(F.col("sa"), F.col("sb")) <= bits) & ~far).select("a", "b"), sets)
     joined = stored(components(links), "joined")
-    labelled = members.join(joined.select(F.col("id").alias("rep"), "component"), "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("comp"))
-    split = labelled.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
-    inside = labelled.join(split, "band", "left_semi").join(classes.select("rep", "n_shingles", "sketch", "whole"), "rep")
-    across = stored(inside.groupBy("band").applyInPandas(_across(bits, percent), "a long, b long").where("a <> b").distinct(), "across")
-    more = confirmed(across.join(stars, ["a", "b"], "left_anti"), True)
-    whole = links.unionByName(more)
-    if not more.isEmpty():
-        drop_stored(joined)
-        joined = stored(components(whole), "joined")
+    rest: list[DataFrame] = [links]
+
+    def labelled() -> DataFrame:
+        return members.join(joined.select(F.col("id").alias("rep"), "component"), "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("comp"))
+
+    def grown(dealt: DataFrame) -> DataFrame:
+        """Buckets in which a forest had a pair that wasn't confirmed; components grow by those that were."""
+        nonlocal joined
+        sketched = _by_task(dealt.join(sketches.select("rep", "n_shingles", "sketch", "whole"), "rep"))
+        pairs = stored(sketched.mapInArrow(_forest(bits, percent), "a long, b long, band long"), "forest")
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        some = stored(_among(sets, "doc_id", ids), "some")
+        more = confirmed(pairs.select("a", "b").distinct(), some)
+        open_ = stored(pairs.join(more, ["a", "b"], "left_anti").select("band").distinct(), "open")
+        if not more.isEmpty():
+            joined = _relabelled(joined, more)
+        rest.extend((pairs, some, more, open_))
+        return open_
+
+    split = stored(_split(labelled()), "split")
+    rest.append(split)
+    if not split.isEmpty():
+        open_ = grown(_within_blocks(labelled(), split, block)).join(split.where(F.col("members") <= block), "band", "left_semi").select("band")
+        large = labelled().join(split.where(F.col("members") > block).select("band"), "band", "left_semi")
+        again = stored(_split(large), "split")
+        rest.append(again)
+        if not again.isEmpty():
+            open_ = open_.unionByName(grown(_across_blocks(large, again, 2 * block)))
+        left = labelled().join(open_, "band", "left_semi")
+        last = stored(_split(left), "split")
+        rest.append(last)
+        if not last.isEmpty():
+            dealt = _across_blocks(left, last, block).join(sketches, "rep").select(*[c.split()[0] for c in DEALT.split(", ")], "bands")
+            task = _by_task(dealt).mapInArrow(_involved(bits, percent), DEALT)
+            met = stored(task, "met")
+            whole = _by_task(met.join(sets.withColumnRenamed("doc_id", "rep"), "rep"))
+            with small_batches(docs.sparkSession):
+                more = stored(whole.mapInArrow(_exact(bits, percent), "a long, b long, band long"), "exact")
+            rest.extend((met, more))
+            if not more.isEmpty():
+                joined = _relabelled(joined, more.select("a", "b").distinct())
 
     # a table of its own, so that both sides of the last join come straight from a shuffle and a hot digest can be split
     to = stored(same.join(joined.select(F.col("id").alias("rep"), "component"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id")), "result")
-    for done in (same, classes, members, stars, sets, across, links, more, joined):
+    for done in (same, members, stars, involved, sketches, sets, joined, *rest):
         drop_stored(done)
     out = signed.join(to, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
