@@ -125,7 +125,7 @@ class Codec(dict):
     #: The word pattern that the vocabulary was made with.
     PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-    def __init__(self, vocabulary: Vocabulary, most_words: int = 400_000):
+    def __init__(self, vocabulary: Vocabulary, most_words: int = 200_000):
         import regex
 
         super().__init__()
