@@ -266,6 +266,29 @@ def filler(template: Column, text: Column, token: str = "[MASK]") -> Column:
     return F.when(fits, F.trim(F.substring(text, F.length(head) + 1, F.length(text) - F.length(head) - F.length(tail))))
 
 
+def _shared(a: Column, b: Column) -> Column:
+    """How many elements two arrays have in common from the start on."""
+    same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
+    first = F.array_position(same, F.lit(False))
+    return F.when(first > 0, first - 1).otherwise(F.size(same)).cast("int")
+
+
+def tolerant_filler(template: Column, text: Column, token: str = "[MASK]") -> Column:
+    """The filler, also when words beside the slot differ in case or marks, or others stand further out: what is left of the text between
+    the longest common beginning and end in words. Null when nothing is left, or without a slot."""
+    at = F.instr(template, token)
+    plain = lambda t: F.transform(t, lambda w: F.lower(F.regexp_replace(w, r"^[.,!?;:'\"]+|[.,!?;:'\"]+$", "")))
+    cut = lambda t: F.regexp_extract_all(F.lower(t), F.lit(r"[A-Za-z0-9$%.,'-]+"), F.lit(0))
+    head, tail = plain(cut(F.substring(template, F.lit(1), at - 1))), plain(cut(F.substring(template, at + len(token), F.length(template))))
+    words = F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0))
+    i = _shared(head, plain(words))
+    rest = F.slice(words, i + 1, F.greatest(F.size(words) - i, F.lit(0)))
+    j = _shared(F.reverse(tail), F.reverse(plain(rest)))
+    middle = F.array_join(F.slice(rest, F.lit(1), F.greatest(F.size(rest) - j, F.lit(0))), " ")
+    strict = filler(template, text, token)
+    return F.when(at > 0, F.when(strict.isNotNull(), strict).otherwise(F.nullif(middle, F.lit(""))))
+
+
 def overlapped_tokens(offsets: Column, start: Column, end: Column) -> Column:
     """Indices of tokens (start, end) that overlap [start, end); empty tokens do not."""
     indexed = F.transform(offsets, lambda t, i: F.struct(i.alias("i"), t["start"].alias("s"), t["end"].alias("e")))
@@ -282,6 +305,11 @@ def hashed_int(text: Column) -> Column:
     return F.conv(hashed(text, 8), 16, 10).cast("long")
 
 
+def fingerprint(*columns: Column) -> Column:
+    """sha256 of the columns as one JSON object, in the order given: equal for equal names and values, and for nothing else."""
+    return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).cast("binary"), 256)
+
+
 def choice_index(key: Column, seed: int, choices: int) -> Column:
     """sha1 of `seed:key`, as one big number, modulo the number of choices."""
     digits = F.transform(F.filter(F.split(F.sha1(F.concat(F.lit(f"{seed}:"), key).cast("binary")), ""), lambda c: c != ""), lambda c: F.conv(c, 16, 10).cast("int"))

@@ -10,11 +10,15 @@ def total(xs: Column) -> Column:
     return F.aggregate(xs, F.lit(0.0), lambda s, x: s + x.cast("double"))
 
 
+def _with(value: Column, use) -> Column:
+    """use(value), with the value computed once: a lambda binds it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def softmax(xs: Column, temperature: float = 1.0) -> Column:
-    """Softmax of an array, shifted by its maximum."""
-    top = F.array_max(xs)
-    raised = F.transform(xs, lambda x: F.exp((x - top).cast("double") / F.lit(float(temperature))))
-    return F.transform(raised, lambda x: x / total(raised))
+    """Softmax of an array, shifted by its maximum. Maximum and sum are bound once, so it is linear in the length."""
+    raised = _with(F.array_max(xs).cast("double"), lambda top: F.transform(xs, lambda x: F.exp((x.cast("double") - top) / F.lit(float(temperature)))))
+    return _with(raised, lambda r: _with(total(r), lambda s: F.transform(r, lambda x: x / s)))
 
 
 def entropy(ps: Column) -> Column:
@@ -48,8 +52,10 @@ def norm(a: Column) -> Column:
 
 def cosine(a: Column, b: Column, least: float = 1e-12) -> Column:
     """Cosine held in [-1, 1]; null when a norm is no more than `least`."""
-    size = norm(a) * norm(b)
-    return F.when((norm(a) > least) & (norm(b) > least), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / size)))
+    def of(n: Column) -> Column:
+        return F.when((n["a"] > least) & (n["b"] > least), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / (n["a"] * n["b"]))))
+
+    return _with(F.struct(norm(a).alias("a"), norm(b).alias("b")), of)
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -58,7 +64,7 @@ def distance(a: Column, b: Column) -> Column:
 
 def unit(a: Column, least: float = 1e-12) -> Column:
     """The vector at length 1; null when its norm is no more than `least`."""
-    return F.when(norm(a) > least, F.transform(a, lambda x: x.cast("double") / norm(a)))
+    return _with(norm(a), lambda n: F.when(n > least, F.transform(a, lambda x: x.cast("double") / n)))
 
 
 def mean_vector(vectors: Column, width: int) -> list[Column]:

@@ -72,3 +72,59 @@ def completion_labels(completions: DataFrame, mentions: DataFrame, families: tup
     label = F.when(F.col("p") > 0, F.col("f").cast("int"))
     reason = F.when(F.coalesce("m", F.lit(0)) == 0, "no_mention").when(F.col("p") > 0, None).when(F.col("o") == 0, "echoed_only").otherwise("other_families_only")
     return out.select("completion_id", label.alias("label"), reason.alias("excluded"))
+
+
+def number_census(df: DataFrame, key: str, question: str, solution: str) -> DataFrame:
+    """One row a question: expressions of its solution, numbers it holds, how many are on, off and ambiguous of the solution's path, and words
+    that imply a number."""
+    from ..functions import lexicons as L
+
+    values = X.solution_values(F.col(solution))
+    found = F.transform(X.matches(F.col(question), L.ARABIC_NUMBER), lambda m: X.number_values(m["text"]))
+    rows = df.select(key, values.alias("s"), found.alias("v"), F.size(F.regexp_extract_all(F.col(solution), F.lit("<<([^>]*)>>"), F.lit(1))).alias("expressions"), F.size(X.implicit_numbers(F.col(question))).alias("implicit"))
+    firsts = F.transform("v", lambda x: F.try_element_at(x, F.lit(1)))
+    status = F.transform("v", lambda x: X.path_status(x, F.size(F.filter(firsts, lambda y: y == F.try_element_at(x, F.lit(1)))), F.col("s.operands"), F.col("s.results")))
+    rows = rows.withColumn("status", status)
+    count = lambda name: F.size(F.filter("status", lambda x: x == name))
+    return rows.select(key, "expressions", F.size("v").alias("numbers"), count("on_solution_path_number").alias("on_path"), count("off_solution_path_number").alias("off_path"), count("ambiguous_number").alias("ambiguous"), "implicit")
+
+
+def span_surface(span_type, text, start, length):
+    """struct of what a span looks like: kind, digits, words, where it stands in its question, and a keyness by type alone."""
+    from .formulas import NUMBERS, SURFACE_KEYNESS
+
+    words = F.size(F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0)))
+    at = start / F.greatest(F.lit(1), length)
+    keyness = F.lit(0.30)
+    for name, value in SURFACE_KEYNESS.items():
+        keyness = F.when(span_type == name, value).otherwise(keyness)
+    flag = lambda c: c.cast("int").cast("double")
+    return F.struct(
+        flag(span_type.isin(NUMBERS)).alias("number_like"), flag(text.rlike(r"\d")).alias("has_digit"), flag(words > 1).alias("phrase"), F.length(text).cast("double").alias("chars"), words.cast("double").alias("words"), at.cast("double").alias("relative_start"),
+        F.when(at < 0.33, "early").when(at < 0.66, "mid").otherwise("late").alias("place"), flag(span_type.isin("number_unit", "rate")).alias("unit_hint"), keyness.alias("keyness"),
+    )
+
+
+def imported(raw: DataFrame, questions: list[str], answers: list[str], order: list, *, dataset: str, split: str) -> DataFrame:
+    """Records of foreign data in one form: the first filled of the candidate columns as question and answer, an id by place (from 1), and the
+    record as it came. `problem` names what is missing; nothing is dropped."""
+    from .ranking import global_row_number
+
+    filled = lambda names: X.first_filled(*[F.col(c).cast("string") for c in names if c in raw.columns]) if any(c in raw.columns for c in names) else F.lit(None).cast("string")
+    rows = global_row_number(raw, order, "place")
+    q, a = filled(questions), filled(answers)
+    problem = F.when(q.isNull(), "no question").when(a.isNull(), "no answer")
+    return rows.select(F.format_string(f"{dataset}_{split}_%06d", "place").alias("id"), F.lit(dataset).alias("dataset"), F.lit(split).alias("split"), q.alias("question"), X.final_part(a).alias("gold_answer"), F.to_json(F.struct(*raw.columns)).alias("original"), problem.alias("problem"))
+
+
+def import_report(rows: DataFrame) -> DataFrame:
+    """One row: records, good ones, and how many lack what."""
+    return rows.agg(F.count(F.lit(1)).alias("records"), F.count_if(F.col("problem").isNull()).alias("good"), F.count_if(F.col("problem") == "no question").alias("no_question"), F.count_if(F.col("problem") == "no answer").alias("no_answer"), F.count_distinct("id").alias("ids"))
+
+
+def reviewed(rows: DataFrame, status: str = "reviewed") -> DataFrame:
+    """Reviews that count, and per field the histogram of what was said: (field, value, rows)."""
+    from .aggregates import histograms
+
+    done = rows.where(F.col("status") == status)
+    return histograms(done, [c for c in rows.columns if c.startswith("human_")])

@@ -16,17 +16,19 @@ from pyspark.sql import functions as F
 from .stats import auroc
 
 
-def tfidf(df: DataFrame, key: str, text: str, *, train: Column | None = None, least_docs: int = 2, most_terms: int = 50_000) -> DataFrame:
-    """(key, term, weight): (1 + ln tf) * idf over words and word pairs, each row of length 1.
+def tfidf(df: DataFrame, key: str, text: str, *, train: Column | None = None, least_docs: int = 2, most_terms: int = 50_000, unit: str = "word", sizes: tuple[int, int] = (3, 5)) -> DataFrame:
+    """(key, term, weight): (1 + ln tf) * idf over words and word pairs, or with unit="char" over runs of sizes[0] to sizes[1] characters
+    within words that have a space on either side, each row of length 1.
 
     idf = ln((1 + n) / (1 + df)) + 1 over training rows; terms in fewer than least_docs of them are left out, and of
     the others the most_terms most frequent stay (ties by term)."""
     words = F.regexp_extract_all(F.lower(F.coalesce("text_", F.lit(""))), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
     pairs = F.zip_with(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+    found = F.concat(words, pairs) if unit == "word" else _char_grams(F.lower(F.coalesce("text_", F.lit(""))), *sizes)
     flag = train if train is not None else F.lit(True)
     # texts are dealt by key before they are cut, so that their terms are counted and weighed in place
     dealt = df.select(key, flag.alias("train_"), F.col(text).alias("text_")).repartition(F.col(key))
-    terms = dealt.select(key, "train_", F.explode(F.concat(words, pairs)).alias("term")).groupBy(key, "train_", "term").agg(F.count(F.lit(1)).alias("tf"))
+    terms = dealt.select(key, "train_", F.explode(found).alias("term")).groupBy(key, "train_", "term").agg(F.count(F.lit(1)).alias("tf"))
     counts = terms.where("train_").groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= least_docs).orderBy(F.desc("df"), "term").limit(most_terms)
     n = df.where(flag).agg(F.count(F.lit(1)).alias("n"))
     weighed = terms.join(F.broadcast(counts), "term").join(F.broadcast(n)).select(key, "term", ((1 + F.log("tf")) * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("w"))
@@ -34,6 +36,24 @@ def tfidf(df: DataFrame, key: str, text: str, *, train: Column | None = None, le
     return weighed.select(key, "term", (F.col("w") / length).alias("weight"))
 
 
+def _char_grams(text: Column, low: int, high: int) -> Column:
+    """Runs of low to high characters of each word with a space on either side; a word shorter than a run counts once, whole."""
+
+    def run_of(w: Column, size: int):
+        return lambda i: F.substring(w, i, F.lit(size))
+
+    def of(word: Column) -> Column:
+        w = F.concat(F.lit(" "), word, F.lit(" "))
+        n = F.length(w)
+        runs = []
+        for size in range(low, high + 1):
+            starts = F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1)))
+            runs.append(F.when((n >= size) | F.lit(size == low), F.transform(starts, run_of(w, size))).otherwise(F.array().cast("array<string>")))
+        return F.concat(*runs)
+
+    return F.flatten(F.transform(F.regexp_extract_all(text, F.lit(r"\S+"), F.lit(0)), of))
+
+
 def scaled_block(df: DataFrame, columns: list[str], *, train: Column | None = None) -> DataFrame:
     """df with `block`: z-scores by training rows over the square root of their number; 0 for a constant or missing value."""
     base = df.where(train) if train is not None else df

@@ -6,6 +6,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def counted_below(values: DataFrame, order: str, count: str, name: str, by: list[str]) -> DataFrame:
+    """values with the sum of `count` over the rows of the group that come before in order, 0 for the first. Without groups the rows are
+    dealt to ranges of the order, summed within each, and shifted by the sums of the ranges before (one row a range, broadcast):
+    no task sees the whole table."""
+    if by:
+        w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return values.withColumn(name, F.coalesce(F.sum(count).over(w), F.lit(0)))
+    spread = values.repartitionByRange(order).withColumn("pid_", F.spark_partition_id())
+    inside = F.coalesce(F.sum(count).over(Window.partitionBy("pid_").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = spread.groupBy("pid_").agg(F.sum(count).alias("c_"))
+    before = parts.select("pid_", (F.sum("c_").over(Window.orderBy("pid_")) - F.col("c_")).alias("b_"))
+    return spread.withColumn("i_", inside).join(F.broadcast(before), "pid_").withColumn(name, F.col("i_") + F.col("b_")).drop("pid_", "i_", "b_")
+
+
 def auroc(df: DataFrame, score: str, label: str, by: list[str] | None = None) -> DataFrame:
     """Tie-aware AUROC for each group: positives, negatives, auroc (null with one class).
 
@@ -13,12 +27,8 @@ def auroc(df: DataFrame, score: str, label: str, by: list[str] | None = None) ->
     by = by or []
     rows = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
     values = rows.groupBy(*by, F.col(score).alias("s_")).agg(F.sum(F.col(label).cast("int")).alias("p"), F.count(F.lit(1)).alias("n"))
-    if not by:
-        values = values.withColumn("all_", F.lit(1))
-    keys = by or ["all_"]
-    below = F.sum("n").over(Window.partitionBy(*keys).orderBy("s_").rowsBetween(Window.unboundedPreceding, -1))
-    ranked = values.withColumn("r", F.coalesce(below, F.lit(0)) + (F.col("n") + 1) / 2.0)
-    out = ranked.groupBy(*keys).agg(F.sum("p").alias("positives"), F.sum(F.col("n") - F.col("p")).alias("negatives"), F.sum(F.col("p") * F.col("r")).alias("sr"))
+    ranked = counted_below(values, "s_", "n", "below_", by).withColumn("r", F.col("below_") + (F.col("n") + 1) / 2.0)
+    out = ranked.groupBy(*by).agg(F.sum("p").alias("positives"), F.sum(F.col("n") - F.col("p")).alias("negatives"), F.sum(F.col("p") * F.col("r")).alias("sr"))
     p, q = F.col("positives"), F.col("negatives")
     return out.select(*by, "positives", "negatives", F.when((p > 0) & (q > 0), (F.col("sr") - p * (p + 1) / 2.0) / (p * q)).alias("auroc"))
 
@@ -27,10 +37,7 @@ def average_ranks(df: DataFrame, column: str, name: str, by: list[str] | None =
     """df with the average rank of a column in its group (1 for the smallest), by counting values, then joining back."""
     by = by or []
     values = df.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count(F.lit(1)).alias("n_"))
-    if not by:
-        values = values.withColumn("all_", F.lit(1))
-    w = Window.partitionBy(*(by or ["all_"])).orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = values.withColumn(name, F.coalesce(F.sum("n_").over(w), F.lit(0)) + (F.col("n_") + 1) / 2.0).drop("n_", "all_")
+    ranked = counted_below(values, column, "n_", "below_", by).withColumn(name, F.col("below_") + (F.col("n_") + 1) / 2.0).drop("n_", "below_")
     return df.join(ranked, [*by, column], "left")
 
 
@@ -113,9 +120,13 @@ def independent_difference(one: DataFrame, two: DataFrame, column: str) -> DataF
 
 def loo_mean(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """df with loo_mean: the mean of the other rows of the group, null for a row alone."""
-    w = Window.partitionBy(*by)
-    n = F.count(value).over(w)
-    return df.withColumn("loo_mean", F.when(n > 1, (F.sum(value).over(w) - F.col(value)) / (n - 1)))
+    keys = [F.col(c).alias(f"k{i}_") for i, c in enumerate(by)]
+    sums = df.groupBy(*keys).agg(F.sum(value).alias("s_"), F.count(value).alias("n_"))
+    same = F.lit(True)
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"k{i}_"))
+    out = df.join(sums, same)
+    return out.select(*df.columns, F.when(F.col("n_") > 1, (F.col("s_") - F.col(value)) / (F.col("n_") - 1)).alias("loo_mean"))
 
 
 def usefulness(df: DataFrame, features: str, target: str) -> DataFrame:

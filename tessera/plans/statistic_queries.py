@@ -81,20 +81,25 @@ def equivalence_verdict(spark, d):
 EQUIVALENCE_VERDICT = "SELECT CAST(low AS DOUBLE) AS low, CAST(high AS DOUBLE) AS high, verdict FROM " + sql_values([(0.01, 0.2, "positive"), (-0.3, -0.1, "negative"), (-0.02, 0.03, "equivalent"), (-0.4, 0.4, "imprecise"), (None, 0.1, "undetermined")], ["low", "high", "verdict"])
 
 
+_RAISED = "list_transform(list_transform(embedding{0}, lambda v: v::DOUBLE), lambda v: exp(v - list_max(list_transform(embedding{0}, lambda u: u::DOUBLE))))"
+
+
 def softmax_entropy(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", V.softmax(F.slice("embedding", 1, 8)).alias("p"))
+    e = table(spark, d, "embeddings").select("vec_id", V.softmax(F.col("embedding")).alias("p"))
     return e.select("vec_id", F.round(V.entropy(F.col("p")), 4).alias("entropy"), F.round(V.top_two_margin(F.col("p")), 4).alias("margin"))
 
 
-SOFTMAX_ENTROPY = "WITH x AS (SELECT vec_id, list_transform(embedding[1:8], lambda v: exp(v::DOUBLE)) AS e FROM embeddings), p AS (SELECT vec_id, list_transform(e, lambda v: v / list_sum(e)) AS p FROM x) SELECT vec_id, round(-list_sum(list_transform(p, lambda v: v * ln(v))), 4) AS entropy, round(list_reverse_sort(p)[1] - list_reverse_sort(p)[2], 4) AS margin FROM p"
+SOFTMAX_ENTROPY = f"WITH x AS (SELECT vec_id, {_RAISED.format('')} AS e FROM embeddings), p AS (SELECT vec_id, list_transform(e, lambda v: v / list_sum(e)) AS p FROM x) SELECT vec_id, round(-list_sum(list_transform(p, lambda v: v * ln(v))), 4) AS entropy, round(list_reverse_sort(p)[1] - list_reverse_sort(p)[2], 4) AS margin FROM p"
 
 
 def divergences(spark, d):
-    e = table(spark, d, "embeddings").select("vec_id", V.softmax(F.slice("embedding", 1, 8)).alias("p"), V.softmax(F.slice("embedding", 9, 8)).alias("q"))
-    return e.select("vec_id", F.round(V.kl(F.col("p"), F.col("q")), 6).alias("kl"), F.round(V.js(F.col("p"), F.col("q")), 6).alias("js"))
+    """Between the two halves of each vector."""
+    e = table(spark, d, "embeddings").select("vec_id", V.softmax(F.slice("embedding", 1, 32)).alias("p"), V.softmax(F.slice("embedding", 33, 32)).alias("q"))
+    return e.select("vec_id", F.round(V.kl(F.col("p"), F.col("q")), 5).alias("kl"), F.round(V.js(F.col("p"), F.col("q")), 5).alias("js"))
 
 
-DIVERGENCES = "WITH x AS (SELECT vec_id, list_transform(embedding[1:8], lambda v: exp(v::DOUBLE)) AS a, list_transform(embedding[9:16], lambda v: exp(v::DOUBLE)) AS b FROM embeddings), p AS (SELECT vec_id, list_zip(list_transform(a, lambda v: v / list_sum(a)), list_transform(b, lambda v: v / list_sum(b))) AS z FROM x) SELECT vec_id, round(list_sum(list_transform(z, lambda v: v[1] * ln(v[1] / v[2]))), 6) AS kl, round(0.5 * list_sum(list_transform(z, lambda v: v[1] * ln(2 * v[1] / (v[1] + v[2])) + v[2] * ln(2 * v[2] / (v[1] + v[2])))), 6) AS js FROM p"
+_KL = lambda a, b: f"list_sum(list_transform(z, lambda v: {a} * ln({a} / {b})))"
+DIVERGENCES = f"WITH x AS (SELECT vec_id, {_RAISED.format('[1:32]')} AS a, {_RAISED.format('[33:64]')} AS b FROM embeddings), p AS (SELECT vec_id, list_zip(list_transform(a, lambda v: v / list_sum(a)), list_transform(b, lambda v: v / list_sum(b))) AS z FROM x) SELECT vec_id, round({_KL('v[1]', 'v[2]')}, 5) AS kl, round(0.5 * {_KL('v[1]', '((v[1] + v[2]) / 2)')} + 0.5 * {_KL('v[2]', '((v[1] + v[2]) / 2)')}, 5) AS js FROM p"
 
 
 def cosines(spark, d):

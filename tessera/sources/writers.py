@@ -56,3 +56,21 @@ def guarded_output(path: str, roots: list[str]) -> str:
     if not any(path == r or path.startswith(r.rstrip("/") + "/") for r in roots) or "/../" in path + "/":
         raise ValueError(f"{path} is outside {', '.join(roots)}")
     return path
+
+
+def replaced(df: DataFrame, path: str) -> None:
+    """Parquet at `path`, old rows or new ones at any time: written beside it, then put in its place by renaming. A run that dies
+    half-way leaves the old table."""
+    import uuid
+
+    spark = df.sparkSession
+    paths = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    staging, old, target = (paths(f"{path}{end}") for end in (f".staging-{uuid.uuid4().hex}", ".old", ""))
+    df.write.parquet(staging.toString())
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(target):
+        fs.delete(old, True)
+        fs.rename(target, old)
+    if not fs.rename(staging, target):
+        raise OSError(f"{staging} could not be renamed to {path}")
+    fs.delete(old, True)

@@ -51,6 +51,16 @@ def registered(units: DataFrame, events: DataFrame, key: str = "unit_id") -> Dat
     return units.select(key).distinct().join(events.select(key).distinct(), key, "left_anti").withColumn("status", F.lit("pending"))
 
 
+def marked(units: DataFrame, status: str, at: int, key: str = "unit_id") -> DataFrame:
+    """Events that put units in a state, with places in the log from `at` on; an unknown state is an error. To be appended to the log."""
+    if status not in STATUSES:
+        raise ValueError(f"{status!r} is none of {', '.join(STATUSES)}")
+    from ..operators.ranking import global_row_number
+
+    numbered = global_row_number(units.select(key).distinct(), [F.asc(key)], "r_")
+    return numbered.select(key, F.lit(status).alias("status"), (F.col("r_") - 1 + at).cast("long").alias("seq"))
+
+
 def resumed(todo: DataFrame, path: str, key: str, work: Callable[[DataFrame], DataFrame]) -> int:
     """Apply work to the rows whose key the table at `path` lacks, and append. Returns how many were left.
 
