@@ -71,9 +71,16 @@ def version_diff(old: DataFrame, new: DataFrame, on: list[str], values: list[str
     return both.select(*on, status.alias("status"), F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), changed).otherwise(F.array().cast("array<string>")).alias("changed"), "a", "b")
 
 
-def paired(df: DataFrame, on: list[str], role: str, treatment, control, value: str) -> DataFrame:
-    """Treatment less control for each key that has both; of several rows of a role the largest value counts."""
-    pivot = df.groupBy(*on).agg(F.max(F.when(F.col(role) == treatment, F.col(value))).alias("treatment"), F.max(F.when(F.col(role) == control, F.col(value))).alias("control"))
+def paired(df: DataFrame, on: list[str], role: str, treatment, control, value: str, order: str | None = None) -> DataFrame:
+    """Treatment less control for each key that has both. Of several rows of a role the last by `order` counts (of equal
+    ones the largest value), and a key drops out when that row has no value; without an order the largest value counts."""
+
+    def of(which) -> Column:
+        if order is None:
+            return F.max(F.when(F.col(role) == which, F.col(value)))
+        return F.max_by(F.col(value), F.when(F.col(role) == which, F.struct(order, value)))
+
+    pivot = df.groupBy(*on).agg(of(treatment).alias("treatment"), of(control).alias("control"))
     return pivot.where("treatment is not null and control is not null").withColumn("delta", F.col("treatment") - F.col("control"))
 
 

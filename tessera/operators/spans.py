@@ -111,23 +111,28 @@ def _mixed(spans: list, most: int) -> list:
     return [s for _, s in sorted(enumerate(spans), key=lambda x: (turn(*x), x[0]))][:most]
 
 
+# Priority of a span type where spans overlap, the least first; other types come last, at 99.
+PRIORITY = {"rate": 5, "number_unit": 8, "number": 10, "question_target": 20, "comparison": 30, "negation": 40, "condition": 45, "operation": 50, "object": 80}
+
+
 def unoverlapped(df: DataFrame, by: str, *, most: int = 12) -> DataFrame:
-    """For rows (by, start, end, type, text): the spans that remain when the more wanted of two overlapping ones stays,
-    except that a number and a span of another type may lie one inside the other. At most `most` spans a text: numbers
-    first, then comparisons, negations, conditions, operations, question targets, one object, and others by priority.
+    """For rows (by, start, end, type, text): the spans that remain where spans overlap. Spans are taken in the order of
+    the text (start, end, priority). A span goes when one that was kept before overlaps it and has a better priority, or
+    the same priority and no lesser length; a number and a span of another type, one inside the other, both stay. At most
+    `most` spans a text: numbers first, then comparisons, negations, conditions, operations, question targets, one object,
+    and others by priority. Rows with the same (start, end, type) count once; an unknown type has the last priority.
 
     Each decision depends on those before, so a text's spans are looked at in one Python call; a text's spans are few."""
-    order = {t: i for i, t in enumerate(L.SPAN_PRIORITY)}
 
     def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.assign(p=rows["type"].map(lambda t: order.get(t, 100)), n=rows["start"] - rows["end"]).sort_values(["p", "n", "start", "text"], kind="stable").drop_duplicates(["start", "end", "type"])
-        taken: list = []
+        rows = rows.assign(p=rows["type"].map(lambda t: PRIORITY.get(t, 99))).sort_values(["start", "end", "p", "type", "text"], kind="stable").drop_duplicates(["start", "end", "type"])
+        kept: list = []
         for r in rows.itertuples(index=False):
-            clash = [t for t in taken if r.start < t.end and t.start < r.end]
-            inside = all((r.type == "number") != (t.type == "number") and (t.start <= r.start and r.end <= t.end or r.start <= t.start and t.end <= r.end) for t in clash)
-            if inside:
-                taken.append(r)
-        out = pd.DataFrame(_mixed(sorted(taken, key=lambda t: (t.p, t.start, t.end)), most), columns=rows.columns).sort_values(["start", "end", "type"])
+            rivals = [t for t in kept if r.start < t.end and t.start < r.end]
+            nested = lambda t: (r.type == "number") != (t.type == "number") and (t.start <= r.start and r.end <= t.end or r.start <= t.start and t.end <= r.end)  # noqa: E731, B023
+            if not any((t.p, t.start - t.end) <= (r.p, r.start - r.end) for t in rivals if not nested(t)):
+                kept.append(r)
+        out = pd.DataFrame(_mixed(sorted(kept, key=lambda t: (t.p, t.start, t.end)), most), columns=rows.columns).sort_values(["start", "end", "type"])
         return out[[by, "start", "end", "type", "text"]]
 
     schema = df.select(by, "start", "end", "type", "text").schema

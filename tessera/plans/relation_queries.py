@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import rules as R
 from ..operators import aggregates as A
 from ..operators import contracts as K
 from ..operators import joins as J
 from ..operators import ranking as G
 from ..operators import sampling as P
-from .base import SCORED, literal, scored_documents, sql_values, table
+from .base import SCORED, scored_documents, table
 
 
 def strict_join(spark, d):
@@ -323,20 +322,6 @@ def stage_histograms(spark, d):
 
 STAGE_HISTOGRAMS = "SELECT 'lang' AS field, lang AS value, count(*) AS rows FROM documents GROUP BY lang UNION ALL SELECT 'source', source, count(*) FROM documents GROUP BY source"
 
-PAIRS = [(1, "delete", 1), (2, "generalize", 1), (3, "delete", 3), (4, "generalize", 6)]
-
-
-def entailment_rules(spark, d):
-    """Scores of the rule-based entailment scorer, and the necessity they lead to."""
-    rows = literal(spark, PAIRS, "id int, kind string, spans int")
-    f, b = R.entailment(F.col("kind"), F.col("spans"), "forward"), R.entailment(F.col("kind"), F.col("spans"), "backward")
-    n = R.necessity(f["entailment"], b["entailment"], F.greatest(f["contradiction"], b["contradiction"]))
-    return rows.select("id", f["entailment"].alias("forward"), b["label"].alias("backward_label"), n["label"].alias("label"), n["score"].alias("score"))
-
-
-ENTAILMENT_RULES = "SELECT CAST(id AS INTEGER) AS id, CAST(f AS DOUBLE) AS forward, bl AS backward_label, label, CAST(s AS DOUBLE) AS score FROM " + sql_values([(1, 0.55, "neutral", "Information Loss", 0.75), (2, 0.75, "neutral", "Information Loss", 0.65), (3, 0.45, "neutral", "Non-equivalent", 0.85), (4, 0.55, "neutral", "Information Loss", 0.85)], ["id", "f", "bl", "label", "s"])
-
-
 def off_class_mass(spark, d):
     return A.off_class_share(scored_documents(spark, d), ["lang"], "score", F.col("quality") == 0).select("lang", F.round("off_share", 9).alias("off_share"))
 
@@ -359,5 +344,5 @@ QUERIES = {name: (globals()[name], globals()[name.upper()]) for name in (
     "strict_join", "unlabelled", "customers_with_orders", "key_differences", "transitions", "version_diff", "filled_labels", "win_rates", "concordance", "interval_overlaps", "first_purchase_and_error",
     "paired_deltas", "vote_consistency", "majority_labels", "grouping_rates", "confusion_metrics", "overall_metrics", "calibration", "risk_coverage", "functional_dependency", "band_separation", "minmax_by_order",
     "global_scaling", "rank_policies", "median_gate", "average_precision", "topk_hits", "quota_sample", "budget_precision", "group_split", "group_folds", "contract_counts", "feature_completeness", "duplicate_keys",
-    "inconsistent_sources", "value_shares", "stage_histograms", "entailment_rules", "off_class_mass", "revenue_by_nation",
+    "inconsistent_sources", "value_shares", "stage_histograms", "off_class_mass", "revenue_by_nation",
 )}

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import rules as R
 from ..functions import vectors as V
 from ..operators import ml as M
 from ..operators import sampling as P
 from ..operators import stats as S
-from .base import SCORED, all_texts, literal, scored_documents, sql_values, table
+from .base import SCORED, all_texts, scored_documents, table
 
 ROUNDS = 50
 
@@ -73,14 +72,6 @@ def _boot_auc(score: str) -> str:
 PAIRED_BOOTSTRAP = f"WITH s AS {SCORED}, w AS (SELECT * FROM (SELECT b.round, s.quality, s.score, s.other, {_times('s.source', 9)} AS t FROM s, {ROUND_TABLE.replace(str(ROUNDS), '20')}) WHERE t > 0), x AS ({_boot_auc('score')}), y AS ({_boot_auc('other')}) SELECT x.round, round(x.v, 9) AS score, round(y.v, 9) AS other FROM x JOIN y USING (round)"
 
 
-def equivalence_verdict(spark, d):
-    rows = literal(spark, [(0.01, 0.2), (-0.3, -0.1), (-0.02, 0.03), (-0.4, 0.4), (None, 0.1)], "low double, high double")
-    return rows.select("low", "high", R.verdict(F.col("low"), F.col("high")).alias("verdict"))
-
-
-EQUIVALENCE_VERDICT = "SELECT CAST(low AS DOUBLE) AS low, CAST(high AS DOUBLE) AS high, verdict FROM " + sql_values([(0.01, 0.2, "positive"), (-0.3, -0.1, "negative"), (-0.02, 0.03, "equivalent"), (-0.4, 0.4, "imprecise"), (None, 0.1, "undetermined")], ["low", "high", "verdict"])
-
-
 _RAISED = "list_transform(list_transform(embedding{0}, lambda v: v::DOUBLE), lambda v: exp(v - list_max(list_transform(embedding{0}, lambda u: u::DOUBLE))))"
 
 
@@ -167,6 +158,6 @@ def uniform_hash(spark, d):
 UNIFORM_HASH = "SELECT c_custkey, CAST(('0x' || substr(sha256('7:' || c_custkey), 1, 8)) AS BIGINT)::DOUBLE / 4294967296.0::DOUBLE AS u FROM customer"
 
 QUERIES = {name: (globals()[name], globals().get(name.upper())) for name in (
-    "auroc", "auroc_by_source", "spearman", "bootstrap_means", "bootstrap_interval", "paired_bootstrap", "equivalence_verdict", "softmax_entropy", "divergences", "cosines", "layer_summaries", "leave_one_out",
+    "auroc", "auroc_by_source", "spearman", "bootstrap_means", "bootstrap_interval", "paired_bootstrap", "softmax_entropy", "divergences", "cosines", "layer_summaries", "leave_one_out",
     "feature_usefulness", "tfidf_terms", "ridge_predictions", "logistic_auroc", "uniform_hash",
 )}

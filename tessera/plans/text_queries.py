@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
-from ..functions import rules as R
 from ..functions import text as X
 from ..operators import aggregates as A
 from ..operators import spans as S
@@ -78,35 +77,6 @@ def masked_numbers(spark, d):
 
 MASKED_NUMBERS = rf"SELECT doc_id, length(m) AS chars, md5(m) AS digest FROM (SELECT doc_id, regexp_replace(text, '{NUMBER}', '[MASK]', 'g') AS m FROM documents)"
 
-MENTIONS = [
-    (1, "See CVE-2021-44228 and cve-2020-1234.", "CVE-2021-44228"),
-    (2, "CWE-79, CWE-089 and T1059.001; again CWE-79", "none"),
-    (3, "T1003 is not XT1003 nor T10031", "T1003"),
-    (4, "nothing here", ""),
-    (5, "CVE 2019 0708 beside CWE 22", "cwe 22"),
-]
-KNOWN = [("cve", "CVE-2021-44228", "active"), ("cwe", "CWE-79", "stable"), ("cwe", "CWE-22", "stable"), ("attack", "T1059.001", "active")]
-
-
-def identifier_membership(spark, d):
-    """Mentions of ids, each echoed from its prompt, grounded in the ontology, or fabricated."""
-    from ..operators.joins import membership
-
-    rows = literal(spark, MENTIONS, "id int, text string, prompt string")
-    mentions = rows.select("id", F.inline(X.identifiers(F.col("text")))).select("id", "family", "normalized", "start", "end")
-    prompts = rows.select("id", F.inline(X.identifiers(F.col("prompt")))).select("id", "family", "normalized")
-    known = literal(spark, KNOWN, "family string, normalized string, status string")
-    return membership(mentions, prompts, known, ["family", "normalized"], ["id"]).select("id", "family", "normalized", "start", "end", "label")
-
-
-IDENTIFIER_MEMBERSHIP = """
-SELECT CAST(id AS INTEGER) AS id, family, normalized, CAST(s AS INTEGER) AS start, CAST(e AS INTEGER) AS "end", label FROM (VALUES
-(1, 'cve', 'CVE-2021-44228', 4, 18, 'echoed'), (1, 'cve', 'CVE-2020-1234', 23, 36, 'fabricated'), (2, 'cwe', 'CWE-79', 0, 6, 'grounded'), (2, 'cwe', 'CWE-89', 8, 15, 'fabricated'),
-(2, 'attack', 'T1059.001', 20, 29, 'grounded'), (2, 'cwe', 'CWE-79', 37, 43, 'grounded'), (3, 'attack', 'T1003', 0, 5, 'echoed'), (5, 'cve', 'CVE-2019-0708', 0, 13, 'fabricated'), (5, 'cwe', 'CWE-22', 21, 27, 'echoed')
-) AS v(id, family, normalized, s, e, label)
-"""
-
-
 def normal_text_duplicates(spark, d):
     docs = table(spark, d, "documents").select(X.normal(F.col("text")).alias("t"))
     return docs.groupBy("t").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").groupBy("copies").agg(F.count(F.lit(1)).alias("texts"))
@@ -114,31 +84,6 @@ def normal_text_duplicates(spark, d):
 
 NORMAL_TEXT_DUPLICATES = r"SELECT copies, count(*) AS texts FROM (SELECT count(*) AS copies FROM (SELECT lower(regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^ | $', '', 'g')) AS t FROM documents) GROUP BY t HAVING count(*) > 1) GROUP BY copies"
 
-NUMBERS = [("$1,000",), ("50%",), ("twelve",), ("3.0",), ("abc",), ("",), ("12 percent",), ("-7",), ("Dozen.",), ("1,234.50",)]
-
-
-def number_values(spark, d):
-    v = X.number_values(F.col("raw"))
-    return literal(spark, NUMBERS, "raw string").select("raw", F.size(v).cast("long").alias("n"), F.try_element_at(v, F.lit(1)).alias("first"), F.try_element_at(v, F.lit(2)).alias("second"))
-
-
-NUMBER_VALUES = "SELECT raw, CAST(n AS BIGINT) AS n, CAST(f AS DOUBLE) AS first, CAST(s AS DOUBLE) AS second FROM " + sql_values([("$1,000", 1, 1000.0, None), ("50%", 2, 50.0, 0.5), ("twelve", 1, 12.0, None), ("3.0", 1, 3.0, None), ("abc", 0, None, None), ("", 0, None, None), ("12 percent", 2, 12.0, 0.12), ("-7", 1, -7.0, None), ("Dozen.", 1, 12.0, None), ("1,234.50", 1, 1234.5, None)], ["raw", "n", "f", "s"])
-
-ANSWERS = [(1, "Answer: b, then final answer: C"), (2, "I would say (d)."), (3, "no idea"), (4, "A or B"), (5, "#### 1,200 apples"), (6, "it is 3 and then 4.50")]
-
-
-def answers(spark, d):
-    rows = literal(spark, ANSWERS, "id int, text string")
-    option, final = X.option_answer(F.col("text"), list("ABCD")), X.final_answer(F.col("text"))
-    return rows.select("id", option["label"].alias("label"), option["method"].alias("method"), final["answer"].alias("answer"), X.normal_number(final["answer"]).alias("normal"), final["start"].alias("start"))
-
-
-ANSWERS_SQL = "SELECT CAST(id AS INTEGER) AS id, label, method, answer, normal, CAST(s AS INTEGER) AS start FROM " + sql_values(
-    [(1, "C", "explicit_answer_marker", None, None, None), (2, "D", "last_isolated_label", None, None, None), (3, None, "parse_failure", None, None, None), (4, "B", "last_isolated_label", None, None, None), (5, None, "parse_failure", "1,200", "1200", 5), (6, None, "parse_failure", "4.50", "4.5", 17)],
-    ["id", "label", "method", "answer", "normal", "s"],
-)
-
-
 def degeneration_flags(spark, d):
     """Degeneration rules over the turns of conversations, and list-shaped turns."""
     c = table(spark, d, "conversations")
@@ -175,34 +120,6 @@ def token_counts(spark, d):
     return t.groupBy("role").agg(F.count(F.lit(1)).alias("tokens"), F.sum("end").cast("long").alias("ends"), F.sum(X.token_id(F.col("text"))).cast("long").alias("ids"))
 
 
-SOLUTIONS = [(1, "He has <<3+5=8>>8 and sells <<8-2=6>>6", "Tom has 3 apples, buys 5, sells 2, sees 9."), (2, "<<10*0.5=5>>", "10 and 10 or 5"), (3, "", "7")]
-
-
-def solution_path(spark, d):
-    """Numbers of a question, each on or off the path of its solution."""
-    rows = literal(spark, SOLUTIONS, "id int, solution string, question string").withColumn("s", X.solution_values(F.col("solution")))
-    numbers = rows.select("id", "s", F.inline(X.matches(F.col("question"), L.ARABIC_NUMBER))).withColumn("v", X.number_values(F.col("text")))
-    same = numbers.groupBy("id", F.col("v")[0].alias("first")).agg(F.count(F.lit(1)).cast("int").alias("times"))
-    n = numbers.withColumn("first", F.col("v")[0]).join(same, ["id", "first"])
-    return n.select("id", "text", "start", X.path_status(F.col("v"), F.col("times"), F.col("s.operands"), F.col("s.results")).alias("status"))
-
-
-SOLUTION_PATH = "SELECT CAST(id AS INTEGER) AS id, text, CAST(s AS INTEGER) AS start, status FROM " + sql_values(
-    [(1, "3", 8, "on_solution_path_number"), (1, "5", 23, "on_solution_path_number"), (1, "2", 32, "on_solution_path_number"), (1, "9", 40, "off_solution_path_number"), (2, "10", 0, "ambiguous_number"), (2, "10", 7, "ambiguous_number"), (2, "5", 13, "ambiguous_number"), (3, "7", 0, "off_solution_path_number")],
-    ["id", "text", "s", "status"],
-)
-
-DRIFTS = [("3", "number", "4", "wrong_numeric_recovery"), ("12", "number", "twelve", "exact_recovery"), ("3", "number", "several", "generic_recovery"), ("more than", "comparison", "less than", "direction_drift"), ("not", "negation", "always", "direction_drift"), ("5 miles", "object", "5 km", "unit_drift"), ("apples", "object", "the apples", "generic_recovery"), ("books", "object", "pens", "object_drift"), ("if", "condition", "when", "condition_drift"), ("x", "relation", "", "unrecoverable")]
-
-
-def drift_labels(spark, d):
-    rows = literal(spark, DRIFTS, "span string, type string, fill string, expected string")
-    return rows.select("span", "type", "fill", R.drift(F.col("span"), F.col("type"), F.col("fill"), F.lit(False)).alias("drift"))
-
-
-DRIFT_LABELS = "SELECT span, type, fill, drift FROM " + sql_values(DRIFTS, ["span", "type", "fill", "drift"])
-
-
 def word_statistics(spark, d):
     docs = table(spark, d, "documents")
     n = F.regexp_count("text", F.lit(r"\S+"))
@@ -213,7 +130,7 @@ WORD_STATISTICS = r"SELECT lang, count(n) AS n, CAST(min(n) AS DOUBLE) AS min, C
 
 QUERIES = {
     "number_spans": (number_spans, NUMBER_SPANS), "lexicon_counts": (lexicon_counts, LEXICON_COUNTS), "span_candidates": (span_candidates, None), "span_units": (span_units, None), "ablation_status": (ablation_status, None),
-    "masked_numbers": (masked_numbers, MASKED_NUMBERS), "identifier_membership": (identifier_membership, IDENTIFIER_MEMBERSHIP), "normal_text_duplicates": (normal_text_duplicates, NORMAL_TEXT_DUPLICATES),
-    "number_values": (number_values, NUMBER_VALUES), "answers": (answers, ANSWERS_SQL), "degeneration_flags": (degeneration_flags, None), "language_histogram": (language_histogram, LANGUAGE_HISTOGRAM),
-    "stable_choice": (stable_choice, STABLE_CHOICE), "text_hashes": (text_hashes, TEXT_HASHES), "token_counts": (token_counts, None), "solution_path": (solution_path, SOLUTION_PATH), "drift_labels": (drift_labels, DRIFT_LABELS), "word_statistics": (word_statistics, WORD_STATISTICS),
+    "masked_numbers": (masked_numbers, MASKED_NUMBERS), "normal_text_duplicates": (normal_text_duplicates, NORMAL_TEXT_DUPLICATES),
+    "degeneration_flags": (degeneration_flags, None), "language_histogram": (language_histogram, LANGUAGE_HISTOGRAM),
+    "stable_choice": (stable_choice, STABLE_CHOICE), "text_hashes": (text_hashes, TEXT_HASHES), "token_counts": (token_counts, None), "word_statistics": (word_statistics, WORD_STATISTICS),
 }

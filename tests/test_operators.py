@@ -253,10 +253,29 @@ def test_unoverlapped_keeps_families_and_nests_numbers_only(spark):
     for r in S.unoverlapped(frame(spark, rows, "q string, start int, end int, type string, text string"), "q").collect():
         got.setdefault(r["q"], []).append((r["start"], r["type"]))
     assert sorted(t for _, t in got["q"]) == ["comparison", "negation"] + ["number"] * 10
-    assert sorted(got["p"]) == [(5, "object"), (30, "number"), (30, "object")]
+    assert sorted(got["p"]) == [(0, "entity"), (5, "object"), (30, "number"), (30, "object")]  # the better one comes later: both stay
     assert sorted(got["r"]) == sorted([(150, "operation")] + [(10 * i, "object") for i in (12, 13, 14)] + [(10 * i, "entity") for i in range(8)])
 
 
+def test_unoverlapped_goes_through_the_text(spark):
+    spans = {
+        "a": [(0, 9, "comparison"), (5, 12, "object")], "b": [(0, 9, "object"), (5, 12, "comparison")], "c": [(0, 9, "object"), (5, 12, "object")], "d": [(0, 9, "object"), (5, 14, "object")],
+        "e": [(0, 9, "object"), (5, 20, "object")], "f": [(0, 4, "number"), (2, 9, "object")], "g": [(0, 4, "number"), (0, 9, "object")], "h": [(0, 4, "cyber"), (1, 4, "relation")],
+    }
+    rows = [(q, s, e, t, f"{s}{e}") for q, found in spans.items() for s, e, t in found]
+    got = {q: [] for q in spans}
+    for r in S.unoverlapped(frame(spark, rows, "q string, start int, end int, type string, text string"), "q").collect():
+        got[r["q"]].append(r["start"])
+    assert {q: len(found) for q, found in got.items()} == {"a": 1, "b": 2, "c": 1, "d": 1, "e": 2, "f": 1, "g": 2, "h": 1}
+
+
+def test_paired_takes_the_last_row_of_a_role(spark):
+    rows = [(1, "t", 1, 9.0), (1, "t", 2, 5.0), (1, "c", 1, 1.0), (2, "t", 1, 3.0), (2, "c", 1, 1.0), (2, "c", 2, None), (3, "t", 1, 1.0), (4, "t", 7, 2.0), (4, "t", 7, 4.0), (4, "c", 0, 1.0)]
+    df = frame(spark, rows, "k int, role string, at int, v double")
+    assert {r["k"]: r["delta"] for r in J.paired(df, ["k"], "role", "t", "c", "v", order="at").collect()} == {1: 4.0, 4: 3.0}
+    assert {r["k"]: r["delta"] for r in J.paired(df, ["k"], "role", "t", "c", "v").collect()} == {1: 8.0, 2: 2.0, 4: 3.0}
+
+
 def test_template_fills(spark):
     df = frame(spark, [(1, "a [M] b [M]", "a x b yy", "[M]"), (2, "a [M]", "b", "[M]")], "id int, template string, text string, token string")
     got = {r["id"]: r["fills"] for r in df.mapInPandas(S.template_fills, "id int, fills array<string>").collect()}
