@@ -101,3 +101,28 @@ UNITS = [
     "inch", "inches", "yard", "yards", "per",
 ]
 VAGUE_OBJECTS = ["items", "things", "objects", "stuff"]
+
+# Patterns of the extractor of question spans by family.
+RATE_PHRASE = r"(?i)\b\d+(?:\.\d+)?%?\s+[A-Za-z]+(?:\s+[A-Za-z]+)?\s+(?:each|per|apiece)\b"
+NUMBER_UNIT_PHRASE = r"(?i)\b\d+(?:\.\d+)?%?(?:\s+[A-Za-z][A-Za-z'-]*){1,2}\b"
+NUMBER_WORD = (
+    r"(?i)\b(zero|one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|thirteen|fourteen|fifteen|sixteen|seventeen|eighteen|nineteen|twenty|thirty|forty|fifty|sixty|seventy|eighty|ninety|hundred|thousand|"
+    r"dozen|half|twice|double|triple|quadruple|quarter)\b"
+)
+FAMILY_PHRASES = {
+    "question_target": ["How many are left", "How much did [A-Za-z]+ spend", "What is the total", "How many", "How much", "How far", "What"],
+    "comparison": ["more than", "less than", "fewer than", "older than", "younger than", "twice as many", "half as many", "at least", "at most", "difference between", "greater than", "smaller than"],
+    "negation": ["not", "without", "except", "never", "no"],
+    "condition": ["unless", "if", "after", "before", "only", "instead", "when", "given"],
+    "operation": [
+        "bought", "buy", "sold", "sell", "gave", "give", "left", "remaining", "total", "each", "per", "spent", "cost", "earned", "lost", "shared", "divided", "increased", "decreased", "altogether", "combined", "plus",
+        "minus", "times",
+    ],
+}
+COUNTED_WORD = r"\b\d+(?:\.\d+)?%?\s+([A-Za-z][A-Za-z'-]{2,})\b"
+CAPITALIZED_WORD = r"\b[A-Z][a-zA-Z'-]{2,}\b"
+PLURAL_WORD = r"\b[a-z][a-zA-Z'-]{3,}s\b"
+NO_OBJECTS = [
+    "how", "many", "much", "what", "which", "when", "where", "why", "the", "and", "then", "than", "with", "from", "that", "this", "into", "each", "per", "after", "before", "only", "total", "left", "more", "less", "does",
+    "did", "will", "would", "there", "were", "have", "has", "had", "if",
+]

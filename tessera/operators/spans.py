@@ -139,9 +139,45 @@ def unoverlapped(df: DataFrame, by: str, *, most: int = 12) -> DataFrame:
     return df.select(by, "start", "end", "type", "text").groupBy(by).applyInPandas(lambda key, rows: run(key, rows), schema)
 
 
-def parents(df: DataFrame, by: str) -> DataFrame:
+def family_candidates(text: Column) -> Column:
+    """Candidate spans of a question by family: rates, numbers with units, numbers as digits and words, question targets,
+    comparisons, negations, conditions, operations, and objects (words after numbers, capitalized words, plurals). Spans
+    may overlap, and equal ones count once. Every pattern begins and ends with a letter, a digit or %, so there are no
+    marks to trim. Null text has no spans."""
+    phrase = lambda p: rf"(?i)\b(?:{'|'.join(p)})\b"
+    object_ = lambda pattern, group=0: F.filter(_typed(X.matches(text, pattern, group), "object"), lambda s: ~F.lower(s["text"]).isin(L.NO_OBJECTS))
+    counted = F.filter(X.matches(text, L.NUMBER_UNIT_PHRASE), lambda m: ~F.lower(F.split(m["text"], r"\s+")[1]).isin(L.NO_OBJECTS))
+    rate = lambda m: F.arrays_overlap(F.split(F.lower(m["text"]), r"\s+"), F.array(F.lit("each"), F.lit("per"), F.lit("apiece")))
+    with_unit = F.transform(counted, lambda m: F.struct(m["text"].alias("text"), F.when(rate(m), "rate").otherwise("number_unit").alias("type"), m["start"].alias("start"), m["end"].alias("end"))).cast(X.SPAN)
+    parts = [
+        _typed(X.matches(text, L.RATE_PHRASE), "rate"), with_unit, _typed(X.matches(text, L.ARABIC_NUMBER), "number"), _typed(X.matches(text, L.NUMBER_WORD), "number"),
+        *[_typed(X.matches(text, phrase(p)), kind) for kind, p in L.FAMILY_PHRASES.items()], object_(L.COUNTED_WORD, 1), object_(L.CAPITALIZED_WORD), object_(L.PLURAL_WORD),
+    ]
+    return F.coalesce(F.array_distinct(F.concat(*parts)), F.array().cast(X.SPAN))
+
+
+def families(df: DataFrame, by: str, text: str, *, most: int = 12) -> DataFrame:
+    """Rows (by, span_id, type, start, end, text, overlap_group, parent) of the questions of df, one row a value of `by`:
+    candidates by family, thinned where they overlap (`unoverlapped`) and numbered in text order from span_000.
+    overlap_group numbers from 1 the chains of two overlapping spans or more, in text order, and is null for a span alone;
+    parent is the longest span of the group (of equal ones the better priority, then the first) where it holds the span."""
+    from pyspark.sql import Window
+
+    rows = df.select(by, F.inline(family_candidates(F.col(text))))
+    kept = unoverlapped(rows, by, most=most)
+    rank = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in PRIORITY.items() for x in kv]), F.col("type")), F.lit(99))
+    numbered = kept.withColumn("rank_", rank).withColumn("span_id", F.format_string("span_%03d", F.row_number().over(Window.partitionBy(by).orderBy("start", "end", "rank_", "type")) - 1))
+    grouped = parents(numbered, by, rank="rank_")
+    many = F.count(F.lit(1)).over(Window.partitionBy(by, "overlap_group")) > 1
+    dense = grouped.withColumn("chain_", F.when(many, F.col("overlap_group")))
+    group = F.when(F.col("chain_").isNotNull(), F.dense_rank().over(Window.partitionBy(by).orderBy(F.col("chain_").asc_nulls_last())))
+    return dense.select(by, "span_id", "type", "start", "end", "text", group.alias("overlap_group"), "parent")
+
+
+def parents(df: DataFrame, by: str, rank: str | None = None) -> DataFrame:
     """df of spans (by, span_id, start, end) with overlap_group and parent: spans that chain by overlapping share a group
-    (gaps and islands); the parent is the longest span that contains a span, null for the longest itself."""
+    (gaps and islands); the parent is the longest span that contains a span, null for the longest itself. Of equally long
+    ones the least `rank` counts, where one is given, then the first."""
     from pyspark.sql import Window
 
     w = Window.partitionBy(by).orderBy("start", F.desc("end"), "span_id")
@@ -149,7 +185,7 @@ def parents(df: DataFrame, by: str) -> DataFrame:
     marked = df.withColumn("new_", F.when(reach.isNull() | (F.col("start") >= reach), 1).otherwise(0))
     grouped = marked.withColumn("overlap_group", F.sum("new_").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("new_")
     g = Window.partitionBy(by, "overlap_group")
-    longest = F.max(F.struct((F.col("end") - F.col("start")).alias("n"), (-F.col("start")).alias("s"), F.col("span_id").alias("id"), F.col("end").alias("e"))).over(g)
+    longest = F.max(F.struct((F.col("end") - F.col("start")).alias("n"), (-F.col(rank) if rank else F.lit(0)).alias("r"), (-F.col("start")).alias("s"), F.col("span_id").alias("id"), F.col("end").alias("e"))).over(g)
     out = grouped.withColumn("l_", longest)
     inside = (F.col("span_id") != F.col("l_")["id"]) & (F.col("start") >= -F.col("l_")["s"]) & (F.col("end") <= F.col("l_")["e"])
     return out.withColumn("parent", F.when(inside, F.col("l_")["id"])).drop("l_")

@@ -120,6 +120,17 @@ def token_counts(spark, d):
     return t.groupBy("role").agg(F.count(F.lit(1)).alias("tokens"), F.sum("end").cast("long").alias("ends"), F.sum(X.token_id(F.col("text"))).cast("long").alias("ids"))
 
 
+_ASKED = """concat(CASE o_orderkey % 4 WHEN 0 THEN 'If Ann buys ' WHEN 1 THEN 'Tom sold ' WHEN 2 THEN 'After lunch Mary gave ' ELSE 'A baker never lost ' END, o_orderkey % 90 + 2, CASE o_custkey % 3 WHEN 0 THEN ' red apples each' WHEN 1 THEN ' miles per day' ELSE ' books' END,
+  ' and ', o_custkey % 50, '% more than twelve friends, ', CASE o_orderkey % 3 WHEN 0 THEN 'How many are left?' WHEN 1 THEN 'How much did Tom spend?' ELSE 'What is the total for 1,250 cards at $3.50?' END)"""
+
+
+def span_families(spark, d):
+    """Spans of questions by family, thinned where they overlap: how many of each text, with their places, groups and parents."""
+    asked = table(spark, d, "orders").select("o_orderkey", F.expr(_ASKED).alias("question"))
+    rows = S.families(asked, "o_orderkey", "question")
+    return rows.groupBy("type", "text").agg(F.count(F.lit(1)).alias("spans"), F.sum("start").cast("long").alias("starts"), F.count("overlap_group").alias("grouped"), F.count("parent").alias("inside"))
+
+
 def word_statistics(spark, d):
     docs = table(spark, d, "documents")
     n = F.regexp_count("text", F.lit(r"\S+"))
@@ -129,7 +140,7 @@ def word_statistics(spark, d):
 WORD_STATISTICS = r"SELECT lang, count(n) AS n, CAST(min(n) AS DOUBLE) AS min, CAST(max(n) AS DOUBLE) AS max, avg(n) AS mean, CAST(median(n) AS DOUBLE) AS median FROM (SELECT lang, len(regexp_extract_all(text, '\S+')) AS n FROM documents) GROUP BY lang"
 
 QUERIES = {
-    "number_spans": (number_spans, NUMBER_SPANS), "lexicon_counts": (lexicon_counts, LEXICON_COUNTS), "span_candidates": (span_candidates, None), "span_units": (span_units, None), "ablation_status": (ablation_status, None),
+    "number_spans": (number_spans, NUMBER_SPANS), "lexicon_counts": (lexicon_counts, LEXICON_COUNTS), "span_candidates": (span_candidates, None), "span_units": (span_units, None), "span_families": (span_families, None), "ablation_status": (ablation_status, None),
     "masked_numbers": (masked_numbers, MASKED_NUMBERS), "normal_text_duplicates": (normal_text_duplicates, NORMAL_TEXT_DUPLICATES),
     "degeneration_flags": (degeneration_flags, None), "language_histogram": (language_histogram, LANGUAGE_HISTOGRAM),
     "stable_choice": (stable_choice, STABLE_CHOICE), "text_hashes": (text_hashes, TEXT_HASHES), "token_counts": (token_counts, None), "word_statistics": (word_statistics, WORD_STATISTICS),

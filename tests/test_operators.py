@@ -269,6 +269,26 @@ def test_unoverlapped_goes_through_the_text(spark):
     assert {q: len(found) for q, found in got.items()} == {"a": 1, "b": 2, "c": 1, "d": 1, "e": 2, "f": 1, "g": 2, "h": 1}
 
 
+QUESTION = "If Ann buys 12 red apples each and sold 5% more than twelve friends, How many are left? Tom's cards cost 3 dollars per day, not 1,250."
+
+
+def test_families_of_a_question(spark):
+    df = frame(spark, [("a", QUESTION), ("b", None), ("c", ""), ("d", "and so"), ("e", "7 boxes")], "q string, question string")
+    rows = S.families(df, "q", "question", most=99).collect()
+    got = {(r["type"], r["text"]) for r in rows if r["q"] == "a"}
+    assert {("rate", "12 red apples each"), ("number", "12"), ("condition", "If"), ("object", "Ann"), ("question_target", "How many are left"), ("number", "twelve"), ("comparison", "more than"), ("rate", "3 dollars per"), ("negation", "not"), ("number", "1,250")} <= got
+    assert not any(t == "operation" and x in ("each", "per", "left") for t, x in got)
+    assert all(QUESTION[r["start"] : r["end"]] == r["text"] for r in rows if r["q"] == "a")
+    assert {r["q"] for r in rows} == {"a", "e"}
+    e = sorted((r["span_id"], r["type"], r["text"], r["overlap_group"], r["parent"]) for r in rows if r["q"] == "e")
+    assert e == [("span_000", "number", "7", 1, "span_001"), ("span_001", "number_unit", "7 boxes", 1, None)]
+    ids = [r["span_id"] for r in sorted((r for r in rows if r["q"] == "a"), key=lambda r: r["span_id"])]
+    assert ids == [f"span_{i:03d}" for i in range(len(ids))]
+    groups = [r["overlap_group"] for r in sorted((r for r in rows if r["q"] == "a"), key=lambda r: r["span_id"]) if r["overlap_group"]]
+    assert groups == sorted(groups) and set(groups) == set(range(1, max(groups) + 1))
+    assert len(S.families(df, "q", "question", most=4).where("q = 'a'").collect()) == 4
+
+
 def test_paired_takes_the_last_row_of_a_role(spark):
     rows = [(1, "t", 1, 9.0), (1, "t", 2, 5.0), (1, "c", 1, 1.0), (2, "t", 1, 3.0), (2, "c", 1, 1.0), (2, "c", 2, None), (3, "t", 1, 1.0), (4, "t", 7, 2.0), (4, "t", 7, 4.0), (4, "c", 0, 1.0)]
     df = frame(spark, rows, "k int, role string, at int, v double")
