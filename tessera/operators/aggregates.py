@@ -97,7 +97,7 @@ def overall_metrics(df: DataFrame, gold: str, predicted: str, *, supported_only:
 def equal_parts(df: DataFrame, score: str, key: str, parts: int) -> DataFrame:
     """df with `part`: 1 to `parts`, in which the first rows by score (high to low, ties by key) come first and the
     first parts have the rows left over. One global order is needed: ranks come from range partitions, not one task."""
-    from .ranking import global_row_number
+    from .ordering import global_row_number
 
     ranked = global_row_number(df, [F.desc(score), F.asc(key)], "rn_")
     n = ranked.agg(F.count(F.lit(1)).alias("n_"))

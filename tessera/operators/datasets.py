@@ -108,7 +108,7 @@ def span_surface(span_type, text, start, length):
 def imported(raw: DataFrame, questions: list[str], answers: list[str], order: list, *, dataset: str, split: str) -> DataFrame:
     """Records of foreign data in one form: the first filled of the candidate columns as question and answer, an id by place (from 1), and the
     record as it came. `problem` names what is missing; nothing is dropped."""
-    from .ranking import global_row_number
+    from .ordering import global_row_number
 
     filled = lambda names: X.first_filled(*[F.col(c).cast("string") for c in names if c in raw.columns]) if any(c in raw.columns for c in names) else F.lit(None).cast("string")
     rows = global_row_number(raw, order, "place")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import global_row_number
+from .ordering import global_row_number
 
 # Names of statuses and number types.
 ON, OFF, AMBIGUOUS = "on_solution_path_number", "off_solution_path_number", "ambiguous_number"

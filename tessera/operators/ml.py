@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import ranged
 from .stats import auroc
 
 
@@ -194,7 +195,7 @@ def isotonic_calibrated(df: DataFrame, score: str, label: str, *, train: Column)
     y = F.col("total") / F.col("weight")
     ends = blocks.select(F.explode(F.array("low", "high")).alias("x_"), y.alias("y_"))
     asked = df.select(F.col(score).cast("double").alias("x_"), F.lit(None).cast("double").alias("y_")).where(F.col("x_").isNotNull())
-    spread = asked.distinct().unionByName(ends).groupBy("x_").agg(F.max("y_").alias("y_")).repartitionByRange("x_").withColumn("pid_", F.spark_partition_id())
+    spread = ranged(asked.distinct().unionByName(ends).groupBy("x_").agg(F.max("y_").alias("y_")), [F.asc("x_")])
     point = F.when(F.col("y_").isNotNull(), F.struct(F.col("x_").alias("x"), F.col("y_").alias("y")))
     ordered = Window.orderBy("pid_")
     beside = spread.groupBy("pid_").agg(F.min(point).alias("first_"), F.max(point).alias("last_")).select(

@@ -5,17 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def global_row_number(df: DataFrame, order: list[Column], name: str) -> DataFrame:
-    """df with a row number over the whole table, without gathering it: range partitions are numbered by
-    themselves and shifted by the rows of the partitions before. The counts, one row per partition, are broadcast.
-
-    `order` must name rows uniquely, or tied rows get their numbers in any order."""
-    spread = df.repartitionByRange(*order).withColumn("pid_", F.spark_partition_id())
-    local = spread.withColumn("ln_", F.row_number().over(Window.partitionBy("pid_").orderBy(*order)))
-    counts = spread.groupBy("pid_").agg(F.count(F.lit(1)).alias("c_"))
-    before = counts.select("pid_", (F.sum("c_").over(Window.orderBy("pid_")) - F.col("c_")).alias("b_"))
-    return local.join(F.broadcast(before), "pid_").withColumn(name, F.col("ln_") + F.col("b_")).drop("pid_", "ln_", "b_")
+from .ordering import global_row_number, running_sums
 
 
 def ranks(df: DataFrame, by: list[str], score: str, key: str) -> DataFrame:
@@ -103,9 +93,8 @@ def budget(df: DataFrame, score: str, key: str, positive: Column, fraction: floa
 def average_precision(df: DataFrame, score: str, key: str, label: str) -> DataFrame:
     """Area under the precision-recall curve as the sum of precision at each positive; ties by key."""
     rows = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).select(F.col(score).alias("s"), F.col(key).alias("k"), F.col(label).cast("int").alias("y"))
-    every = global_row_number(rows, [F.desc("s"), F.asc("k")], "r")
-    hits = global_row_number(rows.where("y = 1"), [F.desc("s"), F.asc("k")], "tp").select("k", "tp")
-    return every.join(hits, "k").agg(F.avg(F.col("tp") / F.col("r")).alias("auprc"))
+    ranked = running_sums(rows, [F.desc("s"), F.asc("k")], {"r": F.lit(1), "tp": F.col("y")})
+    return ranked.where("y = 1").agg(F.avg(F.col("tp") / F.col("r")).alias("auprc"))
 
 
 def risk_coverage(df: DataFrame, risk: str, key: str, wrong: Column, coverages: list[float]) -> DataFrame:

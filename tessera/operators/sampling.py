@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import global_row_number
+from .ordering import global_row_number
 
 
 def order_of(key: str | Column, seed: int = 0) -> Column:

@@ -5,19 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import running_sums
+
 
 def counted_below(values: DataFrame, order: str, count: str, name: str, by: list[str]) -> DataFrame:
-    """values with the sum of `count` over the rows of the group that come before in order, 0 for the first. Without groups the rows are
-    dealt to ranges of the order, summed within each, and shifted by the sums of the ranges before (one row a range, broadcast):
-    no task sees the whole table."""
+    """values with the sum of `count` over the rows of the group that come before in order, 0 for the first. Without groups the
+    values are dealt to ranges of the order: no task sees the whole table."""
     if by:
         w = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
         return values.withColumn(name, F.coalesce(F.sum(count).over(w), F.lit(0)))
-    spread = values.repartitionByRange(order).withColumn("pid_", F.spark_partition_id())
-    inside = F.coalesce(F.sum(count).over(Window.partitionBy("pid_").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = spread.groupBy("pid_").agg(F.sum(count).alias("c_"))
-    before = parts.select("pid_", (F.sum("c_").over(Window.orderBy("pid_")) - F.col("c_")).alias("b_"))
-    return spread.withColumn("i_", inside).join(F.broadcast(before), "pid_").withColumn(name, F.col("i_") + F.col("b_")).drop("pid_", "i_", "b_")
+    return running_sums(values, [F.asc(order)], {name: F.col(count)}).withColumn(name, F.col(name) - F.col(count))
 
 
 def auroc(df: DataFrame, score: str, label: str, by: list[str] | None = None) -> DataFrame:

@@ -55,7 +55,7 @@ def marked(units: DataFrame, status: str, at: int, key: str = "unit_id") -> Data
     """Events that put units in a state, with places in the log from `at` on; an unknown state is an error. To be appended to the log."""
     if status not in STATUSES:
         raise ValueError(f"{status!r} is none of {', '.join(STATUSES)}")
-    from ..operators.ranking import global_row_number
+    from ..operators.ordering import global_row_number
 
     numbered = global_row_number(units.select(key).distinct(), [F.asc(key)], "r_")
     return numbered.select(key, F.lit(status).alias("status"), (F.col("r_") - 1 + at).cast("long").alias("seq"))
