@@ -112,7 +112,7 @@ def test_isotonic_of_many_scores(scores):
 
 
 def test_small_and_empty(spark):
-    df = spark.createDataFrame([("b", None), ("a", 2), ("c", 3)], "a.b string, v int")
+    df = spark.createDataFrame([("b", None), ("a", 2), ("c", 3)], "`a.b` string, v int")
     got = {r["a.b"]: (r["n"], r["s"]) for r in ordering.running_sums(ordering.global_row_number(df, [F.asc("`a.b`")], "n"), [F.asc("n")], {"s": F.col("v")}).collect()}
     assert got == {"a": (1, 2), "b": (2, 2), "c": (3, 5)}
     assert ordering.global_row_number(df.where("v > 9"), [F.asc("v")], "n").count() == 0
