@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, langid, mixing, near_dedup, quality, sharding, topk, toxicity
+from . import bpe, chat, exact_dedup, langid, mixing, near_dedup, negatives, quality, sharding, topk, toxicity
 
 QUERIES = {
     "op1_topk_search": topk.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_mixing": mixing.query,
     "op9_exact_dedup": exact_dedup.query,
     "op10_chat_format": chat.query,
+    "op11_hard_negatives": negatives.query,
 }
 
 #: The other queries have no SQL form and are tested against brute force, a round trip or held-out accuracy.
@@ -24,4 +25,5 @@ ORACLES = {
     "op8_mixing": mixing.ORACLE,
     "op9_exact_dedup": exact_dedup.ORACLE,
     "op10_chat_format": chat.ORACLE,
+    "op11_hard_negatives": negatives.ORACLE,
 }
