@@ -29,6 +29,8 @@ NONE = -(2**63)
 
 PACKED = "block long, longest double, n int, dim int, ids binary, labels binary, matrix binary"
 FOUND = "block long, at int, vec_id long, score long"
+#: A lane has so many rows at least, since each returns up to k rows a window.
+LANE_ROWS = 8192
 #: Rows of several hundred kilobytes that go to Python at a time.
 BATCH = 16
 
@@ -191,7 +193,7 @@ def _cells(groups: DataFrame, buckets: DataFrame, lanes: int) -> DataFrame:
     right = buckets.join(owners).select("*", F.explode("owners").alias("o")).where(F.col("longest") * (1 + 1e-9) >= F.col("o.reach"))
     right = right.withColumns({"lane": lane, "owner": F.col("o.owner"), "kind": F.lit(1), "limits": F.lit(None).cast(limits)}).select(*columns)
     # the lanes of a group go to partitions beside each other, so that none gets two while another has none
-    n = max(lanes, int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    n = max(lanes, min(lanes * groups.count(), int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     dealt = left.unionByName(right).repartitionById(n, F.pmod(F.xxhash64("owner") + F.col("lane"), F.lit(n)).cast("int"))
     return dealt.sortWithinPartitions("lane", "owner", "kind", F.desc("longest"), "block")
 
@@ -212,8 +214,8 @@ def hard_negatives(
     rank each. Vectors of different lengths are padded with zeros. Components and products beyond 64 bits are held at the ends of the type, so
     they tie. Empty tables, tables without anchors and tables of one label give no rows. Other columns are not read.
 
-    Nothing but the number of anchors comes to the driver. Groups are broadcast as their number and reach alone, 16 bytes for group_rows anchors.
-    Lanes (by default so many that groups times lanes make the shuffle partitions) change cost, not results.
+    Nothing but the numbers of rows, anchors and groups comes to the driver. Groups are broadcast as their number and reach alone, 16 bytes for group_rows anchors.
+    Lanes (by default so many that groups times lanes make the shuffle partitions, with LANE_ROWS rows each at least) change cost, not results.
     """
     spark = vectors.sparkSession
     sound = F.forall(F.col("raw"), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
@@ -227,7 +229,9 @@ def hard_negatives(
     part = F.pmod(F.xxhash64("vec_id"), F.lit(n_groups)).cast("int")
     dealt = asked.select("vec_id", "label", "v", part.alias("part")).repartition(n_groups, "part").sortWithinPartitions("part", "vec_id")
     groups = stored(dealt.mapInPandas(_pack(group_rows + group_rows // 4), PACKED), "negative-anchors")
-    lanes = lanes or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // n_groups)
+    if lanes is None:
+        held = buckets.agg(F.sum("n")).collect()[0][0] or 0
+        lanes = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")) // n_groups, -(-held // LANE_ROWS)))
 
     first = groups.withColumns({"limits": F.lit(None).cast("array<struct<at int, slot int, low long, high long>>"), "reach": F.lit(0.0)})
     with small_batches(spark, BATCH):
