@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, exact_dedup, langid, mixing, near_dedup, negatives, quality, sharding, topk, toxicity
+from . import bpe, chat, exact_dedup, langid, mixing, near_dedup, negatives, packing, quality, sharding, topk, toxicity, trie
 
 QUERIES = {
     "op1_topk_search": topk.query,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_exact_dedup": exact_dedup.query,
     "op10_chat_format": chat.query,
     "op11_hard_negatives": negatives.query,
+    "op12_best_fit_packing": packing.query,
+    "op13_conversation_trie": trie.query,
 }
 
 #: The other queries have no SQL form and are tested against brute force, a round trip or held-out accuracy.
@@ -26,4 +28,5 @@ ORACLES = {
     "op9_exact_dedup": exact_dedup.ORACLE,
     "op10_chat_format": chat.ORACLE,
     "op11_hard_negatives": negatives.ORACLE,
+    "op13_conversation_trie": trie.ORACLE,
 }
