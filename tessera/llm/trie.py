@@ -34,7 +34,7 @@ STRETCH = 4096
 #: A parent is hot when it has more than this share of all nodes as children; there are fewer than 1 / HOT of them.
 HOT = 1e-3
 #: Conversation ids in a blob.
-BLOB = 65_536
+BLOB = 8192
 
 SUMS = [f"s{i}" for i in range(4)]
 KEY = ["depth", *SUMS]
@@ -146,7 +146,7 @@ def _ends(rows: DataFrame) -> DataFrame:
     order = [*KEY, "conv"]
     blobs = rows.select(*order).repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(_blobs(BLOB), f"{longs}, part int, serial int, blob string")
     fed = blobs.repartition(*KEY).sortWithinPartitions(*KEY, "part", "serial").select(*KEY, "blob")
-    with small_batches(rows.sparkSession, 64):  # a blob may hold a megabyte
+    with small_batches(rows.sparkSession):  # a blob may hold a hundred kilobytes
         return stored(fed.mapInPandas(_hashed, f"{longs}, ends_sha256 string"), "ends")
 
 
