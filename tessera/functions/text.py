@@ -74,9 +74,18 @@ def tidy(text: Column) -> Column:
 
 
 def splice(text: Column, spans: Column, replacement) -> Column:
-    """Replace each span (start, end) of the text; replacement maps a span to a Column. Spans must not overlap."""
-    order = F.reverse(F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), replacement(s).alias("by")))))
-    return F.aggregate(order, text, lambda t, s: F.concat(F.substring(t, F.lit(1), s["start"]), s["by"], F.substring(t, s["end"] + 1, F.length(t))))
+    """Replace each span (start, end) of the text; replacement maps a span to a Column. Spans must not overlap. The gaps between spans are
+    cut out of the text once each and joined with what replaces the spans; a null replacement makes the whole null."""
+    made = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), replacement(s).alias("by"))))
+
+    def joined(b: Column) -> Column:
+        end_before = lambda i: F.when(i > 0, F.get(b["o"], i - 1)["end"]).otherwise(0)
+        parts = F.transform(b["o"], lambda s, i: F.concat(F.substring(b["t"], end_before(i) + 1, s["start"] - end_before(i)), s["by"]))
+        rest = F.substring(b["t"], end_before(F.size(b["o"])) + 1, F.length(b["t"]))
+        return F.when(b["t"].isNotNull() & ~F.exists(b["o"], lambda s: s["by"].isNull()), F.array_join(F.concat(parts, F.array(rest)), ""))
+
+    # an array of one binds text and sorted spans, which would else be worked out again for every span
+    return F.transform(F.array(F.struct(text.alias("t"), made.alias("o"))), joined)[0]
 
 
 def masked(text: Column, spans: Column, token: str = "[MASK]") -> Column:

@@ -23,9 +23,7 @@ def tfidf(df: DataFrame, key: str, text: str, *, train: Column | None = None, le
 
     idf = ln((1 + n) / (1 + df)) + 1 over training rows; terms in fewer than least_docs of them are left out, and of
     the others the most_terms most frequent stay (ties by term)."""
-    words = F.regexp_extract_all(F.lower(F.coalesce("text_", F.lit(""))), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
-    pairs = F.zip_with(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    found = F.concat(words, pairs) if unit == "word" else _char_grams(F.lower(F.coalesce("text_", F.lit(""))), *sizes)
+    found = word_terms(F.coalesce("text_", F.lit(""))) if unit == "word" else char_terms(F.coalesce("text_", F.lit("")), *sizes)
     flag = train if train is not None else F.lit(True)
     # texts are dealt by key before they are cut, so that their terms are counted and weighed in place
     dealt = df.select(key, flag.alias("train_"), F.col(text).alias("text_")).repartition(F.col(key))
@@ -37,6 +35,18 @@ def tfidf(df: DataFrame, key: str, text: str, *, train: Column | None = None, le
     return weighed.select(key, "term", (F.col("w") / length).alias("weight"))
 
 
+def word_terms(text: Column) -> Column:
+    """Words of two letters or more in lower case, and pairs of words next to each other."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
+    pairs = F.zip_with(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+    return F.concat(words, pairs)
+
+
+def char_terms(text: Column, low: int = 3, high: int = 5) -> Column:
+    """Runs of low to high characters of the words of the lower-cased text, with a space on either side of a word."""
+    return _char_grams(F.lower(text), low, high)
+
+
 def _char_grams(text: Column, low: int, high: int) -> Column:
     """Runs of low to high characters of each word with a space on either side; a word shorter than a run counts once, whole."""
 
@@ -211,15 +221,8 @@ def isotonic_calibrated(df: DataFrame, score: str, label: str, *, train: Column)
 
 
 def first_component(df: DataFrame, vector: str, width: int) -> tuple[np.ndarray, float]:
-    """First principal direction of vectors and its share of variance, from the aggregated second moments."""
-    x = [F.col(vector)[i].cast("double") for i in range(width)]
-    aggs = [F.count(F.lit(1)).alias("n"), *[F.sum(x[i]).alias(f"s{i}") for i in range(width)]]
-    r = df.where(F.size(vector) == width).agg(*aggs).collect()[0]
-    pairs = df.where(F.size(vector) == width).select(F.posexplode(vector).alias("i", "a"), F.col(vector).alias("v_")).select("i", "a", F.posexplode("v_").alias("j", "b")).where("j >= i").groupBy("i", "j").agg(F.sum(F.col("a").cast("double") * F.col("b").cast("double")).alias("g")).collect()
-    mean = np.array([r[f"s{i}"] for i in range(width)]) / r["n"]
-    cov = np.zeros((width, width))
-    for p in pairs:
-        cov[p["i"], p["j"]] = cov[p["j"], p["i"]] = p["g"] / r["n"]
-    values, vectors = np.linalg.eigh(cov - np.outer(mean, mean))
-    top = vectors[:, -1]
-    return top * (1 if top[np.abs(top).argmax()] > 0 else -1), float(values[-1] / values.sum()) if values.sum() > 0 else 0.0
+    """First principal direction of vectors and its share of variance."""
+    from .directions import principal
+
+    found = principal(df, vector, width)
+    return (found.vectors[0], float(found.shares[0])) if len(found.vectors) else (np.zeros(width), 0.0)

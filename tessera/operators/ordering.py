@@ -47,3 +47,17 @@ def running_sums(df: DataFrame, order: list[Column], sums: dict[str, Column]) ->
     local = held.withColumns({f"{n}_l": F.coalesce(F.sum(c).over(inside), F.lit(0)) for n, c in sums.items()})
     out = local.join(F.broadcast(_shifted(held, sums)), "pid_").withColumns({n: F.col(f"{n}_l") + F.col(f"{n}_b") for n in sums})
     return out.drop("pid_", "ln_", *[f"{n}_{x}" for n in sums for x in "lb"])
+
+
+def group_row_number(df: DataFrame, by: list[str], order: list[Column], name: str) -> DataFrame:
+    """df with a row number in each group, from 1 on, however large a group is: groups are numbered in range partitions, and the rows of
+    a group in the ranges before are added. Null is a group. `order` must name the rows of a group uniquely, or ties get their
+    numbers in any order."""
+    held = ranged(df, [*[F.asc_nulls_first(F.col(b)) for b in by], *order])
+    parts = held.groupBy(*[F.col(b).alias(f"{b}_g") for b in by], F.col("pid_").alias("part_")).agg(F.count(F.lit(1)).alias("c_"), F.min("ln_").alias("first_"))
+    before = F.sum("c_").over(Window.partitionBy(*[f"{b}_g" for b in by]).orderBy("part_")) - F.col("c_")
+    same = F.col("pid_") == F.col("part_")
+    for b in by:
+        same = same & F.col(b).eqNullSafe(F.col(f"{b}_g"))
+    out = held.join(parts.withColumn("b_", before), same)
+    return out.withColumn(name, F.col("ln_") - F.col("first_") + F.col("b_") + 1).drop("pid_", "ln_", "part_", "c_", "first_", "b_", *[f"{b}_g" for b in by])

@@ -78,26 +78,86 @@ def fold_ladder(smallest: int) -> int:
     return next((k for k in (5, 3, 2) if smallest >= k), 0)
 
 
-def stratified_group_folds(df: DataFrame, group: str, label: str, k: int, seed: int = 0, tries: int = 20) -> DataFrame:
-    """df with `fold`: whole groups, balanced in positives and rows, both classes in every fold, else an error after `tries` seeds.
-
-    The deal is sequential (the largest groups first, each to the fold with the fewest positives, then rows), so it runs
-    on the driver over one row per group with counts; groups are the unit of evaluation, not the data."""
-    import hashlib
-
-    table = df.groupBy(group).agg(F.sum(F.col(label).cast("int")).alias("p"), F.count(F.lit(1)).alias("n")).collect()
-    for attempt in range(tries):
-        rank = lambda r, s=seed + attempt: hashlib.sha256(f"{s}:{r[group]}".encode()).hexdigest()
-        state, deal = [[0, 0] for _ in range(k)], {}
-        for r in sorted(table, key=lambda r: (-r["p"], -r["n"], rank(r))):
-            f = min(range(k), key=lambda i: (state[i][0], state[i][1], i))
-            state[f][0] += r["p"]
-            state[f][1] += r["n"]
-            deal[r[group]] = f
-        if all(0 < p < n for p, n in state):
-            rows = df.sparkSession.createDataFrame(list(deal.items()), f"{group} {dict(df.dtypes)[group]}, fold int")
-            return df.join(F.broadcast(rows), group)
-    raise ValueError(f"no deal of groups to {k} folds with both classes in {tries} tries")
+#: A run of groups with equal counts and where they go: the group with number start + i goes to fold order[i % len(order)].
+Run = tuple[int, int, int, int, list[int]]
+
+
+def dealt_profiles(profiles: list[tuple[int, int, int]], k: int) -> tuple[list[Run], list[tuple[int, int]]]:
+    """Deal groups to k folds knowing only how many groups have so many positives and rows: (runs, positives and rows of each fold).
+
+    One group after another, those with the most positives, then rows, first, each to the fold with the fewest positives, then rows; groups
+    without a positive to the fold with the fewest rows. Groups with equal counts are alike, and once each fold got one of
+    them in a round, all further rounds of them are the same, so they are dealt at once."""
+    state, runs = [[0, 0] for _ in range(k)], []
+    for p, n, groups in sorted(profiles, key=lambda x: (-x[0], -x[1])):
+        at = 0
+        while at < groups:
+            order = []
+            for _ in range(min(k, groups - at)):
+                f = min(range(k), key=lambda i: (*(state[i] if p else state[i][::-1]), i))
+                state[f][0] += p
+                state[f][1] += n
+                order.append(f)
+            length = len(order)
+            if len(set(order)) == k:
+                more = (groups - at) // k - 1
+                for f in range(k):
+                    state[f][0] += more * p
+                    state[f][1] += more * n
+                length += more * k
+            runs.append((p, n, at, length, order))
+            at += length
+    return runs, [(p, n) for p, n in state]
+
+
+def stratified_group_folds(df: DataFrame, group: str, label: str, k: int, seed: int = 0) -> DataFrame:
+    """df with `fold`: whole groups, balanced in positives and rows, both classes in every fold, else an error.
+
+    Which fold a group goes to depends on its counts and its number among the groups of equal counts, which follows a hash of
+    the group. The driver sees one row for each pair of counts there is; groups are numbered in range partitions. Rows of null group
+    are left out."""
+    from .ordering import ranged
+
+    table = df.where(F.col(group).isNotNull()).groupBy(group).agg(F.sum(F.col(label).cast("int")).alias("p_"), F.count(F.lit(1)).alias("n_"))
+    held = ranged(table.fillna(0, ["p_"]), [F.desc("p_"), F.desc("n_"), order_of(group, seed).asc(), F.asc(group)])
+    parts = held.groupBy("p_", "n_", "pid_").agg(F.count(F.lit(1)).alias("c_"), F.min("ln_").alias("first_"))
+    seen: dict[tuple[int, int], int] = {}
+    shifts = []
+    for r in parts.orderBy("pid_").collect():  # one row for each pair of counts and range that meet
+        before = seen.get((r["p_"], r["n_"]), 0)
+        shifts.append((r["p_"], r["n_"], r["pid_"], before - r["first_"]))
+        seen[r["p_"], r["n_"]] = before + r["c_"]
+    runs, state = dealt_profiles([(p, n, c) for (p, n), c in seen.items()], k)
+    if not all(0 < p < n for p, n in state):
+        raise ValueError(f"no deal of {sum(seen.values())} groups to {k} folds with both classes in each")
+    spark = df.sparkSession
+    shift = F.broadcast(spark.createDataFrame(shifts, "p_ long, n_ long, pid_ long, shift_ long"))
+    run = F.broadcast(spark.createDataFrame(runs, "p_ long, n_ long, start_ long, length_ long, order_ array<int>"))
+    numbered = held.join(shift, ["p_", "n_", "pid_"]).withColumn("at_", F.col("ln_") + F.col("shift_"))
+    placed = numbered.join(run, ["p_", "n_"]).where((F.col("at_") >= F.col("start_")) & (F.col("at_") < F.col("start_") + F.col("length_")))
+    fold = F.get("order_", ((F.col("at_") - F.col("start_")) % F.size("order_")).cast("int"))
+    return df.join(placed.select(group, fold.alias("fold")), group)
+
+
+def label_folds(df: DataFrame, label: str, key: str, wanted: int = 5, seed: int = 0) -> tuple[DataFrame, int]:
+    """(df with `fold`, number of folds): rows of each label dealt to as many folds as wanted, but no more than the rarest label has rows;
+    with fewer than two rows of some label, one fold for each row (leave one out). Rows of null label are left out.
+
+    Rows of a label are numbered in range partitions of (label, hash of the key)."""
+    from .ordering import group_row_number
+
+    if wanted < 2:
+        raise ValueError("two folds at least")
+    rows = df.where(F.col(label).isNotNull())
+    rarest = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n")).collect()[0][0]
+    if rarest is None:
+        return rows.withColumn("fold", F.lit(0)), 0
+    if rarest < 2:
+        out = global_row_number(rows, [order_of(key, seed).asc(), F.asc(key)], "fold")
+        return out.withColumn("fold", (F.col("fold") - 1).cast("int")), rows.count()
+    k = min(wanted, rarest)
+    out = group_row_number(rows, [label], [order_of(key, seed).asc(), F.asc(key)], "fold")
+    return out.withColumn("fold", ((F.col("fold") - 1) % k).cast("int")), k
 
 
 def whole_groups(df: DataFrame, group: str, rows: int, seed: int = 0) -> DataFrame:

@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,10 +20,16 @@ def _string_schema(schema) -> str:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, value) of text files. Each file is one split, since a line's number depends on all before it; files
-    are the unit of parallelism."""
-    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("i", "value"))
-    return rows.select("file", (F.col("i") + 1).alias("line"), "value")
+    """(file, line, value) of text files, whatever their size: a file is read in splits. Lines are counted for each split, and
+    a line's number is its place in its split after the lines of the splits before. Lines end with a line feed, with or without a
+    carriage return."""
+    rows = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("id"), F.regexp_replace("value", r"\r$", "").alias("value"),
+    )
+    # one row a split; its lines have consecutive ids
+    splits = rows.groupBy("file", "split").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    splits = splits.withColumn("before", F.sum("n").over(Window.partitionBy("file").orderBy("split")) - F.col("n"))
+    return rows.join(splits, ["file", "split"]).select("file", (F.col("before") + F.col("id") - F.col("first") + 1).alias("line"), "value")
 
 
 def jsonl(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
@@ -185,18 +191,6 @@ def require_at_least(df: DataFrame, rows: int) -> DataFrame:
     return df
 
 
-def strict_vectors(records: DataFrame, vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    """records with their vectors; an error when one has none or when lengths differ."""
-    from ..operators.joins import missing
-
-    lost = missing(records, vectors, [key]).limit(1).collect()
-    if lost:
-        raise SourceError(f"no vector for {lost[0][key]}")
-    if vectors.select(F.size(vector)).distinct().limit(2).count() > 1:
-        raise SourceError("vectors differ in length")
-    return records.join(vectors.select(key, vector), key)
-
-
 def identifier(name: str) -> str:
     """A column name made of letters, digits and underscores."""
     return re.sub(r"\W+", "_", name).strip("_").lower()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,19 +58,56 @@ def guarded_output(path: str, roots: list[str]) -> str:
     return path
 
 
-def replaced(df: DataFrame, path: str) -> None:
-    """Parquet at `path`, old rows or new ones at any time: written beside it, then put in its place by renaming. A run that dies
-    half-way leaves the old table."""
+#: Names the version that a table of replaced() has now.
+POINTER = "_current"
+
+
+def replaced(df: DataFrame, path: str) -> str:
+    """A new version of the table at `path`, which readers see whole or not at all; returns its folder.
+
+    The rows are written to a folder of their own below `path`. Only then is the pointer file put in the place of the one
+    before, in one step, so that there always is a version to read. A run that dies earlier leaves what was there. The version before
+    stays for those who read it, older ones go. `latest` reads the table."""
     import uuid
 
     spark = df.sparkSession
-    paths = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    staging, old, target = (paths(f"{path}{end}") for end in (f".staging-{uuid.uuid4().hex}", ".old", ""))
-    df.write.parquet(staging.toString())
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(target):
-        fs.delete(old, True)
-        fs.rename(target, old)
-    if not fs.rename(staging, target):
-        raise OSError(f"{staging} could not be renamed to {path}")
-    fs.delete(old, True)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    hadoop = jvm.org.apache.hadoop.fs
+    name = f"v-{uuid.uuid4().hex}"
+    root, pointer, staged = (hadoop.Path(f"{path.rstrip('/')}/{n}") for n in ("", POINTER, f".{POINTER}-{name}"))
+    fs = root.getFileSystem(conf)
+    before = _version(spark, path)
+    df.write.parquet(f"{path.rstrip('/')}/{name}")
+    out = fs.create(staged, True)
+    out.write(f"{name}\n{before or ''}".encode())
+    out.close()
+    over = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    hadoop.FileContext.getFileContext(fs.makeQualified(root).toUri(), conf).rename(fs.makeQualified(staged), fs.makeQualified(pointer), over)
+    for status in fs.listStatus(root):
+        other = status.getPath().getName()
+        if other.startswith("v-") and other not in (name, before):
+            fs.delete(status.getPath(), True)
+    return f"{path.rstrip('/')}/{name}"
+
+
+def _version(spark: SparkSession, path: str) -> str | None:
+    """The version that the pointer of a table names, if there is one."""
+    jvm = spark.sparkContext._jvm
+    file = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{POINTER}")
+    fs = file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(file):
+        return None
+    stream = fs.open(file)
+    try:
+        return jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").split("\n")[0]
+    finally:
+        stream.close()
+
+
+def latest(spark: SparkSession, path: str) -> DataFrame:
+    """The table of replaced() as it is now."""
+    name = _version(spark, path)
+    if name is None:
+        raise ValueError(f"{path} has no version")
+    return spark.read.parquet(f"{path.rstrip('/')}/{name}")

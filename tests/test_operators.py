@@ -18,7 +18,7 @@ from tessera.operators import ranking as G
 from tessera.operators import sampling as P
 from tessera.operators import spans as S
 from tessera.operators import stats as T
-from tessera.sources import readers, writers
+from tessera.sources import readers, tensors, writers
 from tessera.streaming import events as E
 
 
@@ -116,6 +116,24 @@ def test_samples_and_splits(spark):
     assert all(0 < r["p"] < r["n"] for r in folds.groupBy("fold").agg(F.sum(F.col("y").cast("int")).alias("p"), F.count("*").alias("n")).collect())
     with pytest.raises(ValueError):
         P.stratified_group_folds(df.withColumn("y", F.lit(True)), "g", "y", 3)
+    runs, state = P.dealt_profiles([(2, 5, 10**9), (1, 1, 7), (0, 3, 10**9 + 1), (0, 1, 2)], 4)
+    assert sum(n for *_, n, _ in runs) == 2 * 10**9 + 10 and len(runs) < 20
+    assert max(p for p, _ in state) - min(p for p, _ in state) <= 1 and max(n for _, n in state) - min(n for _, n in state) <= 3
+    for seed in range(20):
+        sizes = [((seed * 7 + i * i) % 4, 4 + i % 3) for i in range(60)]
+        one = [[0, 0] for _ in range(3)]  # group after group
+        for p, n in sorted(sizes, reverse=True):
+            f = min(range(3), key=lambda i, p=p: (*(one[i] if p else one[i][::-1]), i))
+            one[f] = [one[f][0] + p, one[f][1] + n]
+        assert P.dealt_profiles([(*s, sizes.count(s)) for s in set(sizes)], 3)[1] == [tuple(x) for x in one]
+    labelled = frame(spark, [(i, "abc"[min(i % 7, 2)]) for i in range(140)] + [(999, None)], "id int, label string")
+    dealt, k = P.label_folds(labelled, "label", "id", 4)
+    counts = dealt.groupBy("label", "fold").count().collect()
+    assert k == 4 and dealt.count() == 140 and len(counts) == 12 and all(max(r["count"] for r in counts if r["label"] == x) - min(r["count"] for r in counts if r["label"] == x) <= 1 for x in "abc")
+    assert P.label_folds(labelled.where("id < 16"), "label", "id", 5)[1] == 3 and P.label_folds(labelled.where("id < 2"), "label", "id")[1] == 2
+    assert sorted(r["fold"] for r in P.label_folds(labelled.where("id < 8"), "label", "id")[0].collect()) == [0, 0, 0, 0, 0, 1, 1, 1]
+    assert sorted(r["fold"] for r in P.label_folds(labelled.where("id < 7"), "label", "id")[0].collect()) == list(range(7))
+    assert P.label_folds(labelled.where("id > 999"), "label", "id")[1] == 0
     assert P.whole_groups(df, "g", 31).count() == 31
     sizes = [r["n"] for r in P.stratified_folds(df, "y", "id", 4).groupBy("y", "fold").agg(F.count("*").alias("n")).collect()]
     assert max(sizes) - min(sizes) < 70
@@ -395,6 +413,6 @@ def test_writers(spark, tmp_path):
 
 def test_strict_vectors(spark):
     a, v = frame(spark, [(1,), (2,)], "id int"), frame(spark, [(1, [1.0]), (2, [2.0])], "id int, v array<double>")
-    assert readers.strict_vectors(a, v, "id", "v").count() == 2
-    with pytest.raises(readers.SourceError):
-        readers.strict_vectors(a, v.where("id = 1"), "id", "v")
+    assert tensors.strict_vectors(a, v, "id", "v").count() == 2
+    with pytest.raises(tensors.TensorError):
+        tensors.strict_vectors(a, v.where("id = 1"), "id", "v")
