@@ -59,10 +59,17 @@ def agreed(left: DataFrame, right: DataFrame, on: list[str], columns: list[str])
 def probe_target() -> Column:
     """struct(target, usable, status, rule) of a reviewed record by ordered rules; a usage of `exclude` or `uncertain` makes it unusable."""
     form = lambda c: F.coalesce(X.key_form(F.col(c)), F.lit(""))
+    fields = {"error": "human_error_type", "role": "human_semantic_role", "priority": "human_guidance_priority", "recover": "human_recoverability_label", "anchor": "human_attention_anchor_label", "usage": "probe_usage"}
     missing = X.any_of(*[F.coalesce(F.trim(F.col(c)), F.lit("")) == "" for c in REQUIRED])
-    error, role, priority, recover, anchor = (form(c) for c in ("human_error_type", "human_semantic_role", "human_guidance_priority", "human_recoverability_label", "human_attention_anchor_label"))
+    # the forms are worked out once a row, in an array of one, and not anew in every rule that reads them
+    bound = F.array(F.struct(missing.alias("missing"), *[form(c).alias(n) for n, c in fields.items()]))
+    return F.element_at(F.transform(bound, _mapped), 1)
+
+
+def _mapped(b: Column) -> Column:
+    error, role, priority, recover, anchor, usage = (b[n] for n in ("error", "role", "priority", "recover", "anchor", "usage"))
     rules = [
-        (missing, "unmapped", "missing_human_metadata"), (error.isin("wrong_numeric_recovery", "misleading_entity_or_unit"), "risk_positive", "human_error_type_risk_positive"),
+        (b["missing"], "unmapped", "missing_human_metadata"), (error.isin("wrong_numeric_recovery", "misleading_entity_or_unit"), "risk_positive", "human_error_type_risk_positive"),
         ((error == "generic_recovery") & role.isin(NUMBER_ROLES), "positive_anchor", "generic_recovery_critical_number"), (error == "generic_recovery", "hard_negative_or_weak_positive", "generic_recovery_noncritical"),
         (error == "semantic_equivalent_recovery", "negative", "semantic_equivalent_recovery"), ((error == "fragment_recovery") & priority.isin("low", "none"), "negative", "fragment_recovery_low_priority"),
         (error.isin("semantically_meaningful_but_recoverable", "recoverable_but_semantically_meaningful_span"), "hard_negative_or_weak_positive", "meaningful_but_recoverable"),
@@ -71,7 +78,7 @@ def probe_target() -> Column:
     out = F.struct(F.lit("unmapped").alias("target"), F.lit("no_matching_mapping_rule").alias("rule"))
     for test, target, rule in reversed(rules):
         out = F.when(test, F.struct(F.lit(target).alias("target"), F.lit(rule).alias("rule"))).otherwise(out)
-    usage, mapped = form("probe_usage"), out["target"] != "unmapped"
+    mapped = out["target"] != "unmapped"
     status = F.when(~mapped, F.when(out["rule"] == "missing_human_metadata", "missing_human_metadata").otherwise("unmapped")).when(usage == "exclude", "excluded_by_probe_usage").when(usage == "uncertain", "uncertain_probe_usage").otherwise("mapped")
     return F.struct(out["target"].alias("target"), (status == "mapped").alias("usable"), status.alias("status"), out["rule"].alias("rule"))
 

@@ -131,7 +131,7 @@ def test_samples_and_splits(spark):
     counts = dealt.groupBy("label", "fold").count().collect()
     assert k == 4 and dealt.count() == 140 and len(counts) == 12 and all(max(r["count"] for r in counts if r["label"] == x) - min(r["count"] for r in counts if r["label"] == x) <= 1 for x in "abc")
     assert P.label_folds(labelled.where("id < 16"), "label", "id", 5)[1] == 3 and P.label_folds(labelled.where("id < 2"), "label", "id")[1] == 2
-    assert sorted(r["fold"] for r in P.label_folds(labelled.where("id < 8"), "label", "id")[0].collect()) == [0, 0, 0, 0, 0, 1, 1, 1]
+    assert sorted(r["fold"] for r in P.label_folds(labelled.where("id < 9"), "label", "id")[0].collect()) == [0, 0, 0, 0, 0, 1, 1, 1, 1]
     assert sorted(r["fold"] for r in P.label_folds(labelled.where("id < 7"), "label", "id")[0].collect()) == list(range(7))
     assert P.label_folds(labelled.where("id > 999"), "label", "id")[1] == 0
     assert P.whole_groups(df, "g", 31).count() == 31
