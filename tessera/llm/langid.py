@@ -134,9 +134,9 @@ def _language(text: str, symbols: dict[str, int]) -> Language:
     return Language(column, letters, width, table.ravel(), np.array([k for k, _ in far], np.int64), np.array([v for _, v in far], np.int32))
 
 
-def trained(samples: dict[str, list[str]], most_chars: int = 24_000) -> Model:
-    """A model of the texts of each language, of which the first most_chars characters count."""
-    joined = {lang: letters("\n".join(texts))[:most_chars] for lang, texts in sorted(samples.items())}
+def trained(samples: dict[str, list[str]]) -> Model:
+    """A model of the texts of each language, all of which count whole."""
+    joined = {lang: letters("\n".join(texts)) for lang, texts in sorted(samples.items())}
     joined = {lang: " ".join(t.split()) for lang, t in joined.items()}
     joined = {lang: t for lang, t in joined.items() if t}
     symbols = {c: i + 2 for i, c in enumerate(sorted({c for t in joined.values() for c in t if c != " "}))}
@@ -243,51 +243,45 @@ class Parser:
         return [self.m.langs[b] if s else "und" for b, s in zip(best, spoken, strict=True)], [float(x) if s else 0.0 for x, s in zip(score, spoken, strict=True)]
 
 
-def evenly(texts: list[str], most_chars: int) -> list[str]:
-    """The texts cut to one length, the longest by which they and a character between them come to at most most_chars:
-    what short texts leave goes to the others."""
-    left, level = most_chars - max(0, len(texts) - 1), 0
-    for i, n in enumerate(sorted(map(len, texts))):
-        level = max(0, left) // (len(texts) - i)
-        if n > level:
-            break
-        left, level = left - n, n
-    return [t[:level] for t in texts]
+def sampled_passages(docs: DataFrame, per_lang: int, passage_chars: int) -> dict[str, list[str]]:
+    """A passage of each of at most per_lang training documents of every language, documents in the order of a hash of doc_id.
 
-
-def sampled_texts(docs: DataFrame, per_lang: int, text_chars: int) -> dict[str, list[str]]:
-    """Texts of at most per_lang training documents of each language, in the order of a hash of doc_id.
-
-    The ranking keeps per_lang rows of each language within each task, so a hot language is not gathered. Texts
-    are cut to text_chars characters on their way to the driver; this sample is only what a model is fitted on."""
-    rows = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0) & F.col("doc_id").isNotNull() & ~held_out(3, 1)).select("doc_id", "lang", F.substring("text", 1, text_chars).alias("text"))
+    Whole texts are divided into passages of passage_chars characters, and a hash of doc_id says which one stands for its document,
+    so beginnings count no more than what follows. The ranking keeps per_lang rows of each language within each task, so a hot
+    language is not gathered. What comes to the driver is bounded by per_lang * passage_chars characters a language."""
+    passages = F.ceil(F.length("text") / passage_chars)
+    at = F.pmod(F.xxhash64("doc_id", F.lit(13)), passages) * passage_chars
+    rows = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0) & F.col("doc_id").isNotNull() & ~held_out(3, 1)).select("doc_id", "lang", F.substring(F.col("text"), (at + 1).cast("int"), F.lit(passage_chars)).alias("text"))
     order = F.xxhash64("doc_id", F.lit(7))
     light = rows.select("lang", "doc_id").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id"))).where(F.col("r") <= per_lang).select("lang", "doc_id").distinct()
     out: dict[str, list[str]] = {}
-    for r in rows.join(F.broadcast(light), ["lang", "doc_id"]).orderBy("lang", order, "doc_id", "text").collect():  # per_lang rows a language
+    for r in rows.join(F.broadcast(light), ["lang", "doc_id"]).orderBy("lang", order, "doc_id", "text").collect():  # per_lang documents a language
         out.setdefault(r["lang"], []).append(r["text"])
     return out
 
 
-def fitted(docs: DataFrame, *, per_lang: int = 40, most_chars: int = 24_000, text_chars: int | None = None) -> Model:
-    """A model learned from documents whose crc32(doc_id) mod 3 is not 1: at most per_lang documents and
-    most_chars characters of each language, spread evenly over the documents. Reads text, lang and doc_id.
+def fitted(docs: DataFrame, *, per_lang: int = 40, passage_chars: int = 600) -> Model:
+    """A model learned from documents whose crc32(doc_id) mod 3 is not 1: a passage of passage_chars characters of each of at
+    most per_lang documents of each language. Reads text, lang and doc_id.
 
-    text_chars, most_chars unless given, is how much of a text comes to the driver. Null and empty texts, null ids and
-    null languages teach nothing; equal rows of a document count as often as they stand; an empty table gives a model
-    without languages."""
-    samples = sampled_texts(docs, per_lang, most_chars if text_chars is None else text_chars)
-    return trained({lang: evenly(texts, most_chars) for lang, texts in samples.items()}, most_chars)
+    Null and empty texts, null ids and null languages teach nothing; equal rows of a document count as often as they stand;
+    an empty table gives a model without languages."""
+    return trained(sampled_passages(docs, per_lang, passage_chars))
 
 
-def identified(docs: DataFrame, model: Model) -> DataFrame:
+def identified(docs: DataFrame, model: Model, *, most_bytes: int = 1 << 30) -> DataFrame:
     """docs with a struct column (lang_pred, score) appended under a free name like `language`.
 
     Null texts and texts without a letter are `und` with score 0, as are all texts for a model without
     languages. score is the winner's share of 2 ** -(bits a character * min(characters, 64)). Ties go to the
     language that comes first in code point order. Texts of any length are parsed whole; repeated rows get the same
     result each; an empty table stays empty. Other columns pass, whatever their names.
+
+    The model is broadcast, some five megabytes a language at the default sample; one of more than most_bytes is refused.
     """
+    size = sum(t.table.nbytes for t in model.tables)
+    if size > most_bytes:
+        raise ValueError(f"a model of {len(model.langs)} languages and {size} bytes: learn from a smaller sample, or allow most_bytes")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")

@@ -374,11 +374,17 @@ def test_language_held_out_accuracy(spark):
 def test_sample_is_spread_over_all_documents(spark):
     ids = [i for i in range(200) if crc(i, 3) != 1][:40]
     marks = {i: chr(0x4E00 + i) for i in ids}
-    docs = spark.createDataFrame([(i, "xx", marks[i] * 3000) for i in ids] + [(ids[0], "one", "é" + "a" * 20000 + "b")], "doc_id long, lang string, text string")
-    assert set(langid.fitted(docs).symbols) == {*marks.values(), *"éab"}
-    assert set(langid.fitted(docs, text_chars=4000).symbols) == {*marks.values(), *"éa"}
-    assert [len(t) for t in langid.evenly(["a" * 10, "b" * 500, "c" * 900], 502)] == [10, 245, 245]
-    assert [len(t) for t in langid.evenly(["a" * 10, "b" * 50], 502)] == [10, 50] and langid.evenly([], 5) == []
+    docs = spark.createDataFrame([(i, "xx", marks[i] * 3000) for i in ids], "doc_id long, lang string, text string")
+    assert set(langid.fitted(docs).symbols) == set(marks.values())
+    # what stands for a document may come from anywhere in it: its passages are numbered in letters
+    parts = spark.createDataFrame([(i, "xx", "".join(chr(0x5000 + p) * 50 for p in range(40))) for i in ids], "doc_id long, lang string, text string")
+    taken = {t[0] for t in langid.sampled_passages(parts, 40, 50)["xx"]}
+    assert len(taken) > 15 and all(t == t[0] * 50 for t in langid.sampled_passages(parts, 40, 50)["xx"])
+    assert sum(map(len, langid.sampled_passages(parts, 7, 50)["xx"])) == 350
+    last = spark.createDataFrame([(ids[0], "xx", "a" * 5)], "doc_id long, lang string, text string")
+    assert langid.sampled_passages(last, 40, 3)["xx"][0] in ("aaa", "aa") and langid.sampled_passages(last, 40, 5) == {"xx": ["aaaaa"]}
+    with pytest.raises(ValueError, match="smaller sample"):
+        langid.identified(docs, langid.fitted(docs), most_bytes=1000)
 
 
 def test_language_edges(spark):
@@ -445,6 +451,25 @@ def test_bpe_on_documents(spark, sf):
     assert bpe.encoded(df.where("doc_id > 10000000"), VOCABULARY).count() == 0
 
 
+def test_other_vocabulary_files_are_refused(tmp_path):
+    import json
+    from pathlib import Path
+
+    j = json.loads(Path(VOCABULARY).read_text())
+    changes = {"normalizer": None, "decoder": {"type": "BPEDecoder"}, "pre_tokenizer": {"type": "Whitespace"}, "model": {**j["model"], "unk_token": "x"}, "added_tokens": [{**j["added_tokens"][0], "lstrip": True}]}
+    for name, value in changes.items():
+        (tmp_path / "v.json").write_text(json.dumps({**j, name: value}))
+        with pytest.raises(ValueError, match=name):
+            bpe.Vocabulary.read(str(tmp_path / "v.json"))
+    with pytest.raises(ValueError, match="pre_tokenizer"):
+        bpe.Vocabulary.read(VOCABULARY.replace("word_bpe_49k", "byte_bpe_50k"))
+    # marks are found whatever they begin with
+    added = [{**t, "content": t["content"].replace("<|", "[[")} for t in j["added_tokens"]]
+    (tmp_path / "v.json").write_text(json.dumps({**j, "added_tokens": added}))
+    codec = bpe.Codec(bpe.Vocabulary.read(str(tmp_path / "v.json")))
+    assert added[1]["id"] in codec.encode(f"a {added[1]['content']} b")
+
+
 def test_words_come_back():
     codec = bpe.Codec(bpe.Vocabulary.read(VOCABULARY))
     assert codec.text(codec.encode("Crème brûlée, 日本!")).split() == ["crème", "brûlée", ",", "日本", "!"]
