@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import fresh
 
 NONE = 1 << 60
+#: Fixed value: the one normaliser that is supported.
+NORMALISER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
 
 
 def byte_letters() -> list[str]:
@@ -78,19 +80,39 @@ class Vocabulary:
     merges: dict[tuple[int, int], tuple[int, int]]
     suffix: str
     special: dict[str, int]
+    pattern: str
     tokens: dict[int, str] = field(default_factory=dict)
 
     @classmethod
     def read(cls, path: str) -> Vocabulary:
+        """The vocabulary of a file. What Codec doesn't do as the file asks is refused: another normaliser than NFC, white space to a space and
+        lower case, another cut than by a pattern of words into bytes, options of the model, a decoder, marks that take space with them."""
         with open(path, encoding="utf-8") as f:
             j = json.load(f)
+        pattern = cls._checked(j)
         ids = j["model"]["vocab"]
         merges = {}
         for rank, pair in enumerate(j["model"]["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             merges[ids[a], ids[b]] = (rank, ids[a + b])
         special = {t["content"]: t["id"] for t in j["added_tokens"]}
-        return cls(ids, merges, j["model"]["end_of_word_suffix"] or "", special, {i: t for t, i in (ids | special).items()})
+        return cls(ids, merges, j["model"]["end_of_word_suffix"] or "", special, pattern, {i: t for t, i in (ids | special).items()})
+
+    @staticmethod
+    def _checked(j: dict) -> str:
+        """The word pattern of a file that Codec can follow, else an error."""
+        model, cut = j["model"], j.get("pre_tokenizer") or {}
+        parts = cut.get("pretokenizers") or [{}, {}]
+        asked = {
+            "normalizer": j.get("normalizer") == NORMALISER,
+            "pre_tokenizer": cut.get("type") == "Sequence" and [p.get("type") for p in parts] == ["Split", "ByteLevel"] and parts[0]["behavior"] == "Removed" and parts[0]["invert"] and not (parts[1]["add_prefix_space"] or parts[1]["use_regex"]),
+            "model": model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges")),
+            "decoder": j.get("decoder") is None,
+            "added_tokens": not any(t[k] for t in j["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")),
+        }
+        if bad := [name for name, fine in asked.items() if not fine]:
+            raise ValueError(f"this vocabulary file has another {' and '.join(bad)} than is supported")
+        return parts[0]["pattern"]["Regex"]
 
 
 def merged(symbols: list[int], merges: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
@@ -122,16 +144,14 @@ class Codec(dict):
 
     As a dictionary it maps a word to its ids, up to a fixed number of words."""
 
-    #: The word pattern that the vocabulary was made with.
-    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-
     def __init__(self, vocabulary: Vocabulary, most_words: int = 200_000):
         import regex
 
         super().__init__()
         self.v, self.most = vocabulary, most_words
         self.letters = byte_letters()
-        self.word = regex.compile(self.PATTERN).findall
+        self.word = regex.compile(vocabulary.pattern).findall
+        self.starts = {s[0] for s in vocabulary.special}
         self.mark = regex.compile("|".join(regex.escape(s) for s in sorted(vocabulary.special, key=len, reverse=True))) if vocabulary.special else None
 
     def __missing__(self, word: str) -> list[int]:
@@ -154,7 +174,7 @@ class Codec(dict):
         return text.lower()
 
     def encode(self, text: str) -> array.array:
-        if self.mark is None or "<" not in text:
+        if self.mark is None or not any(c in text for c in self.starts):
             return array.array("I", chain.from_iterable(map(self.__getitem__, self.word(self.normalised(text)))))
         out, at = array.array("I"), 0
         for m in [*self.mark.finditer(text), None]:
@@ -180,7 +200,9 @@ class Codec(dict):
 
 def encoded(docs: DataFrame, vocabulary: str, *, with_ids: bool = False) -> DataFrame:
     """docs with a struct column (n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids) appended under a
-    free name like `bpe`. A null text counts as empty and gives no ids. The decoded text is `decode` of the ids."""
+    free name like `bpe`. A null text counts as empty and gives no ids. The decoded text is `decode` of the ids. Texts of any length are
+    encoded whole, each by one task; repeated rows get the same result each; an empty table stays empty; other columns pass,
+    whatever their names. A vocabulary file that asks for what is not supported is an error."""
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.read(vocabulary))
     schema = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
 
