@@ -114,7 +114,7 @@ def cuts(groups: DataFrame, shards: int) -> tuple[list[int], int]:
         blocks = sorted(known.values())
 
 
-def sharded(docs: DataFrame, shards: int = 8, slot_cells: int = 512) -> DataFrame:
+def sharded(docs: DataFrame, shards: int = 8, slot_cells: int | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard for every row.
 
     The law is `bytes`: the largest shard, by UTF-8 bytes of the texts plus one a row, is as small as any
@@ -122,13 +122,15 @@ def sharded(docs: DataFrame, shards: int = 8, slot_cells: int = 512) -> DataFram
     group. slot counts the rows of a shard from 0 without gaps. With fewer groups than shards the last
     shards stay empty; an empty table gives no rows. Rows of null or repeated doc_id are placed like others.
 
-    Slots are dealt from slot_cells hashed cells of each shard, so a hot group is spread over them all; the
-    cells' counts (shards * slot_cells rows) are broadcast.
+    Slots are dealt from slot_cells hashed cells of each shard, so a hot group is spread over them all: 512, or as many as make
+    50,000 rows a cell. The cells' counts are joined, one row for 50,000. Texts of any length count whole.
     """
     rows = stored(sizes(docs), "sizes")
     groups = stored(rows.groupBy("place").agg(F.sum("size").alias("size")), "groups")
     starts, _ = cuts(groups, shards)
     drop_stored(groups)
+    if slot_cells is None:
+        slot_cells = max(512, -(-rows.count() // (50_000 * shards)))
     shard = F.lit(-1)
     for s in starts:
         shard = shard + (F.col("place") >= s).cast("int")
@@ -136,7 +138,7 @@ def sharded(docs: DataFrame, shards: int = 8, slot_cells: int = 512) -> DataFram
     counts = rows.groupBy("shard", "cell").agg(F.count(F.lit(1)).alias("n"))
     before = counts.select("shard", "cell", (F.sum("n").over(Window.partitionBy("shard").orderBy("cell")) - F.col("n")).alias("before"))
     slot = F.row_number().over(Window.partitionBy("shard", "cell").orderBy("doc_id", "place")).cast("long") - 1 + F.col("before")
-    return rows.join(F.broadcast(before), ["shard", "cell"]).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", slot.alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return rows.join(before, ["shard", "cell"]).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", slot.alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
