@@ -127,7 +127,7 @@ def _formatted(template: Template):
 def formatted(conversations: DataFrame, template: Template = marked) -> DataFrame:
     """One row per conversation: conv_id, formatted, spans, text_spans ([start, end) code points), roles, rewrites.
 
-    Turns go by turn, then role, then text, nulls first; repeated rows are turns of their own. Null role or
+    Turns go by turn, then role, then text, nulls first; repeated rows are turns of their own. Texts of any length are rendered whole. Null role or
     text counts as empty; rows of null conv_id are one conversation. An empty table gives no rows. Only the
     four columns conv_id, turn, role and text are read.
     """

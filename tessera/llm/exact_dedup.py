@@ -61,8 +61,8 @@ def duplicates(docs: DataFrame, least: int = 512, most: int = 4096) -> DataFrame
 
     Of equal texts the row with the largest doc_id stays. Null and empty texts are equal. Rows that repeat
     doc_id and text are one document said twice: they count in group_size and report the same kept. Where
-    all ids of a group are null, keep_id is null and the rows are kept. Empty table: no rows. Only doc_id
-    and text are read.
+    all ids of a group are null, keep_id is null and the rows are kept. Texts of any length are cut into chunks and
+    compared whole. Empty table: no rows. Only doc_id and text are read.
     """
     rows = recipes(docs, least, most)
     # a table of its own, so that both sides of the join come straight from a shuffle and a hot recipe can be split

@@ -16,7 +16,8 @@
    looked at across blocks in the same way. Pairs within a component cannot change the result and are never made.
 4. A forest whose pairs are all confirmed leaves nothing out. Where one was refused, the members that have a
    near sketch in another component go, with their full sets, to a task for each pair of blocks, which tests
-   them pair by pair and again keeps a forest. So no stage makes rows in the square of a bucket.
+   them pair by pair and again keeps a forest. Pairs are never rows. What grows with the square of a bucket is how often its
+   members are copied: once for each block of others, some n^2 / 1,024 light rows for n members outside the largest component.
 
 The band shape is chosen so that a pair at the threshold shares no bucket with probability under 1e-6, and
 the sketch bound lies five standard deviations below the threshold.

@@ -171,7 +171,10 @@ def karlin(scores: np.ndarray) -> float:
 
 
 def calibrated(model: Model, scored: list[np.ndarray]) -> Model:
-    """lambda and K from the token scores of clean documents."""
+    """lambda and K from the token scores of clean documents.
+
+    Scores that are log-odds of one token law against the one that clean documents follow have a lambda of 1. The prior draws scores
+    towards 0, and a fitted lambda would stretch them back beyond what the labels say, so 1 is the most that is taken."""
     scored = [s for s in scored if len(s)]
     if scored:
         model.scale = min(1.0, karlin(np.concatenate(scored)))
