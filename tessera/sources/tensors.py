@@ -19,7 +19,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
@@ -349,6 +349,11 @@ def write(df: DataFrame, path: str, *, key: str, vector: str, mode: str = "overw
     df.select(F.col(key).cast("string").alias("key"), F.col(vector).alias("vector")).write.format("tensors").mode(mode).options(**options).save(path)
 
 
+def _key(vectors: DataFrame, key: str) -> Column:
+    """The key of vectors as text: the column of that name, or `key`, as tensor files have it."""
+    return F.col(key if key in vectors.columns else "key").cast("string")
+
+
 def vector_faults(records: DataFrame, vectors: DataFrame, key: str, *, vector: str = "vector", width: int | None = None) -> DataFrame:
     """(key, fault) of what keeps records and vectors from joining one to one: `missing` (a record without a vector), `doubled` (a
     key with several), `short` (a length other than `width`, by default the longest), `not finite` (a null, NaN or infinity).
@@ -357,7 +362,7 @@ def vector_faults(records: DataFrame, vectors: DataFrame, key: str, *, vector: s
     the width alone."""
     v = F.col(vector)
     sound = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    held = vectors.where(F.col(key).isNotNull() & v.isNotNull()).groupBy(F.col(key).cast("string").alias("k_")).agg(F.count(F.lit(1)).alias("n_"), F.min(F.size(v)).alias("least_"), F.max(F.size(v)).alias("most_"), F.min(sound).alias("sound_"))
+    held = vectors.where(_key(vectors, key).isNotNull() & v.isNotNull()).groupBy(_key(vectors, key).alias("k_")).agg(F.count(F.lit(1)).alias("n_"), F.min(F.size(v)).alias("least_"), F.max(F.size(v)).alias("most_"), F.min(sound).alias("sound_"))
     longest = F.lit(width).alias("w_") if width is not None else F.max("most_").alias("w_")
     asked = records.select(F.col(key).cast("string").alias("k_")).distinct()
     met = asked.join(held, asked["k_"].eqNullSafe(held["k_"]), "left").select(asked["k_"].alias("key"), "n_", "least_", "most_", "sound_").join(F.broadcast(held.agg(longest)), how="left")
@@ -372,7 +377,7 @@ def strict_vectors(records: DataFrame, vectors: DataFrame, key: str, vector: str
     bad = vector_faults(records, vectors, key, vector=vector, width=width).where("fault != 'not finite'").orderBy("key", "fault").limit(3).collect()
     if bad:
         raise TensorError("; ".join(f"{r['key']}: {r['fault']}" for r in bad))
-    named = vectors.select(F.col(key).cast("string").alias("k_"), F.col(vector).alias(vector))
+    named = vectors.select(_key(vectors, key).alias("k_"), F.col(vector).alias(vector))
     return records.join(named, F.col(key).cast("string") == F.col("k_")).drop("k_")
 
 
@@ -380,7 +385,7 @@ def tolerant_vectors(records: DataFrame, vectors: DataFrame, key: str, *, vector
     """records with `vector` and `warnings`: every record stays; one whose vector is missing or faulty has its faults and no vector. Of several
     vectors of a key none is taken."""
     faults = vector_faults(records, vectors, key, vector=vector, width=width).groupBy(F.col("key").alias("f_")).agg(F.array_sort(F.collect_list("fault")).alias("warnings"))
-    good = vectors.select(F.col(key).cast("string").alias("k_"), F.col(vector).alias("vector")).join(faults, F.col("k_") == F.col("f_"), "left_anti")
+    good = vectors.select(_key(vectors, key).alias("k_"), F.col(vector).alias("vector")).join(faults, F.col("k_") == F.col("f_"), "left_anti")
     out = records.join(faults, F.col(key).cast("string").eqNullSafe(F.col("f_")), "left").join(good, F.col(key).cast("string") == F.col("k_"), "left")
     return out.drop("f_", "k_").withColumn("warnings", F.coalesce("warnings", F.array().cast("array<string>")))
 
