@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordering import global_row_number
+from ..sources.storage import stored
+from .ordering import global_row_number, running_sums
 
 # Names of statuses and number types.
 ON, OFF, AMBIGUOUS = "on_solution_path_number", "off_solution_path_number", "ambiguous_number"
@@ -116,31 +117,41 @@ def _pairs(rows: DataFrame, high: Column, low: Column, by: list[str], names: tup
     return out.where(pairs > 0).select(*by, pairs.alias(names[0]), (F.col("s") - F.col("p") * (F.col("p") + 1) / 2.0).alias(names[1]))
 
 
+def _wins(high: Column, low: Column, by: list[str]) -> Column:
+    """How many low rows of its group a high row outscores, ties half; null for other rows."""
+    up = Window.partitionBy(*by).orderBy("score")
+    below = lambda start: F.sum(low.cast("int")).over(up.rangeBetween(start, Window.currentRow))
+    return F.when(high, F.coalesce(below(Window.unboundedPreceding), F.lit(0)) - F.coalesce(below(Window.currentRow), F.lit(0)) / 2.0)
+
+
 def ranking_metrics(df: DataFrame, top_k: int = 3) -> DataFrame:
     """One row a formula: pair accuracy of numbers on over off the path and of bucket 3 over 1 in the same question, hits at 1 to 3, shares
-    and coverage of the first top_k. Ties in score go to the smaller span_id; shares without a base are 0."""
-    rows = long(df).withColumn("score", filled("score"))
-    on, off = F.col("status") == ON, F.col("status") == OFF
-    key = on | F.col("span_type").isin(KEY_TYPES)
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("formula", "question_id").orderBy(F.desc("score"), "span_id")))
-    top = F.col("rank") <= top_k
+    and coverage of the first top_k. Ties in score go to the smaller span_id; shares without a base are 0.
+
+    One scan: spans are dealt by question, before they are repeated for each formula, and ranks, pairs and hits of all formulas come from
+    windows within questions. What follows are sums of a row for each question and formula."""
+    by = ["formula", "question_id"]
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    on, off, b3, b1 = yes(F.col("status") == ON), yes(F.col("status") == OFF), yes(F.col("bucket") == 3), yes(F.col("bucket") == 1)
+    rows = long(df.repartition("question_id")).withColumn("score", filled("score"))
+    ranked = rows.withColumns({"rank": F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "span_id")), "on_wins": _wins(on, off, by), "b3_wins": _wins(b3, b1, by)})
+    key, top = on | F.col("span_type").isin(KEY_TYPES), F.col("rank") <= top_k
     first = lambda c: F.min(F.when(c, F.col("rank")))
     types = ["comparison", "negation", "condition", "operation", "question_target"]
-    each = ranked.groupBy("formula", "question_id").agg(
-        first(key).alias("key"), first(F.col("bucket") == 3).alias("b3"), first(on).alias("on"), first(off).alias("off"), F.count_if(top).alias("picked"), F.count_if(top & off).alias("picked_off"),
-        F.sum(F.when(on, F.col("rank"))).alias("on_ranks"), F.count_if(on).alias("ons"), F.sum(F.when(off, F.col("rank"))).alias("off_ranks"), F.count_if(off).alias("offs"), *[first(F.col("span_type") == t).alias(t) for t in types],
+    each = ranked.groupBy(*by).agg(
+        first(key).alias("key"), first(b3).alias("b3"), first(on).alias("on"), first(off).alias("off"), F.count_if(top).alias("picked"), F.count_if(top & off).alias("picked_off"), F.sum(F.when(on, F.col("rank"))).alias("on_ranks"),
+        F.count_if(on).alias("ons"), F.sum(F.when(off, F.col("rank"))).alias("off_ranks"), F.count_if(off).alias("offs"), *[first(F.col("span_type") == t).alias(t) for t in types], F.sum("on_wins").alias("on_wins"), F.sum("b3_wins").alias("b3_wins"),
+        F.count_if(b3).alias("b3s"), F.count_if(b1).alias("b1s"),
     )
     share = lambda hit, base: F.coalesce(F.try_divide(F.count_if(hit), F.count_if(base)), F.lit(0.0))
     hits = [share(F.col(c) <= k, F.col(c).isNotNull()).alias(f"top{k}_{n}_hit") for c, n in (("key", "key"), ("b3", "bucket3")) for k in (1, 2, 3)]
-    out = each.groupBy("formula").agg(
+    pairs, buckets = F.col("ons") * F.col("offs"), F.col("b3s") * F.col("b1s")
+    won = lambda wins, met: F.try_divide(F.sum(F.when(met > 0, F.col(wins))), F.sum(met))
+    return each.groupBy("formula").agg(
         *hits, F.try_divide(F.sum("picked_off"), F.sum("picked")).alias("off_path_share"), F.coalesce(F.try_divide(F.sum("on_ranks"), F.sum("ons")), F.lit(0.0)).alias("on_path_rank_mean"), F.coalesce(F.try_divide(F.sum("off_ranks"), F.sum("offs")), F.lit(0.0)).alias("off_path_rank_mean"),
-        share(F.col("on") <= top_k, F.col("on").isNotNull()).alias("on_path_coverage"), share(F.col("off") <= top_k, F.col("off").isNotNull()).alias("off_path_rate"),
-        *[share(F.col(t) <= top_k, F.col(t).isNotNull()).alias(f"{t}_coverage") for t in types], F.count("key").alias("questions_with_key"),
+        share(F.col("on") <= top_k, F.col("on").isNotNull()).alias("on_path_coverage"), share(F.col("off") <= top_k, F.col("off").isNotNull()).alias("off_path_rate"), *[share(F.col(t) <= top_k, F.col(t).isNotNull()).alias(f"{t}_coverage") for t in types],
+        F.count("key").alias("questions_with_key"), F.sum(pairs).alias("pairs"), F.coalesce(won("on_wins", pairs), F.lit(0.0)).alias("pair_accuracy"), won("b3_wins", buckets).alias("bucket_accuracy"),
     )
-    pairs = _pairs(rows, on, off, ["formula", "question_id"], ("pairs", "wins")).groupBy("formula").agg(F.sum("pairs").alias("pairs"), F.try_divide(F.sum("wins"), F.sum("pairs")).alias("pair_accuracy"))
-    buckets = _pairs(rows, F.col("bucket") == 3, F.col("bucket") == 1, ["formula", "question_id"], ("bp", "bw")).groupBy("formula").agg(F.try_divide(F.sum("bw"), F.sum("bp")).alias("bucket_accuracy"))
-    out = out.join(pairs, "formula", "left").join(buckets, "formula", "left")
-    return out.withColumns({"pairs": F.coalesce("pairs", F.lit(0).cast("long")), "pair_accuracy": F.coalesce("pair_accuracy", F.lit(0.0))})
 
 
 def question_deltas(df: DataFrame, baseline: str) -> DataFrame:
@@ -152,24 +163,31 @@ def question_deltas(df: DataFrame, baseline: str) -> DataFrame:
 
 def keyness_metrics(df: DataFrame, fraction: float = 0.2) -> DataFrame:
     """One row a formula over numbers on or off the path: AUROC, pair accuracy in the same question, share of questions whose first (first two)
-    is on the path, off-path share of the best `fraction`, mean rank of numbers on the path."""
-    from .stats import auroc
-
-    rows = long(df).where(F.col("status").isin(ON, OFF) & F.col("score").isNotNull()).withColumn("y", (F.col("status") == ON).cast("int"))
-    whole = auroc(rows, "score", "y", ["formula"]).withColumnRenamed("auroc", "auc")
-    pairs = _pairs(rows, F.col("y") == 1, F.col("y") == 0, ["formula", "question_id"], ("pairs", "wins")).groupBy("formula").agg(F.try_divide(F.sum("wins"), F.sum("pairs")).alias("pair_accuracy"))
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("formula", "question_id").orderBy(F.desc("score"), "span_id")))
-    each = ranked.groupBy("formula", "question_id").agg(F.min(F.when(F.col("y") == 1, F.col("rank"))).alias("first"), F.sum(F.when(F.col("y") == 1, F.col("rank"))).alias("ranks"), F.sum("y").alias("ons"))
-    tops = each.where("ons > 0").groupBy("formula").agg(F.avg((F.col("first") <= 1).cast("int")).alias("top1"), F.avg((F.col("first") <= 2).cast("int")).alias("top2"), (F.sum("ranks") / F.sum("ons")).alias("mean_rank"))
-    # where the best fraction ends, from counts by score: formulas share one pass and no formula is ranked in one task
+    is on the path, off-path share of the best `fraction`, mean rank of numbers on the path.
+
+    Two passes over the spans: one by question, as in ranking_metrics, and one that counts rows by formula and score. The counts are put in one
+    order of formulas and scores by range partitions, from which AUROC and the best fraction follow; no task ranks a formula."""
+    by = ["formula", "question_id"]
+    rows = long(df.repartition("question_id")).where(F.col("status").isin(ON, OFF) & F.col("score").isNotNull()).withColumn("y", (F.col("status") == ON).cast("int"))
+    ranked = rows.withColumns({"rank": F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "span_id")), "wins": _wins(F.col("y") == 1, F.col("y") == 0, by)})
+    each = ranked.groupBy(*by).agg(F.min(F.when(F.col("y") == 1, F.col("rank"))).alias("first"), F.sum(F.when(F.col("y") == 1, F.col("rank"))).alias("ranks"), F.sum("y").alias("ons"), F.sum(1 - F.col("y")).alias("offs"), F.sum("wins").alias("wins"))
+    some, met = F.col("ons") > 0, F.col("ons") * F.col("offs")
+    tops = each.groupBy("formula").agg(
+        F.try_divide(F.sum(F.when(met > 0, F.col("wins"))), F.sum(met)).alias("pair_accuracy"), F.avg(F.when(some, (F.col("first") <= 1).cast("int"))).alias("top1"), F.avg(F.when(some, (F.col("first") <= 2).cast("int"))).alias("top2"), F.try_divide(F.sum("ranks"), F.sum("ons")).alias("mean_rank"),
+    )
     levels = rows.groupBy("formula", "score").agg(F.count(F.lit(1)).alias("n"), F.sum(1 - F.col("y")).alias("off"))
-    n = rows.groupBy("formula").agg(F.greatest(F.lit(1), F.bround(F.count(F.lit(1)) * fraction).cast("long")).alias("k"))
-    above = F.sum("n").over(Window.partitionBy("formula").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, -1))
-    cut = levels.join(F.broadcast(n), "formula").withColumn("above", F.coalesce(above, F.lit(0))).where(F.col("above") < F.col("k"))
+    summed = stored(running_sums(levels, [F.asc("formula"), F.desc("score")], {"upto": F.col("n")}), "levels")
+    totals = summed.groupBy("formula").agg(F.min(F.col("upto") - F.col("n")).alias("start"), F.sum("n").alias("all"), F.sum(F.col("n") - F.col("off")).alias("positives"), F.sum("off").alias("negatives"))
+    # one row a formula
+    placed = summed.join(F.broadcast(totals), "formula").withColumn("above", F.col("upto") - F.col("n") - F.col("start"))
+    k = F.greatest(F.lit(1), F.bround(F.col("all") * fraction).cast("long"))
     # a level that the cut passes through counts in proportion
-    inside = F.least(F.col("n"), F.col("k") - F.col("above")) / F.col("n")
-    share = cut.groupBy("formula").agg((F.sum(F.col("off") * inside) / F.first("k")).alias("off_share"))
-    return whole.join(pairs, "formula", "left").join(tops, "formula", "left").join(share, "formula", "left")
+    inside = F.greatest(F.lit(0), F.least(F.col("n"), k - F.col("above"))) / F.col("n")
+    rank = F.col("all") - F.col("above") - (F.col("n") - 1) / 2.0  # from low to high, ties at their mean
+    p, q = F.first("positives"), F.first("negatives")
+    whole = placed.groupBy("formula").agg(p.alias("positives"), q.alias("negatives"), F.sum((F.col("n") - F.col("off")) * rank).alias("sr"), (F.sum(F.col("off") * inside) / F.first(k)).alias("off_share"))
+    auc = F.when((F.col("positives") > 0) & (F.col("negatives") > 0), (F.col("sr") - F.col("positives") * (F.col("positives") + 1) / 2.0) / (F.col("positives") * F.col("negatives")))
+    return whole.withColumn("auc", auc).drop("sr").join(F.broadcast(tops), "formula", "left")
 
 
 def chosen(metrics: DataFrame, current: str = "A_current_priority", barred: tuple[str, ...] = ("oracle_diagnostic_only",)) -> DataFrame:
