@@ -2,10 +2,12 @@
 
 A rung is a choice of features. All models (rung and fold, and those nested in a fold) take their Newton steps at once: a
 step is one pass over the rows, in which each task sums the gradient and the matrix of second derivatives of every model
-over its rows, and the driver adds up one small matrix a task and model. Rows are never gathered or copied by model."""
+over its rows. Spark adds up what the tasks send, and the driver gets one small matrix a model, whatever the number of tasks. Rows are
+never gathered or copied by model. For text and other sparse features see `sparse`."""
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,6 +16,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.storage import drop_stored, stored
+from .partial_sums import COLUMNS, PARTS, added, cut, whole
+
 
 @dataclass
 class Fit:
@@ -38,31 +43,34 @@ def _sums(fits: list[Fit], weights: list[np.ndarray]):
                 p = 1 / (1 + np.exp(-np.clip(a @ w, -500, 500)))
                 hess += (a * (p * (1 - p))[:, None]).T @ a
                 grad += a.T @ (y[keep] - p)
-        yield pd.DataFrame({"model": range(len(fits)), "hess": [h.tobytes() for h, _ in total], "grad": [g.tobytes() for _, g in total]})
+        yield pd.DataFrame([c for i, (h, g) in enumerate(total) for c in cut(i, np.append(h.reshape(-1), g))], columns=COLUMNS)
 
     return run
 
 
 def fitted(df: DataFrame, x: str, label: str, fold: str, fits: list[Fit], rounds: int = 12) -> list[np.ndarray]:
-    """Weights of each model, the constant last. Rows without a label, or with a null or non-finite feature, take no part."""
+    """Weights of each model, the constant last. Rows without a label, or with a null or non-finite feature, take no part. The rows are stored
+    once for all steps. Models that still move when the rounds are over are named in a warning."""
     fine = F.forall(F.col("x_"), lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    rows = df.select(F.col(x).cast("array<double>").alias("x_"), F.col(label).cast("double").alias("y_"), F.col(fold).cast("int").alias("f_")).where("y_ is not null and f_ is not null").where(fine).cache()
+    rows = df.select(F.col(x).cast("array<double>").alias("x_"), F.col(label).cast("double").alias("y_"), F.col(fold).cast("int").alias("f_")).where("y_ is not null and f_ is not null").where(fine)
     weights = [np.zeros(len(f.features) + 1) for f in fits]
-    try:
-        for _ in range(rounds):
-            found = rows.mapInPandas(_sums(fits, weights), "model int, hess binary, grad binary").collect()  # a row a task and model
-            moved = 0.0
-            for i, fit in enumerate(fits):
-                n = len(weights[i])
-                hess = sum((np.frombuffer(r["hess"]).reshape(n, n) for r in found if r["model"] == i), np.zeros((n, n)))
-                grad = sum((np.frombuffer(r["grad"]) for r in found if r["model"] == i), np.zeros(n))
-                step = np.linalg.solve(hess + np.eye(n) / fit.c, grad - weights[i] / fit.c)
-                weights[i] = weights[i] + step
-                moved = max(moved, float(np.abs(step).max()))
-            if moved < 1e-8:
-                break
-    finally:
-        rows.unpersist()
+    rows = stored(rows, "ladder")
+    for _ in range(rounds):
+        found = added(rows.mapInPandas(_sums(fits, weights), PARTS))
+        moved = {}
+        for i, fit in enumerate(fits):
+            n = len(weights[i])
+            both = whole(found, i, n * n + n)
+            step = np.linalg.solve(both[: n * n].reshape(n, n) + np.eye(n) / fit.c, both[n * n :] - weights[i] / fit.c)
+            weights[i] = weights[i] + step
+            moved[i] = float(np.abs(step).max())
+        if max(moved.values(), default=0.0) < 1e-8:
+            break
+    else:
+        late = [i for i, m in moved.items() if m >= 1e-8] if rounds else []
+        if late:
+            warnings.warn(f"{len(late)} of {len(fits)} models still move after {rounds} rounds, by {max(moved.values()):.1e} at most, the first being {fits[late[0]]}", stacklevel=2)
+    drop_stored(rows)
     return weights
 
 

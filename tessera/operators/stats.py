@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import stored
 from .ordering import running_sums
 
 
@@ -92,8 +93,11 @@ def bootstrap_auroc(df: DataFrame, group: str, label: str, scores: list[str], ro
     rows = df.select(group, F.col(label).cast("int").alias("y_"), F.inline(pairs)).where("s_ is not null and y_ is not null")
     cells = rows.groupBy(group, "name", "s_").agg(F.sum("y_").alias("p"), F.count(F.lit(1)).alias("n"))
     drawn = replicates(cells, group, rounds, seed).groupBy("round", "name", "s_").agg(F.sum(F.col("p") * F.col("times")).alias("p"), F.sum(F.col("n") * F.col("times")).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.partitionBy("round", "name").orderBy("s_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sums = drawn.withColumn("r", below + (F.col("n") + 1) / 2.0).groupBy("round", "name").agg(F.sum("p").alias("p"), F.sum(F.col("n") - F.col("p")).alias("q"), F.sum(F.col("p") * F.col("r")).alias("sr"))
+    # all rounds are put in one order of range partitions, so that none is ranked in one task
+    upto = stored(running_sums(drawn, [F.asc("round"), F.asc("name"), F.asc("s_")], {"upto": F.col("n")}), "rounds")
+    start = upto.groupBy("round", "name").agg(F.min(F.col("upto") - F.col("n")).alias("start"))  # a row for each round and score
+    below = F.col("upto") - F.col("n") - F.col("start")
+    sums = upto.join(F.broadcast(start), ["round", "name"]).withColumn("r", below + (F.col("n") + 1) / 2.0).groupBy("round", "name").agg(F.sum("p").alias("p"), F.sum(F.col("n") - F.col("p")).alias("q"), F.sum(F.col("p") * F.col("r")).alias("sr"))
     p, q = F.col("p"), F.col("q")
     each = sums.withColumn("a", F.when((p > 0) & (q > 0), (F.col("sr") - p * (p + 1) / 2.0) / (p * q)))
     return each.groupBy("round").agg(*[F.max(F.when(F.col("name") == s, F.col("a"))).alias(s) for s in scores])
