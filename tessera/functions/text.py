@@ -346,3 +346,55 @@ def first_filled(*columns: Column) -> Column:
 
 def any_of(*conditions: Column) -> Column:
     return reduce(lambda a, b: a | b, conditions)
+
+
+FILL = "array<struct<text:string,start:int,end:int,hole:int>>"
+
+
+def template_fills(template: Column, text: Column, token: str = "[MASK]") -> Column:
+    """struct(status, fills, warnings): what stands in a text where its template has holes.
+
+    The text has to begin with the template's beginning; from there on each part after a hole is taken where it first follows,
+    so of repeated parts the leftmost counts, and nothing is tried again. A hole at the end of the template, or before another hole, takes
+    the rest. fills are (text, start, end, hole from 0). warnings are `missing_mask_token`, `template_prefix_mismatch`,
+    `template_suffix_mismatch` (these three without fills), `template_trailing_text_mismatch`, and `empty_fill_span` for each
+    hole that holds nothing; status is ok without any. A null template or text gives null."""
+    quoted = r"\Q" + token + r"\E"
+    none = F.array().cast(FILL)
+    cut = F.split(template, quoted, -1)
+
+    def fitted(b: Column) -> Column:
+        parts, size = b["parts"], F.length(b["text"])
+        head = F.element_at(parts, 1)
+        rest = F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda x, i: F.struct(x.alias("part"), i.cast("int").alias("hole")))
+        zero = F.struct(F.length(head).alias("at"), none.alias("fills"), F.lit(False).alias("lost"))
+
+        def step(state: Column, x: Column) -> Column:
+            open_ = x["part"] == ""
+            found = F.when(open_, size).otherwise(F.call_function("locate", x["part"], b["text"], state["at"] + 1) - 1)
+            lost = state["lost"] | (found < 0)
+            fill = F.struct(F.substring(b["text"], state["at"] + 1, F.greatest(found - state["at"], F.lit(0))).alias("text"), state["at"].alias("start"), found.alias("end"), x["hole"].alias("hole"))
+            return F.struct(F.when(lost, state["at"]).otherwise(found + F.length(x["part"])).cast("int").alias("at"), F.when(lost, state["fills"]).otherwise(F.array_append(state["fills"], fill)).cast(FILL).alias("fills"), lost.alias("lost"))
+
+        got = F.aggregate(rest, zero, step)
+        return F.transform(F.array(got), lambda g: judged(b, head, size, g))[0]
+
+    def judged(b: Column, head: Column, size: Column, g: Column) -> Column:
+        no_hole, no_head = F.size(b["parts"]) < 2, ~F.startswith(b["text"], head)
+        bad = F.when(no_hole, "missing_mask_token").when(no_head, "template_prefix_mismatch").when(g["lost"], "template_suffix_mismatch")
+        trailing = F.when(g["at"] != size, F.array(F.lit("template_trailing_text_mismatch"))).otherwise(F.array().cast("array<string>"))
+        empty = F.transform(F.filter(g["fills"], lambda f: f["text"] == ""), lambda f: F.lit("empty_fill_span"))
+        warnings = F.when(bad.isNotNull(), F.array(bad)).otherwise(F.concat(trailing, empty))
+        return F.struct(F.when(F.size(warnings) == 0, "ok").otherwise("warning").alias("status"), F.when(bad.isNotNull(), none).otherwise(g["fills"]).alias("fills"), warnings.alias("warnings"))
+
+    # an array of one binds the parts and the text
+    out = F.transform(F.array(F.struct(cut.alias("parts"), text.alias("text"))), fitted)[0]
+    return F.when(template.isNotNull() & text.isNotNull(), out)
+
+
+def recovered_fills(template: Column, text: Column, token: str = "[MASK]") -> Column:
+    """As template_fills for a recovered text: one that doesn't fit its template in every way is a fragment, with status
+    `failed_fragment_recovery`, no fills and the one warning `fragment_recovery`."""
+    out = template_fills(template, text, token)
+    fragment = F.struct(F.lit("failed_fragment_recovery").alias("status"), F.array().cast(FILL).alias("fills"), F.array(F.lit("fragment_recovery")).alias("warnings"))
+    return F.transform(F.array(out), lambda o: F.when(o["status"] == "warning", fragment).otherwise(o))[0]

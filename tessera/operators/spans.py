@@ -191,12 +191,9 @@ def parents(df: DataFrame, by: str, rank: str | None = None) -> DataFrame:
     return out.withColumn("parent", F.when(inside, F.col("l_")["id"])).drop("l_")
 
 
-def template_fills(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """mapInPandas kernel over (id, template, text, token): the fills of all tokens when the text fits the template, else null."""
-    for batch in batches:
-        out = []
-        for row in batch.itertuples(index=False):
-            parts = [re.escape(p) for p in row.template.split(row.token)]
-            m = re.fullmatch("(.*?)".join(parts), row.text, re.S)
-            out.append(list(m.groups()) if m else None)
-        yield pd.DataFrame({"id": batch["id"], "fills": out})
+def filled_holes(df: DataFrame, key: str, template: str, text: str, token: str = "[MASK]") -> DataFrame:
+    """(key, hole, start, end, fill) of the holes of templates that their texts fit, one row a hole; texts that don't fit, or that leave
+    a hole empty, have none."""
+    found = X.template_fills(F.col(template), F.col(text), token)
+    rows = df.select(key, found.alias("f_")).where("f_.status = 'ok'").select(key, F.explode("f_.fills").alias("h_"))
+    return rows.select(key, "h_.hole", "h_.start", "h_.end", F.col("h_.text").alias("fill"))

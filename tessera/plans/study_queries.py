@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import text as X
 from ..operators import digests, directions, sampling, sparse
 from ..operators.stats import auroc
 from ..sources import readers, writers
@@ -91,6 +92,30 @@ def file_audit(spark, d) -> DataFrame:
 FILE_AUDIT = "SELECT 'Question,answer,id' AS fields, TRUE AS has_question, TRUE AS has_answer, count(*) AS records, 0 AS undecodable FROM benchmark UNION ALL SELECT 'o_orderkey,o_orderpriority,o_orderstatus', FALSE, FALSE, count(*), count(*) FILTER (o_orderkey % 97 IN (5, 6)) FROM orders"
 
 
+# ---- templates
+
+
+def template_holes(spark, d) -> DataFrame:
+    """Sentences of orders held against a template with three holes: what fills them, or what is wrong."""
+    key, status, price = F.col("o_orderkey"), F.col("o_orderstatus"), F.floor("o_totalprice").cast("long").cast("string")
+    head = F.when(key % 7 == 1, F.lit("Bill ")).otherwise(F.lit("Order "))
+    middle = F.when(key % 7 == 2, F.lit(" for ")).otherwise(F.lit(" is "))
+    tail = F.when(key % 7 == 3, F.lit(" all told, paid")).otherwise(F.lit(" all told"))
+    text = F.concat(head, key.cast("string"), middle, F.when(key % 7 == 4, F.lit("")).when(key % 7 == 5, F.lit("that is and ")).otherwise(status), F.lit(" and "), price, tail)
+    rows = table(spark, d, "orders").select("o_orderkey", X.template_fills(F.lit("Order [MASK] is [MASK] and [MASK] all told"), text).alias("f"))
+    return rows.select("o_orderkey", "f.status", F.array_join("f.warnings", ", ").alias("warnings"), F.array_join(F.transform("f.fills", lambda h: F.concat(h["hole"].cast("string"), F.lit("="), h["text"], F.lit("@"), h["start"].cast("string"))), "; ").alias("fills"))
+
+
+TEMPLATE_HOLES = """
+WITH o AS (SELECT o_orderkey AS k, CAST(o_orderkey AS VARCHAR) AS key, CASE o_orderkey % 7 WHEN 4 THEN '' WHEN 5 THEN 'that is' ELSE o_orderstatus END AS s, CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) AS price FROM orders),
+w AS (SELECT *, CASE k % 7 WHEN 1 THEN 'template_prefix_mismatch' WHEN 2 THEN 'template_suffix_mismatch' WHEN 3 THEN 'template_trailing_text_mismatch' WHEN 4 THEN 'empty_fill_span' ELSE '' END AS warnings,
+  CASE WHEN k % 7 = 5 THEN ' and ' || price ELSE price END AS last FROM o)
+SELECT k AS o_orderkey, CASE WHEN warnings = '' THEN 'ok' ELSE 'warning' END AS status, warnings,
+  CASE WHEN k % 7 IN (1, 2) THEN '' ELSE '0=' || key || '@6; 1=' || s || '@' || (6 + length(key) + 4) || '; 2=' || last || '@' || (6 + length(key) + 4 + length(s) + 5) END AS fills
+FROM w
+"""
+
+
 # ---- folds and designs
 
 
@@ -246,6 +271,6 @@ def work_replay(spark, d) -> DataFrame:
 WORK_REPLAY = "SELECT DISTINCT CAST(event_id AS VARCHAR) AS unit_id, CASE WHEN event_id % 10 = 3 THEN 'failed' ELSE 'done' END AS state, CASE WHEN event_id % 10 = 3 THEN 2 ELSE 1 END AS attempts, CASE WHEN event_id % 10 <> 3 THEN CAST(floor(coalesce(value, 0) * 100) AS BIGINT) END AS cents FROM events"
 
 QUERIES = {name: (globals()[name], globals().get(name.upper())) for name in (
-    "line_numbers", "tolerant_lines", "formats", "file_audit", "label_folds", "profile_folds", "fold_blocks", "text_ladder", "loo_vectors", "changed_partners", "control_percentile", "table_digests",
+    "line_numbers", "tolerant_lines", "formats", "file_audit", "template_holes", "label_folds", "profile_folds", "fold_blocks", "text_ladder", "loo_vectors", "changed_partners", "control_percentile", "table_digests",
     "lock_differences", "work_replay",
 )}

@@ -18,6 +18,7 @@ from tessera.operators import ranking as G
 from tessera.operators import sampling as P
 from tessera.operators import spans as S
 from tessera.operators import stats as T
+from tessera.functions import text as X
 from tessera.sources import readers, tensors, writers
 from tessera.streaming import events as E
 
@@ -314,10 +315,47 @@ def test_paired_takes_the_last_row_of_a_role(spark):
     assert {r["k"]: r["delta"] for r in J.paired(df, ["k"], "role", "t", "c", "v").collect()} == {1: 8.0, 2: 2.0, 4: 3.0}
 
 
+def fills_by_definition(template, text, token):
+    parts = template.split(token)
+    if len(parts) < 2:
+        return [], ["missing_mask_token"]
+    if not text.startswith(parts[0]):
+        return [], ["template_prefix_mismatch"]
+    at, fills = len(parts[0]), []
+    for hole, part in enumerate(parts[1:]):
+        found = text.find(part, at) if part else len(text)
+        if found < 0:
+            return [], ["template_suffix_mismatch"]
+        fills.append((text[at:found], at, found, hole))
+        at = found + len(part)
+    return fills, ["template_trailing_text_mismatch"] * (at != len(text)) + ["empty_fill_span"] * sum(f[0] == "" for f in fills)
+
+
 def test_template_fills(spark):
-    df = frame(spark, [(1, "a [M] b [M]", "a x b yy", "[M]"), (2, "a [M]", "b", "[M]")], "id int, template string, text string, token string")
-    got = {r["id"]: r["fills"] for r in df.mapInPandas(S.template_fills, "id int, fills array<string>").collect()}
-    assert got == {1: ["x", "yy"], 2: None}
+    import random
+
+    rows = [("a [M] b [M]", "a x b yy"), ("a [M]", "b"), ("[M]", ""), ("[M][M]x", "abx"), ("[M] and [M] and end", "1 and 2 and 3 and end"), ("no hole", "no hole"), ("a[M]", "a"), ("é😀[M].", "é😀日本."), ("x [M] y", "x 1 y z"), (None, "a"), ("[M]", None), ("[M] \\E(", "1 \\E(")]
+    r = random.Random(0)
+    rows += [("".join(r.choice(["a", "b", "[M]", "ab"]) for _ in range(r.randrange(1, 7))), "".join(r.choice("ab") for _ in range(r.randrange(9)))) for _ in range(400)]
+    df = frame(spark, [(i, *x) for i, x in enumerate(rows)], "id int, template string, text string")
+    got = {x["id"]: x for x in df.select("id", X.template_fills(F.col("template"), F.col("text"), "[M]").alias("f"), X.recovered_fills(F.col("template"), F.col("text"), "[M]").alias("r")).collect()}
+    for i, (template, text) in enumerate(rows):
+        if template is None or text is None:
+            assert got[i]["f"] is None and got[i]["r"] is None
+            continue
+        fills, warnings = fills_by_definition(template, text, "[M]")
+        assert ([tuple(x) for x in got[i]["f"]["fills"]], got[i]["f"]["warnings"], got[i]["f"]["status"]) == (fills, warnings, "warning" if warnings else "ok"), (template, text)
+        assert (got[i]["r"]["status"], len(got[i]["r"]["fills"])) == (("failed_fragment_recovery", 0) if warnings else ("ok", len(fills)))
+    assert [tuple(x) for x in S.filled_holes(df.where("id = 0"), "id", "template", "text", "[M]").orderBy("hole").collect()] == [(0, 0, 2, 3, "x"), (0, 1, 6, 8, "yy")]
+
+
+def test_masked_documents_are_aligned(spark, sf):
+    from tessera.functions import lexicons as L
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", X.masked(F.col("text"), X.matches(F.col("text"), L.ARABIC_NUMBER)).alias("template"))
+    for x in docs.select("*", X.template_fills(F.col("template"), F.col("text")).alias("f")).where("text is not null").collect():
+        fills, warnings = fills_by_definition(x["template"], x["text"], "[MASK]")
+        assert ([tuple(y) for y in x["f"]["fills"]], x["f"]["warnings"]) == (fills, warnings)
 
 
 # ---- log
