@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from ..functions import text as X
 from ..operators import digests, directions, sampling, sparse
 from ..operators.stats import auroc
-from ..sources import readers, writers
+from ..sources import audits, readers, writers
 from ..sources.storage import shared_dir
 from ..streaming import work
 from .base import SCORED, scored_documents, table
@@ -92,6 +92,19 @@ def file_audit(spark, d) -> DataFrame:
 FILE_AUDIT = "SELECT 'Question,answer,id' AS fields, TRUE AS has_question, TRUE AS has_answer, count(*) AS records, 0 AS undecodable FROM benchmark UNION ALL SELECT 'o_orderkey,o_orderpriority,o_orderstatus', FALSE, FALSE, count(*), count(*) FILTER (o_orderkey % 97 IN (5, 6)) FROM orders"
 
 
+def source_audit(spark, d) -> DataFrame:
+    """Descriptors of files that hold orders as questions (CSV) and as units derived from them (Parquet), by kind of file."""
+    path = _folder(spark, "sources")
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.concat("o_orderpriority", F.lit(', "and"\nmore')).alias("question"), F.col("o_totalprice").alias("answer"))
+    rows.write.option("header", True).option("escape", '"').csv(f"{path}/questions")
+    rows.withColumnRenamed("question", "original_question").write.parquet(f"{path}/derived")
+    found = audits.described(spark, [path]).where("records > 0")
+    return found.groupBy("file_type", "source_type", "usable", F.array_join("fields", ",").alias("fields")).agg(F.sum("records").alias("records"))
+
+
+SOURCE_AUDIT = "SELECT 'csv' AS file_type, 'raw_question_source' AS source_type, TRUE AS usable, 'answer,id,question' AS fields, count(*) AS records FROM orders UNION ALL SELECT 'parquet', 'derived_downstream', FALSE, 'answer,id,original_question', count(*) FROM orders"
+
+
 # ---- templates
 
 
@@ -271,6 +284,6 @@ def work_replay(spark, d) -> DataFrame:
 WORK_REPLAY = "SELECT DISTINCT CAST(event_id AS VARCHAR) AS unit_id, CASE WHEN event_id % 10 = 3 THEN 'failed' ELSE 'done' END AS state, CASE WHEN event_id % 10 = 3 THEN 2 ELSE 1 END AS attempts, CASE WHEN event_id % 10 <> 3 THEN CAST(floor(coalesce(value, 0) * 100) AS BIGINT) END AS cents FROM events"
 
 QUERIES = {name: (globals()[name], globals().get(name.upper())) for name in (
-    "line_numbers", "tolerant_lines", "formats", "file_audit", "template_holes", "label_folds", "profile_folds", "fold_blocks", "text_ladder", "loo_vectors", "changed_partners", "control_percentile", "table_digests",
+    "line_numbers", "tolerant_lines", "formats", "file_audit", "source_audit", "template_holes", "label_folds", "profile_folds", "fold_blocks", "text_ladder", "loo_vectors", "changed_partners", "control_percentile", "table_digests",
     "lock_differences", "work_replay",
 )}
