@@ -140,6 +140,22 @@ def position_bias(df: DataFrame, position: str, limit: float = 0.40) -> DataFram
     return shares(df, position).withColumn("severe", F.col("share") > limit)
 
 
+def majority_baseline(df: DataFrame, label: str, limit: float = 0.40) -> DataFrame:
+    """One row: the label said most often (the first of equals), its share, which is the accuracy of saying nothing else, and whether it is above the limit."""
+    counts = df.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    best = counts.agg(F.max("n").alias("n"), F.sum("n").alias("rows"))
+    first = counts.join(F.broadcast(best.select("n")), "n", "left_semi").agg(F.min("label").alias("label"))
+    return first.join(F.broadcast(best)).select("label", "rows", (F.col("n") / F.col("rows")).alias("share"), (F.col("n") / F.col("rows") > limit).alias("severe"))
+
+
+def fixed_letters(df: DataFrame, choices: str) -> DataFrame:
+    """(text, times, letters, fixed) of the texts of choices, an array of structs with label and choice: how often a text is offered, under how many
+    letters, and whether a text that is offered twice or more always stands under one."""
+    rows = df.select(F.explode(choices).alias("c")).groupBy(F.col("c.choice").alias("text"), F.col("c.label").alias("letter")).agg(F.count(F.lit(1)).alias("n"))
+    out = rows.groupBy("text").agg(F.sum("n").alias("times"), F.count(F.lit(1)).alias("letters"))
+    return out.withColumn("fixed", (F.col("times") >= 2) & (F.col("letters") == 1))
+
+
 def off_class_share(df: DataFrame, by: list[str], score: str, off: Column) -> DataFrame:
     """Share of the positive score mass that lies on rows of a class."""
     mass = F.greatest(F.col(score), F.lit(0.0))

@@ -106,6 +106,12 @@ def risk_coverage(df: DataFrame, risk: str, key: str, wrong: Column, coverages:
     return inside.groupBy("coverage").agg(F.count(F.lit(1)).alias("rows"), F.avg("w").alias("risk"))
 
 
+def discrete_aurc(curve: DataFrame, at: float = 0.8) -> DataFrame:
+    """One row over the points of risk_coverage: `aurc`, the mean risk of the points, and `risk_at`, the risk at one coverage (null where it
+    is no point of the curve)."""
+    return curve.agg(F.avg("risk").alias("aurc"), F.max(F.when(F.col("coverage") == at, F.col("risk"))).alias("risk_at"))
+
+
 def concordance(df: DataFrame, by: list[str], score: str, target: str) -> DataFrame:
     """For each group: pairs of rows whose targets differ, and the share in which the higher target scores higher (ties half).
 

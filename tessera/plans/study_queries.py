@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
-from ..operators import digests, directions, sampling, sparse
+from ..operators import aggregates, digests, directions, ranking, sampling, sparse
 from ..operators.stats import auroc
 from ..sources import audits, readers, writers
 from ..sources.storage import shared_dir
@@ -186,6 +186,44 @@ def text_ladder(spark, d) -> DataFrame:
     return report.select("rung", "fold", "c", "features").join(found, ["rung", "fold"])
 
 
+# ---- risk and position
+
+
+def discrete_aurc(spark, d) -> DataFrame:
+    """Mean risk of the curve of low-quality documents accepted by score, and its risk at four fifths."""
+    curve = ranking.risk_coverage(scored_documents(spark, d), "score", "doc_id", F.col("quality") == 0, [0.1, 0.2, 0.4, 0.6, 0.8, 1.0])
+    return ranking.discrete_aurc(curve).select(F.round("aurc", 9).alias("aurc"), F.round("risk_at", 9).alias("risk_at"))
+
+
+DISCRETE_AURC = f"""
+WITH s AS (SELECT row_number() OVER (ORDER BY score, doc_id) AS r, count(*) OVER () AS n, 1 - quality AS w FROM {SCORED}), c AS (SELECT unnest([0.1, 0.2, 0.4, 0.6, 0.8, 1.0]) AS c),
+p AS (SELECT c, avg(w) AS risk FROM s, c WHERE r <= greatest(1, CAST(round_even(n * CAST(c AS DOUBLE), 0) AS BIGINT)) GROUP BY c)
+SELECT round(avg(risk), 9) AS aurc, round(max(risk) FILTER (c = 0.8), 9) AS risk_at FROM p
+"""
+
+
+def fixed_letters(spark, d) -> DataFrame:
+    """Choices of customers in shuffled order: which texts always stand under one letter."""
+    texts = F.array(F.lit("alpha"), F.lit("beta"), F.lit("gamma"), F.col("c_mktsegment"))
+    rows = table(spark, d, "customer").select("c_custkey", texts.alias("texts"))
+    return aggregates.fixed_letters(rows.select(sampling.shuffled_choices(F.col("texts"), F.col("c_custkey"), 3).alias("choices")), "choices")
+
+
+FIXED_LETTERS = """
+WITH c AS (SELECT c_custkey, unnest(['alpha', 'beta', 'gamma', c_mktsegment]) AS text, unnest([0, 1, 2, 3]) AS i FROM customer),
+l AS (SELECT text, row_number() OVER (PARTITION BY c_custkey ORDER BY sha256('3:' || c_custkey || ':' || i)) AS letter FROM c)
+SELECT text, count(*) AS times, count(DISTINCT letter) AS letters, count(*) >= 2 AND count(DISTINCT letter) = 1 AS fixed FROM l GROUP BY text
+"""
+
+
+def majority_baseline(spark, d) -> DataFrame:
+    """The most common language of documents, its share, and whether that is severe."""
+    return aggregates.majority_baseline(table(spark, d, "documents"), "lang").select("label", "rows", F.round("share", 9).alias("share"), "severe")
+
+
+MAJORITY_BASELINE = "WITH n AS (SELECT lang AS label, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY lang) SELECT label, CAST((SELECT sum(n) FROM n) AS BIGINT) AS rows, round(n / (SELECT sum(n) FROM n)::DOUBLE, 9) AS share, n / (SELECT sum(n) FROM n)::DOUBLE > 0.4 AS severe FROM n ORDER BY n DESC, label LIMIT 1"
+
+
 # ---- directions and controls
 
 
@@ -284,6 +322,6 @@ def work_replay(spark, d) -> DataFrame:
 WORK_REPLAY = "SELECT DISTINCT CAST(event_id AS VARCHAR) AS unit_id, CASE WHEN event_id % 10 = 3 THEN 'failed' ELSE 'done' END AS state, CASE WHEN event_id % 10 = 3 THEN 2 ELSE 1 END AS attempts, CASE WHEN event_id % 10 <> 3 THEN CAST(floor(coalesce(value, 0) * 100) AS BIGINT) END AS cents FROM events"
 
 QUERIES = {name: (globals()[name], globals().get(name.upper())) for name in (
-    "line_numbers", "tolerant_lines", "formats", "file_audit", "source_audit", "template_holes", "label_folds", "profile_folds", "fold_blocks", "text_ladder", "loo_vectors", "changed_partners", "control_percentile", "table_digests",
+    "line_numbers", "tolerant_lines", "formats", "file_audit", "source_audit", "template_holes", "label_folds", "profile_folds", "fold_blocks", "text_ladder", "discrete_aurc", "fixed_letters", "majority_baseline", "loo_vectors", "changed_partners", "control_percentile", "table_digests",
     "lock_differences", "work_replay",
 )}
