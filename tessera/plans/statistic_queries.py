@@ -144,6 +144,17 @@ def ridge_predictions(spark, d):
     return out.select("doc_id", "fold", F.round("oof", 6).alias("oof"))
 
 
+RIDGE_PREDICTIONS = f"""
+WITH s AS (SELECT * FROM {SCORED}), m AS (SELECT avg(score) AS ms, stddev_pop(score) AS ss, avg(other) AS mo, stddev_pop(other) AS so FROM s),
+g AS (SELECT source, CAST((row_number() OVER (ORDER BY sha256('2:' || source), source) - 1) % 4 AS INTEGER) AS fold FROM (SELECT DISTINCT source FROM s)),
+r AS (SELECT doc_id, fold, (score - ms) / CASE WHEN ss < 1e-12 THEN 1.0 ELSE ss END / sqrt(2.0) AS x, (other - mo) / CASE WHEN so < 1e-12 THEN 1.0 ELSE so END / sqrt(2.0) AS z, quality::DOUBLE AS y FROM s JOIN g USING (source), m),
+q AS (SELECT f, sum(x * x) + 1 AS a, sum(x * z) AS b, sum(z * z) + 1 AS c, sum(x) AS d, sum(z) AS e, count(*)::DOUBLE AS n, sum(x * y) AS t, sum(z * y) AS u, sum(y) AS v FROM r, (SELECT unnest([0, 1, 2, 3]) AS f) WHERE fold <> f GROUP BY f),
+w AS (SELECT f, a * (c * n - e * e) - b * (b * n - e * d) + d * (b * e - c * d) AS det, t * (c * n - e * e) - b * (u * n - e * v) + d * (u * e - c * v) AS w0, a * (u * n - e * v) - t * (b * n - e * d) + d * (b * v - u * d) AS w1,
+  a * (c * v - u * e) - b * (b * v - u * d) + t * (b * e - c * d) AS w2 FROM q)
+SELECT doc_id, fold, round((w0 * x + w1 * z + w2) / det, 6) AS oof FROM r JOIN w ON f = fold
+"""
+
+
 def logistic_auroc(spark, d):
     """AUROC of out-of-fold logistic values, by fold."""
     rows = P.folds(scored_documents(spark, d), "source", 3, seed=2)

@@ -120,6 +120,16 @@ def token_counts(spark, d):
     return t.groupBy("role").agg(F.count(F.lit(1)).alias("tokens"), F.sum("end").cast("long").alias("ends"), F.sum(X.token_id(F.col("text"))).cast("long").alias("ids"))
 
 
+TOKEN_COUNTS = r"""
+WITH c AS (SELECT role, text, row_number() OVER () AS r FROM conversations WHERE text <> ''), x AS (SELECT role, r, unnest(string_split(text, '')) AS ch, unnest(range(1, length(text) + 1)) AS i FROM c),
+k AS (SELECT *, regexp_matches(ch, '[\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]') AS w, regexp_matches(ch, '[\s\p{Z}]') AS s FROM x),
+t AS (SELECT *, NOT s AND NOT (w AND coalesce(lag(w) OVER (PARTITION BY r ORDER BY i), FALSE)) AS starts FROM k),
+g AS (SELECT *, sum(CAST(starts AS INTEGER)) OVER (PARTITION BY r ORDER BY i) AS n FROM t),
+o AS (SELECT role, r, n, max(i) AS e, (sum(i * unicode(ch)) - (min(i) - 1) * sum(unicode(ch))) % 100000 + 1 AS id FROM g WHERE NOT s GROUP BY ALL)
+SELECT role, count(*) AS tokens, CAST(sum(e) AS BIGINT) AS ends, CAST(sum(id) AS BIGINT) AS ids FROM o GROUP BY role
+"""
+
+
 _ASKED = """concat(CASE o_orderkey % 4 WHEN 0 THEN 'If Ann buys ' WHEN 1 THEN 'Tom sold ' WHEN 2 THEN 'After lunch Mary gave ' ELSE 'A baker never lost ' END, o_orderkey % 90 + 2, CASE o_custkey % 3 WHEN 0 THEN ' red apples each' WHEN 1 THEN ' miles per day' ELSE ' books' END,
   ' and ', o_custkey % 50, '% more than twelve friends, ', CASE o_orderkey % 3 WHEN 0 THEN 'How many are left?' WHEN 1 THEN 'How much did Tom spend?' ELSE 'What is the total for 1,250 cards at $3.50?' END)"""
 
@@ -143,5 +153,5 @@ QUERIES = {
     "number_spans": (number_spans, NUMBER_SPANS), "lexicon_counts": (lexicon_counts, LEXICON_COUNTS), "span_candidates": (span_candidates, None), "span_units": (span_units, None), "span_families": (span_families, None), "ablation_status": (ablation_status, None),
     "masked_numbers": (masked_numbers, MASKED_NUMBERS), "normal_text_duplicates": (normal_text_duplicates, NORMAL_TEXT_DUPLICATES),
     "degeneration_flags": (degeneration_flags, None), "language_histogram": (language_histogram, LANGUAGE_HISTOGRAM),
-    "stable_choice": (stable_choice, STABLE_CHOICE), "text_hashes": (text_hashes, TEXT_HASHES), "token_counts": (token_counts, None), "word_statistics": (word_statistics, WORD_STATISTICS),
+    "stable_choice": (stable_choice, STABLE_CHOICE), "text_hashes": (text_hashes, TEXT_HASHES), "token_counts": (token_counts, TOKEN_COUNTS), "word_statistics": (word_statistics, WORD_STATISTICS),
 }
