@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
-from ..operators import aggregates, digests, directions, ranking, sampling, sparse
+from ..operators import aggregates, digests, directions, ranking, ridge_probe, sampling, sparse
 from ..operators.stats import auroc
 from ..sources import audits, readers, writers
 from ..sources.storage import shared_dir
@@ -186,6 +186,13 @@ def text_ladder(spark, d) -> DataFrame:
     return report.select("rung", "fold", "c", "features").join(found, ["rung", "fold"])
 
 
+def label_probe(spark, d) -> DataFrame:
+    """Labels of vectors as five folds of probes tell them: how often each is taken for which."""
+    rows, k = sampling.label_folds(table(spark, d, "embeddings"), "label", "vec_id", 5)
+    got = ridge_probe.probe(rows, key="vec_id", label="label", x="embedding", fold="fold", k=k)
+    return got.groupBy("label", "predicted").agg(F.count(F.lit(1)).alias("rows"), F.round(F.avg("margin"), 4).alias("margin"))
+
+
 # ---- risk and position
 
 
@@ -322,6 +329,6 @@ def work_replay(spark, d) -> DataFrame:
 WORK_REPLAY = "SELECT DISTINCT CAST(event_id AS VARCHAR) AS unit_id, CASE WHEN event_id % 10 = 3 THEN 'failed' ELSE 'done' END AS state, CASE WHEN event_id % 10 = 3 THEN 2 ELSE 1 END AS attempts, CASE WHEN event_id % 10 <> 3 THEN CAST(floor(coalesce(value, 0) * 100) AS BIGINT) END AS cents FROM events"
 
 QUERIES = {name: (globals()[name], globals().get(name.upper())) for name in (
-    "line_numbers", "tolerant_lines", "formats", "file_audit", "source_audit", "template_holes", "label_folds", "profile_folds", "fold_blocks", "text_ladder", "discrete_aurc", "fixed_letters", "majority_baseline", "loo_vectors", "changed_partners", "control_percentile", "table_digests",
+    "line_numbers", "tolerant_lines", "formats", "file_audit", "source_audit", "template_holes", "label_folds", "profile_folds", "fold_blocks", "text_ladder", "label_probe", "discrete_aurc", "fixed_letters", "majority_baseline", "loo_vectors", "changed_partners", "control_percentile", "table_digests",
     "lock_differences", "work_replay",
 )}
