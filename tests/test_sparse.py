@@ -156,3 +156,23 @@ def test_what_cannot_be_fitted_is_said(spark, dealt):
     scores, report = sparse.ladder(few, {"O": sparse.Rung("text", {"f": ["a", "b"]})}, id="id", label="y", group="grp", fold="fold", k=3, inner_k=5)
     assert {r["c"] for r in report.collect()} == {1.0}  # no inner folds with both classes
     assert scores.count() == 12 and not scores.where("oof_O is null or isnan(oof_O)").count()
+
+
+def test_families_go_through_the_same_folds(spark):
+    df = table(spark).select("id", "grp", "y", F.col("a").alias("f1_a"), F.col("b").alias("f2_b"), F.col("flat").alias("f2_flat"))
+    families = {"base": sparse.prefixed(df, "f2_"), "one": sparse.prefixed(df, "f1_"), "both": sparse.prefixed(df, "f1_", "f2_")}
+    assert families["both"] == ["f1_a", "f2_b", "f2_flat"]
+    runs, increments = sparse.by_family(df, families, id="id", label="y", group="grp", base="base", seeds=(3, 4), k=3, rounds=30, tolerance=1e-8)
+    got = {(r["family"], r["seed"]): r for r in runs.collect()}
+    for seed in (3, 4):
+        rows = sorted(sampling.folds(df, "grp", 3, seed).collect(), key=lambda r: r["id"])
+        y = np.array([r["y"] for r in rows])
+        for name, columns in families.items():
+            value = np.zeros(len(rows))
+            for d in range(3):
+                x, test = dense_design(rows, d, False, (tuple(columns),)), np.array([r["fold"] == d for r in rows])
+                value[test] = np.hstack([x[test], np.ones((test.sum(), 1))]) @ newton(x[~test], y[~test], 1.0)
+            assert got[name, seed]["auroc"] == pytest.approx(auc(value, y), abs=1e-3) and (got[name, seed]["rows"], got[name, seed]["folds"]) == (len(rows), 3)
+    out = {r["family"]: r for r in increments.collect()}
+    mean = lambda n: np.mean([got[n, s]["auroc"] for s in (3, 4)])
+    assert set(out) == {"one", "both"} and out["one"]["increment"] == pytest.approx(mean("one") - mean("base")) and out["one"]["low"] <= out["one"]["high"] and out["one"]["rows"] == 160
