@@ -60,6 +60,7 @@ PREDICTED = ["risk_positive", "positive_anchor", "negative", "hard_negative_or_w
 
 
 def guidance_actions(spark, d):
+    """What predictions propose; the scores are the first three components of each vector."""
     e = F.col("embedding")
     scores = F.create_map(*[x for i, n in enumerate(PREDICTED[:3]) for x in (F.lit(n), e[i].cast("double"))])
     rows = table(spark, d, "embeddings").select("vec_id", B.guidance(scores, _pick(PREDICTED, F.col("vec_id"))).alias("g"))
@@ -100,6 +101,7 @@ UNION ALL SELECT 'layer', CASE WHEN feature LIKE '%is_missing' THEN 'missing_ind
 
 
 def feature_arrays(spark, d):
+    """Names of features kept as arrays, and of missing ones; features are the first ten components of each vector."""
     e = F.col("embedding")
     maps = table(spark, d, "embeddings").select("vec_id", F.create_map(F.lit("span_cosine_by_layer"), F.slice(e, 1, 4), F.lit("plain"), F.slice(e, 5, 4), F.lit("mask_cosine_by_layer"), F.slice(e, 9, 2)).alias("a"), F.create_map(F.lit("z"), F.when(e[0] > 0, e[0]), F.lit("b"), F.when(e[1] > 0, e[1]), F.lit("m"), e[2]).alias("f"))
     return maps.select("vec_id", F.array_join(F.array_sort(F.map_keys(B.by_layer(F.col("a")))), ",").alias("arrays"), F.array_join(B.null_features(F.col("f")), ",").alias("missing"))
@@ -211,6 +213,7 @@ _E = "list_transform(embedding, lambda v: v::DOUBLE)"
 
 
 def effect_scores(spark, d):
+    """Effects and risks; the signals are the first ten components of each vector."""
     e = lambda i: F.col("embedding")[i].cast("double")
     rows = table(spark, d, "embeddings")
     nothing = F.when(F.col("vec_id") % 3 > 0, e(9))
@@ -229,6 +232,7 @@ SELECT vec_id, round(abs(e[2]) + 0.5::DOUBLE * least(abs(e[1]), 5.0) + 0.5::DOUB
 
 
 def layer_readouts(spark, d):
+    """Readouts of three layers, which are the first 48 components of each vector, 16 each."""
     s = lambda a: V.softmax(F.slice("embedding", a, 16))
     out = table(spark, d, "embeddings").select("vec_id", G.across_layers(s(1), s(17), s(33)).alias("x"))
     return _rounded(out.select("vec_id", "x.*"), digits=5)

@@ -118,10 +118,25 @@ def status_stream(events: DataFrame, key: str = "unit_id", status: str = "status
 
 
 def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there and return what it put out, as a table in memory (for small outputs and tests)."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+    """Run a stream over what is there and return what it put out: all batches, or the last one in complete mode.
+
+    Batches are written to a folder each below the shared folder, with the stream's checkpoint beside them, so nothing is gathered
+    on the driver, and a batch that is run again replaces itself. Names are for one use each."""
+    from ..sources.storage import shared_dir
+
+    spark = stream.sparkSession
+    path = f"{shared_dir(spark)}/tessera/drained-{name}"
+    numbers: list[int] = []
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        numbers.append(number)
+
+    stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{path}-checkpoint").trigger(availableNow=True).start().awaitTermination()
+    if not numbers:
+        return spark.createDataFrame([], stream.schema)
+    read = f"{path}/batch={max(numbers)}" if mode == "complete" else f"{path}/batch=*"
+    return spark.read.schema(stream.schema).parquet(read)
 
 
 def written_once(stream: DataFrame, path: str, checkpoint: str, *, key: Column | None = None) -> None:
