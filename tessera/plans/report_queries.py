@@ -532,11 +532,24 @@ SELECT round, round(avg(2 * hb / (s + pb)::DOUBLE) - avg(2 * ha / (s + pa)::DOUB
 
 
 def observability_gap(spark, d):
-    """Two languages as arms: how much better scores tell quality in one than in the other."""
+    """Documents of even and odd ids as arms: how much better scores tell quality in one than in the other."""
     s = scored_documents(spark, d).select("doc_id", "source", "quality", "lang", ((F.col("quality") + F.col("other") * 3) / 4).alias("score"))
     return _rounded(R.observability_gap(s.where("doc_id % 2 = 0"), s.where("doc_id % 2 = 1"), "doc_id", "quality", "score", 10, seed=1), digits=6)
 
 
+_BEATS = "CASE WHEN p.score > q.score THEN 1.0 WHEN p.score = q.score THEN 0.5 ELSE 0 END"
+OBSERVABILITY_GAP = f"""
+WITH s AS (SELECT doc_id, quality, (quality + other * 3) / 4 AS score, doc_id % 2 AS arm FROM {SCORED}),
+t AS (SELECT p.arm, greatest(0, 2 * avg({_BEATS}) - 1)::DOUBLE AS lead FROM s p JOIN s q ON p.arm = q.arm AND p.quality = 1 AND q.quality = 0 GROUP BY p.arm),
+w AS (SELECT * FROM (SELECT b.round, s.*, CASE arm WHEN 0 THEN {_times('s.doc_id', 1)} ELSE {_times('s.doc_id', 2)} END AS t FROM s, (SELECT CAST(unnest(range(0, 10)) AS INTEGER) AS round) b) WHERE t > 0),
+a AS (SELECT p.round, p.arm, greatest(0, 2 * sum(p.t * q.t * {_BEATS}) / sum(p.t * q.t) - 1)::DOUBLE AS lead FROM w p JOIN w q ON p.round = q.round AND p.arm = q.arm AND p.quality = 1 AND q.quality = 0 GROUP BY p.round, p.arm),
+g AS (SELECT count(*) AS rounds, quantile_cont(x.lead - y.lead, 0.025) AS low, quantile_cont(x.lead - y.lead, 0.975) AS high FROM a x JOIN a y ON x.round = y.round AND x.arm = 0 AND y.arm = 1),
+r AS (SELECT (SELECT lead FROM t WHERE arm = 0) AS lead_one, (SELECT lead FROM t WHERE arm = 1) AS lead_two, g.* FROM g)
+SELECT round(lead_one, 6) AS lead_one, round(lead_two, 6) AS lead_two, rounds, round(low, 6) AS low, round(high, 6) AS high, round(lead_one - lead_two, 6) AS gap,
+  CASE WHEN low IS NULL THEN 'undetermined' WHEN low > 0 THEN 'positive' WHEN high < 0 THEN 'negative' WHEN high - low <= 0.1 THEN 'equivalent' ELSE 'imprecise' END AS verdict FROM r
+"""
+
+
 def synthetic_arm(spark, d):
     return _rounded(R.synthetic(spark, 60, 4, 0.3, seed=5).groupBy((F.col("group_id") % 5).alias("part")).agg(F.count(F.lit(1)).alias("rows"), F.sum("y").alias("positives"), F.avg("score").alias("score"), F.avg("noise").alias("noise")))
 
