@@ -68,12 +68,12 @@ def random_rows(seed, convs=120, turns=12, ids=None):
     return rows
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", range(2))
 def test_equals_brute_force(spark, monkeypatch, seed):
     rows = random_rows(seed, ids=range(-30, 90))
     monkeypatch.setattr(trie, "STRETCH", 3)  # long conversations are cut
     monkeypatch.setattr(trie, "BLOB", 2)
-    monkeypatch.setattr(trie, "HOT", [1e-3, 0.05, 1.0][seed])
+    monkeypatch.setattr(trie, "HOT", [1e-3, 1.0][seed])
     df = frame(spark, rows)
     assert found(df) == brute(rows)
     assert found(df, False) == brute(rows, lambda c: 0, lambda c: c)
