@@ -14,7 +14,7 @@ from tessera.operators import sampling, sparse
 WORDS = ["alpha", "beta", "gamma", "delta", "noise", "mild", "sharp"]
 
 
-def table(spark, n=160, seed=0):
+def table(spark, n=120, seed=0):
     rng = np.random.default_rng(seed)
     rows = []
     for i in range(n):
@@ -119,12 +119,12 @@ def auc(score, y):
 
 def test_ladder_chooses_in_inner_folds(dealt, by_id):
     rungs = {"O": sparse.Rung("text", {"f": ["a"]}), "H": sparse.Rung(None, {"h": ["b", "flat"]}), "O_H": sparse.Rung("text", {"f": ["a"], "h": ["b", "flat"]})}
-    scores, report = sparse.ladder(dealt, rungs, id="id", label="y", group="grp", fold="fold", k=3, grid=(0.1, 10.0), inner_k=2, tolerance=1e-7)
+    scores, report = sparse.ladder(dealt, rungs, id="id", label="y", group="grp", fold="fold", k=3, grid=(0.1, 2.0), inner_k=2, tolerance=1e-6)
     assert scores.columns == ["id", "y", "fold", "oof_O", "oof_H", "oof_O_H"]
     got = {r["id"]: r for r in scores.collect()}
     assert sorted(got) == [r["id"] for r in by_id] and all(got[r["id"]]["fold"] == r["fold"] for r in by_id)
     chosen = {(r["rung"], r["fold"]): r["c"] for r in report.collect()}
-    assert len(chosen) == 9 and set(chosen.values()) <= {0.1, 10.0}
+    assert len(chosen) == 9 and set(chosen.values()) <= {0.1, 2.0}
     y = np.array([r["y"] for r in by_id])
     for name, text, blocks in (("O", True, (("a",),)), ("H", False, (("b", "flat"),)), ("O_H", True, (("a",), ("b", "flat")))):
         for d in range(3):
@@ -132,14 +132,14 @@ def test_ladder_chooses_in_inner_folds(dealt, by_id):
             inner = {r["id"]: r["fold"] for r in sampling.stratified_group_folds(dealt.where(F.col("fold") != d).select("id", "y", "grp"), "grp", "y", 2).collect()}
             own = np.array([inner.get(r["id"], -1) for r in by_id])
             means = {}
-            for c in (0.1, 10.0):
+            for c in (0.1, 2.0):
                 found = [auc(np.hstack([x[own == g], np.ones(((own == g).sum(), 1))]) @ newton(x[(own >= 0) & (own != g)], y[(own >= 0) & (own != g)], c), y[own == g]) for g in range(2)]
                 means[c] = np.mean(found)
-            if abs(means[0.1] - means[10.0]) > 1e-9:
+            if abs(means[0.1] - means[2.0]) > 1e-9:
                 assert chosen[name, d] == max(means, key=means.get)
             w = newton(x[~test], y[~test], chosen[name, d])
             want = np.hstack([x[test], np.ones((test.sum(), 1))]) @ w
-            assert np.allclose([got[r["id"]][f"oof_{name}"] for r in by_id if r["fold"] == d], want, atol=1e-4)
+            assert np.allclose([got[r["id"]][f"oof_{name}"] for r in by_id if r["fold"] == d], want, atol=1e-3)
 
 
 def test_what_cannot_be_fitted_is_said(spark, dealt):
@@ -175,4 +175,4 @@ def test_families_go_through_the_same_folds(spark):
             assert got[name, seed]["auroc"] == pytest.approx(auc(value, y), abs=1e-3) and (got[name, seed]["rows"], got[name, seed]["folds"]) == (len(rows), 3)
     out = {r["family"]: r for r in increments.collect()}
     mean = lambda n: np.mean([got[n, s]["auroc"] for s in (3, 4)])
-    assert set(out) == {"one", "both"} and out["one"]["increment"] == pytest.approx(mean("one") - mean("base")) and out["one"]["low"] <= out["one"]["high"] and out["one"]["rows"] == 160
+    assert set(out) == {"one", "both"} and out["one"]["increment"] == pytest.approx(mean("one") - mean("base")) and out["one"]["low"] <= out["one"]["high"] and out["one"]["rows"] == 120
