@@ -140,7 +140,8 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), *, seed: int =
 def realised(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), *, seed: int = 0, most_sources: int = 1_000_000, ranges: int | None = None) -> DataFrame:
     """The documents of the mix: a row for each epoch that takes the document whole, and one with its first
     words where the budget ends inside it. Columns are those of docs; n_chars, if there, follows the text.
-    Documents without a word, null ones too, are not in a mix of words.
+    Documents without a word, null ones too, are not in a mix of words. Rows said several times are as many documents, which
+    follow each other in the mix; texts of any length count whole, and a cut falls between words; an empty table stays empty.
 
     The boundary of a source is the first document that isn't taken once more in full. One row per source, it is
     broadcast, and every document is decided by comparing its place with it. Where several rows equal in id and text
