@@ -17,7 +17,6 @@ import json
 import sys
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -25,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import fresh
 
-NONE = 1 << 60
+NONE = 1 << 62
 #: Fixed value: the one normaliser that is supported.
 NORMALISER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
 
@@ -115,52 +114,110 @@ class Vocabulary:
         return parts[0]["pattern"]["Regex"]
 
 
-def merged(symbols: list[int], merges: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
-    """Apply merges, lowest rank first and leftmost of equal ranks, until no adjacent pair has one."""
+#: A merge as one number: its rank above, the symbol that it makes in so many bits below.
+SYMBOL_BITS = 24
+SYMBOL = (1 << SYMBOL_BITS) - 1
+
+
+def packed_merges(merges: dict[tuple[int, int], tuple[int, int]]) -> dict[int, dict[int, int]]:
+    """left symbol -> right symbol -> rank and made symbol as one number, which sorts by rank."""
+    out: dict[int, dict[int, int]] = {}
+    for (left, right), (rank, symbol) in merges.items():
+        out.setdefault(left, {})[right] = rank << SYMBOL_BITS | symbol
+    return out
+
+
+def merged(symbols: list[int], merges: dict[int, dict[int, int]]) -> list[int]:
+    """Apply packed_merges, lowest rank first and leftmost of equal ranks, until no adjacent pair has one.
+
+    The tree of Ranks with merges instead of ranks, written out in one place: words are short and many, so calls cost."""
     n = len(symbols)
     if n < 2:
         return symbols
+    none: dict[int, int] = {}
+    get = merges.get
+    size = 1 << (n - 2).bit_length()
+    tree = [NONE] * size
+    tree += [get(a, none).get(b, NONE) for a, b in zip(symbols, symbols[1:], strict=False)]
+    tree += [NONE] * (2 * size - len(tree))
+    for i in range(size - 1, 0, -1):
+        left, right = tree[2 * i], tree[2 * i + 1]
+        tree[i] = left if left <= right else right
+    if tree[1] == NONE:
+        return symbols
+
+    def put(at: int, merge: int) -> None:
+        """A point update, up to where nothing changes."""
+        tree[at] = merge
+        while at > 1:
+            other = tree[at ^ 1]
+            if other < merge:
+                merge = other
+            at >>= 1
+            if tree[at] == merge:
+                break
+            tree[at] = merge
+
     symbols = list(symbols)
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    rank = lambda a, b: merges.get((a, b), (NONE, 0))[0]
-    tree = Ranks([rank(symbols[i], symbols[i + 1]) for i in range(n - 1)])
-    while (i := tree.first()) >= 0:
+    while (least := tree[1]) != NONE:
+        at = 1
+        while at < size:  # the left child where both hold the least
+            at *= 2
+            if tree[at] != least:
+                at += 1
+        i = at - size
         j = after[i]
-        symbols[i] = merges[symbols[i], symbols[j]][1]
+        symbols[i] = symbol = least & SYMBOL
         symbols[j] = -1
-        after[i] = after[j]
-        if after[i] < n:
-            before[after[i]] = i
+        k = after[i] = after[j]
         if j < n - 1:
-            tree.put(j, NONE)
-        tree.put(i, rank(symbols[i], symbols[after[i]]) if after[i] < n else NONE)
-        if before[i] >= 0:
-            tree.put(before[i], rank(symbols[before[i]], symbols[i]))
+            put(j + size, NONE)
+        if k < n:
+            before[k] = i
+            put(at, get(symbol, none).get(symbols[k], NONE))
+        else:
+            put(at, NONE)
+        h = before[i]
+        if h >= 0:
+            put(h + size, get(symbols[h], none).get(symbol, NONE))
     return [s for s in symbols if s >= 0]
 
 
 class Codec(dict):
     """Encoder and decoder of a vocabulary of lower-cased words: NFC, lower case, words by pattern, bytes as letters.
 
-    As a dictionary it maps a word to its ids, up to a fixed number of words."""
+    As a dictionary it maps a word to the bytes of its ids, up to a fixed number of words in two generations: when the younger is full it
+    becomes the older one, from which words that come again are taken over, so that frequent words stay."""
 
-    def __init__(self, vocabulary: Vocabulary, most_words: int = 200_000):
+    def __init__(self, vocabulary: Vocabulary, most_words: int = 500_000):
         import regex
 
         super().__init__()
         self.v, self.most = vocabulary, most_words
+        self.old: dict[str, bytes] = {}
+        self.inner = [vocabulary.ids.get(c) for c in byte_letters()]
+        self.last = [vocabulary.ids.get(c + vocabulary.suffix) for c in byte_letters()]
+        self.merges = packed_merges(vocabulary.merges)
         self.letters = byte_letters()
+        self.names = [vocabulary.tokens.get(i) for i in range(max(vocabulary.tokens, default=-1) + 1)]
         self.word = regex.compile(vocabulary.pattern).findall
         self.starts = {s[0] for s in vocabulary.special}
         self.mark = regex.compile("|".join(regex.escape(s) for s in sorted(vocabulary.special, key=len, reverse=True))) if vocabulary.special else None
 
-    def __missing__(self, word: str) -> list[int]:
-        if len(self) >= self.most:
+    def __missing__(self, word: str) -> bytes:
+        out = self.old.get(word)
+        if out is None:
+            data = word.encode("utf-8", "replace")
+            ids = [self.inner[b] for b in data[:-1]]
+            ids.append(self.last[data[-1]])
+            if None in ids:  # a byte that the vocabulary has no token for is left out
+                ids = [i for i in ids if i is not None]
+            out = array.array("I", merged(ids, self.merges)).tobytes()
+        if len(self) >= self.most // 2:
+            self.old = self.copy()
             self.clear()
-        symbols = [self.letters[b] for b in word.encode("utf-8", "replace")]
-        symbols[-1] += self.v.suffix
-        ids = [self.v.ids[s] for s in symbols if s in self.v.ids]
-        self[word] = out = merged(ids, self.v.merges)
+        self[word] = out
         return out
 
     def normalised(self, text: str) -> str:
@@ -174,12 +231,14 @@ class Codec(dict):
         return text.lower()
 
     def encode(self, text: str) -> array.array:
+        out = array.array("I")
         if self.mark is None or not any(c in text for c in self.starts):
-            return array.array("I", chain.from_iterable(map(self.__getitem__, self.word(self.normalised(text)))))
-        out, at = array.array("I"), 0
+            out.frombytes(b"".join(map(self.__getitem__, self.word(self.normalised(text)))))
+            return out
+        at = 0
         for m in [*self.mark.finditer(text), None]:
             part = text[at : m.start() if m else len(text)]
-            out.extend(chain.from_iterable(map(self.__getitem__, self.word(self.normalised(part)))))
+            out.frombytes(b"".join(map(self.__getitem__, self.word(self.normalised(part)))))
             if m:
                 out.append(self.v.special[m[0]])
                 at = m.end()
@@ -187,7 +246,10 @@ class Codec(dict):
 
     def decode(self, ids) -> str:
         """Tokens joined by a space: the vocabulary file names no decoder. Unknown ids are left out."""
-        return " ".join(map(self.v.tokens.__getitem__, ids) if all(map(self.v.tokens.__contains__, set(ids))) else [self.v.tokens[i] for i in ids if i in self.v.tokens])
+        try:
+            return " ".join(map(self.names.__getitem__, ids))
+        except (IndexError, TypeError):
+            return " ".join([self.v.tokens[i] for i in ids if i in self.v.tokens])
 
     def text(self, ids) -> str:
         """The words that the ids stand for, each followed by a space."""
@@ -198,6 +260,17 @@ class Codec(dict):
         return bytes(b for c in joined for b in ([byte[c]] if c in byte else c.encode())).decode("utf-8", "replace")
 
 
+#: The codec of this worker process, which outlives a task.
+_kept: list[Codec] = []
+
+
+def kept_codec(vocabulary: Vocabulary) -> Codec:
+    """The codec of a vocabulary, with the words that earlier tasks of this process met."""
+    if not _kept or _kept[0].v is not vocabulary:
+        _kept[:] = [Codec(vocabulary)]
+    return _kept[0]
+
+
 def encoded(docs: DataFrame, vocabulary: str, *, with_ids: bool = False) -> DataFrame:
     """docs with a struct column (n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids) appended under a
     free name like `bpe`. A null text counts as empty and gives no ids. The decoded text is `decode` of the ids. Texts of any length are
@@ -208,7 +281,7 @@ def encoded(docs: DataFrame, vocabulary: str, *, with_ids: bool = False) -> Data
 
     @F.pandas_udf(schema)
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        codec = Codec(shared.value)
+        codec = kept_codec(shared.value)
         for texts in parts:
             rows = []
             for text in texts:

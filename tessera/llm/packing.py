@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ordering import ranged
-from .bpe import byte_letters, merged
+from .bpe import byte_letters, merged, packed_merges
 from .common import drop_stored, small_batches, stored
 
 Class = tuple[int, list[tuple[int, int]]]
@@ -204,7 +204,7 @@ def prepared(path: str) -> tuple[str, str | None]:
     pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
     made = [ids[a + b] for a, b in pairs]
     letters = byte_letters()
-    merges = {(ids[a], ids[b]): (rank, ids[a + b]) for rank, (a, b) in enumerate(pairs)}
+    merges = packed_merges({(ids[a], ids[b]): (rank, ids[a + b]) for rank, (a, b) in enumerate(pairs)})
     whole = set(letters) <= set(ids) and len(ids) == 256 + len(set(made)) and all(x < y for x, y in zip(made, made[1:], strict=False)) and max(ids[c] for c in letters) < min(made, default=256)
     whole = whole and all(merged([ids[c] for c in a + b], merges) == [i] for (a, b), i in zip(pairs, made, strict=True))
     return content, _odd() if whole else None

@@ -490,4 +490,4 @@ def test_segment_tree_equals_plain_merging():
 
     for _ in range(500):
         word = [rng.randrange(6) for _ in range(rng.randint(0, 30))]
-        assert bpe.merged(list(word), merges) == plain(word)
+        assert bpe.merged(list(word), bpe.packed_merges(merges)) == plain(word)
