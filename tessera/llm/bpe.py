@@ -36,41 +36,6 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
 
 
-class Ranks:
-    """Segment tree of minima over the ranks of adjacent pairs."""
-
-    def __init__(self, ranks: list[int]):
-        self.size = 1
-        while self.size < max(1, len(ranks)):
-            self.size *= 2
-        self.tree = [NONE] * self.size + ranks + [NONE] * (self.size - len(ranks))
-        for i in range(self.size - 1, 0, -1):
-            self.tree[i] = min(self.tree[2 * i], self.tree[2 * i + 1])
-
-    def put(self, at: int, rank: int) -> None:
-        i = at + self.size
-        tree = self.tree
-        tree[i] = rank
-        i //= 2
-        while i:
-            least = min(tree[2 * i], tree[2 * i + 1])
-            if tree[i] == least:
-                break
-            tree[i] = least
-            i //= 2
-
-    def first(self) -> int:
-        """Place of the leftmost smallest rank, or -1 without any."""
-        tree, i = self.tree, 1
-        if tree[1] == NONE:
-            return -1
-        while i < self.size:
-            i *= 2
-            if tree[i] > tree[i + 1]:
-                i += 1
-        return i - self.size
-
-
 @dataclass
 class Vocabulary:
     """What encoding and decoding need of a vocabulary file of the tokenizers library with a BPE model."""
@@ -130,7 +95,8 @@ def packed_merges(merges: dict[tuple[int, int], tuple[int, int]]) -> dict[int, d
 def merged(symbols: list[int], merges: dict[int, dict[int, int]]) -> list[int]:
     """Apply packed_merges, lowest rank first and leftmost of equal ranks, until no adjacent pair has one.
 
-    The tree of Ranks with merges instead of ranks, written out in one place: words are short and many, so calls cost."""
+    A segment tree of minima: leaf size + i is the merge of symbol i with its right neighbour. Written out in one place, since words
+    are short and many, so calls cost."""
     n = len(symbols)
     if n < 2:
         return symbols
