@@ -14,7 +14,7 @@ from tessera.llm import bpe, mixing, near_dedup, registry, toxicity
 
 def test_registry():
     names = list(registry.QUERIES)
-    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 14)]
     assert set(registry.ORACLES) <= set(names)
     found = __spark_entry__.queries()
     assert set(names) | {"pipeline"} <= set(found)
