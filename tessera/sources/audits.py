@@ -29,7 +29,7 @@ REASONS = {
 }
 
 #: Columns of a CSV file that are looked at.
-MOST_COLUMNS = 512
+MOST_COLUMNS = 128
 
 FOUND = ["path", "records", "fields", "ids", "error"]
 
