@@ -9,7 +9,7 @@ then computed exactly. The first bound t comes from the bucket of longest vector
 works through its buckets.
 
 Cost at scale: vectors are shuffled once (range by length, packed into blocks), and each block of queries
-goes once to each of `lanes` tasks. Nothing is sent to the driver.
+goes once to each of `lanes` tasks. The driver gets the block of longest vectors, which is of bounded size.
 """
 
 from __future__ import annotations
@@ -256,7 +256,8 @@ def top_k(vectors: DataFrame, queries: Column, *, k: int = 10, scale: int = 1024
     lanes = lanes or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     left = blocks.withColumn("lane", F.pmod(F.xxhash64("bucket"), F.lit(lanes)))
     right = seeded.withColumn("lane", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lanes - 1).cast("long"))))
-    found = left.join(right, "lane").drop("lane").mapInPandas(_search(k), "query_id long, vec_id long, score long")
+    # merged, since both sides grow with the table: by the size of a block before its copies the planner would broadcast every lane's
+    found = left.join(right.hint("merge"), "lane").drop("lane").mapInPandas(_search(k), "query_id long, vec_id long, score long")
     from pyspark.sql import Window
 
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
