@@ -73,8 +73,10 @@ def condition_scores(df: DataFrame, by: list[str], example: str, failed: Column,
 
 def recomputed(old: DataFrame, new: DataFrame, on: list[str], features: list[str]) -> DataFrame:
     """(feature, rows, same_rate, spearman): values computed anew against those on record, over common keys; below three rows no correlation."""
-    pair = lambda df, n: df.select(*on, F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias(n)) for f in features])))
-    both = pair(old, "a").join(pair(new, "b"), [*on, "feature"])
+    kept = lambda df, n: df.select(*on, *[F.col(f).cast("double").alias(f"{n}{i}_") for i, f in enumerate(features)])
+    # merged, since both tables grow alike: a broadcast one would go through the driver
+    met = kept(old, "a").join(kept(new, "b").hint("merge"), on)
+    both = met.select(F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"a{i}_").alias("a"), F.col(f"b{i}_").alias("b")) for i, f in enumerate(features)])))
     same = both.groupBy("feature").agg(F.count(F.lit(1)).alias("all"), F.avg(F.col("a").eqNullSafe(F.col("b")).cast("int")).alias("same_rate"))
     rho = S.spearman(both, "a", "b", ["feature"])
     return same.join(rho, "feature", "left").select("feature", F.col("all").alias("rows"), "same_rate", F.when(F.col("rows") >= 3, F.col("spearman")).alias("spearman"))

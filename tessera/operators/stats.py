@@ -36,7 +36,8 @@ def average_ranks(df: DataFrame, column: str, name: str, by: list[str] | None =
     by = by or []
     values = df.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count(F.lit(1)).alias("n_"))
     ranked = counted_below(values, column, "n_", "below_", by).withColumn(name, F.col("below_") + (F.col("n_") + 1) / 2.0).drop("n_", "below_")
-    return df.join(ranked, [*by, column], "left")
+    # merged, since there may be as many distinct values as rows: a broadcast table of them would go through the driver
+    return df.join(ranked.hint("merge"), [*by, column], "left")
 
 
 def spearman(df: DataFrame, x: str, y: str, by: list[str] | None = None) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.llm import topk
+from tessera.operators import reports
 
 
 def plan(df) -> str:
@@ -16,3 +17,12 @@ def test_search_broadcasts_no_copies_of_queries(spark):
     got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0, k=3, lanes=5)
     assert "SortMergeJoin" in plan(got) and "BroadcastExchange" not in plan(got)
     assert got.count() == 9
+
+
+def test_recomputed_values_are_merged(spark):
+    old = spark.createDataFrame([(i, float(i % 5), float(i)) for i in range(40)], "k long, a double, b double")
+    new = old.where("k % 4 > 0").select("k", "a", F.when(F.col("k") % 5 == 0, -F.col("b")).otherwise(F.col("b")).alias("b"))
+    got = reports.recomputed(old, new, ["k"], ["a", "b"])
+    assert {r["feature"]: (r["rows"], r["same_rate"]) for r in got.collect()} == {"a": (30, 1.0), "b": (30, 0.8)}
+    # old with new, and both ranks
+    assert plan(got).count("SortMergeJoin") >= 3
