@@ -219,8 +219,12 @@ def recall_question(family: Column, ident: Column, name: Column, description: Co
 
 
 def asks_itself(question: Column, ident: Column) -> Column:
-    """Whether a question names the identifier that it asks for."""
-    return F.array_contains(F.transform(X.identifiers(question), lambda m: m["normalized"]), ident)
+    """Whether a question names the identifier that it asks for: as a mention, or letter for letter where its number is longer than
+    the patterns of mentions allow. An identifier within a longer one is not named."""
+    found = lambda q: F.array_contains(F.transform(X.identifiers(q), lambda m: m["normalized"]), ident)
+    literal = lambda q: F.rlike(q, F.concat(F.lit(r"(?<![A-Za-z0-9-])\Q"), ident, F.lit(r"\E(?![A-Za-z0-9]|\.\d)")))
+    # an array of one binds the question, which would else be made anew for every pattern
+    return F.transform(F.array(question), lambda q: F.when(q.isNotNull(), F.when(F.contains(q, ident), literal(q)).otherwise(F.lit(False)) | found(q)))[0]
 
 
 def agreement(target: Column, ids: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.llm import topk
-from tessera.operators import reports
+from tessera.operators import probes, reports
 from tessera.plans import report_queries
 
 
@@ -29,6 +29,12 @@ def test_recomputed_values_are_merged(spark):
     assert plan(got).count("SortMergeJoin") >= 3
 
 
+def test_identifiers_of_any_length_are_named(spark):
+    rows = [("Part T21000 x", "T21000", True), ("Part T1000 x", "T1000", True), ("CWE-100001, so", "CWE-100001", True), ("T1059.001 is", "T1059", False), ("T210001 is", "T21000", False), ("none", "T21000", False), (None, "T1000", None)]
+    df = spark.createDataFrame(rows, "q string, i string, want boolean").withColumn("got", probes.asks_itself(F.col("q"), F.col("i")))
+    assert [(r["q"], r["got"]) for r in df.collect()] == [(r[0], r[2]) for r in rows]
+
+
 def test_imported_ids_have_the_places_of_the_sql(spark):
     got = report_queries.six_places(spark.range(999_998, 1_000_002).select(F.concat(F.lit("parts_train_"), F.format_string("%06d", "id")).alias("id")), "id")
     assert [r["id"] for r in got.orderBy("id").collect()] == ["parts_train_100000", "parts_train_100000", "parts_train_999998", "parts_train_999999"]
