@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.functions import text as X
 from tessera.llm import topk
 from tessera.operators import probes, reports
 from tessera.plans import report_queries
@@ -35,6 +36,14 @@ def test_identifiers_of_any_length_are_named(spark):
     assert [(r["q"], r["got"]) for r in df.collect()] == [(r[0], r[2]) for r in rows]
 
 
+def test_fillers_bind_what_they_use_again(spark):
+    made = X.tolerant_filler(F.lit("Tom has [MASK] apples today."), F.col("t"))
+    df = spark.createDataFrame([("tom has: 3 big ones apples, today",), ("x",), ("Tom has  apples today.",), (None,)], "t string").select(made.alias("f"))
+    assert [r["f"] for r in df.collect()] == ["3 big ones", "x", "", None]
+    # the words of the text are cut out in one place
+    assert plan(df).count(r"\S+") == 1
+
+
 def test_imported_ids_have_the_places_of_the_sql(spark):
     got = report_queries.six_places(spark.range(999_998, 1_000_002).select(F.concat(F.lit("parts_train_"), F.format_string("%06d", "id")).alias("id")), "id")
     assert [r["id"] for r in got.orderBy("id").collect()] == ["parts_train_100000", "parts_train_100000", "parts_train_999998", "parts_train_999999"]
