@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 from tessera.llm import topk
-from tessera.operators import probes, reports
+from tessera.operators import probes, reports, spans
 from tessera.plans import report_queries
 
 
@@ -47,3 +47,8 @@ def test_fillers_bind_what_they_use_again(spark):
 def test_imported_ids_have_the_places_of_the_sql(spark):
     got = report_queries.six_places(spark.range(999_998, 1_000_002).select(F.concat(F.lit("parts_train_"), F.format_string("%06d", "id")).alias("id")), "id")
     assert [r["id"] for r in got.orderBy("id").collect()] == ["parts_train_100000", "parts_train_100000", "parts_train_999998", "parts_train_999999"]
+
+
+def test_units_sort_the_spans_once(spark):
+    # once for the spans, once for the groups
+    assert str(spans.units(F.col("spans"))).count("array_sort") == 2
