@@ -52,3 +52,11 @@ def test_imported_ids_have_the_places_of_the_sql(spark):
 def test_units_sort_the_spans_once(spark):
     # once for the spans, once for the groups
     assert str(spans.units(F.col("spans"))).count("array_sort") == 2
+
+
+def test_overlaps_are_thinned_in_lists_of_many_texts(spark):
+    rows = [(k, s, e, t, x) for k in range(50) for s, e, t, x in [(0, 5, "number", "12345"), (0, 9, "number_unit", "12345 cat"), (6, 9, "object", "cat"), (6, 9, "object", "cat"), (20, 22, None, "of")]]
+    got = spans.unoverlapped(spark.createDataFrame(rows, "k long, start int, end int, type string, text string"), "k")
+    assert "FlatMapGroupsInPandas" not in plan(got)
+    assert sorted(map(tuple, got.where("k = 7").collect())) == [(7, 0, 5, "number", "12345"), (7, 0, 9, "number_unit", "12345 cat"), (7, 20, 22, None, "of")]
+    assert got.count() == 150
