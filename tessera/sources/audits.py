@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .readers import SourceError, files, numbered_lines
+from .storage import stored
 from .tensors import _opened
 
 # Fields of records derived from questions, in their order, and of questions and answers.
@@ -64,15 +65,28 @@ def _json(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def _csv(spark: SparkSession, paths: list[str]) -> DataFrame:
-    kind = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(MOST_COLUMNS)])
-    read = spark.read.schema(kind).option("multiLine", True).option("escape", '"').csv(paths)
-    rows = read.select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("at"), F.array(*[f"c{i}" for i in range(MOST_COLUMNS)]).alias("v"))
-    heads = rows.groupBy("path").agg(F.min_by("v", "at").alias("head"), F.min("at").alias("first")).withColumnRenamed("path", "path_")
-    met = rows.join(heads, F.col("path") == F.col("path_")).withColumn("own", F.col("at") > F.col("first"))
+    """Three scans: where each file begins, its head, and its rows, of which no more columns are read than the widest head has."""
+
+    named = lambda columns: [f"c{i}" for i in range(columns)]
+
+    def read(columns: int) -> DataFrame:
+        names = named(columns)
+        kind = T.StructType([T.StructField(c, T.StringType()) for c in names])
+        held = spark.read.schema(kind).option("multiLine", True).option("escape", '"').csv(paths)
+        return held.select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("at"), *names)
+
+    # one row a file is broadcast; the rows look as small to the planner, since most of the columns that are read drop out
+    begins = read(1).groupBy("path").agg(F.min("at").alias("first")).select("first")
+    heads = stored(read(MOST_COLUMNS).join(F.broadcast(begins), F.col("at") == F.col("first")).select(F.col("path").alias("path_"), F.array(*named(MOST_COLUMNS)).alias("head"), "first"), "heads")
+    last = F.aggregate(F.transform("head", lambda x, i: F.when(x.isNotNull(), i + 1).otherwise(0)), F.lit(0), lambda a, b: F.greatest(a, b))
+    width = heads.agg(F.max(last)).first()[0] or 1
+    met = read(width).join(F.broadcast(heads), F.col("path") == F.col("path_")).withColumn("own", F.col("at") > F.col("first"))
     place = F.array_position("head", "id")
-    fields = F.array_sort(F.array_compact(F.first("head")))
-    counted = met.groupBy("path").agg(F.count_if("own").alias("records"), fields.alias("fields"), F.count_distinct(F.when(F.col("own") & (place > 0), F.try_element_at("v", place.cast("int")))).alias("ids"))
-    return counted.withColumn("error", F.lit(None).cast("string")).select(*FOUND)
+    one = F.when(F.col("own") & (place > 0), F.try_element_at(F.array(*named(width)), place.cast("int")))
+    # the head of a file is no value to aggregate: it comes back by a join with one row a file
+    counted = met.groupBy("path").agg(F.count_if("own").alias("records"), F.count_distinct(one).alias("ids"))
+    fields = F.array_sort(F.array_compact("head"))
+    return counted.join(F.broadcast(heads), F.col("path") == F.col("path_")).select("path", "records", fields.alias("fields"), "ids", F.lit(None).cast("string").alias("error"))
 
 
 def _parquet(found: DataFrame) -> DataFrame:

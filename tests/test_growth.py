@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 from tessera.llm import topk
 from tessera.operators import probes, reports, spans
 from tessera.plans import report_queries
+from tessera.sources import audits
 
 
 def plan(df) -> str:
@@ -60,3 +62,14 @@ def test_overlaps_are_thinned_in_lists_of_many_texts(spark):
     assert "FlatMapGroupsInPandas" not in plan(got)
     assert sorted(map(tuple, got.where("k = 7").collect())) == [(7, 0, 5, "number", "12345"), (7, 0, 9, "number_unit", "12345 cat"), (7, 20, 22, None, "of")]
     assert got.count() == 150
+
+
+@pytest.mark.parametrize("records", [0, 3])
+def test_csv_rows_never_go_through_the_driver(spark, tmp_path, records):
+    (tmp_path / "a.csv").write_text("id,question,answer\n" + "".join(f'{i % 2},"a ""b""\nc",{i},over\n' for i in range(records)))
+    (tmp_path / "wide.csv").write_text(",".join(f"f{i}" for i in range(30)) + ",id\n" + ",".join("x" * 31) + "\n")
+    got = {r["path"].rsplit("/", 1)[1]: r for r in audits._csv(spark, [str(tmp_path)]).collect()}
+    assert [tuple(got["a.csv"][c] for c in ("records", "fields", "ids"))] == [(records, ["answer", "id", "question"], min(records, 2))]
+    assert got["wide.csv"]["records"] == 1 and len(got["wide.csv"]["fields"]) == 31
+    text = plan(audits._csv(spark, [str(tmp_path)]))
+    assert "min_by" not in text and text.count("c40#") == 0
