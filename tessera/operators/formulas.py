@@ -110,11 +110,24 @@ def long(df: DataFrame) -> DataFrame:
 
 def _pairs(rows: DataFrame, high: Column, low: Column, by: list[str], names: tuple[str, str]) -> DataFrame:
     """For each group: pairs of a high and a low row, and how many the high one wins (ties half), by ranks."""
-    side = rows.select(*by, "score", F.when(high, 1).when(low, 0).alias("y_")).where("y_ is not null")
-    rank = F.rank().over(Window.partitionBy(*by).orderBy("score")) + (F.count(F.lit(1)).over(Window.partitionBy(*by, "score")) - 1) / 2.0
-    out = side.withColumn("r_", rank).groupBy(*by).agg(F.sum("y_").alias("p"), F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("y_") == 1, F.col("r_"))).alias("s"))
-    pairs = F.col("p") * (F.col("n") - F.col("p"))
-    return out.where(pairs > 0).select(*by, pairs.alias(names[0]), (F.col("s") - F.col("p") * (F.col("p") + 1) / 2.0).alias(names[1]))
+    side = rows.select(*by, "score", high.alias("h_"), low.alias("l_")).where("h_ or l_")
+    met = side.withColumns(_met({"w": (F.col("h_"), F.col("l_"))}, by))
+    out = met.groupBy(*by).agg(F.count_if("h_").alias("p"), F.count_if("l_").alias("q"), F.sum("w_ahead").alias("w_ahead"), F.sum("w_behind").alias("w_behind"))
+    pairs = F.col("p") * F.col("q")
+    return out.where(pairs > 0).select(*by, pairs.alias(names[0]), _won("w", pairs).alias(names[1]))
+
+
+def _met(sides: dict[str, tuple[Column, Column]], by: list[str]) -> dict[str, Column]:
+    """For each name and its (high, low) rows: `_ahead`, at a low row the high rows of its group that score as much or more, and `_behind`, at
+    a high row the low ones. All come from one descending order and one running frame."""
+    down = Window.partitionBy(*by).orderBy(F.desc("score")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("int")).over(down)
+    return {k: c for n, (high, low) in sides.items() for k, c in ((f"{n}_ahead", F.when(low, upto(high))), (f"{n}_behind", F.when(high, upto(low))))}
+
+
+def _won(name: str, pairs: Column) -> Column:
+    """Wins of high over low rows, ties half, from the sums of _met: ahead has wins and ties, behind has losses and ties."""
+    return (F.coalesce(F.col(f"{name}_ahead"), F.lit(0)) - F.coalesce(F.col(f"{name}_behind"), F.lit(0)) + pairs) / 2.0
 
 
 def _wins(high: Column, low: Column, by: list[str]) -> Column:
@@ -129,28 +142,32 @@ def ranking_metrics(df: DataFrame, top_k: int = 3) -> DataFrame:
     and coverage of the first top_k. Ties in score go to the smaller span_id; shares without a base are 0.
 
     One scan: spans are dealt by question, before they are repeated for each formula, and ranks, pairs and hits of all formulas come from
-    windows within questions. What follows are sums of a row for each question and formula."""
+    windows within questions that share one order. What is repeated are flags and places, not names. What follows are sums of a row for each
+    question and formula."""
     by = ["formula", "question_id"]
     yes = lambda c: F.coalesce(c, F.lit(False))
     on, off, b3, b1 = yes(F.col("status") == ON), yes(F.col("status") == OFF), yes(F.col("bucket") == 3), yes(F.col("bucket") == 1)
-    rows = long(df.repartition("question_id")).withColumn("score", filled("score"))
-    ranked = rows.withColumns({"rank": F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "span_id")), "on_wins": _wins(on, off, by), "b3_wins": _wins(b3, b1, by)})
-    key, top = on | F.col("span_type").isin(KEY_TYPES), F.col("rank") <= top_k
-    first = lambda c: F.min(F.when(c, F.col("rank")))
     types = ["comparison", "negation", "condition", "operation", "question_target"]
+    flags = {"on_": on, "off_": off, "b3_": b3, "b1_": b1, "key_": on | yes(F.col("span_type").isin(KEY_TYPES)), **{f"is_{t}": yes(F.col("span_type") == t) for t in types}}
+    # places by span_id are given once, and not compared again for each formula
+    flat = df.withColumn("at_", F.row_number().over(Window.partitionBy("question_id").orderBy("span_id")))
+    rows = flat.select("question_id", "at_", *[c.alias(n) for n, c in flags.items()], F.explode("formula_scores").alias("formula", "score")).withColumn("score", filled("score"))
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "at_"))).withColumns(_met({"on": (F.col("on_"), F.col("off_")), "b3": (F.col("b3_"), F.col("b1_"))}, by))
+    top = F.col("rank") <= top_k
+    first = lambda c: F.min(F.when(F.col(c), F.col("rank")))
     each = ranked.groupBy(*by).agg(
-        first(key).alias("key"), first(b3).alias("b3"), first(on).alias("on"), first(off).alias("off"), F.count_if(top).alias("picked"), F.count_if(top & off).alias("picked_off"), F.sum(F.when(on, F.col("rank"))).alias("on_ranks"),
-        F.count_if(on).alias("ons"), F.sum(F.when(off, F.col("rank"))).alias("off_ranks"), F.count_if(off).alias("offs"), *[first(F.col("span_type") == t).alias(t) for t in types], F.sum("on_wins").alias("on_wins"), F.sum("b3_wins").alias("b3_wins"),
-        F.count_if(b3).alias("b3s"), F.count_if(b1).alias("b1s"),
+        first("key_").alias("key"), first("b3_").alias("b3"), first("on_").alias("on"), first("off_").alias("off"), F.count_if(top).alias("picked"), F.count_if(top & F.col("off_")).alias("picked_off"), F.sum(F.when(F.col("on_"), F.col("rank"))).alias("on_ranks"),
+        F.count_if("on_").alias("ons"), F.sum(F.when(F.col("off_"), F.col("rank"))).alias("off_ranks"), F.count_if("off_").alias("offs"), *[first(f"is_{t}").alias(t) for t in types], *[F.sum(c).alias(c) for c in ("on_ahead", "on_behind", "b3_ahead", "b3_behind")],
+        F.count_if("b3_").alias("b3s"), F.count_if("b1_").alias("b1s"),
     )
     share = lambda hit, base: F.coalesce(F.try_divide(F.count_if(hit), F.count_if(base)), F.lit(0.0))
     hits = [share(F.col(c) <= k, F.col(c).isNotNull()).alias(f"top{k}_{n}_hit") for c, n in (("key", "key"), ("b3", "bucket3")) for k in (1, 2, 3)]
     pairs, buckets = F.col("ons") * F.col("offs"), F.col("b3s") * F.col("b1s")
-    won = lambda wins, met: F.try_divide(F.sum(F.when(met > 0, F.col(wins))), F.sum(met))
+    won = lambda wins, met: F.try_divide(F.sum(F.when(met > 0, _won(wins, met))), F.sum(met))
     return each.groupBy("formula").agg(
         *hits, F.try_divide(F.sum("picked_off"), F.sum("picked")).alias("off_path_share"), F.coalesce(F.try_divide(F.sum("on_ranks"), F.sum("ons")), F.lit(0.0)).alias("on_path_rank_mean"), F.coalesce(F.try_divide(F.sum("off_ranks"), F.sum("offs")), F.lit(0.0)).alias("off_path_rank_mean"),
         share(F.col("on") <= top_k, F.col("on").isNotNull()).alias("on_path_coverage"), share(F.col("off") <= top_k, F.col("off").isNotNull()).alias("off_path_rate"), *[share(F.col(t) <= top_k, F.col(t).isNotNull()).alias(f"{t}_coverage") for t in types],
-        F.count("key").alias("questions_with_key"), F.sum(pairs).alias("pairs"), F.coalesce(won("on_wins", pairs), F.lit(0.0)).alias("pair_accuracy"), won("b3_wins", buckets).alias("bucket_accuracy"),
+        F.count("key").alias("questions_with_key"), F.sum(pairs).alias("pairs"), F.coalesce(won("on", pairs), F.lit(0.0)).alias("pair_accuracy"), won("b3", buckets).alias("bucket_accuracy"),
     )
 
 
@@ -193,6 +210,7 @@ def keyness_metrics(df: DataFrame, fraction: float = 0.2) -> DataFrame:
 def chosen(metrics: DataFrame, current: str = "A_current_priority", barred: tuple[str, ...] = ("oracle_diagnostic_only",)) -> DataFrame:
     """One row: the formula that is no worse than the current one by bucket accuracy, hits and off-path share, better in one of them, and the
     best by these in turn; the current one where there is none. metrics has bucket_accuracy, precision and off_path_share."""
+    metrics = stored(metrics, "metrics")  # a row a formula, read twice
     own = metrics.where(F.col("formula") == current).select(F.col("bucket_accuracy").alias("c1"), F.col("precision").alias("c2"), F.col("off_path_share").alias("c3"))
     rows = metrics.where((F.col("formula") != current) & ~F.col("formula").isin(*barred)).join(F.broadcast(own))
     p, t, o = F.col("bucket_accuracy"), F.col("precision"), F.col("off_path_share")
@@ -244,6 +262,7 @@ def coverage(df: DataFrame) -> DataFrame:
 def gate(metrics: DataFrame, surface: str = "A_surface_only", single: str = "D_hidden_plus_attention", product: str = "E_keyness_times_fragility", barred: tuple[str, ...] = ("I_oracle_diagnostic_upper_bound",)) -> DataFrame:
     """One row of named checks over ranking metrics, how many pass, and whether all do. The best formula is that with the largest gain in
     pair accuracy over the surface."""
+    metrics = stored(metrics, "metrics")  # a row a formula, read twice
     base = F.broadcast(metrics.where(F.col("formula") == surface).select(F.col("pair_accuracy").alias("sa"), F.col("off_path_share").alias("so"), F.col("on_path_coverage").alias("sc")))
     rows = metrics.join(base)
     free = ~F.col("formula").isin(surface, *barred)

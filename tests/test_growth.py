@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 from tessera.llm import topk
-from tessera.operators import probes, reports, spans
-from tessera.plans import report_queries
+from tessera.operators import formulas, probes, reports, spans
+from tessera.plans import base, report_queries
 from tessera.sources import audits
 
 
@@ -73,3 +73,28 @@ def test_csv_rows_never_go_through_the_driver(spark, tmp_path, records):
     assert got["wide.csv"]["records"] == 1 and len(got["wide.csv"]["fields"]) == 31
     text = plan(audits._csv(spark, [str(tmp_path)]))
     assert "min_by" not in text and text.count("c40#") == 0
+
+
+def test_spans_are_dealt_once_to_as_many_tasks_as_they_need(spark, sf, monkeypatch):
+    monkeypatch.setattr(base, "TASK_ROWS", 500)
+    rows = base.spans(spark, sf)
+    assert rows.count() > 2_000 and rows.rdd.getNumPartitions() > 4
+    for got in (formulas.ranking_metrics(formulas.budget(rows)), formulas.coverage(rows)):
+        # what is dealt by question is neither dealt by span before, nor again for ranks or sums
+        assert plan(got).count("Exchange hashpartitioning(l_orderkey") == 1 and "Exchange hashpartitioning(question_id" not in plan(got) and "l_linenumber" not in "".join(x for x in plan(got).splitlines() if "Exchange" in x)
+
+
+def test_wins_come_from_one_order_of_flags(spark):
+    numbers = {formulas.ON: 3, formulas.OFF: 4, formulas.AMBIGUOUS: 2}
+    data = [(q, f"{q}-{s}-{i}", "number", s, i % 4, {"A": float((i * 7 + q) % 3), "B": None if i == 1 else float(i)}) for q in range(4) for s, n in numbers.items() for i in range(n)]
+    df = spark.createDataFrame(data, "question_id long, span_id string, span_type string, status string, bucket int, formula_scores map<string, double>")
+    got = {r["formula"]: r for r in formulas.ranking_metrics(df).collect()}
+    for f in "AB":
+        score = [(q, s, b, m[f] or 0.0) for q, _, _, s, b, m in data]
+        for column, high, low in (("pair_accuracy", lambda r: r[1] == formulas.ON, lambda r: r[1] == formulas.OFF), ("bucket_accuracy", lambda r: r[2] == 3, lambda r: r[2] == 1)):
+            met = [(x[3] > y[3]) + (x[3] == y[3]) / 2 for x in score if high(x) for y in score if low(y) and x[0] == y[0]]
+            assert got[f][column] == pytest.approx(sum(met) / len(met))
+    assert got["A"]["pairs"] == 48
+    # places and wins share a sort, and names aren't sorted with every formula
+    sorts = [x for x in plan(formulas.ranking_metrics(df)).splitlines() if "Sort [" in x]
+    assert len(sorts) == 2 and "span_id" not in "".join(x for x in sorts if "formula" in x)
