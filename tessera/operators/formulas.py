@@ -93,14 +93,18 @@ def responses(df: DataFrame, *, by: str = "question_id") -> DataFrame:
     """df with formula_scores of attention and output effect (prompt, response), gated by their upper medians in the question."""
     a, p, r = F.col("attention"), F.col("prompt"), F.col("response")
     within = Window.partitionBy(by)
-    middle = lambda c: F.element_at(F.array_sort(F.collect_list(c).over(within)), (F.floor(F.count(c).over(within) / 2) + 1).cast("int"))  # noqa: E731  a question's spans
-    rows = df.withColumns({"rm_": middle("response"), "am_": middle("attention")})
+    # the value at place n // 2 of those that are there: rows are numbered, for a list of the question beside each row would grow with its square
+    placed = lambda c: F.row_number().over(within.orderBy(F.asc_nulls_last(c)))
+    middle = lambda c, n, half: F.max(F.when(F.col(n) == F.col(half), F.col(c))).over(within)
+    rows = df.withColumn("rn_", placed("response")).withColumn("an_", placed("attention"))
+    counted = rows.withColumns({"rh_": F.floor(F.count("response").over(within) / 2) + 1, "ah_": F.floor(F.count("attention").over(within) / 2) + 1})
+    rows = counted.withColumns({"rm_": middle("response", "rn_", "rh_"), "am_": middle("attention", "an_", "ah_")})
     scores = {
         "A_surface": F.col("surface"), "B_attention_only": a, "C_prompt_final_output_only": p, "D_response_position_output_only": r, "E_attention_x_prompt_final_output": a * p, "F_attention_x_response_position_output": a * r,
         "G_response_output_gate_then_attention": F.when(r >= F.col("rm_"), a).otherwise(0.02 * a), "H_attention_gate_then_response_output": F.when(a >= F.col("am_"), r).otherwise(0.02 * r),
         "I_mean_attention_response_output": 0.5 * (a + r), "J_max_attention_response_output": F.greatest(a, r), "K_min_attention_response_output": F.least(a, r),
     }
-    return rows.withColumn("formula_scores", F.create_map(*[x for n, v in scores.items() for x in (F.lit(n), v)])).drop("rm_", "am_")
+    return rows.withColumn("formula_scores", F.create_map(*[x for n, v in scores.items() for x in (F.lit(n), v)])).drop("rm_", "am_", "rn_", "an_", "rh_", "ah_")
 
 
 def long(df: DataFrame) -> DataFrame:

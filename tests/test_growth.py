@@ -98,3 +98,13 @@ def test_wins_come_from_one_order_of_flags(spark):
     # places and wins share a sort, and names aren't sorted with every formula
     sorts = [x for x in plan(formulas.ranking_metrics(df)).splitlines() if "Sort [" in x]
     assert len(sorts) == 2 and "span_id" not in "".join(x for x in sorts if "formula" in x)
+
+
+def test_medians_of_a_question_make_no_lists(spark):
+    data = [("a", i, x, y) for i, (x, y) in enumerate([(0.5, 0.1), (None, 0.9), (0.25, 0.3), (1.0, 0.2)])] + [("b", 9, None, 0.4)]
+    df = spark.createDataFrame(data, "question_id string, span_id long, response double, attention double").withColumns({"surface": F.lit(0.0), "prompt": F.lit(0.0)})
+    got = formulas.responses(df)
+    gates = {r["span_id"]: (r["formula_scores"]["G_response_output_gate_then_attention"], r["formula_scores"]["H_attention_gate_then_response_output"]) for r in got.collect()}
+    # of 0.25, 0.5, 1.0 the second, of 0.1, 0.2, 0.3, 0.9 the third
+    assert gates == {0: (0.1, 0.01), 1: (pytest.approx(0.018), None), 2: (pytest.approx(0.006), 0.25), 3: (0.2, 0.02), 9: (pytest.approx(0.008), None)}
+    assert "collect_list" not in plan(got)
