@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.storage import stored
-from .ordering import global_row_number, running_sums
+from .ordering import running_sums
 
 # Names of statuses and number types.
 ON, OFF, AMBIGUOUS = "on_solution_path_number", "off_solution_path_number", "ambiguous_number"
@@ -38,11 +38,13 @@ def filled(name: str) -> Column:
 
 
 def upper_median(df: DataFrame, value: Column) -> DataFrame:
-    """One row (median): the value at place n // 2 of the ascending order, found by range partitions."""
-    rows = df.select(value.alias("v"))
-    ranked = global_row_number(rows, [F.asc("v")], "r")
-    n = rows.agg((F.floor(F.count(F.lit(1)) / 2) + 1).alias("at"))
-    return ranked.join(F.broadcast(n), F.col("r") == F.col("at")).select(F.col("v").alias("median"))
+    """One row (median): the value at place n // 2 of the ascending order; none without rows. Values are counted first, and the counts
+    summed up by range partitions."""
+    levels = df.groupBy(value.alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    summed = stored(running_sums(levels, [F.asc("v")], {"upto": F.col("n")}), "median")
+    at = summed.agg((F.floor(F.max("upto") / 2) + 1).alias("at"))  # one row
+    reached = summed.join(F.broadcast(at), F.col("upto") >= F.col("at"))
+    return reached.groupBy("at").agg(F.min_by("v", "upto").alias("median")).select("median")
 
 
 def priority(df: DataFrame, *, by: str = "question_id", key: str = "span_id", digits: int | None = 6) -> DataFrame:
@@ -134,13 +136,6 @@ def _won(name: str, pairs: Column) -> Column:
     return (F.coalesce(F.col(f"{name}_ahead"), F.lit(0)) - F.coalesce(F.col(f"{name}_behind"), F.lit(0)) + pairs) / 2.0
 
 
-def _wins(high: Column, low: Column, by: list[str]) -> Column:
-    """How many low rows of its group a high row outscores, ties half; null for other rows."""
-    up = Window.partitionBy(*by).orderBy("score")
-    below = lambda start: F.sum(low.cast("int")).over(up.rangeBetween(start, Window.currentRow))
-    return F.when(high, F.coalesce(below(Window.unboundedPreceding), F.lit(0)) - F.coalesce(below(Window.currentRow), F.lit(0)) / 2.0)
-
-
 def ranking_metrics(df: DataFrame, top_k: int = 3) -> DataFrame:
     """One row a formula: pair accuracy of numbers on over off the path and of bucket 3 over 1 in the same question, hits at 1 to 3, shares
     and coverage of the first top_k. Ties in score go to the smaller span_id; shares without a base are 0.
@@ -189,14 +184,15 @@ def keyness_metrics(df: DataFrame, fraction: float = 0.2) -> DataFrame:
     Two passes over the spans: one by question, as in ranking_metrics, and one that counts rows by formula and score. The counts are put in one
     order of formulas and scores by range partitions, from which AUROC and the best fraction follow; no task ranks a formula."""
     by = ["formula", "question_id"]
-    rows = long(df.repartition("question_id")).where(F.col("status").isin(ON, OFF) & F.col("score").isNotNull()).withColumn("y", (F.col("status") == ON).cast("int"))
-    ranked = rows.withColumns({"rank": F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "span_id")), "wins": _wins(F.col("y") == 1, F.col("y") == 0, by)})
-    each = ranked.groupBy(*by).agg(F.min(F.when(F.col("y") == 1, F.col("rank"))).alias("first"), F.sum(F.when(F.col("y") == 1, F.col("rank"))).alias("ranks"), F.sum("y").alias("ons"), F.sum(1 - F.col("y")).alias("offs"), F.sum("wins").alias("wins"))
+    numbers = df.where(F.col("status").isin(ON, OFF)).withColumn("at_", F.row_number().over(Window.partitionBy("question_id").orderBy("span_id")))
+    rows = numbers.select("question_id", "at_", (F.col("status") == ON).alias("on_"), F.explode("formula_scores").alias("formula", "score")).where(F.col("score").isNotNull())
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "at_"))).withColumns(_met({"on": (F.col("on_"), ~F.col("on_"))}, by))
+    each = ranked.groupBy(*by).agg(F.min(F.when(F.col("on_"), F.col("rank"))).alias("first"), F.sum(F.when(F.col("on_"), F.col("rank"))).alias("ranks"), F.count_if("on_").alias("ons"), F.count_if(~F.col("on_")).alias("offs"), F.sum("on_ahead").alias("on_ahead"), F.sum("on_behind").alias("on_behind"))
     some, met = F.col("ons") > 0, F.col("ons") * F.col("offs")
     tops = each.groupBy("formula").agg(
-        F.try_divide(F.sum(F.when(met > 0, F.col("wins"))), F.sum(met)).alias("pair_accuracy"), F.avg(F.when(some, (F.col("first") <= 1).cast("int"))).alias("top1"), F.avg(F.when(some, (F.col("first") <= 2).cast("int"))).alias("top2"), F.try_divide(F.sum("ranks"), F.sum("ons")).alias("mean_rank"),
+        F.try_divide(F.sum(F.when(met > 0, _won("on", met))), F.sum(met)).alias("pair_accuracy"), F.avg(F.when(some, (F.col("first") <= 1).cast("int"))).alias("top1"), F.avg(F.when(some, (F.col("first") <= 2).cast("int"))).alias("top2"), F.try_divide(F.sum("ranks"), F.sum("ons")).alias("mean_rank"),
     )
-    levels = rows.groupBy("formula", "score").agg(F.count(F.lit(1)).alias("n"), F.sum(1 - F.col("y")).alias("off"))
+    levels = rows.groupBy("formula", "score").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("on_")).alias("off"))
     summed = stored(running_sums(levels, [F.asc("formula"), F.desc("score")], {"upto": F.col("n")}), "levels")
     totals = summed.groupBy("formula").agg(F.min(F.col("upto") - F.col("n")).alias("start"), F.sum("n").alias("all"), F.sum(F.col("n") - F.col("off")).alias("positives"), F.sum("off").alias("negatives"))
     # one row a formula

@@ -108,3 +108,10 @@ def test_medians_of_a_question_make_no_lists(spark):
     # of 0.25, 0.5, 1.0 the second, of 0.1, 0.2, 0.3, 0.9 the third
     assert gates == {0: (0.1, 0.01), 1: (pytest.approx(0.018), None), 2: (pytest.approx(0.006), 0.25), 3: (0.2, 0.02), 9: (pytest.approx(0.008), None)}
     assert "collect_list" not in plan(got)
+
+
+def test_upper_median_orders_values_not_rows(spark):
+    df = spark.createDataFrame([(x,) for x in [0.5, 0.1, 0.5, 0.9, 0.1, 0.5]], "x double")
+    assert [r["median"] for r in formulas.upper_median(df, F.col("x")).collect()] == [0.5]
+    assert formulas.upper_median(df.where("x > 0.6 or x < 0.2"), F.col("x")).first()["median"] == 0.1
+    assert formulas.upper_median(df.where("x > 2"), F.col("x")).count() == 0
