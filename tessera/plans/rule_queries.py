@@ -5,14 +5,14 @@ SQL, beside some literal edge cases; what a rule makes of them is written twice.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions import rules as R
 from ..functions import text as X
 from ..operators.joins import membership
-from .base import literal, sql_values, table
+from .base import dealt, literal, sql_values, table
 
 
 def _derived(spark, d: str, name: str, exprs: dict[str, str], rows: list[tuple], schema: str) -> DataFrame:
@@ -110,11 +110,16 @@ _SOLVED = [(101, 1, "Tom has 3 apples, buys 5, sells 2, sees 9.", "He has <<3+5=
 
 def solution_path(spark, d):
     """Numbers of questions, on or off the path of their solutions: how many of each, and the sum of their places."""
-    rows = _derived(spark, d, "orders", _PATH, _SOLVED, "grp long, id long, question string, solution string").withColumn("s", X.solution_values(F.col("solution")))
-    numbers = rows.select("grp", "id", "s", F.inline(X.matches(F.col("question"), L.ARABIC_NUMBER))).withColumn("v", X.number_values(F.col("text"))).withColumn("first", F.col("v")[0])
-    same = numbers.groupBy("grp", "id", "first").agg(F.count(F.lit(1)).cast("int").alias("times"))
-    status = X.path_status(F.col("v"), F.col("times"), F.col("s.operands"), F.col("s.results"))
-    return numbers.join(same, ["grp", "id", "first"]).groupBy("grp", status.alias("status")).agg(F.count(F.lit(1)).alias("numbers"), F.sum("start").cast("long").alias("starts"))
+    made = table(spark, d, "orders").select(*[F.expr(e).alias(c) for c, e in _PATH.items()], F.lit(0).alias("from_"))
+    said = literal(spark, _SOLVED, "grp long, id long, question string, solution string").withColumn("from_", F.lit(1))
+    # dealt once by id: rows are made distinct and numbers are counted in place
+    rows = dealt(made.unionByName(said), "id").distinct().withColumn("s", X.solution_values(F.col("solution")))
+    numbers = rows.select("grp", "id", "s", F.inline(X.matches(F.col("question"), L.ARABIC_NUMBER))).withColumn("v", X.number_values(F.col("text")))
+    alone = numbers.select("grp", "id", F.col("v")[0].alias("first"), "start", X.path_status(F.col("v"), F.lit(1), F.col("s.operands"), F.col("s.results")).alias("alone"))
+    # a number on the path that stands in several places is ambiguous
+    times = F.count(F.lit(1)).over(Window.partitionBy("grp", "id", "first"))
+    told = alone.withColumn("times", times).withColumn("status", F.when((F.col("alone") == "on_solution_path_number") & (F.col("times") > 1), "ambiguous_number").otherwise(F.col("alone")))
+    return told.groupBy("grp", "status").agg(F.count(F.lit(1)).alias("numbers"), F.sum("start").cast("long").alias("starts"))
 
 
 _N = r"\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?"

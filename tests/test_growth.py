@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 from tessera.llm import topk
 from tessera.operators import formulas, probes, reports, spans
-from tessera.plans import base, report_queries
+from tessera.plans import base, report_queries, rule_queries
 from tessera.sources import audits
 
 
@@ -115,3 +116,23 @@ def test_upper_median_orders_values_not_rows(spark):
     assert [r["median"] for r in formulas.upper_median(df, F.col("x")).collect()] == [0.5]
     assert formulas.upper_median(df.where("x > 0.6 or x < 0.2"), F.col("x")).first()["median"] == 0.1
     assert formulas.upper_median(df.where("x > 2"), F.col("x")).count() == 0
+
+
+def test_numbers_are_read_once(spark, sf):
+    written = ["$1,000", "50%", "5 percent", "twelve", "..Twelve.", "", None, "x", "0%", "-3.50"]
+    df = spark.createDataFrame([(t,) for t in written], "t string")
+    values = X.number_values(F.col("t"))
+    assert [r["v"] for r in df.select(values.alias("v")).collect()] == [[1000.0], [50.0, 0.5], [5.0, 0.05], [12.0], [12.0], [], [], [], [0.0], [-3.5]]
+    # the digits are cut out in one place
+    assert plan(df.select(values.alias("v"))).count("regexp_extract(") == 1
+    got = rule_queries.solution_path(spark, sf)
+    assert plan(got).count("FileScan") == 1 and "Join" not in plan(got) and plan(got).count("Exchange hashpartitioning(") == 2
+
+
+def test_numbers_of_one_id_count_together(spark, tmp_path):
+    # two orders of one key, and the key of a literal row of the same group: a number that stands in several of their questions is ambiguous
+    spark.createDataFrame([(101, 1), (101, 1), (101, 2), (7, 3)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM read_parquet('{tmp_path}/orders.parquet/*.parquet')")
+    want = con.execute(rule_queries.SOLUTION_PATH).fetchall()
+    assert sorted(map(tuple, rule_queries.solution_path(spark, str(tmp_path)).collect())) == sorted(want)
