@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.storage import drop_stored, stored
+
 LOG = "unit_id string, fingerprint string, status string, attempt int, error string"
 
 
@@ -52,13 +54,17 @@ def states(units: DataFrame, events: DataFrame, done: DataFrame) -> DataFrame:
     """(unit_id, fingerprint, state, attempts, failures) of the units as they are now: `done` (an output of this fingerprint), `lost` (the log says done, but
     there is no output), `stale` (outputs of other fingerprints only), `failed`, or `new`."""
     unit = ["unit_id", "fingerprint"]
-    asked = units.select(*unit).dropDuplicates(unit)
-    has = done.select(*unit).dropDuplicates(unit).withColumn("has_", F.lit(True))
-    other = done.select("unit_id").distinct().withColumn("other_", F.lit(True))
-    said = events.groupBy(*unit).agg(F.count_if(F.col("status") == "done").alias("said_"), F.count_if(F.col("status") == "failed").alias("failed_"), F.coalesce(F.max("attempt"), F.lit(0)).alias("attempts"))
-    state = F.when(F.col("has_"), "done").when(F.col("said_") > 0, "lost").when(F.col("failed_") > 0, "failed").when(F.col("other_"), "stale").otherwise("new")
-    out = asked.join(has, unit, "left").join(said, unit, "left").join(other, "unit_id", "left")
-    return out.select(*unit, state.alias("state"), F.coalesce("attempts", F.lit(0)).alias("attempts"), F.coalesce("failed_", F.lit(0)).alias("failures"))
+    no = F.lit(0)
+    rows = lambda df, **flags: df.select(*unit, *[flags.get(n, no).cast("int").alias(n) for n in ("asked_", "has_", "other_", "said_", "failed_")], flags.get("attempt_", F.lit(None)).cast("int").alias("attempt_"))
+    named = F.col("fingerprint").isNotNull()
+    asked = rows(units, asked_=F.lit(1))
+    has = rows(done.where("unit_id is not null"), has_=named, other_=F.lit(1))
+    said = rows(events.where(F.col("unit_id").isNotNull() & named), said_=F.coalesce(F.col("status") == "done", F.lit(False)), failed_=F.coalesce(F.col("status") == "failed", F.lit(False)), attempt_=F.col("attempt"))
+    # all three are dealt once by unit; null keys are asked for, and met by nothing
+    met = asked.unionByName(has).unionByName(said).repartition("unit_id").groupBy(*unit).agg(*[F.max(n).alias(n) for n in ("asked_", "has_", "other_")], F.sum("said_").alias("said_"), F.sum("failed_").alias("failures"), F.coalesce(F.max("attempt_"), no).alias("attempts"))
+    out = met.withColumn("other_", F.max("other_").over(Window.partitionBy("unit_id"))).where("asked_ = 1")
+    state = F.when(F.col("has_") == 1, "done").when(F.col("said_") > 0, "lost").when(F.col("failures") > 0, "failed").when(F.col("other_") == 1, "stale").otherwise("new")
+    return out.select(*unit, state.alias("state"), "attempts", "failures")
 
 
 def results(units: DataFrame, done: DataFrame) -> DataFrame:
@@ -73,16 +79,18 @@ def worked(spark: SparkSession, root: str, schema: T.StructType, work: Callable[
 
     May be killed anywhere and run again. `step` is called between steps, for tests."""
 
-    def do(rows: DataFrame, name: str) -> None:
+    def do(rows: DataFrame, name: str, without_output: bool = False) -> None:
         session = rows.sparkSession
         unit = ["unit_id", "fingerprint"]
         # what this very batch wrote before it died doesn't count: it is written again
-        rest = lambda path, kind: session.read.schema(kind).option("recursiveFileLookup", True).parquet(path).where(~F.col("_metadata.file_path").contains(f"/{name}/")) if _exists(session, path) else session.createDataFrame([], kind)
-        done = rest(f"{root}/outputs", result).select(*unit)
-        events = rest(f"{root}/log", T.StructType.fromDDL(LOG))
-        tried = events.groupBy(*unit).agg(F.max("attempt").alias("before_"), F.count_if(F.col("status") == "failed").alias("failed_"))
-        todo = rows.dropDuplicates(unit).join(done, unit, "left_anti").join(tried, unit, "left").where(F.coalesce("failed_", F.lit(0)) < most_attempts)
-        attempts = todo.select(*unit, (F.coalesce("before_", F.lit(0)) + 1).cast("int").alias("attempt"))
+        rest = lambda path, kind: session.read.schema(kind).option("recursiveFileLookup", True).parquet(path).where(~F.col("_metadata.file_path").contains(f"/{name}/"))
+        todo, tried = rows.dropDuplicates(unit), None
+        # what isn't there yet is not joined
+        if not without_output and _exists(session, f"{root}/outputs"):
+            todo = todo.join(rest(f"{root}/outputs", result).select(*unit), unit, "left_anti")
+        if _exists(session, f"{root}/log"):
+            tried = rest(f"{root}/log", T.StructType.fromDDL(LOG)).groupBy(*unit).agg(F.max("attempt").alias("before_"), F.count_if(F.col("status") == "failed").alias("failed_"))
+            todo = todo.join(tried, unit, "left").where(F.coalesce("failed_", F.lit(0)) < most_attempts)
         step("before work")
         made = f"{root}/tried/{name}"
         work(todo.drop("before_", "failed_")).write.mode("overwrite").parquet(made)
@@ -90,8 +98,9 @@ def worked(spark: SparkSession, root: str, schema: T.StructType, work: Callable[
         rows_made = session.read.schema(result).parquet(made)
         rows_made.where("error is null").write.mode("overwrite").parquet(f"{root}/outputs/{name}")
         step("after outputs")
-        said = rows_made.select(*unit, "error").join(attempts, unit, "left")
-        said.select(*unit, F.when(F.col("error").isNull(), "done").otherwise("failed").alias("status"), F.coalesce("attempt", F.lit(1)).alias("attempt"), "error").write.mode("overwrite").parquet(f"{root}/log/{name}")
+        said = rows_made.select(*unit, "error")
+        said = said.withColumn("before_", F.lit(0)) if tried is None else said.join(tried, unit, "left")
+        said.select(*unit, F.when(F.col("error").isNull(), "done").otherwise("failed").alias("status"), (F.coalesce("before_", F.lit(0)) + 1).cast("int").alias("attempt"), "error").write.mode("overwrite").parquet(f"{root}/log/{name}")
         step("after log")
 
     if not _exists(spark, f"{root}/requests"):
@@ -126,13 +135,17 @@ def _retry(spark: SparkSession, root: str, schema: T.StructType, result: T.Struc
     """Requests that the stream has passed and that have no output: failed ones, and those whose output was lost."""
     import uuid
 
+    unit = ["unit_id", "fingerprint"]
     asked = spark.read.schema(schema).parquet(f"{root}/requests")
     for _ in range(most_attempts):
-        open_ = states(asked, log(spark, root), outputs(spark, root, result)).where("state <> 'done'").where(F.col("failures") < most_attempts)
-        again = asked.join(open_.select("unit_id", "fingerprint"), ["unit_id", "fingerprint"], "left_semi")
+        failures = log(spark, root).where("status = 'failed'").groupBy(*unit).agg(F.count(F.lit(1)).alias("failures_"))
+        open_ = asked.join(outputs(spark, root, result).select(*unit), unit, "left_anti").join(failures, unit, "left").where(F.coalesce("failures_", F.lit(0)) < most_attempts)
+        # written, for it is asked whether there are any, and then they are done
+        again = stored(open_.drop("failures_"), "again")
         if again.isEmpty():
             return
-        do(again, f"again-{uuid.uuid4().hex}")
+        do(again, f"again-{uuid.uuid4().hex}", without_output=True)
+        drop_stored(again)
 
 
 def healed(spark: SparkSession, root: str, result: T.StructType) -> DataFrame:

@@ -11,6 +11,7 @@ from tessera.llm import topk
 from tessera.operators import formulas, probes, reports, spans
 from tessera.plans import base, report_queries, rule_queries
 from tessera.sources import audits
+from tessera.streaming import work
 
 
 def plan(df) -> str:
@@ -136,3 +137,14 @@ def test_numbers_of_one_id_count_together(spark, tmp_path):
     con.execute(f"CREATE VIEW orders AS SELECT * FROM read_parquet('{tmp_path}/orders.parquet/*.parquet')")
     want = con.execute(rule_queries.SOLUTION_PATH).fetchall()
     assert sorted(map(tuple, rule_queries.solution_path(spark, str(tmp_path)).collect())) == sorted(want)
+
+
+def test_states_of_work_deal_each_row_once(spark):
+    unit = "unit_id string, fingerprint string"
+    units = spark.createDataFrame([(u, "f") for u in ("done", "done", "lost", "failed", "stale", "new")] + [(None, "f"), ("bare", None)], unit)
+    done = spark.createDataFrame([("done", "f"), ("done", "f"), ("stale", "old"), ("lost", "old"), (None, "f"), ("bare", None)], unit)
+    events = spark.createDataFrame([("done", "f", "failed", 1), ("done", "f", "done", 2), ("lost", "f", "done", 1), ("failed", "f", "failed", 1), ("failed", "f", "failed", 2), ("new", "old", "failed", 3), (None, "f", "done", 4)], f"{unit}, status string, attempt int")
+    got = work.states(units, events, done)
+    assert plan(got).count("Exchange") == 1 and "Join" not in plan(got)
+    want = {("done", "done", 2, 1), ("lost", "lost", 1, 0), ("failed", "failed", 2, 2), ("stale", "stale", 0, 0), ("new", "new", 0, 0), (None, "new", 0, 0), ("bare", "stale", 0, 0)}
+    assert {(r["unit_id"], r["state"], r["attempts"], r["failures"]) for r in got.collect()} == want and got.count() == len(want)
