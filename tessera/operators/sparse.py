@@ -13,19 +13,28 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.storage import stored
-from .ml import char_terms, word_terms
+from ..sources.storage import drop_stored, stored
+from .ml import word_terms  # noqa: F401
 from .partial_sums import COLUMNS, PARTS, added, cut, whole
 from .stats import auroc
+from .terms import counted, lengths, places, slices, words
 
 #: Pairs of steps and gradient differences that L-BFGS remembers.
 MEMORY = 8
 
+#: Bytes of models that the driver may hold.
+MOST_BYTES = 2 << 30
+
 DESIGN = "design int, id long, y double, fold int, inner int, indices array<int>, vals array<double>"
 
+#: The same with the bytes of both arrays, which Spark hands to tasks of Python as they are.
+PACKED = DESIGN.replace("array<int>", "binary").replace("array<double>", "binary")
+
 
 class NotConverged(RuntimeError):
     """Models that are still moving when the rounds are over."""
@@ -41,32 +50,53 @@ class Rung:
 
 @dataclass
 class SparseFit:
-    """A model: its design, the inner fold that it leaves out (None: it takes every row of its design but the test rows), its penalty |w|^2 / (2 c)."""
+    """A model: its design, the inner fold that it leaves out (None: it takes every row of its design but the test rows), its penalty |w|^2 / (2 c),
+    and the stretches of features that it reads (None: all)."""
 
     design: int
     without: int | None
     c: float
+    reads: tuple[tuple[int, int], ...] | None = None
 
+    def mask(self, width: int) -> np.ndarray:
+        """1 for features that it reads and the constant, 0 for others."""
+        out = np.full(width + 1, 1.0 if self.reads is None else 0.0)
+        for start, end in self.reads or ():
+            out[start:end] = 1.0
+        out[-1] = 1.0
+        return out
 
-def vocabularies(df: DataFrame, terms: Column, fold: str, k: int, *, least_docs: int = 2, most_terms: int = 50_000) -> list[dict[str, tuple[int, float]]]:
+
+def vocabularies(df: DataFrame, terms: Column, fold: str, k: int, *, unit: str = "term", least_docs: int = 2, most_terms: int = 50_000) -> list[dict[str, tuple[int, float]]]:
     """For each fold the terms of the other folds: term -> (place, idf). Terms of fewer than least_docs rows are left out; of the others the
-    most_terms with the most occurrences stay, ties by term.
-
-    Terms are counted once for all folds. What comes to the driver is bounded by k * most_terms."""
-    rows = df.select(F.col(fold).alias("f"), terms.alias("t"))
-    # tasks add up terms before they send them: what is shuffled are terms by fold, not occurrences
-    each = lambda t, tf, d: rows.select("f", F.explode(t).alias("term"), F.lit(tf).alias("tf"), F.lit(d).alias("d"))
-    seen = each(F.col("t"), 1, 0).unionByName(each(F.array_distinct("t"), 0, 1)).groupBy("term").agg(
-        F.sum("d").alias("d"), F.sum("tf").alias("n"), *[F.sum(F.when(F.col("f") == f, F.col(c)).otherwise(0)).alias(f"{o}{f}") for f in range(k) for c, o in (("d", "d"), ("tf", "n"))],
-    )
-    cells = F.array(*[F.struct(F.lit(f).alias("fold"), (F.col("d") - F.col(f"d{f}")).alias("df"), (F.col("n") - F.col(f"n{f}")).alias("tf")) for f in range(k)])
-    long = seen.select("term", F.inline(cells)).where(F.col("df") >= least_docs)
-    kept = long.withColumn("rank", F.row_number().over(Window.partitionBy("fold").orderBy(F.desc("tf"), "term"))).where(F.col("rank") <= most_terms)
+    most_terms with the most occurrences stay, ties by term. `terms` are a row's terms, or the words that they are made of where `unit` is "word" or "char".
+
+    Terms are counted once for all folds, by numbers within a task's batches. What comes to the driver is bounded by k * most_terms."""
+    rows = df.select(F.col(fold).cast("int").alias("f"), terms.alias("t"))
+    names = [f"{o}{f}" for o in ("d", "n") for f in range(k + 1)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "t", unit):
+                f = part.column("f").fill_null(k).to_numpy(zero_copy_only=False)
+                f = np.where((f < 0) | (f > k), k, f)  # rows of other folds are training rows of all
+                for found, row, term, tf in counted(part.column("t"), unit):
+                    cell = term * (k + 1) + f[row]
+                    sums = [np.bincount(cell, w, len(found) * (k + 1)).astype(np.int64).reshape(-1, k + 1) for w in (None, tf)]
+                    yield pa.RecordBatch.from_arrays([found, *[pa.array(x[:, g]) for x in sums for g in range(k + 1)]], names=["term", *names])
+
+    seen = rows.mapInArrow(run, "term string, " + ", ".join(f"{c} long" for c in names)).groupBy("term").agg(*[F.sum(c).alias(c) for c in names])
+    outside = lambda o, f: sum((F.col(f"{o}{g}") for g in range(k + 1) if g != f), F.lit(0))
+    cells = seen.select("term", *[outside("d", f).alias(f"df{f}") for f in range(k)], *[outside("n", f).alias(f"tf{f}") for f in range(k)])
+    kept = stored(cells.where(F.greatest(F.lit(0), *[F.col(f"df{f}") for f in range(k)]) >= least_docs), "terms")
     rows_of = {r["f"]: r["n"] for r in rows.groupBy("f").agg(F.count(F.lit(1)).alias("n")).collect()}
-    out: list[dict[str, tuple[int, float]]] = [{} for _ in range(k)]
-    for r in kept.select("fold", "term", "df").orderBy("fold", "term").collect():
-        train = sum(n for f, n in rows_of.items() if f != r["fold"])
-        out[r["fold"]][r["term"]] = (len(out[r["fold"]]), float(np.log((1 + train) / (1 + r["df"])) + 1))
+    out: list[dict[str, tuple[int, float]]] = []
+    for f in range(k):
+        train = sum(n for g, n in rows_of.items() if g != f)
+        best = kept.where(F.col(f"df{f}") >= least_docs).select("term", F.col(f"df{f}").alias("df"), F.col(f"tf{f}").alias("tf")).orderBy(F.desc("tf"), "term").limit(most_terms).collect()
+        # in the order of Spark's strings, which is that of their bytes
+        out.append({r["term"]: (i, float(np.log((1 + train) / (1 + r["df"])) + 1)) for i, r in enumerate(sorted(best, key=lambda r: r["term"].encode()))})
+    drop_stored(kept)
     return out
 
 
@@ -105,114 +135,135 @@ def _dense(c: str) -> Column:
     return F.when(v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")), 0.0).otherwise(v)
 
 
-def designs(df: DataFrame, rung: Rung, *, id: str, label: str, fold: str, inner: str | None, k: int, least_docs: int = 2, most_terms: int = 50_000) -> tuple[DataFrame, list[dict[str, int]]]:
+def designs(df: DataFrame, rung: Rung, *, id: str, label: str, fold: str, inner: str | None, k: int, least_docs: int = 2, most_terms: int = 50_000, packed: bool = False) -> tuple[DataFrame, list[dict[str, int]]]:
     """(rows, widths): every row once for each fold's design, stored, and for each design the number of features by block.
 
     A text is the tf-idf of its words and word pairs and that of its runs of three to five characters, each of length 1,
     together of length 1. A dense block is z-scores over the square root of its width. `inner` is an array of the
-    row's inner fold in each design. Rows of null label or fold take no part."""
+    row's inner fold in each design. Rows of null label or fold take no part. With `packed`, indices and values are bytes (PACKED)."""
     if rung.text is None and not rung.blocks:
         raise ValueError("a rung has a text or a block")
     spark = df.sparkSession
-    df = df.where(F.col(label).isNotNull() & F.col(fold).isNotNull())
-    kinds, books = [], []
+    # rows are dealt while they are small, before they are cut into terms and written out for each design
+    df = df.where(F.col(label).isNotNull() & F.col(fold).isNotNull()).repartition(F.col(id))
+    kinds, books = {}, []
     if rung.text is not None:
-        for name, terms in (("words", word_terms), ("chars", char_terms)):
-            kinds.append(name)
-            books.append(vocabularies(df, terms(F.coalesce(F.col(rung.text), F.lit(""))), fold, k, least_docs=least_docs, most_terms=most_terms))
+        kinds = {"words": "word", "chars": "char"}
+        for unit in kinds.values():
+            books.append(vocabularies(df, words(F.col(rung.text), unit), fold, k, unit=unit, least_docs=least_docs, most_terms=most_terms))
     scales = {name: _scales(df, columns, fold, k) for name, columns in rung.blocks.items()}
-    shared = spark.sparkContext.broadcast((books, scales))
     widths = [{**{n: len(b[f]) for n, b in zip(kinds, books, strict=True)}, **{n: len(c) for n, c in rung.blocks.items()}} for f in range(k)]
+    shared = spark.sparkContext.broadcast(([[(list(own), np.array([idf for _, idf in own.values()])) for own in book] for book in books], scales))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from collections import Counter
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         books, scales = shared.value
-        for batch in batches:
-            out = []
-            for r in batch.itertuples(index=False):
-                counts = [Counter(getattr(r, n)) for n in kinds]
+        known = [[(pa.array(terms, pa.string()), idf) for terms, idf in book] for book in books]
+        for whole_batch in batches:
+            for batch in slices(whole_batch, "chars", "char") if kinds else [whole_batch]:
+                n = batch.num_rows
+                seen = [list(counted(batch.column(c), unit)) for c, unit in kinds.items()]
                 for f in range(k):
-                    at, values, offset = [], [], 0
-                    for book, seen in zip(books, counts, strict=True):
-                        found = sorted((place, (1 + np.log(n)) * idf) for t, n in seen.items() if t in book[f] for place, idf in (book[f][t],))
-                        v = np.array([x for _, x in found])
-                        if len(v):
-                            at.append(np.array([p for p, _ in found]) + offset)
-                            values.append(v / np.sqrt((v * v).sum()))
-                        offset += len(book[f])
-                    if values:
-                        length = np.sqrt(sum((v * v).sum() for v in values))
-                        values = [v / length for v in values]
+                    found, offset = [], 0
+                    for book, parts in zip(known, seen, strict=True):
+                        terms, idf = book[f]
+                        own = [(row, places(names, terms)[term], tf) for names, row, term, tf in parts]
+                        row, at, tf = (np.concatenate(x) for x in zip(*own, strict=True))
+                        row, at, tf = row[at >= 0], at[at >= 0], tf[at >= 0]
+                        value = (1 + np.log(tf)) * idf[at]
+                        found.append((row, at + offset, value / lengths(value, row, n)[row]))
+                        offset += len(terms)
+                    if found:
+                        length = np.sqrt(sum(lengths(value, row, n) ** 2 for row, _, value in found))
+                        found = [(row, at, value / length[row]) for row, at, value in found]
                     for name, (mean, deviation) in scales.items():
-                        x = np.asarray(getattr(r, f"b_{name}"), np.float64)
-                        at.append(np.arange(len(x)) + offset)
-                        values.append((x - mean[f]) / deviation[f] / np.sqrt(len(x)))
-                        offset += len(x)
-                    out.append((f, r.id, r.y, r.fold, -1 if r.inner is None else int(r.inner[f]), np.concatenate(at).astype(np.int32) if at else np.zeros(0, np.int32), np.concatenate(values) if values else np.zeros(0)))
-                if len(out) >= 500:
-                    yield pd.DataFrame(out, columns=["design", "id", "y", "fold", "inner", "indices", "vals"])
-                    out = []
-            if out:
-                yield pd.DataFrame(out, columns=["design", "id", "y", "fold", "inner", "indices", "vals"])
-
-    text = F.coalesce(F.col(rung.text), F.lit("")) if rung.text is not None else F.lit("")
+                        x = batch.column(f"b_{name}").flatten().to_numpy(zero_copy_only=False).reshape(n, len(mean[f]))
+                        x = (x - mean[f]) / deviation[f] / np.sqrt(len(mean[f]))
+                        found.append((np.repeat(np.arange(n), len(mean[f])), np.tile(np.arange(len(mean[f])) + offset, n), x.reshape(-1)))
+                        offset += len(mean[f])
+                    row, at, value = (np.concatenate(x) for x in zip(*found, strict=True))
+                    order = np.argsort(row * (offset + 1) + at)
+                    start = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))]).astype(np.int32)
+                    inner = batch.column("inner")
+                    inner = np.full(n, -1) if inner.null_count == n else pc.list_element(inner, f).fill_null(-1).to_numpy(zero_copy_only=False)
+                    cells = [_cells(start, x[order].astype(t), packed) for x, t in ((at, np.int32), (value, np.float64))]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, f), pa.int32()), *[batch.column(c) for c in ("id", "y", "fold")], pa.array(inner, pa.int32()), *cells], names=["design", "id", "y", "fold", "inner", "indices", "vals"])
+
     columns = [F.col(id).cast("long").alias("id"), F.col(label).cast("double").alias("y"), F.col(fold).cast("int").alias("fold"), (F.col(inner) if inner else F.lit(None)).cast("array<int>").alias("inner")]
-    columns += [terms(text).alias(n) for n, terms in (("words", word_terms), ("chars", char_terms)) if n in kinds]
+    columns += [words(F.col(rung.text), unit).alias(n) for n, unit in kinds.items()]
     columns += [F.array(*[_dense(c) for c in cs]).alias(f"b_{n}") for n, cs in rung.blocks.items()]
-    return stored(df.select(*columns).mapInPandas(run, DESIGN).repartition("design", "id"), "designs"), widths
+    return stored(df.select(*columns).mapInArrow(run, PACKED if packed else DESIGN), "designs"), widths
 
 
-class Rows:
-    """A batch of one design's rows in compressed form, with a constant feature at the end."""
+def _cells(start: np.ndarray, values: np.ndarray, packed: bool) -> pa.Array:
+    """Values cut at `start` into lists of them, or into their bytes."""
+    if not packed:
+        return pa.ListArray.from_arrays(pa.array(start), pa.array(values))
+    return pa.Array.from_buffers(pa.binary(), len(start) - 1, [None, pa.py_buffer((start * values.itemsize).astype(np.int32)), pa.py_buffer(values)])
 
-    def __init__(self, batch: pd.DataFrame, width: int):
-        sizes = np.array([len(v) + 1 for v in batch["indices"]])
-        self.start = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        self.row = np.repeat(np.arange(len(batch)), sizes)
-        self.at = np.concatenate([np.append(v, width) for v in batch["indices"]]).astype(np.int64)
-        self.value = np.concatenate([np.append(v, 1.0) for v in batch["vals"]])
-        self.width = width
+
+def _values(cells: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The number of values of each row, and the values."""
+    if not pa.types.is_binary(cells.type):
+        return pc.list_value_length(cells).to_numpy(zero_copy_only=False), cells.flatten().to_numpy(zero_copy_only=False)
+    size, (_, ends, data) = np.dtype(kind).itemsize, cells.buffers()
+    ends = np.frombuffer(ends, np.int32, len(cells) + 1, cells.offset * 4)
+    return np.diff(ends) // size, np.frombuffer(data, kind, (ends[-1] - ends[0]) // size, ends[0]) if data is not None else np.zeros(0, kind)
+
+
+class Rows:
+    """The rows of one design in a batch, in compressed form; models have a constant after their last feature."""
+
+    def __init__(self, batch: pa.RecordBatch, design: int):
+        own = pc.equal(batch.column("design"), design)
+        if not pc.all(own).as_py():
+            batch = batch.filter(own)
+        self.count = batch.num_rows
+        self.id, self.y, self.fold, self.inner = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "y", "fold", "inner"))
+        sizes, self.at = _values(batch.column("indices"), np.int32)
+        _, self.value = _values(batch.column("vals"), np.float64)
+        self.row = np.repeat(np.arange(self.count), sizes)
 
     def times(self, weights: np.ndarray) -> np.ndarray:
-        """Rows by models, for weights of features by models."""
-        return np.add.reduceat(self.value[:, None] * weights[self.at], self.start, axis=0)
+        """The value of each row for a model's weights."""
+        return np.bincount(self.row, self.value * weights[self.at], self.count) + weights[-1]
+
+    def back(self, residuals: np.ndarray, width: int) -> np.ndarray:
+        """The sum of each feature and of the constant, for residuals of rows."""
+        return np.append(np.bincount(self.at, self.value * residuals[self.row], width), residuals.sum())
+
 
-    def back(self, residuals: np.ndarray) -> np.ndarray:
-        """Features by models, for residuals of rows by models."""
-        return np.stack([np.bincount(self.at, self.value * residuals[self.row, m], self.width + 1) for m in range(residuals.shape[1])], axis=1)
+def _designs_of(batch: pa.RecordBatch) -> list[int]:
+    return sorted(pc.unique(batch.column("design")).to_pylist())
 
 
 def _passed(rows: DataFrame, widths: list[int], fits: list[SparseFit], points: list[np.ndarray | None]) -> list[tuple[float, np.ndarray] | None]:
     """(loss, gradient) of the data at each model's point; models without a point are left out."""
-    of_design = {d: [i for i, f in enumerate(fits) if f.design == d and points[i] is not None] for d in range(len(widths))}
-    asked = {d: (np.stack([points[i] for i in which], axis=1), which) for d, which in of_design.items() if which}
-    shared = rows.sparkSession.sparkContext.broadcast(asked)
+    asked: dict[int, list[int]] = {}
+    for i, f in enumerate(fits):
+        if points[i] is not None:
+            asked.setdefault(f.design, []).append(i)
+    shared = rows.sparkSession.sparkContext.broadcast(points)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for d, own in batch.groupby("design"):
-                if d not in shared.value:
-                    continue
-                weights, which = shared.value[d]
-                x = Rows(own, widths[d])
-                y, fold, inner = own["y"].to_numpy(), own["fold"].to_numpy(), own["inner"].to_numpy()
-                z = x.times(weights)
-                use = np.stack([(fold != d) & (inner != (fits[i].without if fits[i].without is not None else -2)) for i in which], axis=1)
-                p = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
-                loss = ((np.logaddexp(0, z) - y[:, None] * z) * use).sum(axis=0)
-                gradient = x.back((p - y[:, None]) * use)
-                for j, i in enumerate(which):
-                    both = np.append(gradient[:, j], loss[j])
+            for d in _designs_of(batch):
+                x = Rows(batch, d)
+                for i in asked.get(d, []):
+                    z = x.times(shared.value[i])
+                    use = (x.fold != d) & (x.inner != (fits[i].without if fits[i].without is not None else -2))
+                    p = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
+                    both = np.append(x.back((p - x.y) * use, widths[d]), ((np.logaddexp(0, z) - x.y * z) * use).sum())
                     total[i] = total[i] + both if i in total else both
-        yield pd.DataFrame([c for i, g in total.items() for c in cut(i, g)], columns=COLUMNS)
+        for i, g in total.items():
+            slot, stretch, data = zip(*cut(i, g), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), pa.array(stretch, pa.int32()), pa.array(data, pa.binary())], names=COLUMNS)
 
     # designs that no model asks about aren't read
-    found = added(rows.where(F.col("design").isin(list(asked))).mapInPandas(run, PARTS))
+    found = added(rows.where(F.col("design").isin(list(asked))).mapInArrow(run, PARTS))
     shared.unpersist()
     out: list[tuple[float, np.ndarray] | None] = [None] * len(fits)
-    for d, (_, which) in asked.items():
+    for d, which in asked.items():
         for i in which:
             both = whole(found, i, widths[d] + 2)
             out[i] = (float(both[-1]), both[:-1])
@@ -259,19 +310,25 @@ class Descent:
         self.point = self.at + self.step * self.way
 
 
-def fitted(rows: DataFrame, widths: list[int], fits: list[SparseFit], *, rounds: int = 200, tolerance: float = 1e-5, most_bytes: int = 2 << 30) -> list[np.ndarray]:
+def _need(widths: list[int], fits: list[SparseFit]) -> int:
+    """Bytes that the driver holds for models."""
+    return sum((widths[f.design] + 1) * 8 * (2 * MEMORY + 4) for f in fits)
+
+
+def fitted(rows: DataFrame, widths: list[int], fits: list[SparseFit], *, rounds: int = 200, tolerance: float = 1e-5, most_bytes: int = MOST_BYTES) -> list[np.ndarray]:
     """Weights of each model, the constant last (it is penalised like the others).
 
     The largest component of a gradient has to fall to `tolerance` of what it was at 0 (of 1 at least), or NotConverged
     names the models. The driver holds 2 * MEMORY + 4 vectors a model; models that would need more than most_bytes are refused."""
-    need = sum((widths[f.design] + 1) * 8 * (2 * MEMORY + 4) for f in fits)
+    need = _need(widths, fits)
     if need > most_bytes:
         raise ValueError(f"{len(fits)} models need {need} bytes on the driver: fit fewer at once, or lower most_terms")
     models = [Descent(widths[f.design], f.c, tolerance) for f in fits]
     for _ in range(rounds):
-        for m, found in zip(models, _passed(rows, widths, fits, [None if m.done else m.point for m in models]), strict=True):
+        for f, m, found in zip(fits, models, _passed(rows, widths, fits, [None if m.done else m.point for m in models]), strict=True):
             if found is not None:
-                m.told(*found)
+                # a weight whose gradient is always 0 stays 0
+                m.told(found[0], found[1] * f.mask(widths[f.design]))
         if all(m.done for m in models):
             return [m.at for m in models]
     raise NotConverged(f"{sum(not m.done for m in models)} of {len(models)} models after {rounds} rounds: {[f for f, m in zip(fits, models, strict=True) if not m.done][:3]}")
@@ -281,40 +338,57 @@ def scored(rows: DataFrame, widths: list[int], fits: list[SparseFit], weights: l
     """(model, id, y, value): the value of each model for the rows that it left out: those of its inner fold, or of the design's own fold."""
     shared = rows.sparkSession.sparkContext.broadcast(weights)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for d, own in batch.groupby("design"):
-                x, fold, inner = Rows(own, widths[d]), own["fold"].to_numpy(), own["inner"].to_numpy()
+            for d in _designs_of(batch):
+                x = Rows(batch, d)
                 for i, fit in enumerate(fits):
                     if fit.design != d:
                         continue
-                    use = (fold == d) if fit.without is None else (fold != d) & (inner == fit.without)
+                    use = (x.fold == d) if fit.without is None else (x.fold != d) & (x.inner == fit.without)
                     if use.any():
-                        value = x.times(shared.value[i][:, None])[use, 0]
-                        yield pd.DataFrame({"model": np.full(len(value), i, np.int32), "id": own["id"].to_numpy()[use], "y": own["y"].to_numpy()[use], "value": value})
+                        value = x.times(shared.value[i])[use]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(value), i), pa.int32()), *[pa.array(v) for v in (x.id[use], x.y[use], value)]], names=["model", "id", "y", "value"])
 
-    return rows.mapInPandas(run, "model int, id long, y double, value double")
+    return rows.mapInArrow(run, "model int, id long, y double, value double")
 
 
 def chosen_penalties(rows: DataFrame, widths: list[int], grid: list[float], inner_k: int, **options) -> list[float]:
     """For each design the penalty of the grid with the best mean AUROC over its inner folds (those of one class are passed over), the first
     of equals; 1.0 where no inner fold has both classes, or where there are none."""
+    return _penalties(rows, widths, [None], grid, inner_k, **options)[0]
+
+
+#: What the models of a rung read of each design; None: everything.
+Reads = list[tuple[tuple[int, int], ...]] | None
+
+
+def _penalties(rows: DataFrame, widths: list[int], rungs: list[Reads], grid: list[float], inner_k: int, **options) -> list[list[float]]:
+    """chosen_penalties of several rungs over the same rows, whose models are fitted together."""
+    out = [[1.0] * len(widths) for _ in rungs]
     there = {r["design"] for r in rows.where("inner >= 0").select("design").distinct().collect()} if inner_k else set()
-    fits = [SparseFit(d, g, c) for d in range(len(widths)) if d in there for c in grid for g in range(inner_k)]
+    keys = [(n, d, c) for n in range(len(rungs)) for d in range(len(widths)) if d in there for c in grid for _ in range(inner_k)]
+    fits = [SparseFit(d, g, c, reads and reads[d]) for reads in rungs for d in range(len(widths)) if d in there for c in grid for g in range(inner_k)]
     if not fits:
-        return [1.0] * len(widths)
+        return out
     weights = fitted(rows, widths, fits, **options)
     found = {r["model"]: r["auroc"] for r in auroc(scored(rows, widths, fits, weights), "value", "y", ["model"]).collect() if r["auroc"] is not None}
-    out = [1.0] * len(widths)
-    for d in range(len(widths)):
-        best = -1.0
-        for c in grid:
-            own = [found[i] for i, f in enumerate(fits) if f.design == d and f.c == c and i in found]
-            if own and np.mean(own) > best + 1e-12:
-                best, out[d] = float(np.mean(own)), c
+    for n in range(len(rungs)):
+        for d in range(len(widths)):
+            best = -1.0
+            for c in grid:
+                own = [found[i] for i, key in enumerate(keys) if key == (n, d, c) and i in found]
+                if own and np.mean(own) > best + 1e-12:
+                    best, out[n][d] = float(np.mean(own)), c
     return out
 
 
+def _side_by_side(rungs: dict[str, Rung]) -> dict[tuple[str, tuple[str, ...]], str]:
+    """The blocks of all rungs, each once, by name and columns, and what each is called in a design that has them all."""
+    every = dict.fromkeys((b, tuple(columns)) for r in rungs.values() for b, columns in r.blocks.items())
+    return {block: f"{i}_{block[0]}" for i, block in enumerate(every)}
+
+
 def ladder(
     df: DataFrame, rungs: dict[str, Rung], *, id: str, label: str, group: str, fold: str, k: int, grid: tuple[float, ...] = (0.01, 0.1, 1.0, 10.0), inner_k: int = 3, seed: int = 0, least_docs: int = 2, most_terms: int = 50_000, **options,
 ) -> tuple[DataFrame, DataFrame]:
@@ -337,15 +411,36 @@ def ladder(
         dealt = dealt.join(inner, id, "left")
         cells.append(F.coalesce(F.col(f"inner_{f}"), F.lit(-1)))
     dealt = stored(dealt.withColumn("inner_", F.array(*cells) if cells else F.lit(None).cast("array<int>")).drop(*[f"inner_{f}" for f in range(k)]), "dealt")
+    if not all(r.text is not None or r.blocks for r in rungs.values()):
+        raise ValueError("a rung has a text or a block")
+    own, chosen = {}, {}
+    # rungs of the same text share its terms and rows: a row is written once with the blocks of all, and the models of a rung pass over those of others
+    for text in dict.fromkeys(r.text for r in rungs.values()):
+        group = {n: r for n, r in rungs.items() if r.text == text}
+        called = _side_by_side(group)
+        table, blocks = designs(dealt, Rung(text, {c: list(columns) for (_, columns), c in called.items()}), id=id, label=label, fold=fold, inner="inner_", k=k, least_docs=least_docs, most_terms=most_terms, packed=True)
+        widths, reads = [sum(b.values()) for b in blocks], {}
+        for name, rung in group.items():
+            named = {**({"words": "words", "chars": "chars"} if text is not None else {}), **{called[b, tuple(columns)]: b for b, columns in rung.blocks.items()}}
+            ends = [dict(zip(b, np.cumsum(list(b.values())).tolist(), strict=True)) for b in blocks]
+            reads[name] = [tuple((ends[d][b] - blocks[d][b], ends[d][b]) for b in blocks[d] if b in named) for d in range(k)]
+            chosen[name] = [{named[b]: n for b, n in blocks[d].items() if b in named} for d in range(k)]
+        # as many rungs at once as the driver may hold
+        every = [SparseFit(d, None, 1.0) for d in range(k) for _ in range(max(len(grid) * inner_k, 1))]
+        many = max(1, options.get("most_bytes", MOST_BYTES) // max(_need(widths, every), 1))
+        for at in range(0, len(group), many):
+            names = list(group)[at : at + many]
+            penalties = _penalties(table, widths, [reads[n] for n in names], list(grid), inner_k, **options)
+            fits = [SparseFit(d, None, c, reads[n][d]) for n, cs in zip(names, penalties, strict=True) for d, c in enumerate(cs)]
+            values = stored(scored(table, widths, fits, fitted(table, widths, fits, **options)), "rung")
+            for i, n in enumerate(names):
+                own[n] = (values.where((F.col("model") >= i * k) & (F.col("model") < (i + 1) * k)).select("id", "y", (F.col("model") - i * k).alias("fold"), F.col("value").alias(f"oof_{n}")), penalties[i])
+        drop_stored(table)
     scores, report = None, []
-    for name, rung in rungs.items():
-        table, blocks = designs(dealt, rung, id=id, label=label, fold=fold, inner="inner_", k=k, least_docs=least_docs, most_terms=most_terms)
-        widths = [sum(b.values()) for b in blocks]
-        penalties = chosen_penalties(table, widths, list(grid), inner_k, **options)
-        fits = [SparseFit(d, None, c) for d, c in enumerate(penalties)]
-        own = stored(scored(table, widths, fits, fitted(table, widths, fits, **options)).select("id", "y", F.col("model").alias("fold"), F.col("value").alias(f"oof_{name}")), "rung")
-        scores = own if scores is None else scores.join(own.select("id", f"oof_{name}"), "id")
-        report += [(name, d, float(c), widths[d], ", ".join(f"{b} {n}" for b, n in blocks[d].items())) for d, c in enumerate(penalties)]
+    for name in rungs:
+        values, penalties = own[name]
+        scores = values if scores is None else scores.join(values.select("id", f"oof_{name}"), "id")
+        report += [(name, d, float(c), sum(chosen[name][d].values()), ", ".join(f"{b} {n}" for b, n in chosen[name][d].items())) for d, c in enumerate(penalties)]
     return scores, df.sparkSession.createDataFrame(report, "rung string, fold int, c double, features int, blocks string")
 
 
