@@ -10,6 +10,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,22 +18,59 @@ from .ordering import ranged
 from .stats import auroc
 
 
+#: Weights that a task writes out at once.
+WEIGHTS = 100_000
+
+
 def tfidf(df: DataFrame, key: str, text: str, *, train: Column | None = None, least_docs: int = 2, most_terms: int = 50_000, unit: str = "word", sizes: tuple[int, int] = (3, 5)) -> DataFrame:
     """(key, term, weight): (1 + ln tf) * idf over words and word pairs, or with unit="char" over runs of sizes[0] to sizes[1] characters
     within words that have a space on either side, each row of length 1.
 
     idf = ln((1 + n) / (1 + df)) + 1 over training rows; terms in fewer than least_docs of them are left out, and of
-    the others the most_terms most frequent stay (ties by term)."""
-    found = word_terms(F.coalesce("text_", F.lit(""))) if unit == "word" else char_terms(F.coalesce("text_", F.lit("")), *sizes)
+    the others the most_terms most frequent stay (ties by term).
+
+    What is shuffled are texts and the document counts of terms: a task counts and weighs the terms of its keys in batches. The terms that
+    stay come to the driver and go to every task."""
+    from .terms import counted, lengths, places, slices, words
+
+    # the texts of a key lie in one row, with a null after the words of each; rows of a key that train and those that don't are counted apart
     flag = train if train is not None else F.lit(True)
-    # texts are dealt by key before they are cut, so that their terms are counted and weighed in place
-    dealt = df.select(key, flag.alias("train_"), F.col(text).alias("text_")).repartition(F.col(key))
-    terms = dealt.select(key, "train_", F.explode(found).alias("term")).groupBy(key, "train_", "term").agg(F.count(F.lit(1)).alias("tf"))
-    counts = terms.where("train_").groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= least_docs).orderBy(F.desc("df"), "term").limit(most_terms)
-    n = df.where(flag).agg(F.count(F.lit(1)).alias("n"))
-    weighed = terms.join(F.broadcast(counts), "term").join(F.broadcast(n)).select(key, "term", ((1 + F.log("tf")) * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("w"))
-    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
-    return weighed.select(key, "term", (F.col("w") / length).alias("weight"))
+    texts = df.select(F.col(key).alias("key_"), F.coalesce(flag, F.lit(False)).alias("train_"), F.coalesce(F.col(text), F.lit("")).alias("text_")).repartition(F.col("key_"))
+    of = lambda trains: F.flatten(F.transform(F.filter("texts_", lambda t: t["train_"] == trains), lambda t: F.array_append(words(t["text_"], unit), F.lit(None))))
+    keyed = texts.groupBy("key_").agg(F.collect_list(F.struct("train_", "text_")).alias("texts_"))
+
+    def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "t", unit):
+                for names, _, term, _ in counted(part.column("t"), unit, sizes):
+                    yield pa.RecordBatch.from_arrays([names, pa.array(np.bincount(term, minlength=len(names)))], names=["term", "df"])
+
+    seen = keyed.select(of(True).alias("t")).mapInArrow(documents, "term string, df long").groupBy("term").agg(F.sum("df").alias("df")).where(F.col("df") >= least_docs)
+    best = seen.orderBy(F.desc("df"), "term").limit(most_terms).toArrow()
+    n = df.where(flag).count()
+    shared = df.sparkSession.sparkContext.broadcast((best.column("term").combine_chunks(), np.log((1 + n) / (1 + best.column("df").to_numpy())) + 1))
+
+    def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, idf = shared.value
+        for batch in batches:
+            for part in slices(batch, "t", unit):
+                found = [[], [], []]
+                for c in ("t", "u"):
+                    for names, row, term, tf in counted(part.column(c), unit, sizes):
+                        at = places(names, terms)[term]
+                        for x, y in zip(found, (row, at, tf), strict=True):
+                            x.append(y[at >= 0])
+                row, at, tf = (np.concatenate(x) for x in found)
+                order = np.argsort(row, kind="stable")
+                row, at, tf = row[order], at[order], tf[order]
+                weight = (1 + np.log(tf)) * idf[at]
+                weight /= lengths(weight, row, part.num_rows)[row]
+                for i in range(0, len(row), WEIGHTS):
+                    cut = slice(i, i + WEIGHTS)
+                    yield pa.RecordBatch.from_arrays([part.column("key_").take(pa.array(row[cut])), terms.take(pa.array(at[cut])), pa.array(weight[cut])], names=[key, "term", "weight"])
+
+    kind = df.select(F.col(key)).schema[0].dataType.simpleString()
+    return keyed.select("key_", of(True).alias("t"), of(False).alias("u")).mapInArrow(weighed, f"`{key}` {kind}, term string, weight double")
 
 
 def word_terms(text: Column) -> Column:

@@ -3,17 +3,23 @@
 from __future__ import annotations
 
 import itertools
+import math
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from tessera.operators import sparse, terms
+from tessera.operators import ml, sparse, terms
 
 TEXTS = [["red", "blue", "red", "blue", "red"], [], ["blue", None, "red", "äöü"], ["x"], None, ["red", "blue"]]
 
 
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def by_definition(unit):
     out = []
     for words in TEXTS:
@@ -65,3 +71,29 @@ def test_rungs_of_one_text_share_its_rows(spark, monkeypatch):
     for name, rung in rungs.items():
         alone = {r["id"]: r[f"oof_{name}"] for r in sparse.ladder(df, {name: rung}, id="id", label="y", group="grp", fold="fold", k=2, inner_k=0, tolerance=1e-2)[0].collect()}
         assert {r["id"]: r[f"oof_{name}"] for r in scores.collect()} == pytest.approx(alone, abs=1e-6)
+
+
+@pytest.mark.parametrize("unit", ["word", "char"])
+def test_tfidf_counts_within_tasks(spark, unit):
+    data = [(1, "red blue red", 1), (1, "green red", 1), (2, "Blue green", 1), (None, "red green", 1), (3, "blue green", 0), (3, "red", 1), (4, None, 1), (5, "", 0), (6, "only once", 1)]
+    df = spark.createDataFrame(data, "k int, t string, train int")
+    made = ml.tfidf(df, "k", "t", train=F.col("train") == 1, unit=unit, sizes=(3, 4))
+    # terms are neither a row each before they are weighed, nor sorted by key for their length
+    assert "Generate" not in plan(made) and "Window" not in plan(made) and plan(made).count("Exchange") == 1
+
+    def cut(text):
+        words = (text or "").lower().split()
+        if unit == "word":
+            return words + [f"{a} {b}" for a, b in itertools.pairwise(words)]
+        return [f" {w} "[i : i + n] for w in words for n in (3, 4) for i in range(len(w) + 3 - n)]
+
+    tf = {}
+    for k, text, train in data:
+        tf.setdefault((k, train), Counter()).update(cut(text))
+    seen = Counter(t for (_, train), c in tf.items() if train for t in c)
+    n = sum(train for *_, train in data)
+    raw = [(k, t, (1 + math.log(m)) * (math.log((1 + n) / (1 + seen[t])) + 1)) for (k, _), c in tf.items() for t, m in c.items() if seen[t] >= 2]
+    want = sorted((str(k), t, w / math.sqrt(sum(x * x for o, _, x in raw if o == k))) for k, t, w in raw)
+    got = sorted((str(r["k"]), r["term"], r["weight"]) for r in made.collect())
+    assert [g[:2] for g in got] == [w[:2] for w in want] and [g[2] for g in got] == pytest.approx([w[2] for w in want])
+    assert ml.tfidf(df.where("k > 9"), "k", "t", unit=unit).collect() == []
