@@ -210,30 +210,44 @@ def _values(cells: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
     return np.diff(ends) // size, np.frombuffer(data, kind, (ends[-1] - ends[0]) // size, ends[0]) if data is not None else np.zeros(0, kind)
 
 
+#: Values of the rows that are worked on at once: what is made of them stays in a core's cache.
+STEP = 1 << 18
+
+
 class Rows:
-    """The rows of one design in a batch, in compressed form; models have a constant after their last feature."""
-
-    def __init__(self, batch: pa.RecordBatch, design: int):
-        own = pc.equal(batch.column("design"), design)
-        if not pc.all(own).as_py():
-            batch = batch.filter(own)
-        self.count = batch.num_rows
-        self.id, self.y, self.fold, self.inner = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "y", "fold", "inner"))
-        sizes, self.at = _values(batch.column("indices"), np.int32)
-        _, self.value = _values(batch.column("vals"), np.float64)
-        self.row = np.repeat(np.arange(self.count), sizes)
+    """Rows of one design, in compressed form; models have a constant after their last feature."""
+
+    def __init__(self, columns: list[np.ndarray], sizes: np.ndarray, at: np.ndarray, value: np.ndarray):
+        self.id, self.y, self.fold, self.inner = columns
+        self.sizes, self.at, self.value = sizes, at.astype(np.intp), value
+        self.filled = sizes > 0
+        self.start = (np.cumsum(sizes) - sizes)[self.filled]
 
     def times(self, weights: np.ndarray) -> np.ndarray:
         """The value of each row for a model's weights."""
-        return np.bincount(self.row, self.value * weights[self.at], self.count) + weights[-1]
+        out = np.full(len(self.sizes), weights[-1])
+        if len(self.start):
+            out[self.filled] += np.add.reduceat(self.value * weights.take(self.at), self.start)
+        return out
 
     def back(self, residuals: np.ndarray, width: int) -> np.ndarray:
         """The sum of each feature and of the constant, for residuals of rows."""
-        return np.append(np.bincount(self.at, self.value * residuals[self.row], width), residuals.sum())
+        return np.append(np.bincount(self.at, self.value * np.repeat(residuals, self.sizes), width), residuals.sum())
 
 
-def _designs_of(batch: pa.RecordBatch) -> list[int]:
-    return sorted(pc.unique(batch.column("design")).to_pylist())
+def _rows(batch: pa.RecordBatch) -> Iterator[tuple[int, Rows]]:
+    """The rows of each design of a batch, about STEP values at a time, and one row at least."""
+    for d in sorted(pc.unique(batch.column("design")).to_pylist()):
+        own = batch.filter(pc.equal(batch.column("design"), d))
+        columns = [own.column(c).to_numpy(zero_copy_only=False) for c in ("id", "y", "fold", "inner")]
+        (sizes, at), (_, value) = _values(own.column("indices"), np.int32), _values(own.column("vals"), np.float64)
+        ends = np.cumsum(sizes)
+        first = 0
+        while first < len(sizes):
+            before = ends[first - 1] if first else 0
+            last = max(int(np.searchsorted(ends, before + STEP, "right")), first + 1)
+            yield d, Rows([c[first:last] for c in columns], sizes[first:last], at[before : ends[last - 1]], value[before : ends[last - 1]])
+            first = last
 
 
 def _passed(rows: DataFrame, widths: list[int], fits: list[SparseFit], points: list[np.ndarray | None]) -> list[tuple[float, np.ndarray] | None]:
@@ -247,8 +261,7 @@ def _passed(rows: DataFrame, widths: list[int], fits: list[SparseFit], points: l
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for d in _designs_of(batch):
-                x = Rows(batch, d)
+            for d, x in _rows(batch):
                 for i in asked.get(d, []):
                     z = x.times(shared.value[i])
                     use = (x.fold != d) & (x.inner != (fits[i].without if fits[i].without is not None else -2))
@@ -340,8 +353,7 @@ def scored(rows: DataFrame, widths: list[int], fits: list[SparseFit], weights: l
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for d in _designs_of(batch):
-                x = Rows(batch, d)
+            for d, x in _rows(batch):
                 for i, fit in enumerate(fits):
                     if fit.design != d:
                         continue

@@ -97,3 +97,18 @@ def test_tfidf_counts_within_tasks(spark, unit):
     got = sorted((str(r["k"]), r["term"], r["weight"]) for r in made.collect())
     assert [g[:2] for g in got] == [w[:2] for w in want] and [g[2] for g in got] == pytest.approx([w[2] for w in want])
     assert ml.tfidf(df.where("k > 9"), "k", "t", unit=unit).collect() == []
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_rows_are_worked_on_in_steps(monkeypatch, packed):
+    monkeypatch.setattr(sparse, "STEP", 5)
+    lists = [[0, 2], [], [1, 2, 3], [0, 1, 2, 3, 4, 5, 6], [], [6]]
+    start, at = np.cumsum([0, *map(len, lists)]).astype(np.int32), np.array([i for x in lists for i in x], np.int32)
+    cells = {n: sparse._cells(start, x, packed) for n, x in (("indices", at), ("vals", at + 0.5))}
+    batch = pa.record_batch({"design": pa.array([1, 1, 0, 1, 0, 1], pa.int32()), "id": pa.array(range(6)), "y": pa.array([0.0] * 6), "fold": pa.array([0] * 6), "inner": pa.array([0] * 6), **cells})
+    weights = np.append(np.arange(7) * 1.0, 10.0)
+    steps = list(sparse._rows(batch))
+    assert {i: v for _, x in steps for i, v in zip(x.id.tolist(), x.times(weights), strict=True)} == {i: 10 + sum(j * (j + 0.5) for j in own) for i, own in enumerate(lists)}
+    assert [(d, x.id.tolist()) for d, x in steps] == [(0, [2, 4]), (1, [0, 1]), (1, [3]), (1, [5])]
+    back = sum(x.back(np.ones(len(x.sizes)), 7) for _, x in steps)
+    assert back.tolist() == [*np.bincount(at, at + 0.5, 7), 6.0]
