@@ -1,9 +1,10 @@
 """Logistic models over sparse features: text blocks of many terms beside dense blocks, by fold, with a nested choice of penalty.
 
 Features depend on what a fold may see: vocabulary, idf and scaling of a design come from the rows outside its fold. Rows
-are written once for each design, as indices and values, and stored. All models of all designs are then fitted together by
-L-BFGS: a step is one pass, in which each task adds up the loss and the gradient of every model over its rows; gradients
-are cut into stretches, and Spark sums each stretch over tasks before it comes to the driver. The driver so holds what models are,
+are written and stored once for all designs, as counts of the terms that any of them has (`Shared`), or once for each design, as
+indices and values. All models of all designs are then fitted together by L-BFGS: a step is one pass, in which each task adds up the
+loss and the gradient of every model over the rows that the model takes; gradients are cut into stretches, and Spark sums each
+stretch over tasks, of which a pass has a few for each core, before it comes to the driver. The driver so holds what models are,
 terms by models, whatever the number of rows or tasks."""
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from ..sources.storage import drop_stored, stored
 from .ml import word_terms  # noqa: F401
 from .partial_sums import COLUMNS, PARTS, added, cut, whole
 from .stats import auroc
-from .terms import counted, lengths, places, slices, words
+from .terms import counted, lengths, ordered, places, slices, words
 
 #: Pairs of steps and gradient differences that L-BFGS remembers.
 MEMORY = 8
@@ -32,8 +33,10 @@ MOST_BYTES = 2 << 30
 
 DESIGN = "design int, id long, y double, fold int, inner int, indices array<int>, vals array<double>"
 
-#: The same with the bytes of both arrays, which Spark hands to tasks of Python as they are.
-PACKED = DESIGN.replace("array<int>", "binary").replace("array<double>", "binary")
+#: Rows that all designs share, arrays as bytes, which Spark hands to tasks of Python as they are: the inner fold in each design (-1: none), the
+#: number of terms of each part of the text, their places, ordered by count, the weight of each count and how many terms have it, what
+#: each part is scaled by in each design, and the values of blocks as they are.
+COUNTS = "id long, y double, fold int, inner binary, sizes binary, indices binary, weights binary, many binary, scales binary, dense binary"
 
 
 class NotConverged(RuntimeError):
@@ -67,6 +70,21 @@ class SparseFit:
         return out
 
 
+@dataclass
+class Shared:
+    """Rows of COUNTS, and what makes them rows of a design: the place of each of its terms and its idf, the mean and the spread of each
+    value of its blocks, and whether it has inner folds."""
+
+    rows: DataFrame
+    parts: int
+    width: int
+    places: list[np.ndarray]
+    idf: list[np.ndarray]
+    mean: list[np.ndarray]
+    spread: list[np.ndarray]
+    inner: list[bool]
+
+
 def vocabularies(df: DataFrame, terms: Column, fold: str, k: int, *, unit: str = "term", least_docs: int = 2, most_terms: int = 50_000) -> list[dict[str, tuple[int, float]]]:
     """For each fold the terms of the other folds: term -> (place, idf). Terms of fewer than least_docs rows are left out; of the others the
     most_terms with the most occurrences stay, ties by term. `terms` are a row's terms, or the words that they are made of where `unit` is "word" or "char".
@@ -135,12 +153,12 @@ def _dense(c: str) -> Column:
     return F.when(v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")), 0.0).otherwise(v)
 
 
-def designs(df: DataFrame, rung: Rung, *, id: str, label: str, fold: str, inner: str | None, k: int, least_docs: int = 2, most_terms: int = 50_000, packed: bool = False) -> tuple[DataFrame, list[dict[str, int]]]:
+def designs(df: DataFrame, rung: Rung, *, id: str, label: str, fold: str, inner: str | None, k: int, least_docs: int = 2, most_terms: int = 50_000, packed: bool = False) -> tuple[DataFrame | Shared, list[dict[str, int]]]:
     """(rows, widths): every row once for each fold's design, stored, and for each design the number of features by block.
 
     A text is the tf-idf of its words and word pairs and that of its runs of three to five characters, each of length 1,
     together of length 1. A dense block is z-scores over the square root of its width. `inner` is an array of the
-    row's inner fold in each design. Rows of null label or fold take no part. With `packed`, indices and values are bytes (PACKED)."""
+    row's inner fold in each design. Rows of null label or fold take no part. With `packed`, every row is stored once for all designs (Shared)."""
     if rung.text is None and not rung.blocks:
         raise ValueError("a rung has a text or a block")
     spark = df.sparkSession
@@ -153,6 +171,12 @@ def designs(df: DataFrame, rung: Rung, *, id: str, label: str, fold: str, inner:
             books.append(vocabularies(df, words(F.col(rung.text), unit), fold, k, unit=unit, least_docs=least_docs, most_terms=most_terms))
     scales = {name: _scales(df, columns, fold, k) for name, columns in rung.blocks.items()}
     widths = [{**{n: len(b[f]) for n, b in zip(kinds, books, strict=True)}, **{n: len(c) for n, c in rung.blocks.items()}} for f in range(k)]
+    columns = [F.col(id).cast("long").alias("id"), F.col(label).cast("double").alias("y"), F.col(fold).cast("int").alias("fold"), (F.col(inner) if inner else F.lit(None)).cast("array<int>").alias("inner")]
+    columns += [words(F.col(rung.text), unit).alias(n) for n, unit in kinds.items()]
+    if packed:
+        columns.append(F.array(*[_dense(c) for cs in rung.blocks.values() for c in cs]).cast("array<double>").alias("dense"))
+        return _shared(df.select(*columns), kinds, books, list(scales.values()), k), widths
+    columns += [F.array(*[_dense(c) for c in cs]).alias(f"b_{n}") for n, cs in rung.blocks.items()]
     shared = spark.sparkContext.broadcast(([[(list(own), np.array([idf for _, idf in own.values()])) for own in book] for book in books], scales))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,16 +209,86 @@ def designs(df: DataFrame, rung: Rung, *, id: str, label: str, fold: str, inner:
                     start = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))]).astype(np.int32)
                     inner = batch.column("inner")
                     inner = np.full(n, -1) if inner.null_count == n else pc.list_element(inner, f).fill_null(-1).to_numpy(zero_copy_only=False)
-                    cells = [_cells(start, x[order].astype(t), packed) for x, t in ((at, np.int32), (value, np.float64))]
+                    cells = [_cells(start, x[order].astype(t)) for x, t in ((at, np.int32), (value, np.float64))]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(n, f), pa.int32()), *[batch.column(c) for c in ("id", "y", "fold")], pa.array(inner, pa.int32()), *cells], names=["design", "id", "y", "fold", "inner", "indices", "vals"])
 
-    columns = [F.col(id).cast("long").alias("id"), F.col(label).cast("double").alias("y"), F.col(fold).cast("int").alias("fold"), (F.col(inner) if inner else F.lit(None)).cast("array<int>").alias("inner")]
-    columns += [words(F.col(rung.text), unit).alias(n) for n, unit in kinds.items()]
-    columns += [F.array(*[_dense(c) for c in cs]).alias(f"b_{n}") for n, cs in rung.blocks.items()]
-    return stored(df.select(*columns).mapInArrow(run, PACKED if packed else DESIGN), "designs"), widths
+    return stored(df.select(*columns).mapInArrow(run, DESIGN), "designs"), widths
+
+
+def _place_type(width: int) -> type:
+    """What holds the places of terms."""
+    return np.uint16 if width <= 1 << 16 else np.int32
+
 
+def _shared(rows: DataFrame, kinds: dict[str, str], books: list[list[dict[str, tuple[int, float]]]], scales: list[tuple[np.ndarray, np.ndarray]], k: int) -> Shared:
+    """Rows of words and values, with their terms counted once for all designs, stored."""
+    every = [sorted({t for own in book for t in own}, key=str.encode) for book in books]
+    offset = [0, *np.cumsum([len(terms) for terms in every]).tolist()]
+    number = [{t: i + start for i, t in enumerate(terms)} for terms, start in zip(every, offset, strict=False)]
+    none = [np.zeros(0)]
+    at = [np.concatenate([np.array([n[t] for t in book[f]], np.int64) for n, book in zip(number, books, strict=True)] or [np.zeros(0, np.int64)]) for f in range(k)]
+    idf = [np.concatenate([np.array([i for _, i in book[f].values()], np.float64) for book in books] or none) for f in range(k)]
+    mean = [np.concatenate([m[f] for m, _ in scales] or none) for f in range(k)]
+    spread = [np.concatenate([d[f] * np.sqrt(len(d[f])) for _, d in scales] or none) for f in range(k)]
+    squares = np.zeros((k, offset[-1]))
+    for f in range(k):
+        squares[f, at[f]] = idf[f] ** 2
+    parts = len(kinds)
+    shared = rows.sparkSession.sparkContext.broadcast((every, squares))
 
-def _cells(start: np.ndarray, values: np.ndarray, packed: bool) -> pa.Array:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every, squares = shared.value
+        known = [pa.array(terms, pa.string()) for terms in every]
+        for whole_batch in batches:
+            for batch in slices(whole_batch, "chars", "char") if parts else [whole_batch]:
+                n, found = batch.num_rows, []
+                for p, (name, unit) in enumerate(kinds.items()):
+                    for names, row, term, tf in counted(batch.column(name), unit):
+                        place = places(names, known[p])[term]
+                        there = place >= 0
+                        found.append((row[there] * parts + p, tf[there], place[there] + offset[p]))
+                part, tf, place = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+                part, tf, place = _sorted(part, tf, place)
+                weight = 1 + np.log(tf)
+                length = np.stack([np.sqrt(np.bincount(part, weight * weight * s.take(place), n * parts)) for s in squares], axis=1).reshape(n, parts, k)
+                # each part of length 1, those that a row has together of length 1
+                together = np.sqrt((length > 0).sum(axis=1, keepdims=True))
+                scale = np.divide(1.0, length * together, out=np.zeros(length.shape), where=length > 0)
+                first = np.flatnonzero((np.diff(part, prepend=-1) != 0) | (np.diff(tf, prepend=-1) != 0))  # a run of terms of one count
+                inner = batch.column("inner")
+                inner = np.full((n, k), -1) if inner.null_count == n else np.stack([pc.list_element(inner, f).fill_null(-1).to_numpy(zero_copy_only=False) for f in range(k)], axis=1)
+                dense = batch.column("dense").flatten().to_numpy(zero_copy_only=False)
+                many = lambda of: np.append(0, np.cumsum(np.bincount(of // max(parts, 1), minlength=n)))
+                even = lambda x: np.arange(n + 1) * (x.size // max(n, 1))
+                runs, sizes = many(part[first]), np.bincount(part, minlength=n * parts)
+                cells = [
+                    (even(inner), inner, np.int32), (even(sizes), sizes, np.int32), (many(part), place, _place_type(offset[-1])), (runs, weight[first], np.float64), (runs, np.diff(first, append=len(part)), np.int32),
+                    (even(scale), scale, np.float64), (even(dense), dense, np.float64),
+                ]
+                packed = [_cells(start, np.ascontiguousarray(x, t).reshape(-1), True) for start, x, t in cells]
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("id", "y", "fold")], *packed], names=["id", "y", "fold", "inner", "sizes", "indices", "weights", "many", "scales", "dense"])
+
+    table = stored(rows.mapInArrow(run, COUNTS), "designs")
+    has = rows.agg(*[F.max(F.get("inner", F.lit(f))).alias(f"i{f}") for f in range(k)]).collect()[0]
+    return Shared(table, parts, offset[-1], at, idf, mean, spread, [h is not None and h >= 0 for h in has])
+
+
+def _sorted(*keys: np.ndarray) -> list[np.ndarray]:
+    """The arrays ordered by the first, then the next, and so on."""
+    bounds = [int(x.max(initial=0)) + 1 for x in keys]
+    both = ordered(*zip(keys, bounds, strict=True))
+    if both is None:
+        order = np.lexsort(keys[::-1])
+        return [x[order] for x in keys]
+    out = []
+    for bound in reversed(bounds):
+        width = max(bound - 1, 1).bit_length()
+        out.append(both & ((1 << width) - 1))
+        both = both >> width
+    return out[::-1]
+
+
+def _cells(start: np.ndarray, values: np.ndarray, packed: bool = False) -> pa.Array:
     """Values cut at `start` into lists of them, or into their bytes."""
     if not packed:
         return pa.ListArray.from_arrays(pa.array(start), pa.array(values))
@@ -213,26 +307,41 @@ def _values(cells: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
 #: Values of the rows that are worked on at once: what is made of them stays in a core's cache.
 STEP = 1 << 18
 
+#: The same of rows that all designs share, of which a model takes a part.
+SHARED_STEP = 1 << 20
+
 
 class Rows:
     """Rows of one design, in compressed form; models have a constant after their last feature."""
 
     def __init__(self, columns: list[np.ndarray], sizes: np.ndarray, at: np.ndarray, value: np.ndarray):
         self.id, self.y, self.fold, self.inner = columns
-        self.sizes, self.at, self.value = sizes, at.astype(np.intp), value
+        self.sizes, self.at, self.value = sizes, at.astype(np.intp, copy=False), value
         self.filled = sizes > 0
         self.start = (np.cumsum(sizes) - sizes)[self.filled]
 
-    def times(self, weights: np.ndarray) -> np.ndarray:
-        """The value of each row for a model's weights."""
-        out = np.full(len(self.sizes), weights[-1])
+    def sums(self, weights: np.ndarray) -> np.ndarray:
+        """The sum of each row's features for their weights."""
+        out = np.zeros(len(self.sizes))
         if len(self.start):
-            out[self.filled] += np.add.reduceat(self.value * weights.take(self.at), self.start)
+            own = weights.take(self.at)
+            own *= self.value
+            out[self.filled] = np.add.reduceat(own, self.start)
         return out
 
+    def added(self, residuals: np.ndarray, width: int) -> np.ndarray:
+        """The sum of each feature, for residuals of rows."""
+        own = np.repeat(residuals, self.sizes)
+        own *= self.value
+        return np.bincount(self.at, own, width)
+
+    def times(self, weights: np.ndarray) -> np.ndarray:
+        """The value of each row for a model's weights."""
+        return self.sums(weights) + weights[-1]
+
     def back(self, residuals: np.ndarray, width: int) -> np.ndarray:
         """The sum of each feature and of the constant, for residuals of rows."""
-        return np.append(np.bincount(self.at, self.value * np.repeat(residuals, self.sizes), width), residuals.sum())
+        return np.append(self.added(residuals, width), residuals.sum())
 
 
 def _rows(batch: pa.RecordBatch) -> Iterator[tuple[int, Rows]]:
@@ -250,12 +359,131 @@ def _rows(batch: pa.RecordBatch) -> Iterator[tuple[int, Rows]]:
             first = last
 
 
-def _passed(rows: DataFrame, widths: list[int], fits: list[SparseFit], points: list[np.ndarray | None]) -> list[tuple[float, np.ndarray] | None]:
+class Counts:
+    """Rows that all designs share, in compressed form."""
+
+    def __init__(self, batch: pa.RecordBatch, parts: int, width: int, k: int, columns: int):
+        n = batch.num_rows
+        flat = {c: _values(batch.column(c), kind)[1] for c, kind in (("inner", np.int32), ("sizes", np.int32), ("indices", _place_type(width)), ("weights", np.float64), ("many", np.int32), ("scales", np.float64), ("dense", np.float64))}
+        self.id, self.y, self.fold = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "y", "fold"))
+        self.inner, self.sizes = flat["inner"].reshape(n, k), flat["sizes"].reshape(n, parts)
+        self.scales, self.dense = flat["scales"].reshape(n, parts, k), flat["dense"].reshape(n, columns)
+        self.at, self.value = flat["indices"], np.repeat(flat["weights"], flat["many"])
+        self.ends = np.cumsum(self.sizes.sum(axis=1, dtype=np.int64))
+        self.starts = self.ends - self.sizes.sum(axis=1)
+
+    def used(self, design: int, fits: list[SparseFit]) -> Iterator[tuple[np.ndarray, list[int]]]:
+        """Rows that the design's models take, and which models do: those of each inner fold that a model leaves out, and all others."""
+        left = self.fold != design
+        for g in sorted({f.without for f in fits} - {None}):
+            own = left & (self.inner[:, design] == g)
+            left &= ~own
+            yield np.flatnonzero(own), [i for i, f in enumerate(fits) if f.without != g]
+        yield np.flatnonzero(left), list(range(len(fits)))
+
+    def left_out(self, design: int, without: int | None) -> np.ndarray:
+        return np.flatnonzero(self.fold == design if without is None else (self.fold != design) & (self.inner[:, design] == without))
+
+    def of(self, design: int, rows: np.ndarray, mean: np.ndarray, spread: np.ndarray) -> Own:
+        stretches = list(zip(self.starts[rows].tolist(), self.ends[rows].tolist(), strict=True))
+        at, value = (np.concatenate([x[:0], *[x[a:b] for a, b in stretches]]) for x in (self.at, self.value))
+        none = [np.zeros(0)] * 4
+        return Own(self.y[rows], Rows(none, self.sizes[rows].reshape(-1), at, value), self.scales[rows, :, design], (self.dense[rows] - mean) / spread)
+
+
+@dataclass
+class Own:
+    """Rows of a design: their parts, each with what it is scaled by, and the values of their blocks. A model has weights of all terms, of
+    these values, and a constant."""
+
+    y: np.ndarray
+    parts: Rows
+    scales: np.ndarray
+    dense: np.ndarray
+
+    def times(self, weights: np.ndarray) -> np.ndarray:
+        terms = len(weights) - 1 - self.dense.shape[1]
+        text = self.parts.sums(weights[:terms]).reshape(self.scales.shape)
+        return (text * self.scales).sum(axis=1) + self.dense @ weights[terms:-1] + weights[-1]
+
+    def add(self, total: np.ndarray, residuals: np.ndarray) -> None:
+        """Add to the sums of terms, values, and the constant, for residuals of rows."""
+        terms, n = len(total) - 2 - self.dense.shape[1], self.dense.shape[1]
+        total[:terms] += self.parts.added((residuals[:, None] * self.scales).reshape(-1), terms)
+        total[terms : terms + n] += residuals @ self.dense
+        total[terms + n] += residuals.sum()
+
+
+def _counts(batch: pa.RecordBatch, parts: int, width: int, k: int, columns: int) -> Iterator[Counts]:
+    """The rows of a batch, about SHARED_STEP terms at a time, and one row at least."""
+    ends = np.cumsum(pc.binary_length(batch.column("indices")).to_numpy(zero_copy_only=False).astype(np.int64) // np.dtype(_place_type(width)).itemsize)
+    first = 0
+    while first < len(ends):
+        last = max(int(np.searchsorted(ends, (ends[first - 1] if first else 0) + SHARED_STEP, "right")), first + 1)
+        yield Counts(batch.slice(first, last - first), parts, width, k, columns)
+        first = last
+
+
+def _by_design(fits: list[SparseFit], which: list[int]) -> dict[int, list[int]]:
+    out: dict[int, list[int]] = {}
+    for i in which:
+        out.setdefault(fits[i].design, []).append(i)
+    return out
+
+
+def _for_all(shared: Shared, design: int, weights: np.ndarray) -> np.ndarray:
+    """A model's weights, in the terms that all designs share."""
+    n, out = len(shared.idf[design]), np.zeros(shared.width)
+    out[shared.places[design]] = weights[:n] * shared.idf[design]
+    return np.append(out, weights[n:])
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    """The rows in two tasks for each core at most, since each task sends what all models are."""
+    return rows.coalesce(2 * rows.sparkSession.sparkContext.defaultParallelism)
+
+
+def _passed_shared(shared: Shared, fits: list[SparseFit], points: list[np.ndarray | None]) -> list[tuple[float, np.ndarray] | None]:
+    """_passed for rows that all designs share: a model works on no rows but those that it takes."""
+    asked = _by_design(fits, [i for i, p in enumerate(points) if p is not None])
+    spark, parts, terms, mean, spread = shared.rows.sparkSession, shared.parts, shared.width, shared.mean, shared.spread
+    sent = spark.sparkContext.broadcast([None if p is None else _for_all(shared, f.design, p) for f, p in zip(fits, points, strict=True)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for x in _counts(batch, parts, terms, len(mean), len(mean[0])):
+                for d, which in asked.items():
+                    for rows, models in x.used(d, [fits[i] for i in which]):
+                        if not len(rows) or not models:
+                            continue
+                        own = x.of(d, rows, mean[d], spread[d])
+                        for i in (which[m] for m in models):
+                            z = own.times(sent.value[i])
+                            p = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
+                            if i not in total:
+                                total[i] = np.zeros(terms + len(mean[d]) + 2)
+                            own.add(total[i], p - own.y)
+                            total[i][-1] += (np.logaddexp(0, z) - own.y * z).sum()
+        for i, g in total.items():
+            slot, stretch, data = zip(*cut(i, g), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), pa.array(stretch, pa.int32()), pa.array(data, pa.binary())], names=COLUMNS)
+
+    found = added(_few(shared.rows).mapInArrow(run, PARTS))
+    sent.unpersist()
+    out: list[tuple[float, np.ndarray] | None] = [None] * len(fits)
+    for d, which in asked.items():
+        for i in which:
+            both = whole(found, i, terms + len(mean[d]) + 2)
+            out[i] = (float(both[-1]), np.append(both[:terms][shared.places[d]] * shared.idf[d], both[terms:-1]))
+    return out
+
+
+def _passed(rows: DataFrame | Shared, widths: list[int], fits: list[SparseFit], points: list[np.ndarray | None]) -> list[tuple[float, np.ndarray] | None]:
     """(loss, gradient) of the data at each model's point; models without a point are left out."""
-    asked: dict[int, list[int]] = {}
-    for i, f in enumerate(fits):
-        if points[i] is not None:
-            asked.setdefault(f.design, []).append(i)
+    if isinstance(rows, Shared):
+        return _passed_shared(rows, fits, points)
+    asked = _by_design(fits, [i for i, p in enumerate(points) if p is not None])
     shared = rows.sparkSession.sparkContext.broadcast(points)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,7 +556,7 @@ def _need(widths: list[int], fits: list[SparseFit]) -> int:
     return sum((widths[f.design] + 1) * 8 * (2 * MEMORY + 4) for f in fits)
 
 
-def fitted(rows: DataFrame, widths: list[int], fits: list[SparseFit], *, rounds: int = 200, tolerance: float = 1e-5, most_bytes: int = MOST_BYTES) -> list[np.ndarray]:
+def fitted(rows: DataFrame | Shared, widths: list[int], fits: list[SparseFit], *, rounds: int = 200, tolerance: float = 1e-5, most_bytes: int = MOST_BYTES) -> list[np.ndarray]:
     """Weights of each model, the constant last (it is penalised like the others).
 
     The largest component of a gradient has to fall to `tolerance` of what it was at 0 (of 1 at least), or NotConverged
@@ -347,8 +575,13 @@ def fitted(rows: DataFrame, widths: list[int], fits: list[SparseFit], *, rounds:
     raise NotConverged(f"{sum(not m.done for m in models)} of {len(models)} models after {rounds} rounds: {[f for f, m in zip(fits, models, strict=True) if not m.done][:3]}")
 
 
-def scored(rows: DataFrame, widths: list[int], fits: list[SparseFit], weights: list[np.ndarray]) -> DataFrame:
+VALUES = "model int, id long, y double, value double"
+
+
+def scored(rows: DataFrame | Shared, widths: list[int], fits: list[SparseFit], weights: list[np.ndarray]) -> DataFrame:
     """(model, id, y, value): the value of each model for the rows that it left out: those of its inner fold, or of the design's own fold."""
+    if isinstance(rows, Shared):
+        return _scored_shared(rows, fits, weights)
     shared = rows.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -362,10 +595,31 @@ def scored(rows: DataFrame, widths: list[int], fits: list[SparseFit], weights: l
                         value = x.times(shared.value[i])[use]
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(value), i), pa.int32()), *[pa.array(v) for v in (x.id[use], x.y[use], value)]], names=["model", "id", "y", "value"])
 
-    return rows.mapInArrow(run, "model int, id long, y double, value double")
+    return rows.mapInArrow(run, VALUES)
+
+
+def _scored_shared(shared: Shared, fits: list[SparseFit], weights: list[np.ndarray]) -> DataFrame:
+    asked: dict[tuple[int, int | None], list[int]] = {}
+    for i, f in enumerate(fits):
+        asked.setdefault((f.design, f.without), []).append(i)
+    parts, width, mean, spread = shared.parts, shared.width, shared.mean, shared.spread
+    sent = shared.rows.sparkSession.sparkContext.broadcast([_for_all(shared, f.design, w) for f, w in zip(fits, weights, strict=True)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in _counts(batch, parts, width, len(mean), len(mean[0])):
+                for (d, without), which in asked.items():
+                    rows = x.left_out(d, without)
+                    if not len(rows):
+                        continue
+                    own = x.of(d, rows, mean[d], spread[d])
+                    for i in which:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), i), pa.int32()), *[pa.array(v) for v in (x.id[rows], own.y, own.times(sent.value[i]))]], names=["model", "id", "y", "value"])
+
+    return shared.rows.mapInArrow(run, VALUES)
 
 
-def chosen_penalties(rows: DataFrame, widths: list[int], grid: list[float], inner_k: int, **options) -> list[float]:
+def chosen_penalties(rows: DataFrame | Shared, widths: list[int], grid: list[float], inner_k: int, **options) -> list[float]:
     """For each design the penalty of the grid with the best mean AUROC over its inner folds (those of one class are passed over), the first
     of equals; 1.0 where no inner fold has both classes, or where there are none."""
     return _penalties(rows, widths, [None], grid, inner_k, **options)[0]
@@ -375,10 +629,15 @@ def chosen_penalties(rows: DataFrame, widths: list[int], grid: list[float], inne
 Reads = list[tuple[tuple[int, int], ...]] | None
 
 
-def _penalties(rows: DataFrame, widths: list[int], rungs: list[Reads], grid: list[float], inner_k: int, **options) -> list[list[float]]:
+def _penalties(rows: DataFrame | Shared, widths: list[int], rungs: list[Reads], grid: list[float], inner_k: int, **options) -> list[list[float]]:
     """chosen_penalties of several rungs over the same rows, whose models are fitted together."""
     out = [[1.0] * len(widths) for _ in rungs]
-    there = {r["design"] for r in rows.where("inner >= 0").select("design").distinct().collect()} if inner_k else set()
+    if not inner_k:
+        there = set()
+    elif isinstance(rows, Shared):
+        there = {d for d, has in enumerate(rows.inner) if has}
+    else:
+        there = {r["design"] for r in rows.where("inner >= 0").select("design").distinct().collect()}
     keys = [(n, d, c) for n in range(len(rungs)) for d in range(len(widths)) if d in there for c in grid for _ in range(inner_k)]
     fits = [SparseFit(d, g, c, reads and reads[d]) for reads in rungs for d in range(len(widths)) if d in there for c in grid for g in range(inner_k)]
     if not fits:
@@ -447,7 +706,7 @@ def ladder(
             values = stored(scored(table, widths, fits, fitted(table, widths, fits, **options)), "rung")
             for i, n in enumerate(names):
                 own[n] = (values.where((F.col("model") >= i * k) & (F.col("model") < (i + 1) * k)).select("id", "y", (F.col("model") - i * k).alias("fold"), F.col("value").alias(f"oof_{n}")), penalties[i])
-        drop_stored(table)
+        drop_stored(table.rows)
     scores, report = None, []
     for name in rungs:
         values, penalties = own[name]

@@ -41,13 +41,72 @@ def _runs(word: str, low: int, high: int) -> list[str]:
     return [w[i : i + size] for size in range(low, high + 1) if len(w) >= size or size == low for i in range(max(len(w) - size + 1, 1))]
 
 
+def _distinct_runs(words: pa.Array, low: int, high: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """(names, length, flat) by size of the runs: the distinct runs, how many each word has, and which, one word after another. Letters
+    are numbered, so that a run is one number; where that takes more than 63 bits, runs are numbered as strings."""
+    joined = " " + "  ".join(words.to_pylist()) + " " if len(words) else ""
+    codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+    letters = np.unique(codes)
+    bits = len(letters).bit_length()
+    if bits * high > 63:
+        numbers: dict[str, int] = {}
+        runs = [[numbers.setdefault(r, len(numbers)) for r in _runs(w, low, high)] for w in words.to_pylist()]
+        yield pa.array(list(numbers), pa.string()), np.array([len(r) for r in runs], np.int64), np.array([i for r in runs for i in r], np.int64)
+        return
+    size = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64) + 2
+    left = np.repeat(np.cumsum(size), size) - np.arange(len(codes))
+    number = np.append(np.searchsorted(letters, codes) + 1, np.zeros(high, np.int64)).astype(np.int64)
+    for n in range(low, high + 1):
+        length = np.maximum(size - n + 1, int(n == low))
+        at = np.flatnonzero(left >= n)
+        short = n == low and bool((size < low).any())
+        if short:
+            at = np.sort(np.append(at, (np.cumsum(size) - size)[size < low]))
+        key = np.zeros(len(at), np.int64)
+        for j in range(n):
+            own = number[at + j]
+            key = (key << bits) | (np.where(left[at] > j, own, 0) if short else own)  # a word that is shorter ends in zeros
+        seen, flat = np.unique(key, return_inverse=True)
+        yield _named(seen, n, bits, letters), length, flat
+
+
+def _named(keys: np.ndarray, n: int, bits: int, letters: np.ndarray) -> pa.Array:
+    """The strings of runs that are numbers of letters."""
+    found = (keys[:, None] >> (bits * np.arange(n - 1, -1, -1))) & ((1 << bits) - 1)
+    there = found > 0
+    codes = letters[found[there] - 1]
+    width = np.zeros(found.shape, np.int64)
+    width[there] = 1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF)
+    ends = np.append(0, np.cumsum(width.sum(axis=1))).astype(np.int32)
+    return pa.StringArray.from_buffers(len(keys), pa.py_buffer(ends), pa.py_buffer(codes.astype("<u4").tobytes().decode("utf-32-le").encode()))
+
+
+def ordered(*keys: tuple[np.ndarray, int]) -> np.ndarray | None:
+    """Numbers below their bounds, as one each, ascending by the first, then the next; None where that takes more than 63 bits."""
+    bits = [max(int(bound) - 1, 1).bit_length() for _, bound in keys]
+    if sum(bits) > 63:
+        return None
+    out = keys[0][0].astype(np.int64)
+    for (key, _), width in zip(keys[1:], bits[1:], strict=True):
+        out <<= width
+        out |= key
+    out.sort()
+    return out
+
+
 def _counted(key: np.ndarray, rows: int, tf: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, term, tf) for occurrences as term * rows + row, each row and term once, by term and row."""
     if tf is None:
         key = np.sort(key)
-    else:
-        order = np.argsort(key)
-        key, tf = key[order], tf[order]
+    elif len(key):
+        most = int(tf.max()) + 1
+        both = ordered((key, int(key.max()) + 1), (tf, most))  # numbers sort much faster by themselves than their places do
+        if both is None:
+            order = np.argsort(key)
+            key, tf = key[order], tf[order]
+        else:
+            width = (most - 1).bit_length()
+            key, tf = both >> width, both & ((1 << width) - 1)
     first = np.flatnonzero(np.diff(key, prepend=-1))
     tf = np.diff(first, append=len(key)) if tf is None else np.add.reduceat(tf, first) if len(first) else tf
     return key[first] % rows, key[first] // rows, tf
@@ -79,14 +138,11 @@ def counted(lists: pa.ListArray, unit: str, sizes: tuple[int, int] = (3, 5)) ->
         a, b = (names.take(pa.array(x)) for x in np.divmod(seen, max(len(names), 1)))
         yield pc.binary_join_element_wise(a, b, " "), at, term, tf
         return
-    numbers: dict[str, int] = {}
-    runs = [[numbers.setdefault(r, len(numbers)) for r in _runs(w, *sizes)] for w in names.to_pylist()]
-    length = np.array([len(r) for r in runs], np.int64)
-    start, flat = np.cumsum(length) - length, np.array([i for r in runs for i in r], np.int64)
     at, word, tf = own
-    many = length[word]
-    place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(start[word], many)
-    yield pa.array(list(numbers), pa.string()), *_counted(flat[place] * rows + np.repeat(at, many), rows, np.repeat(tf, many))
+    for names, length, flat in _distinct_runs(names, *sizes):
+        start, many = np.cumsum(length) - length, length[word]
+        place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(start[word], many)
+        yield names, *_counted(flat[place] * rows + np.repeat(at, many), rows, np.repeat(tf, many))
 
 
 def places(names: pa.Array, terms: pa.Array) -> np.ndarray:

@@ -112,3 +112,69 @@ def test_rows_are_worked_on_in_steps(monkeypatch, packed):
     assert [(d, x.id.tolist()) for d, x in steps] == [(0, [2, 4]), (1, [0, 1]), (1, [3]), (1, [5])]
     back = sum(x.back(np.ones(len(x.sizes)), 7) for _, x in steps)
     assert back.tolist() == [*np.bincount(at, at + 0.5, 7), 6.0]
+
+
+def test_runs_of_characters_are_those_of_strings():
+    lists = [["é漢", "a", "\0b\0", "😀x😀yz"], None, ["a", "é漢", "a"], [None, "abcdefgh"]]
+    many = [["".join(chr(0x4E00 + (i * j) % 7001) for j in range(1, 7)) for i in range(1500)]]
+    for rows in (lists, many):  # more letters than a number of 63 bits has room for are counted as strings
+        for sizes in ((3, 5), (4, 6), (1, 2)):
+            got = [Counter() for _ in rows]
+            for names, row, term, tf in terms.counted(pa.array(rows, pa.list_(pa.string())), "char", sizes):
+                names.validate(full=True)
+                for r, t, n in zip(row.tolist(), names.take(pa.array(term)).to_pylist(), tf.tolist(), strict=True):
+                    assert t not in got[r]
+                    got[r][t] = n
+            assert got == [Counter(x for w in own or [] if w for x in terms._runs(w, *sizes)) for own in rows]
+
+
+def test_numbers_are_ordered_in_one():
+    a, b = np.array([3, 0, 3, 1]), np.array([9, 5, 2, 0])
+    assert terms.ordered((a, 4), (b, 10)).tolist() == [(0 << 4) + 5, 1 << 4, (3 << 4) + 2, (3 << 4) + 9]
+    assert terms.ordered((a, 1 << 40), (b, 1 << 24)) is None
+    for big in (1, 1 << 60):  # as one number, and where that has no room
+        assert [x.tolist() for x in sparse._sorted(a * big, b)] == [[0, big, 3 * big, 3 * big], [5, 0, 2, 9]]
+
+
+@pytest.mark.parametrize("text", ["text", None])
+def test_rows_are_stored_once_for_all_designs(spark, monkeypatch, text):
+    monkeypatch.setattr(sparse, "SHARED_STEP", 40)
+    data = [(i, int(i % 5 < 2), i % 3, [-1 if d == i % 3 else (i // 3 + d) % 2 for d in range(3)], ["red blue red", "", "blue green", None, "red red red green é"][i % 5], float(i % 7), 1e6 + i % 4) for i in range(30)]
+    df = spark.createDataFrame(data, "id long, y int, fold int, inner array<int>, text string, a double, b double")
+    how = {"id": "id", "label": "y", "fold": "fold", "inner": "inner", "k": 3}
+    rung = sparse.Rung(text, {"f": ["a"], "h": ["b"]})
+    plain, widths = sparse.designs(df, rung, **how)
+    shared, same = sparse.designs(df, rung, **how, packed=True)
+    assert same == widths and shared.inner == [True] * 3
+    assert plain.count() == 90 and shared.rows.count() == 30
+    totals = [sum(w.values()) for w in widths]
+    fits = [sparse.SparseFit(d, g, 1.0) for d in range(3) for g in (None, 0, 1)]
+    rng = np.random.default_rng(0)
+    points = [rng.normal(size=totals[f.design] + 1) for f in fits[:-1]] + [None]
+    for a, b in zip(sparse._passed(plain, totals, fits, points), sparse._passed(shared, totals, fits, points), strict=True):
+        assert (a is None) == (b is None)
+        if a is not None:
+            assert a[0] == pytest.approx(b[0]) and np.allclose(a[1], b[1], atol=1e-9)
+    points[-1] = points[-2]
+    one, two = ({(r["model"], r["id"]): (r["y"], r["value"]) for r in sparse.scored(rows, totals, fits, points).collect()} for rows in (plain, shared))
+    assert one.keys() == two.keys() and all(two[i] == pytest.approx(v) for i, v in one.items())
+
+
+def test_models_work_on_no_rows_but_their_own(spark, monkeypatch):
+    df = spark.createDataFrame([(i, i % 2, i % 3, [(i // 3) % 2] * 3, "red blue", 1.0) for i in range(24)], "id long, y int, fold int, inner array<int>, text string, a double")
+    shared, _ = sparse.designs(df, sparse.Rung("text", {"f": ["a"]}), id="id", label="y", fold="fold", inner="inner", k=3, packed=True)
+    fits = [sparse.SparseFit(d, g, c) for d in range(3) for c in (0.1, 1.0) for g in range(2)]
+    taken = Counter()
+    for batch in shared.rows.toArrow().to_batches():
+        for x in sparse._counts(batch, shared.parts, shared.width, 3, 1):
+            for d in range(3):
+                own = [f for f in fits if f.design == d]
+                for rows, models in x.used(d, own):
+                    assert all(x.fold[r] != d and x.inner[r, d] != own[m].without for r in rows for m in models)
+                    taken.update({(d, m): len(rows) for m in models})
+    # 8 of a design's 24 rows are its fold, and half of the others are left out by each inner model
+    assert taken == {(d, m): 8 for d in range(3) for m in range(4)}
+
+
+def test_a_pass_has_few_tasks(spark):
+    assert sparse._few(spark.range(64).repartition(64)).rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
