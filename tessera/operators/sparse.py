@@ -23,20 +23,23 @@ from ..sources.storage import drop_stored, stored
 from .ml import word_terms  # noqa: F401
 from .partial_sums import COLUMNS, PARTS, added, cut, whole
 from .stats import auroc
-from .terms import counted, lengths, ordered, places, slices, words
+from .terms import DEALT, counted, in_buckets, lengths, merged, ordered, places, slices, words
 
 #: Pairs of steps and gradient differences that L-BFGS remembers.
 MEMORY = 8
 
+#: Characters of the texts that a task cuts, and of those whose terms make up a bucket; no tasks are made for fewer than LEAST.
+BUCKET, LEAST = 4 << 20, 1 << 18
+
 #: Bytes of models that the driver may hold.
 MOST_BYTES = 2 << 30
 
 DESIGN = "design int, id long, y double, fold int, inner int, indices array<int>, vals array<double>"
 
 #: Rows that all designs share, arrays as bytes, which Spark hands to tasks of Python as they are: the inner fold in each design (-1: none), the
-#: number of terms of each part of the text, their places, ordered by count, the weight of each count and how many terms have it, what
+#: number of counts that each part of the text has, the weight of each count and how many terms have it, the places of these terms, what
 #: each part is scaled by in each design, and the values of blocks as they are.
-COUNTS = "id long, y double, fold int, inner binary, sizes binary, indices binary, weights binary, many binary, scales binary, dense binary"
+COUNTS = "id long, y double, fold int, inner binary, runs binary, weights binary, many binary, indices binary, scales binary, dense binary"
 
 
 class NotConverged(RuntimeError):
@@ -85,13 +88,13 @@ class Shared:
     inner: list[bool]
 
 
-def vocabularies(df: DataFrame, terms: Column, fold: str, k: int, *, unit: str = "term", least_docs: int = 2, most_terms: int = 50_000) -> list[dict[str, tuple[int, float]]]:
+def vocabularies(df: DataFrame, terms: Column, fold: str, k: int, *, unit: str = "term", least_docs: int = 2, most_terms: int = 50_000, buckets: int = 64) -> list[dict[str, tuple[int, float]]]:
     """For each fold the terms of the other folds: term -> (place, idf). Terms of fewer than least_docs rows are left out; of the others the
     most_terms with the most occurrences stay, ties by term. `terms` are a row's terms, or the words that they are made of where `unit` is "word" or "char".
 
-    Terms are counted once for all folds, by numbers within a task's batches. What comes to the driver is bounded by k * most_terms."""
+    Terms are counted once for all folds, by numbers within a task's batches, and dealt to buckets, of which each sends what may be among the most:
+    a bucket has all counts of its terms. What comes to the driver is bounded by k * most_terms."""
     rows = df.select(F.col(fold).cast("int").alias("f"), terms.alias("t"))
-    names = [f"{o}{f}" for o in ("d", "n") for f in range(k + 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,12 +104,25 @@ def vocabularies(df: DataFrame, terms: Column, fold: str, k: int, *, unit: str =
                 for found, row, term, tf in counted(part.column("t"), unit):
                     cell = term * (k + 1) + f[row]
                     sums = [np.bincount(cell, w, len(found) * (k + 1)).astype(np.int64).reshape(-1, k + 1) for w in (None, tf)]
-                    yield pa.RecordBatch.from_arrays([found, *[pa.array(x[:, g]) for x in sums for g in range(k + 1)]], names=["term", *names])
-
-    seen = rows.mapInArrow(run, "term string, " + ", ".join(f"{c} long" for c in names)).groupBy("term").agg(*[F.sum(c).alias(c) for c in names])
-    outside = lambda o, f: sum((F.col(f"{o}{g}") for g in range(k + 1) if g != f), F.lit(0))
-    cells = seen.select("term", *[outside("d", f).alias(f"df{f}") for f in range(k)], *[outside("n", f).alias(f"tf{f}") for f in range(k)])
-    kept = stored(cells.where(F.greatest(F.lit(0), *[F.col(f"df{f}") for f in range(k)]) >= least_docs), "terms")
+                    if len(found):
+                        yield in_buckets(found, [x[:, g] for x in sums for g in range(k + 1)], buckets)
+
+    def most(table: pa.Table) -> pa.Table:
+        found = merged(table.column("data"))
+        sums = np.stack([found.column(c).to_numpy() for c in found.column_names[1:]], axis=1).reshape(-1, 2, k + 1)
+        outside = sums.sum(axis=2, keepdims=True) - sums[:, :, :k]  # rows and occurrences outside each fold
+        kept = np.zeros(len(found), bool)
+        for f in range(k):
+            own = np.flatnonzero(outside[:, 0, f] >= least_docs)
+            if len(own) > most_terms:
+                few = pa.table([found.column("term").take(pa.array(own)), pa.array(outside[own, 1, f])], names=["term", "tf"])
+                own = own[pc.sort_indices(few, [("tf", "descending"), ("term", "ascending")]).to_numpy()[:most_terms]]
+            kept[own] = True
+        at = np.flatnonzero(kept)
+        return pa.table([found.column("term").take(pa.array(at)), *[pa.array(outside[at, o, f]) for f in range(k) for o in range(2)]], names=["term", *[f"{o}{f}" for f in range(k) for o in ("df", "tf")]])
+
+    seen = rows.mapInArrow(run, DEALT).groupBy("bucket").applyInArrow(most, "term string, " + ", ".join(f"{o}{f} long" for f in range(k) for o in ("df", "tf")))
+    kept = stored(seen, "terms")
     rows_of = {r["f"]: r["n"] for r in rows.groupBy("f").agg(F.count(F.lit(1)).alias("n")).collect()}
     out: list[dict[str, tuple[int, float]]] = []
     for f in range(k):
@@ -163,12 +179,17 @@ def designs(df: DataFrame, rung: Rung, *, id: str, label: str, fold: str, inner:
         raise ValueError("a rung has a text or a block")
     spark = df.sparkSession
     # rows are dealt while they are small, before they are cut into terms and written out for each design
-    df = df.where(F.col(label).isNotNull() & F.col(fold).isNotNull()).repartition(F.col(id))
+    df = df.where(F.col(label).isNotNull() & F.col(fold).isNotNull())
+    size = 0 if rung.text is None else df.agg(F.sum(F.length(rung.text))).collect()[0][0] or 0
+    # several tasks for each core, else some wait for the last; more of them where texts are many
+    tasks = max(size // BUCKET, min(size // LEAST, 4 * spark.sparkContext.defaultParallelism))
+    df = df.repartition(tasks, F.col(id)) if tasks else df.repartition(F.col(id))
     kinds, books = {}, []
     if rung.text is not None:
         kinds = {"words": "word", "chars": "char"}
+        buckets = max(64, size // BUCKET)
         for unit in kinds.values():
-            books.append(vocabularies(df, words(F.col(rung.text), unit), fold, k, unit=unit, least_docs=least_docs, most_terms=most_terms))
+            books.append(vocabularies(df, words(F.col(rung.text), unit), fold, k, unit=unit, least_docs=least_docs, most_terms=most_terms, buckets=buckets))
     scales = {name: _scales(df, columns, fold, k) for name, columns in rung.blocks.items()}
     widths = [{**{n: len(b[f]) for n, b in zip(kinds, books, strict=True)}, **{n: len(c) for n, c in rung.blocks.items()}} for f in range(k)]
     columns = [F.col(id).cast("long").alias("id"), F.col(label).cast("double").alias("y"), F.col(fold).cast("int").alias("fold"), (F.col(inner) if inner else F.lit(None)).cast("array<int>").alias("inner")]
@@ -260,13 +281,13 @@ def _shared(rows: DataFrame, kinds: dict[str, str], books: list[list[dict[str, t
                 dense = batch.column("dense").flatten().to_numpy(zero_copy_only=False)
                 many = lambda of: np.append(0, np.cumsum(np.bincount(of // max(parts, 1), minlength=n)))
                 even = lambda x: np.arange(n + 1) * (x.size // max(n, 1))
-                runs, sizes = many(part[first]), np.bincount(part, minlength=n * parts)
+                runs, own = np.bincount(part[first], minlength=n * parts), many(part[first])
                 cells = [
-                    (even(inner), inner, np.int32), (even(sizes), sizes, np.int32), (many(part), place, _place_type(offset[-1])), (runs, weight[first], np.float64), (runs, np.diff(first, append=len(part)), np.int32),
+                    (even(inner), inner, np.int32), (even(runs), runs, np.int32), (own, weight[first], np.float64), (own, np.diff(first, append=len(part)), np.int32), (many(part), place, _place_type(offset[-1])),
                     (even(scale), scale, np.float64), (even(dense), dense, np.float64),
                 ]
                 packed = [_cells(start, np.ascontiguousarray(x, t).reshape(-1), True) for start, x, t in cells]
-                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("id", "y", "fold")], *packed], names=["id", "y", "fold", "inner", "sizes", "indices", "weights", "many", "scales", "dense"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("id", "y", "fold")], *packed], names=["id", "y", "fold", "inner", "runs", "weights", "many", "indices", "scales", "dense"])
 
     table = stored(rows.mapInArrow(run, COUNTS), "designs")
     has = rows.agg(*[F.max(F.get("inner", F.lit(f))).alias(f"i{f}") for f in range(k)]).collect()[0]
@@ -308,7 +329,7 @@ def _values(cells: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
 STEP = 1 << 18
 
 #: The same of rows that all designs share, of which a model takes a part.
-SHARED_STEP = 1 << 20
+SHARED_STEP = 1 << 19
 
 
 class Rows:
@@ -316,32 +337,20 @@ class Rows:
 
     def __init__(self, columns: list[np.ndarray], sizes: np.ndarray, at: np.ndarray, value: np.ndarray):
         self.id, self.y, self.fold, self.inner = columns
-        self.sizes, self.at, self.value = sizes, at.astype(np.intp, copy=False), value
+        self.sizes, self.at, self.value = sizes, at.astype(np.intp), value
         self.filled = sizes > 0
         self.start = (np.cumsum(sizes) - sizes)[self.filled]
 
-    def sums(self, weights: np.ndarray) -> np.ndarray:
-        """The sum of each row's features for their weights."""
-        out = np.zeros(len(self.sizes))
-        if len(self.start):
-            own = weights.take(self.at)
-            own *= self.value
-            out[self.filled] = np.add.reduceat(own, self.start)
-        return out
-
-    def added(self, residuals: np.ndarray, width: int) -> np.ndarray:
-        """The sum of each feature, for residuals of rows."""
-        own = np.repeat(residuals, self.sizes)
-        own *= self.value
-        return np.bincount(self.at, own, width)
-
     def times(self, weights: np.ndarray) -> np.ndarray:
         """The value of each row for a model's weights."""
-        return self.sums(weights) + weights[-1]
+        out = np.full(len(self.sizes), weights[-1])
+        if len(self.start):
+            out[self.filled] += np.add.reduceat(self.value * weights.take(self.at), self.start)
+        return out
 
     def back(self, residuals: np.ndarray, width: int) -> np.ndarray:
         """The sum of each feature and of the constant, for residuals of rows."""
-        return np.append(self.added(residuals, width), residuals.sum())
+        return np.append(np.bincount(self.at, self.value * np.repeat(residuals, self.sizes), width), residuals.sum())
 
 
 def _rows(batch: pa.RecordBatch) -> Iterator[tuple[int, Rows]]:
@@ -364,13 +373,14 @@ class Counts:
 
     def __init__(self, batch: pa.RecordBatch, parts: int, width: int, k: int, columns: int):
         n = batch.num_rows
-        flat = {c: _values(batch.column(c), kind)[1] for c, kind in (("inner", np.int32), ("sizes", np.int32), ("indices", _place_type(width)), ("weights", np.float64), ("many", np.int32), ("scales", np.float64), ("dense", np.float64))}
+        flat = {c: _values(batch.column(c), kind)[1] for c, kind in (("inner", np.int32), ("runs", np.int32), ("weights", np.float64), ("many", np.int32), ("indices", _place_type(width)), ("scales", np.float64), ("dense", np.float64))}
         self.id, self.y, self.fold = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "y", "fold"))
-        self.inner, self.sizes = flat["inner"].reshape(n, k), flat["sizes"].reshape(n, parts)
+        self.inner, self.runs = flat["inner"].reshape(n, k), flat["runs"].reshape(n, parts)
         self.scales, self.dense = flat["scales"].reshape(n, parts, k), flat["dense"].reshape(n, columns)
-        self.at, self.value = flat["indices"], np.repeat(flat["weights"], flat["many"])
-        self.ends = np.cumsum(self.sizes.sum(axis=1, dtype=np.int64))
-        self.starts = self.ends - self.sizes.sum(axis=1)
+        self.weights, self.many, self.at = flat["weights"], flat["many"], flat["indices"]
+        #: where the runs and the terms of each row start, and those of the last end
+        self.run = np.append(0, np.cumsum(self.runs.sum(axis=1, dtype=np.int64)))
+        self.term = np.append(0, np.cumsum(self.many, dtype=np.int64))[self.run]
 
     def used(self, design: int, fits: list[SparseFit]) -> Iterator[tuple[np.ndarray, list[int]]]:
         """Rows that the design's models take, and which models do: those of each inner fold that a model leaves out, and all others."""
@@ -385,31 +395,35 @@ class Counts:
         return np.flatnonzero(self.fold == design if without is None else (self.fold != design) & (self.inner[:, design] == without))
 
     def of(self, design: int, rows: np.ndarray, mean: np.ndarray, spread: np.ndarray) -> Own:
-        stretches = list(zip(self.starts[rows].tolist(), self.ends[rows].tolist(), strict=True))
-        at, value = (np.concatenate([x[:0], *[x[a:b] for a, b in stretches]]) for x in (self.at, self.value))
-        none = [np.zeros(0)] * 4
-        return Own(self.y[rows], Rows(none, self.sizes[rows].reshape(-1), at, value), self.scales[rows, :, design], (self.dense[rows] - mean) / spread)
+        def taken(x: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+            return np.concatenate([x[:0], *[x[a:b] for a, b in zip(bounds[rows].tolist(), bounds[rows + 1].tolist(), strict=True)]])
+
+        return Own(self.y[rows], self.runs[rows].reshape(-1), taken(self.weights, self.run), taken(self.many, self.run), taken(self.at, self.term).astype(np.intp), self.scales[rows, :, design], (self.dense[rows] - mean) / spread)
 
 
-@dataclass
 class Own:
-    """Rows of a design: their parts, each with what it is scaled by, and the values of their blocks. A model has weights of all terms, of
-    these values, and a constant."""
+    """Rows of a design: the runs of terms of one count that their parts have, what each part is scaled by, and the values of their
+    blocks. A model has weights of all terms, of these values, and a constant."""
 
-    y: np.ndarray
-    parts: Rows
-    scales: np.ndarray
-    dense: np.ndarray
+    def __init__(self, y: np.ndarray, runs: np.ndarray, weights: np.ndarray, many: np.ndarray, at: np.ndarray, scales: np.ndarray, dense: np.ndarray):
+        self.y, self.runs, self.weights, self.many, self.at, self.scales, self.dense = y, runs, weights, many, at, scales, dense
+        self.start = np.cumsum(many) - many
+        self.filled = runs > 0
+        self.first = (np.cumsum(runs) - runs)[self.filled]
 
     def times(self, weights: np.ndarray) -> np.ndarray:
-        terms = len(weights) - 1 - self.dense.shape[1]
-        text = self.parts.sums(weights[:terms]).reshape(self.scales.shape)
+        terms, text = len(weights) - 1 - self.dense.shape[1], np.zeros(self.scales.shape)
+        if len(self.first):
+            text.reshape(-1)[self.filled] = np.add.reduceat(np.add.reduceat(weights.take(self.at), self.start) * self.weights, self.first)
         return (text * self.scales).sum(axis=1) + self.dense @ weights[terms:-1] + weights[-1]
 
     def add(self, total: np.ndarray, residuals: np.ndarray) -> None:
         """Add to the sums of terms, values, and the constant, for residuals of rows."""
-        terms, n = len(total) - 2 - self.dense.shape[1], self.dense.shape[1]
-        total[:terms] += self.parts.added((residuals[:, None] * self.scales).reshape(-1), terms)
+        n = self.dense.shape[1]
+        terms = len(total) - 2 - n
+        if len(self.first):
+            run = np.repeat((residuals[:, None] * self.scales).reshape(-1), self.runs) * self.weights
+            total[:terms] += np.bincount(self.at, np.repeat(run, self.many), terms)
         total[terms : terms + n] += residuals @ self.dense
         total[terms + n] += residuals.sum()
 

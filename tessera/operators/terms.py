@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 WORDS = {"word": r"(?U)\b\w\w+\b", "char": r"\S+"}
 
 #: Words that are counted at once. A row is never cut, so a larger one is a batch of its own.
-BATCH = {"word": 1 << 20, "char": 1 << 18, "term": 1 << 20}
+BATCH = {"word": 1 << 20, "char": 1 << 19, "term": 1 << 20}
 
 
 def words(text: Column, unit: str) -> Column:
@@ -153,3 +153,46 @@ def places(names: pa.Array, terms: pa.Array) -> np.ndarray:
 def lengths(value: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
     """The Euclidean length of each row."""
     return np.sqrt(np.bincount(row, value * value, rows))
+
+
+#: What buckets are dealt as: terms with their counts as the bytes of an Arrow stream.
+DEALT = "bucket int, data binary"
+
+
+def _hashes(names: pa.Array) -> np.ndarray:
+    """A number of 64 bits for each string, the same wherever it is met."""
+    names = pa.concat_arrays([names.cast(pa.string())])
+    _, ends, data = names.buffers()
+    ends = np.frombuffer(ends, np.int32, len(names) + 1, names.offset * 4).astype(np.int64)
+    size, out = np.diff(ends), np.zeros(len(names), np.uint64)
+    if ends[-1] > ends[0]:
+        letters = np.frombuffer(data, np.uint8, ends[-1] - ends[0], ends[0]).astype(np.uint64) + np.uint64(1)
+        place = np.arange(len(letters)) - np.repeat(ends[:-1] - ends[0], size)
+        power = np.cumprod(np.full(int(size.max()), 0x9E3779B97F4A7C15, np.uint64))
+        letters *= power.take(place)
+        out[size > 0] = np.add.reduceat(letters, (ends[:-1] - ends[0])[size > 0])
+    out ^= out >> np.uint64(29)
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    return out ^ (out >> np.uint64(32))
+
+
+def in_buckets(names: pa.Array, counts: list[np.ndarray], buckets: int) -> pa.RecordBatch:
+    """Terms and their counts as rows of DEALT: a term is in the same bucket wherever it is counted."""
+    bucket = (_hashes(names) % np.uint64(buckets)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    table = pa.table([names, *[pa.array(c, pa.int32()) for c in counts]], names=["term", *[f"n{i}" for i in range(len(counts))]]).take(pa.array(order)).combine_chunks()
+    seen, first = np.unique(bucket[order], return_index=True)
+    data = []
+    for start, end in zip(first.tolist(), [*first.tolist()[1:], len(bucket)], strict=True):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as out:
+            out.write_table(table.slice(start, end - start))
+        data.append(sink.getvalue())
+    return pa.RecordBatch.from_arrays([pa.array(seen, pa.int32()), pa.array([d.to_pybytes() for d in data], pa.binary())], names=["bucket", "data"])
+
+
+def merged(data: pa.ChunkedArray) -> pa.Table:
+    """The terms of a bucket, each once, with the sums of its counts."""
+    every = pa.concat_tables([pa.ipc.open_stream(d.as_buffer()).read_all() for d in data])
+    counts = every.column_names[1:]
+    return every.group_by("term").aggregate([(c, "sum") for c in counts]).select(["term", *[f"{c}_sum" for c in counts]]).rename_columns(["term", *counts])

@@ -136,6 +136,31 @@ def test_numbers_are_ordered_in_one():
         assert [x.tolist() for x in sparse._sorted(a * big, b)] == [[0, big, 3 * big, 3 * big], [5, 0, 2, 9]]
 
 
+def test_terms_are_summed_in_buckets():
+    names = [["red", "", "äöü", "blue red", "x" * 300, "red blue"], ["äöü", "red", "green"], ["pad", "", "red", "x" * 300]]
+    dealt = [terms.in_buckets(pa.array(n, pa.string()).slice(j == 2), [np.arange(len(n))[j == 2 :] + 1, np.full(len(n) - (j == 2), 10 * j)], 4) for j, n in enumerate(names)]
+    seen = {}
+    for batch in dealt:
+        assert batch.num_rows <= 4  # one row for a bucket's terms, whatever their number
+        for b, data in zip(batch.column("bucket").to_pylist(), batch.column("data"), strict=True):
+            seen.setdefault(b, []).append(data)
+    got = [(b, t, x, y) for b, data in seen.items() for t, x, y in zip(*terms.merged(pa.chunked_array([pa.array([d.as_py() for d in data], pa.binary())])).to_pydict().values(), strict=True)]
+    assert sorted(r[1:] for r in got) == sorted([("red", 6, 30), ("", 4, 20), ("äöü", 4, 10), ("blue red", 4, 0), ("x" * 300, 9, 20), ("red blue", 6, 0), ("green", 3, 10)])
+    assert len({b for b, *_ in got}) > 1
+
+
+def test_vocabularies_send_buckets(spark):
+    df = spark.createDataFrame([(i, [f"t{j}" for j in range(i, 40, 3)] * (1 + i % 2), i % 3) for i in range(12)], "id long, t array<string>, f int")
+    got = sparse.vocabularies(df, F.col("t"), "f", 3, most_terms=7, buckets=5)
+    rows = df.collect()
+    for f in range(3):
+        train = [r["t"] for r in rows if r["f"] != f]
+        tf, seen = Counter(t for own in train for t in own), Counter(t for own in train for t in set(own))
+        best = sorted(sorted((t for t in tf if seen[t] >= 2), key=lambda t: (-tf[t], t))[:7])
+        assert {t: (i, pytest.approx(math.log((1 + len(train)) / (1 + seen[t])) + 1)) for i, t in enumerate(best)} == got[f]
+    assert sparse.vocabularies(df.where("id > 99"), F.col("t"), "f", 3) == [{}] * 3
+
+
 @pytest.mark.parametrize("text", ["text", None])
 def test_rows_are_stored_once_for_all_designs(spark, monkeypatch, text):
     monkeypatch.setattr(sparse, "SHARED_STEP", 40)
